@@ -35,7 +35,9 @@ SENTENCE_END = re.compile(rf"[{re.escape(CLOSERS)}]+[{re.escape(BRACKETS)}]*(?=\
 
 #: Shares of a pair's occurrences from which it is taken to be able to end a line, and to end sentences only.
 LEAST_ENDS, SENTENCE_ENDS = 0.004, 0.9
-INSIDE, LINE_END, SENTENCE = 0, 1, 2
+#: A pair of which this many were seen, none of them in an open line, belongs to sentences, not to headings or captions.
+LEAST_SEEN = 60
+INSIDE, LINE_END, SENTENCE, IN_OPEN_LINE = 0, 1, 2, 3
 START = "^"
 
 
@@ -101,7 +103,8 @@ def tail(text: str) -> dict | None:
     if not parts:
         return None
     unspaced = bool(UNSPACED.search(last))
-    return {"own_line": len(found) == 1, "omitted": bool(m), "pair": pairs_of(parts, unspaced)[-1], "broken": last[-1:] in ",،、，:：-（(" or text[-1:] in "  "}
+    pairs = pairs_of(parts, unspaced)
+    return {"own_line": len(found) == 1, "omitted": bool(m), "pair": pairs[-1], "pairs": sorted(set(pairs[:-1])) if len(found) == 1 else [], "broken": last[-1:] in ",،、，:：-（(" or text[-1:] in "  "}
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,6 +126,7 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         counts[grams[-1], SENTENCE] += 1
                     elif not final:  # the last line may itself be cut: no evidence
                         counts[grams[-1], LINE_END] += 1
+                        counts.update((g, IN_OPEN_LINE) for g in grams)
         rows = [(g, k, n) for (g, k), n in counts.items()]
         yield pd.DataFrame(rows, columns=["pair", "kind", "n"])
 
@@ -133,8 +137,8 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
             found = tail(text) if text else None
             if found:
-                rows.append((doc, source, len(text), found["own_line"], found["omitted"], found["broken"], found["pair"]))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "own_line", "omitted", "broken", "pair"])
+                rows.append((doc, source, len(text), found["own_line"], found["omitted"], found["broken"], found["pair"], found["pairs"]))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "own_line", "omitted", "broken", "pair", "pairs"])
 
 
 def strict_prefixes(values: DataFrame, value: str) -> DataFrame:
@@ -175,9 +179,9 @@ def prefix_copies(docs: DataFrame, least: int = 200) -> DataFrame:
 def tail_evidence(docs: DataFrame) -> DataFrame:
     """Documents with an open end and what the corpus says of it, see ``truncated``."""
     texts = docs.select("doc_id", "source", "text").where("text IS NOT NULL")
-    tails = materialize(texts.mapInPandas(_tails, "doc_id long, source string, n long, own_line boolean, omitted boolean, broken boolean, pair string"))
+    tails = materialize(texts.mapInPandas(_tails, "doc_id long, source string, n long, own_line boolean, omitted boolean, broken boolean, pair string, pairs array<string>"))
     counted = texts.select("text").mapInPandas(_grams, "pair string, kind int, n long").groupBy("pair", "kind").agg(F.sum("n").alias("n"))
-    grams = counted.groupBy("pair").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((INSIDE, "inside"), (LINE_END, "line_end"), (SENTENCE, "sentence"))])
+    grams = counted.groupBy("pair").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((INSIDE, "inside"), (LINE_END, "line_end"), (SENTENCE, "sentence"), (IN_OPEN_LINE, "in_open_line"))])
     grams = materialize(grams.withColumn("first", F.split("pair", "\t")[0]))
     wanted = tails.select("pair").distinct()
     exact = wanted.join(grams.drop("first"), "pair", "left").na.fill(0)
@@ -185,11 +189,16 @@ def tail_evidence(docs: DataFrame) -> DataFrame:
     longer = strict_prefixes(wanted.unionByName(grams.select("pair")), "pair").select("pair", F.lit(True).alias("goes_on"))
     firsts = grams.groupBy("first").agg(*[F.sum(c).alias(f"first_{c}") for c in ("inside", "line_end", "sentence")])
     exact = exact.join(longer, "pair", "left").withColumn("first", F.split("pair", "\t")[0]).join(firsts, "first", "left").drop("first").na.fill(0).na.fill(False)
+    # an open line with a pair that only sentences have is the beginning of a sentence
+    lines = tails.where("size(pairs) > 0").select("doc_id", F.explode("pairs").alias("pair")).distinct()
+    seldom = grams.where((F.col("in_open_line") == 0) & (F.col("inside") + F.col("sentence") >= LEAST_SEEN)).select("pair")
+    begun = lines.join(seldom, "pair", "left_semi").select("doc_id", F.lit(True).alias("begun")).distinct()
     # lengths at which a source's texts pile up are limits of its field
     sizes = texts.groupBy("source", F.length("text").alias("n")).agg(F.count("*").alias("here"))
     near = Window.partitionBy("source").orderBy("n").rangeBetween(-10, 10)
     limits = sizes.withColumn("around", F.sum("here").over(near) - F.col("here")).where("here >= 8 AND here > around").select("source", "n", F.lit(True).alias("at_limit"))
-    return tails.join(exact, "pair", "left").join(limits, ["source", "n"], "left").na.fill(False, ["at_limit"])
+    tails = tails.drop("pairs").join(begun, "doc_id", "left").join(exact.drop("in_open_line"), "pair", "left")
+    return tails.join(limits, ["source", "n"], "left").na.fill(False, ["at_limit", "begun"])
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -198,6 +207,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     - An open sentence that follows another on its line is cut; headings and captions stand on lines of their own.
     - An open line of its own is cut if its last word pair never ends a line elsewhere, or a pair goes on from it much
       more often than it ends; where the pair is unknown, its first word decides.
+    - An open line with a pair that occurs often, but never in a line left open elsewhere, is the beginning of a sentence.
     - With a sign of omission, the sentence is complete if its last pair otherwise nearly always ends a sentence.
     - An open text at a length at which the texts of its source pile up is cut.
     - A text that is a strict prefix of a longer text and has an open end is cut.
@@ -209,7 +219,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     first_total = F.col("first_inside") + F.col("first_line_end") + F.col("first_sentence")
     ends = F.when(total >= 3, F.col("line_end") > LEAST_ENDS * total).otherwise(~F.col("goes_on") & (F.col("first_line_end") > LEAST_ENDS * first_total))
     ended = F.when(total >= 3, F.col("sentence") >= SENTENCE_ENDS * total).otherwise(F.lit(False))
-    open_end = F.when(F.col("omitted"), ~ended & (~F.col("own_line") | ~ends)).otherwise(~F.col("own_line") | F.col("broken") | ~ends)
+    open_end = F.when(F.col("omitted"), ~ended & (~F.col("own_line") | ~ends)).otherwise(~F.col("own_line") | F.col("broken") | F.col("begun") | ~ends)
     return e.where(open_end | ((F.col("at_limit") | F.col("copied")) & ~(F.col("omitted") & ended))).select("doc_id", "source")
 
 
