@@ -211,6 +211,8 @@ def fit(samples: DataFrame, more: DataFrame | None = None, most: int = MORE_SAMP
     if more is not None:
         known = {lang for lang, _ in rows}
         drawn = more.where(F.col("lang").isin(*known) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+        part = min(1.0, 4 * most / max(1, more.count()))  # so few rows reach the sort, however many there are
+        drawn = drawn.where(F.col("h").bitwiseAND((1 << 52) - 1) < int(part * (1 << 52)))
         rows += [(r["lang"], r["text"]) for r in drawn.orderBy("h", "t").limit(most).collect()]
     return train(rows)
 
