@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import heavy_hitters, langid, leaks, lookalikes, mixing, packing, token_budget, truncation
-from ._common import materialize, read, semi_join
+from ._common import materialize, read
 from .sizes import with_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,9 +125,7 @@ QUERIES: dict[str, Query] = {
 }
 
 _TOP = """
-    SELECT pair_key, sum(support)::BIGINT AS support
-    FROM (SELECT record_id, min(struct_pack(pair_key, support)).pair_key AS pair_key, min(struct_pack(pair_key, support)).support AS support
-          FROM window_records WHERE pair_key IS NOT NULL AND support IS NOT NULL GROUP BY record_id)
+    SELECT pair_key, sum(support)::BIGINT AS support FROM (SELECT DISTINCT record_id, pair_key, support FROM window_records WHERE pair_key IS NOT NULL AND support IS NOT NULL)
     GROUP BY pair_key ORDER BY support DESC, pair_key LIMIT 60"""
 
 ORACLES: dict[str, str] = {
