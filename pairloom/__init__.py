@@ -1,0 +1 @@
+"""Pair-corpus analytics and vocabulary discovery on Spark DataFrames."""
