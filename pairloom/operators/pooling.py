@@ -155,7 +155,8 @@ def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int
     """``N / D``: tokens count 1 less half of what the pairs they are in take, pairs count their gate; ``D`` is tokens less gates.
 
     The gate is the sigmoid of the pair's score and the language's bias, or ``shared_bias``. One pass adds token and pair
-    rows of a sentence: a pair's gate p takes p/2 of both its tokens' vectors and gives p of its own.
+    rows of a sentence: a pair's gate p takes p/2 of both its tokens' vectors and gives p of its own. With ``hard``, which
+    sets gates of 0 and 1 that share no token, a pair replaces its tokens.
     """
     routed = route(adjacent(tokens), base, exact, hashed, buckets)
     if bias is not None and shared_bias is None:
@@ -165,7 +166,7 @@ def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int
     routed = routed.withColumn("p", sigmoid("score"))
     if hard is not None:
         routed = hard(routed)
-    taken = routed.select("sent_id", F.explode(F.array("pos", F.col("pos") + 1)).alias("pos"), (F.col("p") / 2).alias("_t"))
+    taken = routed.select("sent_id", F.explode(F.array("pos", F.col("pos") + 1)).alias("pos"), (F.col("p") * (0.5 if hard is None else 1.0)).alias("_t"))
     taken = taken.groupBy("sent_id", "pos").agg(F.sum("_t").alias("_t"))
     own = lookup(tokens, emb).join(taken, ["sent_id", "pos"], "left").select(*SENT, F.col("vec").cast("array<double>").alias("v"), (1.0 - F.coalesce("_t", F.lit(0.0))).alias("w"), F.lit(1.0).alias("d"))
     pairs = routed.select(*SENT, F.col("m").cast("array<double>").alias("v"), F.col("p").alias("w"), (-F.col("p")).alias("d"))

@@ -45,12 +45,12 @@ def frozen_samples(spark: SparkSession, path: str, per_language: int) -> DataFra
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """(task, split, hf_subset, languages, main_score) of result files: {scores: {split: [entries]}}, or the same under the task's name."""
-    entry = "array<struct<hf_subset string, languages array<string>, main_score double, f1 double>>".replace(" string", ": string").replace(" array<string>", ": array<string>").replace(" double", ": double")
+    entry = "array<struct<hf_subset: string, languages: array<string>, main_score: double, f1: double>>"
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    direct = F.get_json_object("value", "$.scores")
-    keys = F.json_object_keys("value")
-    inner = F.when(direct.isNotNull(), direct).otherwise(F.get_json_object("value", F.concat(F.lit("$['"), keys[0], F.lit("'].scores"))))
-    task = F.coalesce(F.get_json_object("value", "$.task_name"), F.when(direct.isNull(), keys[0]), F.regexp_replace("file", r"\.json$", ""))
+    text = text.withColumn("top", F.from_json("value", "map<string, string>"))
+    direct = F.try_element_at("top", F.lit("scores"))
+    inner = F.coalesce(direct, F.get_json_object(F.map_values("top")[0], "$.scores"))
+    task = F.coalesce(F.try_element_at("top", F.lit("task_name")), F.when(direct.isNull(), F.map_keys("top")[0]), F.regexp_replace("file", r"\.json$", ""))
     splits = text.select(task.alias("task"), F.explode(F.from_json(inner, f"map<string, {entry}>")).alias("split", "entries"))
     rows = splits.select("task", "split", F.explode("entries").alias("e"))
     return rows.select("task", "split", "e.hf_subset", "e.languages", F.coalesce("e.main_score", "e.f1").alias("main_score"))
