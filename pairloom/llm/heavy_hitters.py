@@ -89,7 +89,11 @@ def top_items(df: DataFrame, item: str, weight: str, record: str, n: int, capaci
         exact = once.groupBy("item").agg(F.sum("weight").alias("weight"))
         top = materialize(exact.join(candidates, "item").select("item", "lower", "upper", "weight").orderBy(F.desc("weight"), "item").limit(n))
         got = top.agg(F.count("*").alias("n"), F.min("weight").alias("least")).head()
-        error = summary.agg(F.max(F.col("upper") - F.col("lower"))).head()[0] or 0
-        if error == 0 or (got["n"] == n and got["least"] > error):
+        error = summary.agg(F.max(F.col("upper") - F.col("lower"))).head()[0]
+        if error is None:  # no counter is left: either there is no weight, or all is spread too evenly
+            sure = rows.where("weight > 0").isEmpty()
+        else:
+            sure = error == 0 or (got["n"] == n and got["least"] > error)
+        if sure:
             return top
         capacity *= 4

@@ -68,8 +68,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, n):
             code = code << np.uint64(21) | flat[k : len(flat) - n + 1 + k]
         whole = owner[: len(code)] == owner[n - 1 :] if n > 1 else np.ones(len(code), bool)
-        if n == 1:
-            whole &= code != 32
+        whole &= code != sum(32 << 21 * k for k in range(n))  # spaces only
         codes.append(code[whole])
         owners.append(owner[: len(code)][whole])
     return np.concatenate(codes), np.concatenate(owners)

@@ -95,7 +95,7 @@ class Postings:
         windows = np.lib.stride_tricks.sliding_window_view(rare, queries.run)[queries.starts]
         possible = windows.min(axis=1) > 0
         anchors = np.unique(queries.starts[possible] + windows[possible].argmin(axis=1))
-        hits_t, hits_q = [], []
+        hits_t, hits_q = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
         counts = self.count[queries.flat[anchors]]
         ends = np.cumsum(counts)
         at = 0

@@ -134,7 +134,7 @@ def canonical_forms(rows: DataFrame, by: str = "side") -> DataFrame:
     value has them mapped; null and empty values stay as they are.
     """
     found = materialize(classes(shared_looks(rows, by), by).select(by, "value", "canonical").withColumn("h", F.xxhash64("value")))
-    joined = rows.withColumn("h", F.xxhash64("value")).join(found, [by, "h", "value"], "left")
+    joined = rows.select("pair_id", by, "value", F.xxhash64("value").alias("h")).join(found, [by, "h", "value"], "left")
     return joined.select("pair_id", by, "value", F.coalesce("canonical", "value").alias("canonical"))
 
 

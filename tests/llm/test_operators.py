@@ -1,0 +1,353 @@
+from __future__ import annotations
+
+import random
+import unicodedata
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pairloom.llm import heavy_hitters, langid, leaks, lookalikes, mixing, packing, scripts, sizes, token_budget, truncation
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+def records(spark, data):
+    return spark.createDataFrame(data, "record_id long, pair_key long, support long").withColumns({"weight": F.lit("x"), "item": F.lit(0), "lower": F.lit(1)})
+
+
+def test_summary_keeps_its_bounds(spark):
+    rng = random.Random(1)
+    data = [(i, min(int(rng.paretovariate(0.6)), 5000), rng.randint(1, 9)) for i in range(6000)]
+    exact: dict[int, int] = {}
+    for _, k, w in data:
+        exact[k] = exact.get(k, 0) + w
+    for capacity in (20, 200):
+        out = heavy_hitters.misra_gries(records(spark, data).repartition(7), "pair_key", "support", capacity).collect()
+        assert len(out) <= capacity
+        got = {r["item"]: (r["lower"], r["upper"]) for r in out}
+        error = max(u - low for low, u in got.values())
+        assert error <= sum(exact.values()) / (capacity + 1) and all(low <= exact[k] <= u for k, (low, u) in got.items())
+        assert all(k in got for k, w in exact.items() if w > error)
+
+
+def test_top_items(spark):
+    data = [(1, 10, 5), (1, 10, 5), (2, 20, 5), (3, 30, 1), (4, None, 9), (5, 40, None), (6, 50, 0), (None, 60, 2), (None, 60, 2)]
+    out = heavy_hitters.top_items(records(spark, data), "pair_key", "support", "record_id", 3)
+    assert rows(out, "item", "weight") == [(10, 5), (20, 5), (60, 4)]
+    assert heavy_hitters.top_items(records(spark, data).where("false"), "pair_key", "support", "record_id", 3).count() == 0
+    flat = records(spark, [(i, i, 1) for i in range(300)])  # all alike: the summary must grow until it holds every item
+    assert rows(heavy_hitters.top_items(flat, "pair_key", "support", "record_id", 4, capacity=16), "item") == [(0,), (1,), (2,), (3,)]
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------------
+
+ITEM = "The village baker Vegasa described the torn letter Monafa beside the river mill Notori shortly before noon."
+
+
+def corpus(spark, texts):
+    return spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(texts)], "pair_id long, anchor string, positive string").withColumn("item_id", F.lit(-1)).withColumn("text", F.lit("x"))
+
+
+def test_leaks(spark):
+    items = spark.createDataFrame([(1, "eng_Latn", ITEM), (2, "eng_Latn", ITEM), (3, "cmn_Hani", "村里的面包师在上个星期二快到中午的时候描述了撕破的信和河边磨坊旁的银勺子。"), (4, "eng_Latn", None), (5, "eng_Latn", ""), (6, "eng_Latn", "too short")], "item_id long, lang string, text string")
+    words = ITEM.split()
+    texts = [
+        (ITEM.upper(), None), ("", "intro. " + " ".join(words[2:12]) + "\nmore"), (" ".join(words[2:11]), " ".join(words[3:9])), (ITEM.replace("bak", "bа­k").replace(" ", "  ", 3), "x"),
+        ("前言，村里的面包师在上个星期二，快到中午的时候 描述了撕破的信", "村里的面包师在上个星期二快到"), ("word " * 40000 + ITEM, "too short"), (None, None),
+    ]
+    got = rows(leaks.leaked(corpus(spark, texts), items))
+    assert got == sorted([(p, s, i) for p, s in ((0, "anchor"), (1, "positive"), (3, "anchor"), (5, "anchor")) for i in (1, 2)] + [(4, "anchor", 3)], key=repr)
+    assert leaks.leaked(corpus(spark, texts).where("false"), items).count() == 0
+    assert leaks.leaked(corpus(spark, texts), items.where("false")).count() == 0
+    per_source = leaks.leaks_by_source(leaks.leaked(corpus(spark, texts), items), corpus(spark, texts).withColumn("source", F.lit(None).cast("string")))
+    assert rows(per_source) == [(None, 5, 9, 3)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6))
+def test_positional_search_against_brute_force(seed):
+    rng = random.Random(seed)
+    vocab = "abcde"[: rng.randint(2, 5)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randint(0, 14))]) for i in range(4)]
+    texts = [[rng.choice(vocab + "z") for _ in range(rng.randint(0, 40))] for _ in range(6)]
+    run = rng.randint(2, 5)
+    queries = leaks.Queries(items, run)
+    t, q = leaks.Postings(texts, queries.vocab).search(queries)
+    got = {(int(a), int(queries.owner[b])) for a, b in zip(t, q)}
+    grams = lambda x: {tuple(x[i : i + run]) for i in range(len(x) - run + 1)}
+    assert got == {(a, i) for a, text in enumerate(texts) for i, item in items if grams(text) & grams(item)}
+
+
+def test_search_in_slices(monkeypatch):
+    queries = leaks.Queries([(7, list("abab" * 4))], 4)
+    texts = [list("ab" * 30), list("ba" * 3), list("zz")]
+    want = {0, 1}
+    monkeypatch.setattr(leaks, "CANDIDATES", 5)
+    t, _ = leaks.Postings(texts, queries.vocab).search(queries)
+    assert set(t.tolist()) == want
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------------
+
+PIECES = ["a", "b", "ab", "abc", "bcd", "c", " ", "d", "ééé", "é"]
+
+
+def greedy(text, pieces, longest=4):
+    n = i = 0
+    while i < len(text):
+        for k in range(longest, 0, -1):
+            if text[i : i + k] in pieces and i + k <= len(text):
+                n, i = n + 1, i + k
+                break
+        else:
+            n, i = n + (not text[i].isspace()), i + 1
+    return n
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcdé x\n ", max_size=40))
+def test_token_counts_are_greedy(text):
+    assert token_budget.PieceTokenizer(PIECES).count(text) == greedy(text, set(PIECES))
+    assert token_budget.PieceTokenizer([*PIECES, "a\nb"]).count(text) == greedy(text, {*PIECES, "a\nb"})
+    assert token_budget.PieceTokenizer([]).count(text) == sum(not c.isspace() for c in text)
+
+
+def test_token_cube(spark):
+    vocab = spark.createDataFrame([(i, p, False) for i, p in enumerate(PIECES)] + [(99, "__eng_Latn__", True), (100, None, False)], "token_id int, piece string, is_marker boolean")
+    docs = spark.createDataFrame([("s", "x", "abc ab"), ("s", None, ""), (None, "", "d" * 50_000), ("s", "x", None)], "source string, lang string, text string").withColumn("piece", F.lit(1)).withColumn("slice", F.lit(1))
+    counted = token_budget.count_tokens(docs, "text", vocab)
+    assert sorted(r["n_tokens"] for r in counted.where("n_tokens is not null").collect()) == [0, 3, 50_000] and counted.where("n_tokens is null").count() == 1
+    cube = {(r["source"], r["lang"], r["slice"]): (r["n_texts"], r["n_tokens"]) for r in token_budget.token_cube(counted, "source", "lang").collect()}
+    assert cube[None, None, "all"] == (3, 50_003) and cube["s", None, "source"] == (2, 3) and cube["und", "und", "source+lang"] == (1, 50_000) and cube[None, "und", "lang"] == (2, 50_000)
+    assert token_budget.token_cube(token_budget.count_tokens(docs.where("false"), "text", vocab), "source").count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_equal_looking(spark):
+    values = ["Café noir", "Café noir", "Cаfé noir", "Ｃafé noir", "CAFÉ noir", "Cafe noir", "Café noir!", "Café no​ir", "", None, "ガラス", "ｶﾞﾗｽ", "ﬁn", "fin", "plain", "plain"]
+    df = spark.createDataFrame([(i, "anchor", v) for i, v in enumerate(values)], "pair_id long, side string, value string").withColumns({"look": F.lit(1), "c": F.lit(2), "canonical": F.lit(3)})
+    got = rows(lookalikes.equal_looking(df), "pair_id_1", "pair_id_2")
+    same = [0, 1, 2, 3, 7]
+    assert got == sorted([(a, b) for i, a in enumerate(same) for b in same[i + 1 :]] + [(10, 11), (12, 13)], key=repr)
+    forms = {r["pair_id"]: r["canonical"] for r in lookalikes.canonical_forms(df).collect()}
+    assert len(forms) == len(values) and len({forms[i] for i in same}) == 1 and forms[4] == "CAFÉ noir" and forms[8] == "" and forms[9] is None
+    assert lookalikes.equal_looking(df.where("false")).count() == 0 and lookalikes.canonical_forms(df.where("false")).count() == 0
+
+
+def test_copies_of_a_value_are_one(spark):
+    df = spark.createDataFrame([(i, "positive", "same") for i in range(500)] + [(1000, "positive", "sаme"), (1000, "positive", "ｓame")], "pair_id long, side string, value string")
+    out = lookalikes.equal_looking(df)
+    assert out.count() == 1000 and out.where("pair_id_1 = pair_id_2").count() == 0
+    assert rows(lookalikes.classes(lookalikes.shared_looks(df)), "value", "canonical", "n_rows") == [("same", "same", 500), ("sаme", "same", 1), ("ｓame", "same", 1)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="eéaо́oе́​ｅ  가각", max_size=12))
+def test_coarse_looks_ignore_composition(text):
+    look = lambda t: lookalikes.coarse_of(lookalikes.look_of(t))
+    assert look(unicodedata.normalize("NFC", text)) == look(unicodedata.normalize("NFD", text))
+
+
+def test_words_take_one_script():
+    assert scripts.unify("Lе vоіѕіn dіѕсrеt") == "Le voisin discret"
+    assert scripts.unify("вечеpом зa") == "вечером за" and scripts.unify("plain") == "plain" and scripts.unify("Ｎo​w") == "Now"
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+SAMPLES = {
+    "eng_Latn": ["The old librarian sold the wooden bridge behind the railway station.", "Nobody had expected such a result before the long meeting."],
+    "deu_Latn": ["Der alte Bibliothekar verkaufte die Brücke hinter dem Bahnhof.", "Niemand hatte vor der langen Sitzung ein solches Ergebnis erwartet."],
+    "rus_Cyrl": ["Старый библиотекарь продал деревянный мост за вокзалом.", "Никто не ожидал такого результата до собрания."],
+    "cmn_Hani": ["年老的图书管理员在火车站后面卖掉了木桥。", "没有人料到会有这样的结果。"],
+}
+
+
+@pytest.fixture(scope="module")
+def profiles():
+    return langid.train([(lang, t) for lang, ts in SAMPLES.items() for t in ts])
+
+
+def test_bundles_are_what_the_shortcut_says(profiles):
+    """The sum of the n-grams' scores is the dot product of the bundled vectors."""
+    text = langid.letters("die lange Brücke")
+    codes, _ = langid._grams([text])
+    bundle = langid._gram_vectors(codes).astype("float64").sum(axis=0)
+    want = bundle @ profiles.prototypes.T.astype("float64") / np.sqrt(len(codes) * langid.DIMENSIONS)
+    assert np.allclose(profiles.cosines([text])[0], want, atol=1e-4)
+    assert (profiles.cosines(["  "]) == 0).all()
+    kept = profiles.cosines([text])
+    profiles.codes, profiles.scores = profiles.codes[:0], profiles.scores[:0]
+    assert np.allclose(kept, profiles.cosines([text]), atol=1e-5)
+
+
+def test_wrong_labels(spark, profiles):
+    texts = [
+        (1, "The librarian had expected the long meeting.", "EN"), (2, "The librarian had expected the long meeting.", "deu_Latn"), (3, "Der Bibliothekar hatte die Sitzung erwartet.", None), (4, "", "und"), (5, None, "eng_Latn"),
+        (6, "The librarian had expected the meeting. Niemand hatte ein solches Ergebnis erwartet.", "eng-Latn"), (7, "Kobako", "und"), (8, "没有人料到这样的结果。", "xxx_Zyyy"), (9, "The meeting at the old station was long. Бобров", "eng"), (10, "Der alte Bibliothekar " * 2000, "German"),
+    ]
+    df = spark.createDataFrame(texts, "pair_id long, anchor string, language_id string").withColumns({"lang": F.lit("q"), "label": F.lit("q"), "text": F.lit("q")})
+    known = spark.createDataFrame([("eng_Latn", "en", "English"), ("deu_Latn", "de", "German"), ("rus_Cyrl", "ru", "Russian"), ("cmn_Hani", "zh", "Chinese"), (None, None, None)], "lang_code string, iso639_1 string, english_name string")
+    judged = langid.text_languages(df, profiles, known, "pair_id", "anchor", F.col("language_id"))
+    assert rows(langid.wrong_labels(judged)) == [(2, "eng_Latn"), (3, "deu_Latn"), (6, "deu_Latn"), (6, "eng_Latn"), (8, "cmn_Hani")]
+    parts = langid.segment_languages(df, profiles).where("pair_id = 6").orderBy("part").collect()
+    assert [p["lang"] for p in parts] == ["eng_Latn", "deu_Latn"] and all(0 < p["confidence"] <= 1 for p in parts)
+    assert langid.text_languages(df.where("false"), profiles, known, "pair_id", "anchor", F.col("language_id")).count() == 0
+
+
+def test_fit_is_bounded_and_checked(spark):
+    samples = spark.createDataFrame([(lang, t) for lang, ts in SAMPLES.items() for t in ts] + [(None, "x"), ("eng_Latn", None)], "lang string, text string")
+    more = spark.createDataFrame([(i, "eng_Latn" if i % 2 else "xyz_Latn", "some words") for i in range(50)] + [(99, None, None)], "doc_id long, lang string, text string")
+    assert langid.fit(samples, more, 5).languages == sorted(SAMPLES)
+    with pytest.raises(ValueError):
+        langid.train([])
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def sized(spark, sizes_, terms=lambda i: [i % 7, 100 + i % 3]):
+    return spark.createDataFrame([(i, n, terms(i), [1] * len(terms(i))) for i, n in enumerate(sizes_)], "doc_id long, n_tokens long, terms array<int>, terms_tf array<int>").withColumn("limit_id", F.lit(0))
+
+
+def test_packing(spark):
+    rng = random.Random(2)
+    sizes_ = [rng.choice([rng.randint(1, 60), rng.randint(60, 400)]) for _ in range(400)] + [0, 100, 100]
+    limits = spark.createDataFrame([(1, 100), (2, 256), (3, None), (4, 0)], "limit_id int, capacity_tokens int")
+    out = packing.pack(sized(spark, sizes_), limits, shard_rows=100).toPandas()
+    assert set(out.limit_id) == {1, 2}
+    for limit, capacity in ((1, 100), (2, 256)):
+        mine = out[out.limit_id == limit]
+        assert mine.groupby("container_id").n_tokens.sum().max() <= capacity
+        for doc, parts in mine.groupby("doc_id"):
+            spans = sorted((int(f), int(n)) for f, n in zip(parts.first_token, parts.n_tokens))
+            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == sizes_[doc]
+            assert len(spans) == 1 or sizes_[doc] > capacity
+        assert set(mine.doc_id) == {i for i, n in enumerate(sizes_) if n}
+    rates = {r["limit_id"]: r["fill_rate"] for r in packing.fill_rates(packing.pack(sized(spark, sizes_), limits, shard_rows=200)).collect()}
+    assert min(rates.values()) > 0.95
+    assert packing.pack(sized(spark, sizes_).where("false"), limits).count() == 0 and packing.pack(sized(spark, sizes_), limits.where("false")).count() == 0
+
+
+def test_neighbours_come_first():
+    terms = [np.array([1, 2, 3]), np.array([1, 2, 3]), np.array([7, 8]), np.array([1, 9])]
+    index = packing.Index(terms, [np.ones(len(t)) for t in terms], np.array([6, 4, 4, 4]))
+    assert index.scores(0)[1] > index.scores(0)[3] > index.scores(0)[2] == 0
+    assert packing.fill(index, np.array([6, 4, 4, 4]), 10)[0] == [(0, 0, 6), (1, 0, 4)]
+
+
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(5)
+    terms = [np.unique(rng.integers(0, 20, 8)) for _ in range(12)]
+    tf = [rng.integers(1, 4, len(t)) for t in terms]
+    sizes_ = np.array([int(x.sum()) for x in tf])
+    index = packing.Index(terms, tf, sizes_)
+    for q in range(12):
+        want = np.zeros(12)
+        for t in terms[q]:
+            df = sum(t in x for x in terms)
+            idf = np.log(1 + (12 - df + 0.5) / (df + 0.5))
+            for d in range(12):
+                if t in terms[d]:
+                    f = tf[d][list(terms[d]).index(t)]
+                    want[d] += idf * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * sizes_[d] / sizes_.mean()))
+        assert np.allclose(index.scores(q), want, rtol=1e-4)
+
+
+def test_sizes_of_texts(spark):
+    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "a b " * 20_000)], "doc_id long, text string").withColumn("terms", F.lit(1))
+    out = {r["doc_id"]: r["n_tokens"] for r in sizes.with_sizes(df.select("doc_id", "text"), "text", terms="terms").collect()}
+    model = sizes.piece_model(sizes.TOKENIZER)
+    assert out == {1: len(model.encode("hello world")), 2: 0, 3: 0, 4: len(model.encode("a b " * 20_000))}
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def mixture_inputs(spark):
+    docs = [(i, "a", 10) for i in range(300)] + [(1000 + i, "b", 5) for i in range(20)] + [(5000, "none", 9), (5001, None, 9), (5002, "a", 0), (5003, "b", None)]
+    sized_ = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").withColumns({"pass": F.lit(1), "block": F.lit(2), "share": F.lit(3)})
+    return sized_, spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 3), ("gone", 0.0, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+
+
+def test_mixture(spark, monkeypatch):
+    docs, targets = mixture_inputs(spark)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
+    out = mixing.mix(docs, targets).orderBy("position").toPandas()
+    by = out.groupby("source").n_tokens.sum()
+    assert by["b"] == 300 and abs(by["a"] - 1200) <= 10  # b gives all it may, a what fits to it
+    assert out.groupby("doc_id").size().max() == 3 and list(out.position) == list(range(1, len(out) + 1))
+    assert (out.n_tokens.cumsum() == out.tokens_so_far).all() and out.virtual_finish.is_monotonic_increasing
+    half = out.iloc[: len(out) // 2].groupby("source").n_tokens.sum()
+    assert abs(half["b"] / half.sum() - 0.2) < 0.02
+    shares = {r["source"]: (r["share_reached"], r["most_uses"]) for r in mixing.shares_reached(mixing.mix(docs, targets), targets.where("source is not null")).collect()}
+    assert abs(shares["b"][0] - 0.2) < 0.01 and shares["b"][1] == 3 and shares["gone"] == (0.0, 0)
+    assert rows(mixing.mix(docs, targets)) == rows(mixing.mix(docs.repartition(3), targets))
+    assert mixing.mix(docs.where("false"), targets).count() == 0 and mixing.mix(docs, targets.where("false")).count() == 0
+
+
+def test_mixture_of_a_greater_budget(spark):
+    docs, targets = mixture_inputs(spark)
+    out = mixing.mix(docs, targets, budget=2000).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()
+    got = {r["source"]: r["t"] for r in out}
+    assert got["b"] == 300 and 1690 <= got["a"] <= 1700
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets.unionByName(targets.where("source = 'a'")))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 1000), st.floats(0.01, 1.0), st.integers(1, 5)), min_size=1, max_size=6), st.integers(1, 5000))
+def test_budget_is_used_up_where_it_can_be(sources, budget):
+    tokens = {str(i): t for i, (t, _, _) in enumerate(sources)}
+    plan = mixing.plan_mixture(tokens, {str(i): (w, r) for i, (_, w, r) in enumerate(sources)}, budget)
+    used = sum(min(w * plan["until"], t * r) for t, w, r in sources)
+    assert used == pytest.approx(min(budget, sum(t * r for t, _, r in sources)), rel=1e-6)
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------------
+
+
+def documents(spark, texts):
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    return df.withColumns({"pair": F.lit(1), "here": F.lit(1), "first": F.lit(1)})
+
+
+WHOLE = [
+    "The old librarian sold the wooden bridge behind the station. Nobody had expected it.", "The bus driver cleaned the red sail in the town hall before noon.", "The old librarian in the town hall\nThe bus driver behind the station, 1990\nThe bus driver in the town hall",
+    "The bus driver behind the station\nThe old librarian in the town hall", "The bus driver sold the wooden bridge in the town hall.\n— Motimive", "Nobody had expected it.\nhttps://example.org/abc", "Who cleaned the red sail?\n(Mala, 1965)", "Did it rain?", "长长的报告很快公布。", "Πόσο κράτησε;",
+]
+
+
+def test_truncation(spark):
+    cut = ["Nobody had expected it. The old librarian sold the woo", "The bus driver cleaned the", "Nobody had expected it. The bus driver sold the red…", "长长的报告很快公布。很快公", "The bus driver cleaned the red sail [...]"]
+    good = WHOLE * 3 + ["The bus driver in the town hall", "Did it rain? Nobody had expected it...", "", None, "***"]
+    got = {r[0] for r in rows(truncation.truncated(documents(spark, good + cut)), "doc_id")}
+    assert got == set(range(len(good), len(good) + len(cut)))
+    rates = truncation.truncation_rates(documents(spark, good + cut), truncation.truncated(documents(spark, good + cut))).collect()
+    assert [(r["n_docs"], r["n_truncated"]) for r in rates] == [(len(good) + len(cut), len(cut))]
+    assert truncation.truncated(documents(spark, good).where("false")).count() == 0
+
+
+def test_prefixes_against_brute_force(spark):
+    rng = random.Random(3)
+    values = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(90)})
+    df = spark.createDataFrame([(v,) for v in values + values[:5] + [None, ""]], "v string")
+    got = {r["v"] for r in truncation.strict_prefixes(df, "v").collect()}
+    assert got == {v for v in values if any(w != v and w.startswith(v) for w in values)}
+
+
+def test_prefix_copies(spark):
+    long = "One sentence after the other, and each of them ends. " * 8
+    df = documents(spark, [long, long[:250], long[:250] + "…", long[:100], "x" * 70_000, "x" * 300, None, long])
+    assert rows(truncation.prefix_copies(df)) == [(1, 0), (2, 0), (5, 4)]
