@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, semi_join
 
 # Signs that close a sentence, closing brackets and quotes after them, and signs of omission.
 CLOSERS = ".!?。！？؟।॥;；…"
@@ -169,7 +169,7 @@ def prefix_copies(docs: DataFrame, least: int = 200) -> DataFrame:
     keyed = docs.select("doc_id", "text", cut.alias("cut")).where(F.length("cut") >= least)
     keyed = keyed.withColumn("h", F.xxhash64(F.left("cut", F.lit(least))))
     shared = keyed.groupBy("h").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("h")
-    keyed = materialize(keyed.join(shared, "h", "left_semi"))
+    keyed = materialize(semi_join(keyed, materialize(shared), ["h"]))
     found = strict_prefixes(keyed.select(F.col("cut").alias("v")).unionByName(keyed.select(F.col("text").alias("v"))), "v")
     hits = keyed.select("doc_id", F.col("cut").alias("v"), "text").join(found, "v").where(F.length("longer") > F.length("text"))
     whole = keyed.select("doc_id", F.col("text").alias("longer")).unionByName(keyed.select("doc_id", F.col("cut").alias("longer")))
