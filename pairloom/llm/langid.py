@@ -19,26 +19,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import collect_bounded
-from .scripts import unify
+from .scripts import CYRILLIC, GREEK, LATIN, unify
 
-DIMENSIONS = 4096
+DIMENSIONS = 8192
 ORDERS = (1, 2, 3)
-SCALE = 1e4
+SCALE = 1e5
 MOST_SAMPLES = 50_000
-MORE_SAMPLES = 2_000
+MORE_SAMPLES = 4_000
 MOST_KEPT = 2_000_000
-LEAST_WORDS, LEAST_CHARS = 3, 4
+LEAST_WORDS, LEAST_CHARS, LEAST_CLOSED = 3, 6, 3
 SHARPNESS = 40.0
+#: How much likelier a sentence is in the language of most of its text than in another, before it is read.
+SAME_LANGUAGE = 8.0
 NO_LANGUAGE = frozenset(["", "und", "unknown", "n/a", "na", "none", "null", "mul", "zxx", "xxx"])
 
-_SPLIT = re.compile(r"(?<=[.!?。！？؟।॥…])[\"'»”’)\]）」』]*(?:\s+|(?<=[。！？]))|(?<=;)\s+|\n+")
+_SPLIT = re.compile(r"(?<=[.!?。！？؟।॥…])[\"'»”’)\]）」』]*(?:\s+|(?<=[。！？]))|(?<=;)\s+|\s+[/|]\s+|\n+")
+_SCRIPTS = [("latin", LATIN), ("cyrillic", CYRILLIC), ("greek", GREEK), ("arabic", re.compile("[\u0600-\u06ff]")), ("devanagari", re.compile("[\u0900-\u097f]")), ("east asian", re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"))]
+_KATAKANA = re.compile(r"[\W\u30a0-\u30ff]+")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
 _MARKS_KEPT = re.compile(r"[^\ẁ-ͯऀ-ॿ؀-ۿ]+|[\d_]+", re.U)
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and lines of a text, in order; what has no letter is none."""
-    return [s for s in (x.strip() for x in _SPLIT.split(text) if x) if any(c.isalpha() for c in s)]
+    """Sentences and lines of a text, in order; what has no letter is none.
+
+    A piece whose words change from one script to another for good, with a sentence on either side, is two.
+    """
+    out = []
+    for piece in _SPLIT.split(text):
+        piece = piece.strip() if piece else ""
+        if any(map(str.isalpha, piece)):
+            out += [piece] if piece.isascii() else _by_script(piece)
+    return out
+
+
+def _script(word: str) -> str | None:
+    for c in word:
+        if c.isalpha():
+            return next((name for name, own in _SCRIPTS if own.match(c)), "other")
+    return None
+
+
+def _by_script(piece: str) -> list[str]:
+    words = piece.split()
+    labels = [_script(w) for w in words]
+    known = [x for x in labels if x]
+    if len(set(known)) < 2 or known[0] == known[-1]:
+        return [piece]
+    first, last = known[0], known[-1]
+    best = max(range(1, len(words)), key=lambda i: sum(x == first for x in labels[:i]) + sum(x == last for x in labels[i:]))
+    left, right = " ".join(words[:best]), " ".join(words[best:])
+    return [left, right] if is_sentence(left) and is_sentence(right) else [piece]
 
 
 def letters(text: str) -> str:
@@ -47,10 +78,11 @@ def letters(text: str) -> str:
 
 
 def is_sentence(text: str) -> bool:
-    """At least ``LEAST_WORDS`` words, or ``LEAST_CHARS`` letters where words are not spaced: a name alone is none."""
+    """At least ``LEAST_WORDS`` words; where words are not spaced, a closed sentence or ``LEAST_CHARS`` letters. A name alone is none."""
     if _UNSPACED.search(text):
-        return sum(c.isalpha() for c in text) >= LEAST_CHARS
-    return sum(any(c.isalpha() for c in w) for w in text.split()) >= LEAST_WORDS
+        n = sum(map(str.isalpha, text))
+        return not _KATAKANA.fullmatch(text.strip()) and n >= (LEAST_CLOSED if text.rstrip()[-1:] in "。！？" else LEAST_CHARS)
+    return sum(any(map(str.isalpha, w)) for w in text.split()) >= LEAST_WORDS
 
 
 def _letter_vectors(codes: np.ndarray) -> np.ndarray:
@@ -125,11 +157,20 @@ class Profiles:
             out /= np.sqrt(np.maximum(n, 1) * DIMENSIONS)[:, None]
         return out
 
-    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language of each text and the confidence: its share in the softmax of the cosines."""
+    def judge(self, texts: list[str], owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the language of each text and the confidence: its share in the softmax of the cosines.
+
+        ``owner`` tells which texts are parts of one: the language of most of its letters is then ``SAME_LANGUAGE`` times
+        likelier for each part, so that short parts, which related languages share, follow the rest.
+        """
         cos = self.cosines([letters(t) for t in texts])
-        best = cos.argmax(axis=1)
         power = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
+        if owner is not None and len(texts):
+            share = power / power.sum(axis=1, keepdims=True) * np.array([len(t) for t in texts])[:, None]
+            total = np.zeros((int(owner.max()) + 1, len(self.languages)))
+            np.add.at(total, owner, share)
+            power[np.arange(len(texts)), total.argmax(axis=1)[owner]] *= SAME_LANGUAGE
+        best = power.argmax(axis=1)
         return best, (power.max(axis=1) / power.sum(axis=1)).astype("float64")
 
 
@@ -185,13 +226,13 @@ def _parts(profiles, key: str, text: str):
         for batch in batches:
             parts, rows = [], []
             for row, value in enumerate(batch[text]):
-                for k, s in enumerate(sentences(value) if value else ()):
+                for k, s in enumerate(sentences(unify(value)) if value else ()):
                     parts.append(s)
                     rows.append((row, k))
             if not parts:
                 continue
-            lang, sure = model.judge(parts)
             at = np.array([r for r, _ in rows])
+            lang, sure = model.judge(parts, at)
             yield pd.DataFrame({
                 key: batch[key].to_numpy()[at], "part": [k for _, k in rows], "text": parts, "lang": np.array(model.languages)[lang], "confidence": sure,
                 "n_letters": [sum(map(str.isalpha, s)) for s in parts], "is_sentence": [is_sentence(s) for s in parts],
@@ -236,11 +277,11 @@ def _judged(profiles, table: dict[str, str], key: str, text: str):
             texts, labels = list(batch[text]), list(batch["label"])
             parts, owner = [], []
             for row, value in enumerate(texts):
-                found = sentences(value) if value else []
+                found = sentences(unify(value)) if value else []
                 parts += found
                 owner += [row] * len(found)
             out = []
-            lang, sure = model.judge(parts) if parts else ((), ())
+            lang, sure = model.judge(parts, np.array(owner)) if parts else ((), ())
             at = 0
             while at < len(parts):
                 stop = at
@@ -260,7 +301,7 @@ def _judged(profiles, table: dict[str, str], key: str, text: str):
                 row = owner[at]
                 in_sentences = {c: w for c, w in weight.items() if c in whole} or weight
                 main = max(in_sentences, key=lambda c: (in_sentences[c], c))
-                enough = count > 0 or is_sentence(texts[row])
+                enough = count > 0 or (" " in texts[row].strip() and is_sentence(texts[row]))
                 out.append((batch[key].iloc[row], main, float(trust[main] / weight[main]), whole or [main], read_label(labels[row], table), labels[row], enough))
                 at = stop
             yield pd.DataFrame(out, columns=[key, "lang", "confidence", "langs", "label_code", "label", "enough"])
