@@ -25,8 +25,9 @@ DIMENSIONS = 8192
 ORDERS = (1, 2, 3)
 SCALE = 1e5
 MOST_SAMPLES = 50_000
-MORE_SAMPLES = 4_000
+MORE_SAMPLES = 3_000
 MOST_KEPT = 2_000_000
+CHUNK = 512
 LEAST_WORDS, LEAST_CHARS, LEAST_CLOSED = 3, 6, 3
 SHARPNESS = 40.0
 #: How much likelier a sentence is in the language of most of its text than in another, before it is read.
@@ -138,7 +139,7 @@ class Profiles:
             self.codes, self.scores = self.codes[:0], self.scores[:0]
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(new):
-            made = np.concatenate([_gram_vectors(new[i : i + 4096]).astype("float32") @ self.prototypes.T for i in range(0, len(new), 4096)])
+            made = np.concatenate([_gram_vectors(new[i : i + CHUNK]).astype("float32") @ self.prototypes.T for i in range(0, len(new), CHUNK)])
             every = np.concatenate([self.codes, new])
             order = np.argsort(every, kind="stable")
             self.codes, self.scores = every[order], np.concatenate([self.scores, made])[order]
@@ -184,15 +185,21 @@ def train(samples: list[tuple[str, str]]) -> Profiles:
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         raise ValueError("no labelled samples")
-    labels = np.array([languages.index(lang) for lang, _ in rows])
-    codes, owner = _grams([t for _, t in rows])
-    distinct, at = np.unique(codes, return_inverse=True)
-    counts = np.bincount(labels[owner] * len(distinct) + at, minlength=len(languages) * len(distinct)).reshape(len(languages), -1)
+    seen = {}
+    for lang in languages:
+        texts = [t for x, t in rows if x == lang]
+        blocks = [np.unique(_grams(texts[i : i + 200])[0], return_counts=True) for i in range(0, len(texts), 200)]
+        every, at = np.unique(np.concatenate([c for c, _ in blocks]), return_inverse=True)
+        seen[lang] = every, np.bincount(at, np.concatenate([n for _, n in blocks]), len(every))
+    distinct = np.unique(np.concatenate([c for c, _ in seen.values()]))
+    counts = np.zeros((len(languages), len(distinct)))
+    for k, lang in enumerate(languages):
+        counts[k, np.searchsorted(distinct, seen[lang][0])] = seen[lang][1]
     weights = np.log1p(SCALE * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype("float32")
     weights -= weights.mean(axis=0)
     prototypes = np.zeros((len(languages), DIMENSIONS), "float32")
-    for i in range(0, len(distinct), 2048):
-        prototypes += weights[:, i : i + 2048] @ _gram_vectors(distinct[i : i + 2048]).astype("float32")
+    for i in range(0, len(distinct), CHUNK):
+        prototypes += weights[:, i : i + CHUNK] @ _gram_vectors(distinct[i : i + CHUNK]).astype("float32")
     return Profiles(languages, prototypes)
 
 
