@@ -27,7 +27,7 @@ SCALE = 1e5
 MOST_SAMPLES = 50_000
 MORE_SAMPLES = 3_000
 MOST_KEPT = 2_000_000
-CHUNK = 512
+CHUNK, MOST_LETTERS = 512, 10_000
 LEAST_WORDS, LEAST_CHARS, LEAST_CLOSED = 3, 6, 3
 SHARPNESS = 40.0
 #: How much likelier a sentence is in the language of most of its text than in another, before it is read.
@@ -86,8 +86,19 @@ def is_sentence(text: str) -> bool:
     return sum(any(map(str.isalpha, w)) for w in text.split()) >= LEAST_WORDS
 
 
+_letters: dict[int, np.ndarray] = {}
+
+
 def _letter_vectors(codes: np.ndarray) -> np.ndarray:
-    return np.stack([np.random.default_rng(0x9E37 + int(c)).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1 for c in codes])
+    """The random vector of each code point, always the same for one; up to ``MOST_LETTERS`` are kept per process."""
+    if len(_letters) > MOST_LETTERS:
+        _letters.clear()
+    out = np.empty((len(codes), DIMENSIONS), np.int8)
+    for row, code in enumerate(codes.tolist()):
+        if code not in _letters or len(_letters[code]) != DIMENSIONS:
+            _letters[code] = np.random.default_rng(0x9E37 + code).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
+        out[row] = _letters[code]
+    return out
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
