@@ -237,7 +237,7 @@ def existing_antijoin(spark, d):
     return new.agg(F.count("*").alias("n"), F.min("pair_key").alias("least"), F.max("pair_key").alias("greatest"))
 
 
-@query(f"WITH {REC} SELECT window_id // 5 AS window_id, pair_key, lang_idx, round(sum(utility), 6) AS utility, count(*) AS support FROM rec GROUP BY 1, 2, 3")
+@query(f"WITH {REC} SELECT (window_id // 5)::BIGINT AS window_id, pair_key, lang_idx, round(sum(utility), 6) AS utility, count(*) AS support FROM rec GROUP BY 1, 2, 3")
 def step_window_reset(spark, d):
     out = windows.step_discovery(rec(spark, d).withColumnRenamed("window_id", "step"), 5)
     return out.withColumn("utility", F.round("utility", 6))
