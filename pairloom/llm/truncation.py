@@ -37,6 +37,8 @@ SENTENCE_END = re.compile(rf"[{re.escape(CLOSERS)}]+[{re.escape(BRACKETS)}]*(?=\
 LEAST_ENDS, SENTENCE_ENDS = 0.004, 0.9
 #: A pair of which this many were seen, none of them in an open line, belongs to sentences, not to headings or captions.
 LEAST_SEEN = 60
+#: Characters before the last that tell the end of a sentence where words are not spaced.
+LONGER = 6
 INSIDE, LINE_END, SENTENCE, IN_OPEN_LINE = 0, 1, 2, 3
 START = "^"
 
@@ -58,10 +60,10 @@ def units(segment: str) -> list[str]:
     return out
 
 
-def pairs_of(parts: list[str], unspaced: bool) -> list[str]:
-    """Each unit with what stands before it: one word, or three characters."""
+def pairs_of(parts: list[str], unspaced: bool, before: int = 3) -> list[str]:
+    """Each unit with what stands before it: one word, or ``before`` characters."""
     if unspaced:
-        return ["".join(parts[max(0, i - 3) : i]) + "\t" + c for i, c in enumerate(parts)]
+        return ["".join(parts[max(0, i - before) : i]) + "\t" + c for i, c in enumerate(parts)]
     return [f"{b if b == ',0' else a}\t{b}" for a, b in zip([START, *parts], parts)]
 
 
@@ -104,7 +106,8 @@ def tail(text: str) -> dict | None:
         return None
     unspaced = bool(UNSPACED.search(last))
     pairs = pairs_of(parts, unspaced)
-    return {"own_line": len(found) == 1, "omitted": bool(m), "pair": pairs[-1], "pairs": sorted(set(pairs[:-1])) if len(found) == 1 else [], "broken": last[-1:] in ",،、，:：-（(" or text[-1:] in "  "}
+    ending = pairs_of(parts, unspaced, LONGER)[-1] if m and unspaced else pairs[-1]
+    return {"own_line": len(found) == 1, "omitted": bool(m), "pair": ending, "pairs": sorted(set(pairs[:-1])) if len(found) == 1 else [], "broken": last[-1:] in ",،、，:：-（(" or text[-1:] in "  "}
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,10 +121,16 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, line in enumerate(lines):
                 final = k == len(lines) - 1
                 for segment, closed in segments(line):
-                    grams = pairs_of(units(segment), bool(UNSPACED.search(segment)))
+                    parts, unspaced = units(segment), bool(UNSPACED.search(segment))
+                    grams = pairs_of(parts, unspaced)
                     if not grams:
                         continue
                     counts.update((g, INSIDE) for g in grams[:-1])
+                    if unspaced:  # three characters seldom tell whether a sentence is complete
+                        longer = pairs_of(parts, unspaced, LONGER)
+                        counts.update((g, INSIDE) for g, short in zip(longer[:-1], grams) if g != short)
+                        if longer[-1] != grams[-1]:
+                            counts[longer[-1], SENTENCE if closed else INSIDE] += 1
                     if closed:
                         counts[grams[-1], SENTENCE] += 1
                     elif not final:  # the last line may itself be cut: no evidence
@@ -219,7 +228,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     first_total = F.col("first_inside") + F.col("first_line_end") + F.col("first_sentence")
     ends = F.when(total >= 3, F.col("line_end") > LEAST_ENDS * total).otherwise(~F.col("goes_on") & (F.col("first_line_end") > LEAST_ENDS * first_total))
     ended = F.when(total >= 3, F.col("sentence") >= SENTENCE_ENDS * total).otherwise(F.lit(False))
-    open_end = F.when(F.col("omitted"), ~ended & (~F.col("own_line") | ~ends)).otherwise(~F.col("own_line") | F.col("broken") | F.col("begun") | ~ends)
+    open_end = F.when(F.col("omitted"), ~ended & (~F.col("own_line") | F.col("begun") | ~ends)).otherwise(~F.col("own_line") | F.col("broken") | F.col("begun") | ~ends)
     return e.where(open_end | ((F.col("at_limit") | F.col("copied")) & ~(F.col("omitted") & ended))).select("doc_id", "source")
 
 
