@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, semi_join
@@ -150,39 +150,46 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "own_line", "omitted", "broken", "pair", "pairs"])
 
 
-def strict_prefixes(values: DataFrame, value: str) -> DataFrame:
-    """Distinct values of which another value is a strict extension: (``value``, longer).
+def strict_prefixes(values: DataFrame, value: str, carry: str | None = None) -> DataFrame:
+    """Distinct values of which another value is a strict extension: (``value``, longer), and the least ``carry`` of longer.
 
     Sorted by value, the extensions of a value follow it directly, so it is enough to look at the next one. The sort is by
     ranges; the first value of each range is handed to the range before it. Null and empty values have no row.
     """
     spark = values.sparkSession
-    distinct = values.select(F.col(value).alias("v")).where("v IS NOT NULL AND v <> ''").distinct()
+    named = values.select(F.col(value).alias("v"), *([F.col(carry).alias("c")] if carry else [])).where("v IS NOT NULL AND v <> ''")
+    distinct = named.groupBy("v").agg(F.min("c").alias("c")) if carry else named.distinct().withColumn("c", F.lit(0))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialize(distinct.repartitionByRange(parts, "v").sortWithinPartitions("v").withColumn("range", F.spark_partition_id()))
-    heads = ranged.groupBy("range").agg(F.min("v").alias("head"))
+    heads = ranged.groupBy("range").agg(F.min(F.struct("v", "c")).alias("head"))
     following = heads.select("range", F.lead("head").over(Window.orderBy("range")).alias("head"))  # one row per range
-    after = F.lead("v").over(Window.partitionBy("range").orderBy("v"))
-    seen = ranged.withColumn("after", after).join(F.broadcast(following), "range", "left").select("v", F.coalesce("after", "head").alias("longer"))
-    return seen.where(F.expr("startswith(longer, v)")).select(F.col("v").alias(value), "longer")
+    after = F.lead(F.struct("v", "c")).over(Window.partitionBy("range").orderBy("v"))
+    seen = ranged.withColumn("after", after).join(F.broadcast(following), "range", "left").select("v", F.coalesce("after", "head").alias("n"))
+    found = seen.where(F.expr("startswith(n.v, v)")).select(F.col("v").alias(value), F.col("n.v").alias("longer"), F.col("n.c").alias(carry or "c"))
+    return found if carry else found.drop("c")
+
+
+def _cut(text: str) -> Column:
+    """A text without the sign of omission and the white space at its end, see ``OMISSION``."""
+    bare = F.regexp_replace(text, "(?U)" + OMISSION.pattern.removesuffix("$") + r"\z", "")
+    # most texts end otherwise, which their last two characters tell
+    return F.when(F.right(text, F.lit(2)).rlike(r"(?U)(?:\s|\.\.|…|。。|[.…][\])）])\z"), F.regexp_replace(bare, r"(?U)\s+\z", "")).otherwise(F.col(text))
 
 
 def prefix_copies(docs: DataFrame, least: int = 200) -> DataFrame:
     """Documents whose text, of at least ``least`` characters, is a strict prefix of a longer text: (doc_id, longer_doc_id).
 
-    Omission signs and white space at the end are left off before comparing. ``longer_doc_id`` is the smallest id among
-    the copies of the next text in order. Hashes of the first ``least`` characters tell which texts can be prefixes of
-    one another at all; only these are sorted. Null and shorter texts have no row: what they share may be chance.
+    Omission signs and white space at the end are left off all texts before comparing, so that the next text in order is a
+    real continuation. ``longer_doc_id`` is the smallest id among the copies of that text. Hashes of the first ``least``
+    characters tell which texts can be prefixes of one another at all; only these are sorted. Null and shorter texts have
+    no row.
     """
-    cut = F.regexp_replace("text", r"[\s.…]+$", "")
-    keyed = docs.select("doc_id", "text", cut.alias("cut")).where(F.length("cut") >= least)
+    keyed = docs.select("doc_id", _cut("text").alias("cut")).where(F.length("cut") >= least)
     keyed = keyed.withColumn("h", F.xxhash64(F.left("cut", F.lit(least))))
-    shared = keyed.groupBy("h").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("h")
+    shared = keyed.groupBy("h").agg(F.min(F.xxhash64("cut")).alias("a"), F.max(F.xxhash64("cut")).alias("b")).where("a <> b").select("h")
     keyed = materialize(semi_join(keyed, materialize(shared), ["h"]))
-    found = strict_prefixes(keyed.select(F.col("cut").alias("v")).unionByName(keyed.select(F.col("text").alias("v"))), "v")
-    hits = keyed.select("doc_id", F.col("cut").alias("v"), "text").join(found, "v").where(F.length("longer") > F.length("text"))
-    whole = keyed.select("doc_id", F.col("text").alias("longer")).unionByName(keyed.select("doc_id", F.col("cut").alias("longer")))
-    return hits.select("doc_id", "longer").join(whole.groupBy("longer").agg(F.min("doc_id").alias("longer_doc_id")), "longer").select("doc_id", "longer_doc_id")
+    found = strict_prefixes(keyed.select("cut", F.col("doc_id").alias("longer_doc_id")), "cut", "longer_doc_id")
+    return keyed.select("doc_id", "cut").join(found, "cut").select("doc_id", "longer_doc_id")
 
 
 def tail_evidence(docs: DataFrame) -> DataFrame:

@@ -351,3 +351,10 @@ def test_prefix_copies(spark):
     long = "One sentence after the other, and each of them ends. " * 8
     df = documents(spark, [long, long[:250], long[:250] + "…", long[:100], "x" * 70_000, "x" * 300, None, long])
     assert rows(truncation.prefix_copies(df)) == [(1, 0), (2, 0), (5, 4)]
+
+
+@pytest.mark.parametrize("sign", ["", "…", "...", " ...", " [...]", " […]", " "])
+def test_prefix_copies_look_past_omission_signs(spark, sign):
+    whole = "One sentence after the other, and each of them ends. " * 4 + "Then he walked home"
+    df = documents(spark, [whole + " and slept.", whole[:-8] + sign, whole + sign, "Another text. " * 20, "Another text. " * 20 + "..."])
+    assert rows(truncation.prefix_copies(df)) == [(1, 2), (2, 0)]
