@@ -113,7 +113,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_prefix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.prefix_copies(read(spark, sf_dir, "documents"))
+    return truncation.copies(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {

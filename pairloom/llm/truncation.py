@@ -39,6 +39,13 @@ LEAST_ENDS, SENTENCE_ENDS = 0.004, 0.9
 LEAST_SEEN = 60
 #: Characters before the last that tell the end of a sentence where words are not spaced.
 LONGER = 6
+#: Texts below this many characters share a beginning with others by chance, so what the longer text goes on with decides.
+SHORT = 200
+#: Stands before what ends a line, clause or sentence, so that in order this comes after all that goes on.
+MARK = "\U000F0000"
+JOINING = "'’\\-‐‑"
+#: Signs and line breaks; commas, spaces, hyphens and apostrophes only where no word follows.
+ENDING = rf"[^\p{{L}}\p{{M}}\p{{N}}\s{''.join(sorted(COMMAS))}{JOINING}]|[\r\n]|[{''.join(sorted(COMMAS))}](?!\s*[\p{{L}}\p{{M}}])|[^\S\r\n](?![^\S\r\n]*[\p{{L}}\p{{M}}])|[{JOINING}](?![\p{{L}}\p{{M}}\p{{N}}])"
 INSIDE, LINE_END, SENTENCE, IN_OPEN_LINE = 0, 1, 2, 3
 START = "^"
 
@@ -182,7 +189,7 @@ def prefix_copies(docs: DataFrame, least: int = 200) -> DataFrame:
     Omission signs and white space at the end are left off all texts before comparing, so that the next text in order is a
     real continuation. ``longer_doc_id`` is the smallest id among the copies of that text. Hashes of the first ``least``
     characters tell which texts can be prefixes of one another at all; only these are sorted. Null and shorter texts have
-    no row.
+    no row; for these see ``short_copies``.
     """
     keyed = docs.select("doc_id", _cut("text").alias("cut")).where(F.length("cut") >= least)
     keyed = keyed.withColumn("h", F.xxhash64(F.left("cut", F.lit(least))))
@@ -192,6 +199,39 @@ def prefix_copies(docs: DataFrame, least: int = 200) -> DataFrame:
     return keyed.select("doc_id", "cut").join(found, "cut").select("doc_id", "longer_doc_id")
 
 
+def short_copies(docs: DataFrame, below: int = SHORT) -> DataFrame:
+    """Documents whose text, of fewer than ``below`` characters, breaks off where a longer one goes on: (doc_id, longer_doc_id).
+
+    The text has a letter and does not close its last sentence, and a longer text goes on inside its last word or with
+    another word. A heading or caption that a longer text follows with a new line, a number or a sign is complete, and so
+    is one that goes on in one text and ends in another. The beginnings of all texts are sorted; ``MARK`` puts what goes
+    on before what ends. ``longer_doc_id`` is the smallest id among the texts that go on as the next one in order.
+    """
+    head = F.regexp_replace(F.left("cut", F.lit(below + 16)), "(?U)" + ENDING, MARK + "$0")
+    keyed = docs.select("doc_id", _cut("text").alias("cut")).where("cut <> ''").select("doc_id", "cut", head.alias("v"))
+    closed = rf"[{re.escape(CLOSERS)}]+[{re.escape(BRACKETS)}]*\z"
+    cut = keyed.where((F.length("cut") < below) & F.col("cut").rlike(r"\p{L}") & ~F.col("cut").rlike(closed))
+    cut = materialize(cut.select("doc_id", "v"))
+    ended = rf"{MARK}[{''.join(sorted(COMMAS))}{JOINING}]\z"
+    loose = F.col("v").rlike(ended)  # whatever follows a comma or hyphen at the end goes on from it
+    found = strict_prefixes(keyed.select("doc_id", "v"), "v", "doc_id").withColumnRenamed("doc_id", "longer_doc_id")
+    found = found.where(loose | ~F.startswith(F.expr("substring(longer, length(v) + 1)"), F.lit(MARK)))
+    parts = F.split(F.regexp_replace("v", ended, ""), MARK)
+    whole = keyed.where(F.size(parts) > 1).select(parts[0].alias("v")).distinct()
+    hits = cut.join(found, "v").join(whole, "v", "left_anti").select("doc_id", "longer_doc_id")
+    # the same comma or hyphen bears no mark in texts where a word follows it
+    plain = cut.where(loose).select("doc_id", F.concat(F.expr("left(v, length(v) - 2)"), F.right("v", F.lit(1))).alias("v"))
+    if not plain.isEmpty():
+        found = strict_prefixes(keyed.select("doc_id", "v").unionByName(plain), "v", "doc_id").withColumnRenamed("doc_id", "longer_doc_id")
+        hits = hits.unionByName(plain.join(found, "v").select("doc_id", "longer_doc_id"))
+    return hits.groupBy("doc_id").agg(F.min("longer_doc_id").alias("longer_doc_id"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """Documents of any length whose text breaks off where a longer one goes on: (doc_id, longer_doc_id)."""
+    return prefix_copies(docs, SHORT).unionByName(short_copies(docs, SHORT))
+
+
 def tail_evidence(docs: DataFrame) -> DataFrame:
     """Documents with an open end and what the corpus says of it, see ``truncated``."""
     texts = docs.select("doc_id", "source", "text").where("text IS NOT NULL")
@@ -230,7 +270,7 @@ def truncated(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are no cases; a doc_id that occurs twice has a row for each.
     """
-    e = tail_evidence(docs).join(prefix_copies(docs).select("doc_id", F.lit(True).alias("copied")).distinct(), "doc_id", "left").na.fill(False, ["copied"])
+    e = tail_evidence(docs).join(copies(docs).select("doc_id", F.lit(True).alias("copied")).distinct(), "doc_id", "left").na.fill(False, ["copied"])
     total = F.col("inside") + F.col("line_end") + F.col("sentence")
     first_total = F.col("first_inside") + F.col("first_line_end") + F.col("first_sentence")
     ends = F.when(total >= 3, F.col("line_end") > LEAST_ENDS * total).otherwise(~F.col("goes_on") & (F.col("first_line_end") > LEAST_ENDS * first_total))

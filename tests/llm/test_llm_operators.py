@@ -358,3 +358,19 @@ def test_prefix_copies_look_past_omission_signs(spark, sign):
     whole = "One sentence after the other, and each of them ends. " * 4 + "Then he walked home"
     df = documents(spark, [whole + " and slept.", whole[:-8] + sign, whole + sign, "Another text. " * 20, "Another text. " * 20 + "..."])
     assert rows(truncation.prefix_copies(df)) == [(1, 2), (2, 0)]
+
+
+def test_copies_of_short_texts(spark):
+    whole = ["He walked home and slept.", "The old librarian, who sold it, left.", "A well-known tourist came.", "The red sail\nIt was cleaned.", "The red sail (1970)", "Town hall, 1990", "Did it rain? Nobody knew.", "The bus driver", "The bus driver sold it.", "The bus driver\nHe sold it."]
+    cut = ["He wal", "He walked...", "The old librarian", "The old librarian,", "A well-"]
+    complete = ["The red sail", "Town hall", "Did it rain?", "***", "", None]
+    df = documents(spark, whole + cut + complete)
+    assert rows(truncation.copies(df), "doc_id") == [(i,) for i in range(len(whole), len(whole) + len(cut))]
+    assert rows(truncation.copies(df).where("doc_id = 11")) == [(11, 0)]
+    assert rows(truncation.prefix_copies(df)) == []
+
+
+def test_short_cut_text_with_a_copy_is_found(spark):
+    lines = ["The old librarian\nAlways there", "Seen by the old librarian\nAlways there"] * 3
+    df = documents(spark, [*lines, "Yesterday came the old librarian", "Yesterday came the old librarian with keys and left."])
+    assert 6 in {r[0] for r in rows(truncation.truncated(df), "doc_id")}
