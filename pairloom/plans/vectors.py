@@ -294,7 +294,8 @@ def sif_weights(spark, d):
 
 @query()
 def pca_init(spark, d):
-    out = init_table.initial_table(emb(spark, d), DIMS, 16)
+    whole = read(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
+    out = init_table.initial_table(whole, DIMS, 16)
     return out.select("token_id", *[F.round(F.abs(F.col("vec")[i]), 5).alias(f"v{i}") for i in (0, 15)])
 
 

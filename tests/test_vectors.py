@@ -242,3 +242,15 @@ def test_files(spark, tmp_path):
         strict(DiscoverySettings, {"budgets": 3})
     with pytest.raises(ValueError):
         DiscoverySettings(budget=10, candidate_capacity=5)
+
+
+def test_pca_init_has_every_vector(spark, tmp_path):
+    from pairloom.plans.vectors import pca_init
+
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(700)], "vec_id long, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = pca_init(spark, str(tmp_path))
+    want = init_table.initial_table(vectors.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec")), 64, 16)
+    want = want.select("token_id", *[F.round(F.abs(F.col("vec")[i]), 5).alias(f"v{i}") for i in (0, 15)])
+    assert got.count() == 700 and rows(got) == rows(want)
