@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +138,26 @@ def adjacent(tokens: DataFrame) -> DataFrame:
     return tokens.select(*SENT, "pos", F.col("token_id").alias("left"), after.alias("right")).where("right IS NOT NULL")
 
 
-def route(pairs: DataFrame, base: int, exact: DataFrame | None = None, hashed: DataFrame | None = None, buckets: int = 0) -> DataFrame:
+def edge_codes(emb: DataFrame, left, right, weight) -> DataFrame:
+    """(token_id, left_code, right_code) of projections of ``rank`` rows: ``tanh(left e)``, and ``tanh(right e) weight / sqrt(rank)``."""
+    left, right, scale = np.asarray(left, float), np.asarray(right, float), np.asarray(weight, float) / np.sqrt(len(weight))
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b["vec"].tolist(), float).reshape(len(b), left.shape[1])
+            yield pd.DataFrame({"token_id": b["token_id"], "left_code": list(np.tanh(x @ left.T)), "right_code": list(np.tanh(x @ right.T) * scale)})
+
+    return emb.select("token_id", "vec").mapInPandas(run, f"token_id {dict(emb.dtypes)['token_id']}, left_code array<double>, right_code array<double>")
+
+
+def route(pairs: DataFrame, base: int, exact: DataFrame | None = None, hashed: DataFrame | None = None, buckets: int = 0, codes: DataFrame | None = None) -> DataFrame:
     """Pairs with the ``score`` and ``m`` (vector) of their row: the exact table (pair_key, score, m) first, the hashed one
-    (bucket, score, m) for those it lacks. A pair with neither is dropped: it is a boundary."""
-    keyed = pairs.withColumn("pair_key", pair_key("left", "right", base))
+    (bucket, score, m) for those it lacks. A pair with neither is dropped: it is a boundary. With ``codes``, see
+    ``edge_codes``, the product of the two tokens' codes is added to the score; a token without a vector has none."""
+    keyed = pairs.withColumn("pair_key", pair_key("left", "right", base)).withColumn("_edge", F.lit(0.0))
+    if codes is not None:  # before the rows' vectors are joined, which are wide
+        side = lambda name: codes.select(F.col("token_id").alias(name), F.col(f"{name}_code").alias(f"_{name}"))
+        keyed = keyed.join(side("left"), "left").join(side("right"), "right").withColumn("_edge", dot("_left", "_right")).drop("_left", "_right")
     if exact is not None:
         keyed = keyed.join(exact.select("pair_key", F.col("score").alias("_xs"), F.col("m").alias("_xm")), "pair_key", "left")
     else:
@@ -148,17 +166,17 @@ def route(pairs: DataFrame, base: int, exact: DataFrame | None = None, hashed: D
         miss = F.when(F.col("_xs").isNull(), pair_hash("left", "right", buckets))
         keyed = keyed.withColumn("bucket", miss).join(hashed.select("bucket", F.col("score").alias("_hs"), F.col("m").alias("_hm")), "bucket", "left")
         keyed = keyed.withColumn("_xs", F.coalesce("_xs", "_hs")).withColumn("_xm", F.coalesce(F.col("_xm").cast("array<double>"), F.col("_hm").cast("array<double>")))
-    return keyed.where("_xs IS NOT NULL").select(*SENT, "pos", "pair_key", F.col("_xs").alias("score"), F.col("_xm").alias("m"))
+    return keyed.where("_xs IS NOT NULL").select(*SENT, "pos", "pair_key", (F.col("_xs") + F.col("_edge")).alias("score"), F.col("_xm").alias("m"))
 
 
-def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int = 0, bias: DataFrame | None = None, shared_bias: float | None = None, hard: Callable | None = None, **_) -> DataFrame:
+def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int = 0, bias: DataFrame | None = None, shared_bias: float | None = None, hard: Callable | None = None, codes: DataFrame | None = None, **_) -> DataFrame:
     """``N / D``: tokens count 1 less half of what the pairs they are in take, pairs count their gate; ``D`` is tokens less gates.
 
     The gate is the sigmoid of the pair's score and the language's bias, or ``shared_bias``. One pass adds token and pair
     rows of a sentence: a pair's gate p takes p/2 of both its tokens' vectors and gives p of its own. With ``hard``, which
     sets gates of 0 and 1 that share no token, a pair replaces its tokens.
     """
-    routed = route(adjacent(tokens), base, exact, hashed, buckets)
+    routed = route(adjacent(tokens), base, exact, hashed, buckets, codes)
     if bias is not None and shared_bias is None:
         routed = routed.join(bias, "lang_idx", "left").withColumn("score", F.col("score") + F.coalesce("bias", F.lit(0.0)))
     elif shared_bias is not None:
@@ -187,11 +205,19 @@ def _map_pairs(routed: DataFrame) -> DataFrame:
 
 
 def collapse_online(tokens, emb, dims, **more) -> DataFrame:
-    """Pairs of the best matching replace their tokens; vectors of length 1."""
+    """Pairs of the best matching replace their tokens; vectors of length 1.
+
+    With ``hashed`` and ``codes``, every pair has a score: of its bucket, its language and the low-rank product of its tokens.
+    """
     out = collapse(tokens, emb, dims, hard=_map_pairs, **more)
     return out.select(*SENT, l2_normalize("h").alias("h"))
 
 
+def collapse_online_compiled(tokens, emb, dims, exact, **more) -> DataFrame:
+    """The same from compiled pairs: only those of the exact table have a score, the others are boundaries."""
+    return collapse_online(tokens, emb, dims, exact=exact, **{k: v for k, v in more.items() if k not in ("hashed", "buckets", "codes")})
+
+
 def collapse_reclaimed(tokens, emb, dims, rules, **more) -> DataFrame:
     """Reclaimed tokens (token_id, left, right) are taken apart first, and places closed up."""
     parts = tokens.join(rules.select("token_id", F.col("left").alias("_l"), F.col("right").alias("_r")), "token_id", "left")
@@ -215,7 +241,7 @@ MODES: dict[str, Callable[..., DataFrame]] = {
     "hard": lambda *a, **k: senses(*a, hard=True, **k), "gate": gate, "gate_senses": gate_senses, "split": split,
     "ngram": ngram, "ngram3": lambda *a, **k: ngram(*a, orders=(2, 3), **k), "wordpool": wordpool, "ngram_gate": ngram, "fuse": fuse, "vocabmoe": vocabmoe,
     "collapse": collapse, "collapse_shared": collapse, "collapse_dynamic": collapse, "collapse_reclaimed": collapse_reclaimed,
-    "collapse_online": collapse_online, "collapse_online_compiled": collapse_online, "collapse_recursive": collapse_recursive, "idfpool": idfpool,
+    "collapse_online": collapse_online, "collapse_online_compiled": collapse_online_compiled, "collapse_recursive": collapse_recursive, "idfpool": idfpool,
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -150,15 +151,22 @@ def collapse_pool(spark, d):
     return _few(pooling.pool("collapse", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), bias=_bias(spark)))
 
 
+def _hashed(spark, d):
+    return emb(spark, d).where(F.col("token_id") < BUCKETS).select(F.col("token_id").alias("bucket"), ((F.col("token_id") % 5 - 2) * 0.4).alias("score"), F.col("vec").alias("m"))
+
+
 @query(_collapse_sql(_HIT + " UNION ALL SELECT sent_id, lang_idx, pos, (k % 5 - 2) * 0.4, k FROM (SELECT *, abs(a * 2654435761 + b * 40503) % 128 AS k FROM g WHERE b IS NOT NULL AND (a * 31 + b) % 3 <> 0)"))
 def collapse_two_tier(spark, d):
-    hashed = emb(spark, d).where(F.col("token_id") < BUCKETS).select(F.col("token_id").alias("bucket"), ((F.col("token_id") % 5 - 2) * 0.4).alias("score"), F.col("vec").alias("m"))
-    return _few(pooling.pool("collapse_dynamic", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), hashed=hashed, buckets=BUCKETS, bias=_bias(spark)))
+    return _few(pooling.pool("collapse_dynamic", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
 
 
 @query()
 def collapse_online(spark, d):
-    return _few(pooling.pool("collapse_online", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), bias=_bias(spark)))
+    """Every pair has a score; projections and weights of rank 32 are drawn with a fixed seed, in the bounds of their first values."""
+    rng, rank = np.random.default_rng(7), 32
+    left, right = rng.uniform(-1, 1, (2, rank, DIMS)) * np.sqrt(6 / (rank + DIMS))
+    codes = pooling.edge_codes(emb(spark, d), left, right, rng.normal(size=rank))
+    return _few(pooling.pool("collapse_online", tok(spark, d), emb(spark, d), DIMS, base=BASE, hashed=_hashed(spark, d), buckets=BUCKETS, codes=codes, bias=_bias(spark)))
 
 
 def _edges(spark, d):

@@ -254,3 +254,21 @@ def test_pca_init_has_every_vector(spark, tmp_path):
     want = init_table.initial_table(vectors.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec")), 64, 16)
     want = want.select("token_id", *[F.round(F.abs(F.col("vec")[i]), 5).alias(f"v{i}") for i in (0, 15)])
     assert got.count() == 700 and rows(got) == rows(want)
+
+
+def test_online_scores_every_pair(spark):
+    toks, emb = token_rows(spark, [[1, 2, 3]]), table(spark, {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [1.0, 1.0]})
+    left, right, weight = [[1.0, 0.0], [0.5, 0.5]], [[0.0, 1.0], [1.0, -1.0]], [2.0, 1.0]
+    codes = pooling.edge_codes(emb, left, right, weight)
+    hashed = spark.createDataFrame([(0, 0.25, [3.0, 4.0])], "bucket long, score double, m array<double>")
+    bias = spark.createDataFrame([(0, 0.5)], "lang_idx int, bias double")
+    e = {1: np.array([1.0, 0.0]), 2: np.array([0.0, 1.0]), 3: np.array([1.0, 1.0])}
+    score = lambda a, b: 0.25 + (np.tanh(np.array(left) @ e[a]) * np.tanh(np.array(right) @ e[b]) * weight).sum() / math.sqrt(2)
+    routed = pooling.route(pooling.adjacent(toks), 10, hashed=hashed, buckets=1, codes=codes)
+    assert dict(rows(routed, "pos", "score")) == pytest.approx({0: score(1, 2), 1: score(2, 3)})
+    want = (np.array([3.0, 4.0]) + (e[3] if score(1, 2) > score(2, 3) else e[1])) / 2
+    online = dict(base=10, hashed=hashed, buckets=1, codes=codes, bias=bias)
+    assert rows(pooling.pool("collapse_online", toks, emb, 2, **online))[0][2] == pytest.approx(list(want / np.linalg.norm(want)))
+    exact = spark.createDataFrame([(23, -1.0, [9.0, 9.0])], "pair_key long, score double, m array<double>")
+    mean = np.array([2.0, 2.0]) / math.sqrt(8)
+    assert rows(pooling.pool("collapse_online_compiled", toks, emb, 2, exact=exact, **online))[0][2] == pytest.approx(list(mean))
