@@ -15,6 +15,16 @@ def words(text) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit("[a-z]+"), F.lit(0))
 
 
+#: Scripts without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def all_words(text) -> Column:
+    """Words of every script, in lower case: letters with their marks, and single letters where words are not spaced."""
+    pattern = rf"[\p{{L}}&&[{UNSPACED}]]\p{{M}}*|(?:[\p{{L}}\p{{M}}&&[^{UNSPACED}]])+"
+    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(pattern), F.lit(0))
+
+
 def positions(df: DataFrame, tokens: str, *keep: str) -> DataFrame:
     """Long form of an array column: (``keep``..., pos, token). Null and empty arrays have no row."""
     return df.select(*keep, F.posexplode(tokens).alias("pos", "token"))

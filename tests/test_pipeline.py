@@ -47,3 +47,13 @@ def test_compare(spark, tmp_path, capsys):
         (tmp_path / name / "T.json").write_text(json.dumps({"scores": {"test": [{"hf_subset": "x", "languages": ["eng"], "main_score": score}]}}))
     cli.main(["compare", str(tmp_path / "a"), str(tmp_path / "b"), "--resamples", "50"])
     assert abs(json.loads(capsys.readouterr().out.strip().splitlines()[-1])["mean"] - 20) < 1e-9
+
+
+def test_corpus_pairs_of_every_script(spark):
+    from pairloom.plans import pipeline
+
+    texts = spark.createDataFrame([("rus", "Старый мост"), ("pol", "żółty most"), ("cmn", "长报告"), ("hin", "पुराना पुल"), ("eng", "Old bridge")], "lang string, text string")
+    pieces = ["старый", "мост", "żółty", "most", "长", "报", "告", "पुराना", "पुल", "old", "bridge"]
+    vocab = spark.createDataFrame(list(enumerate(pieces)), "token_id int, piece string")
+    got = {(r["pair_key"], r["lang"], r["n"]) for r in pipeline.corpus_pairs(texts, vocab, 100).collect()}
+    assert got == {(1, "rus", 1), (203, "pol", 1), (405, "cmn", 1), (506, "cmn", 1), (708, "hin", 1), (910, "eng", 1)}
