@@ -104,23 +104,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(read(spark, sf_dir, "documents")).select("doc_id")
+    return truncation.judged(read(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with what gave each away."""
+    return truncation.judged(read(spark, sf_dir, "documents"))
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return truncation.truncation_rates(docs, truncation.truncated(docs))
+    return truncation.truncation_rates(docs, truncation.judged(docs))
 
 
 def p8_prefix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.copies(read(spark, sf_dir, "documents"))
+    return truncation.prefix_links(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_top_support, p2_found, p2_leaks_by_source, p3_token_totals, p3_document_tokens, p4_found, p4_canonical, p5_found, p5_languages, p5_segments,
-        p6_containers, p6_fill_rates, p7_mixture, p7_shares, p8_found, p8_rates, p8_prefix_copies,
+        p6_containers, p6_fill_rates, p7_mixture, p7_shares, p8_found, p8_routes, p8_rates, p8_prefix_copies,
     )
 }
 
@@ -132,11 +137,11 @@ ORACLES: dict[str, str] = {
     "p1_found": f"SELECT pair_key FROM ({_TOP})",
     "p1_top_support": f"SELECT pair_key, support, true AS bounded FROM ({_TOP})",
     "p8_prefix_copies": r"""
-        WITH k AS (SELECT doc_id, text, regexp_replace(text, '[\s.…]+$', '') AS cut FROM documents),
-        f AS (SELECT * FROM k WHERE length(cut) >= 200),
-        v AS (SELECT text AS v, doc_id FROM f UNION SELECT cut, doc_id FROM f),
-        n AS (SELECT v, min(doc_id) AS d FROM v GROUP BY v),
-        h AS (SELECT f.doc_id, f.text, min(n.v) AS longer FROM f JOIN n ON left(n.v, 200) = left(f.cut, 200) AND n.v > f.cut GROUP BY f.doc_id, f.text, f.cut
-              HAVING starts_with(min(n.v), f.cut) AND length(min(n.v)) > length(f.text))
-        SELECT h.doc_id, n.d AS longer_doc_id FROM h JOIN n ON n.v = h.longer""",
+        WITH k AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\s\[(（]*(\.{2,}|…+|。{2,}|[\[(（](\.{2,}|…)[\])）])\s*$', ''), '\s+$', '') AS cut FROM documents),
+        c AS (SELECT doc_id, cut FROM k WHERE regexp_matches(cut, '\p{L}') AND NOT regexp_matches(cut, '[.!?。！？؟।॥;；…]+["''»”’)\]）」』】》]*$')),
+        l AS (SELECT c.doc_id, k.doc_id AS longer, right(c.cut, 1) AS last, substr(k.cut, length(c.cut) + 1, 64) AS after FROM c JOIN k ON starts_with(k.cut, c.cut) AND length(k.cut) > length(c.cut)),
+        w AS (SELECT *, regexp_matches(last, '[\p{L}\p{M}\p{N}]') AND regexp_matches(after, '^[''’\-‐‑]?[\p{L}\p{M}\p{N}]') AS word FROM l),
+        s AS (SELECT *, NOT word AND (regexp_matches(last, '[,،、，''’\-‐‑(（\[]') OR regexp_matches(after, '^[^\S\r\n]*[,،、，]?[^\S\r\n]+[\p{L}\p{M}]')) AS sentence FROM w)
+        SELECT doc_id, count(*) FILTER (word) AS n_word, count(*) FILTER (sentence) AS n_sentence, count(*) FILTER (NOT word AND NOT sentence) AS n_end,
+        coalesce(min(longer) FILTER (word OR sentence), min(longer)) AS longer_doc_id FROM s GROUP BY doc_id""",
 }

@@ -1,10 +1,11 @@
-"""Text cut off by field limits (problem 8): self-joins by prefix.
-
-A text that was cut is a strict prefix of a longer copy, if the corpus has one. Few cut texts have a whole copy, so the
-same join also runs on *tails*: the last two words of a text that does not close its last sentence are compared with the
-word pairs of all texts. The values are sorted; everything that starts with a value follows it at once in that order, so
-one pass over neighbours finds both the copies of a tail that go on (the tail is a strict prefix of a longer pair, or is
-followed by more words) and those at which other texts, within a line, come to an end.
+"""Text cut off by field limits (problem 8): self-joins by hashed prefixes.
+
+A text that was cut is a strict prefix of a longer copy, if the corpus has one: ``prefix_copies`` finds these for texts of
+any length. Prefixes are hashed at a ladder of fixed lengths; a text meets only those texts that share its highest rung,
+then is compared at its own length. Few cut texts have a whole copy, so ``truncated`` also compares *tails*: the last two
+words of a text that does not close its last sentence are looked up among the word pairs of all texts, again by hashed
+prefixes (does a longer pair go on from it, and do other lines or sentences end with it). ``judged`` names the route by
+which each document is found.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,19 +37,27 @@ SENTENCE_END = re.compile(rf"[{re.escape(CLOSERS)}]+[{re.escape(BRACKETS)}]*(?=\
 
 #: Shares of a pair's occurrences from which it is taken to be able to end a line, and to end sentences only.
 LEAST_ENDS, SENTENCE_ENDS = 0.004, 0.9
-#: A pair of which this many were seen, none of them in an open line, belongs to sentences, not to headings or captions.
-LEAST_SEEN = 60
+#: A pair belongs to sentences, not to headings or captions, if its share in open lines is at most ``STRAY``, and at most
+#: ``MOST_OPEN`` by its upper bound.
+STRAY, MOST_OPEN, Z_OPEN = 0.001, 0.06, 1.96
+#: A length is a field's limit if by its lower bound more texts of the source have it than the lengths around it together.
+LIMIT_SHARE, Z_LIMIT = 0.5, 2.8
 #: Characters before the last that tell the end of a sentence where words are not spaced.
 LONGER = 6
-#: Texts below this many characters share a beginning with others by chance, so what the longer text goes on with decides.
-SHORT = 200
-#: Stands before what ends a line, clause or sentence, so that in order this comes after all that goes on.
-MARK = "\U000F0000"
 JOINING = "'’\\-‐‑"
-#: Signs and line breaks; commas, spaces, hyphens and apostrophes only where no word follows.
-ENDING = rf"[^\p{{L}}\p{{M}}\p{{N}}\s{''.join(sorted(COMMAS))}{JOINING}]|[\r\n]|[{''.join(sorted(COMMAS))}](?!\s*[\p{{L}}\p{{M}}])|[^\S\r\n](?![^\S\r\n]*[\p{{L}}\p{{M}}])|[{JOINING}](?![\p{{L}}\p{{M}}\p{{N}}])"
-INSIDE, LINE_END, SENTENCE, IN_OPEN_LINE = 0, 1, 2, 3
+#: Lengths at which prefixes are hashed, each about half as long again as the one before.
+RUNGS = tuple(sorted({n for k in range(18) for n in (1 << k, 3 << k >> 1)}))
+#: Counted n-grams of a task are passed on from this many on, so that its memory is bounded.
+MOST_COUNTED = 400_000
+#: A pair seen less often is judged by its first word.
+LEAST_TOTAL = 3
 START = "^"
+COUNTED = ("inside", "line_end", "sentence", "in_open_line")
+
+
+@lru_cache(1 << 16)
+def _bare(word: str) -> str:
+    return word.strip(EDGES)
 
 
 def units(segment: str) -> list[str]:
@@ -59,19 +69,24 @@ def units(segment: str) -> list[str]:
     if UNSPACED.search(segment):
         return [c for c in segment if not c.isspace()]
     raw = segment.split()
+    out = [w for w in map(_bare, raw) if w]
+    if "0" not in out:
+        return out
     out = []
     for before, word in zip(["", *raw], raw):
-        bare = word.strip(EDGES)
+        bare = _bare(word)
         if bare:
             out.append(",0" if bare == "0" and before[-1:] in COMMAS and word[-1:] == "0" else bare)
     return out
 
 
-def pairs_of(parts: list[str], unspaced: bool, before: int = 3) -> list[str]:
+def pairs_of(parts: list[str], unspaced: bool, before: int = 3) -> list[tuple[str, str]]:
     """Each unit with what stands before it: one word, or ``before`` characters."""
     if unspaced:
-        return ["".join(parts[max(0, i - before) : i]) + "\t" + c for i, c in enumerate(parts)]
-    return [f"{b if b == ',0' else a}\t{b}" for a, b in zip([START, *parts], parts)]
+        return [("".join(parts[max(0, i - before) : i]), c) for i, c in enumerate(parts)]
+    if ",0" in parts:
+        return [(b if b == ",0" else a, b) for a, b in zip([START, *parts], parts)]
+    return list(zip([START, *parts], parts))
 
 
 def segments(line: str) -> list[tuple[str, bool]]:
@@ -117,34 +132,54 @@ def tail(text: str) -> dict | None:
     return {"own_line": len(found) == 1, "omitted": bool(m), "pair": ending, "pairs": sorted(set(pairs[:-1])) if len(found) == 1 else [], "broken": last[-1:] in ",،、，:：-（(" or text[-1:] in "  "}
 
 
+class _Counts:
+    """Word pairs with how often each stands inside a segment, ends a line, ends a sentence, and stands in an open line."""
+
+    def __init__(self):
+        self.kinds = [Counter() for _ in range(4)]
+
+    def add(self, text: str) -> None:
+        inside, line_end, sentence, in_open = self.kinds
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            final = k == len(lines) - 1
+            for segment, closed in segments(line):
+                parts, unspaced = units(segment), UNSPACED.search(segment) is not None
+                if not parts:
+                    continue
+                grams = pairs_of(parts, unspaced)
+                inside.update(grams[:-1])
+                if unspaced:  # three characters seldom tell whether a sentence is complete
+                    longer = pairs_of(parts, unspaced, LONGER)
+                    inside.update(g for g, short in zip(longer[:-1], grams) if g != short)
+                    if longer[-1] != grams[-1]:
+                        (sentence if closed else inside)[longer[-1]] += 1
+                if closed:
+                    sentence[grams[-1]] += 1
+                elif not final:  # the last line may itself be cut: no evidence
+                    line_end[grams[-1]] += 1
+                    in_open.update(grams)
+
+    def __len__(self):
+        return len(self.kinds[0])
+
+    def frame(self) -> pd.DataFrame:
+        pairs = list(set().union(*self.kinds))
+        made = {"first": [a for a, _ in pairs], "second": [b for _, b in pairs]}
+        made |= {c: [k[p] for p in pairs] for c, k in zip(COUNTED, self.kinds)}
+        self.kinds = [Counter() for _ in range(4)]
+        return pd.DataFrame(made)
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word pairs of all texts with how often each stands inside a segment, ends a line, ends a sentence."""
     for batch in batches:
-        counts: Counter = Counter()
+        counts = _Counts()
         for text in batch["text"]:
-            if not text:
-                continue
-            lines = text.split("\n")
-            for k, line in enumerate(lines):
-                final = k == len(lines) - 1
-                for segment, closed in segments(line):
-                    parts, unspaced = units(segment), bool(UNSPACED.search(segment))
-                    grams = pairs_of(parts, unspaced)
-                    if not grams:
-                        continue
-                    counts.update((g, INSIDE) for g in grams[:-1])
-                    if unspaced:  # three characters seldom tell whether a sentence is complete
-                        longer = pairs_of(parts, unspaced, LONGER)
-                        counts.update((g, INSIDE) for g, short in zip(longer[:-1], grams) if g != short)
-                        if longer[-1] != grams[-1]:
-                            counts[longer[-1], SENTENCE if closed else INSIDE] += 1
-                    if closed:
-                        counts[grams[-1], SENTENCE] += 1
-                    elif not final:  # the last line may itself be cut: no evidence
-                        counts[grams[-1], LINE_END] += 1
-                        counts.update((g, IN_OPEN_LINE) for g in grams)
-        rows = [(g, k, n) for (g, k), n in counts.items()]
-        yield pd.DataFrame(rows, columns=["pair", "kind", "n"])
+            if text:
+                counts.add(text)
+                if len(counts) > MOST_COUNTED:
+                    yield counts.frame()
+        yield counts.frame()
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,27 +188,8 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
             found = tail(text) if text else None
             if found:
-                rows.append((doc, source, len(text), found["own_line"], found["omitted"], found["broken"], found["pair"], found["pairs"]))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "own_line", "omitted", "broken", "pair", "pairs"])
-
-
-def strict_prefixes(values: DataFrame, value: str, carry: str | None = None) -> DataFrame:
-    """Distinct values of which another value is a strict extension: (``value``, longer), and the least ``carry`` of longer.
-
-    Sorted by value, the extensions of a value follow it directly, so it is enough to look at the next one. The sort is by
-    ranges; the first value of each range is handed to the range before it. Null and empty values have no row.
-    """
-    spark = values.sparkSession
-    named = values.select(F.col(value).alias("v"), *([F.col(carry).alias("c")] if carry else [])).where("v IS NOT NULL AND v <> ''")
-    distinct = named.groupBy("v").agg(F.min("c").alias("c")) if carry else named.distinct().withColumn("c", F.lit(0))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialize(distinct.repartitionByRange(parts, "v").sortWithinPartitions("v").withColumn("range", F.spark_partition_id()))
-    heads = ranged.groupBy("range").agg(F.min(F.struct("v", "c")).alias("head"))
-    following = heads.select("range", F.lead("head").over(Window.orderBy("range")).alias("head"))  # one row per range
-    after = F.lead(F.struct("v", "c")).over(Window.partitionBy("range").orderBy("v"))
-    seen = ranged.withColumn("after", after).join(F.broadcast(following), "range", "left").select("v", F.coalesce("after", "head").alias("n"))
-    found = seen.where(F.expr("startswith(n.v, v)")).select(F.col("v").alias(value), F.col("n.v").alias("longer"), F.col("n.c").alias(carry or "c"))
-    return found if carry else found.drop("c")
+                rows.append((doc, source, len(text), found["own_line"], found["omitted"], found["broken"], *found["pair"], ["\t".join(p) for p in found["pairs"]]))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "own_line", "omitted", "broken", "first", "second", "pairs"])
 
 
 def _cut(text: str) -> Column:
@@ -183,100 +199,118 @@ def _cut(text: str) -> Column:
     return F.when(F.right(text, F.lit(2)).rlike(r"(?U)(?:\s|\.\.|…|。。|[.…][\])）])\z"), F.regexp_replace(bare, r"(?U)\s+\z", "")).otherwise(F.col(text))
 
 
-def prefix_copies(docs: DataFrame, least: int = 200) -> DataFrame:
-    """Documents whose text, of at least ``least`` characters, is a strict prefix of a longer text: (doc_id, longer_doc_id).
+def _prefix_key(value: str, n: Column) -> Column:
+    return F.xxhash64(n, F.left(value, n))
 
-    Omission signs and white space at the end are left off all texts before comparing, so that the next text in order is a
-    real continuation. ``longer_doc_id`` is the smallest id among the copies of that text. Hashes of the first ``least``
-    characters tell which texts can be prefixes of one another at all; only these are sorted. Null and shorter texts have
-    no row; for these see ``short_copies``.
-    """
-    keyed = docs.select("doc_id", _cut("text").alias("cut")).where(F.length("cut") >= least)
-    keyed = keyed.withColumn("h", F.xxhash64(F.left("cut", F.lit(least))))
-    shared = keyed.groupBy("h").agg(F.min(F.xxhash64("cut")).alias("a"), F.max(F.xxhash64("cut")).alias("b")).where("a <> b").select("h")
-    keyed = materialize(semi_join(keyed, materialize(shared), ["h"]))
-    found = strict_prefixes(keyed.select("cut", F.col("doc_id").alias("longer_doc_id")), "cut", "longer_doc_id")
-    return keyed.select("doc_id", "cut").join(found, "cut").select("doc_id", "longer_doc_id")
 
+def prefix_links(docs: DataFrame) -> DataFrame:
+    """Self-join by prefix: (doc_id, n_word, n_sentence, n_end, longer_doc_id) of texts with an open end that begin others.
 
-def short_copies(docs: DataFrame, below: int = SHORT) -> DataFrame:
-    """Documents whose text, of fewer than ``below`` characters, breaks off where a longer one goes on: (doc_id, longer_doc_id).
+    Signs of omission and white space at the end are left off every text before comparing. The text is compared with all
+    texts longer than it, its own copies excluded; counted are those that go on inside its last word, with another word on
+    the same line (or whatever follows a comma, hyphen or opening bracket), and those in which the line, clause or sentence
+    ends there. ``longer_doc_id`` is the smallest id among those that go on, else among all.
 
-    The text has a letter and does not close its last sentence, and a longer text goes on inside its last word or with
-    another word. A heading or caption that a longer text follows with a new line, a number or a sign is complete, and so
-    is one that goes on in one text and ends in another. The beginnings of all texts are sorted; ``MARK`` puts what goes
-    on before what ends. ``longer_doc_id`` is the smallest id among the texts that go on as the next one in order.
+    Each text is hashed at all rungs of ``RUNGS`` below its length and meets the texts whose own highest rung that is; only
+    a text that shares a rung is hashed again, at the lengths of those it met, and these hashes are counted before they are
+    joined. So copies never meet one by one, and a frequent beginning costs no more than the lengths that share it. Null and
+    empty texts, texts without a letter and texts that close their last sentence have no row; a doc_id that occurs twice is
+    two texts.
     """
-    head = F.regexp_replace(F.left("cut", F.lit(below + 16)), "(?U)" + ENDING, MARK + "$0")
-    keyed = docs.select("doc_id", _cut("text").alias("cut")).where("cut <> ''").select("doc_id", "cut", head.alias("v"))
+    texts = docs.select("doc_id", _cut("text").alias("cut")).where("cut <> ''").withColumn("n", F.length("cut"))
+    rungs = F.array(*[F.lit(r) for r in RUNGS])
     closed = rf"[{re.escape(CLOSERS)}]+[{re.escape(BRACKETS)}]*\z"
-    cut = keyed.where((F.length("cut") < below) & F.col("cut").rlike(r"\p{L}") & ~F.col("cut").rlike(closed))
-    cut = materialize(cut.select("doc_id", "v"))
-    ended = rf"{MARK}[{''.join(sorted(COMMAS))}{JOINING}]\z"
-    loose = F.col("v").rlike(ended)  # whatever follows a comma or hyphen at the end goes on from it
-    found = strict_prefixes(keyed.select("doc_id", "v"), "v", "doc_id").withColumnRenamed("doc_id", "longer_doc_id")
-    found = found.where(loose | ~F.startswith(F.expr("substring(longer, length(v) + 1)"), F.lit(MARK)))
-    parts = F.split(F.regexp_replace("v", ended, ""), MARK)
-    whole = keyed.where(F.size(parts) > 1).select(parts[0].alias("v")).distinct()
-    hits = cut.join(found, "v").join(whole, "v", "left_anti").select("doc_id", "longer_doc_id")
-    # the same comma or hyphen bears no mark in texts where a word follows it
-    plain = cut.where(loose).select("doc_id", F.concat(F.expr("left(v, length(v) - 2)"), F.right("v", F.lit(1))).alias("v"))
-    if not plain.isEmpty():
-        found = strict_prefixes(keyed.select("doc_id", "v").unionByName(plain), "v", "doc_id").withColumnRenamed("doc_id", "longer_doc_id")
-        hits = hits.unionByName(plain.join(found, "v").select("doc_id", "longer_doc_id"))
-    return hits.groupBy("doc_id").agg(F.min("longer_doc_id").alias("longer_doc_id"))
-
-
-def copies(docs: DataFrame) -> DataFrame:
-    """Documents of any length whose text breaks off where a longer one goes on: (doc_id, longer_doc_id)."""
-    return prefix_copies(docs, SHORT).unionByName(short_copies(docs, SHORT))
+    cuts = texts.where(F.col("cut").rlike(r"\p{L}") & ~F.col("cut").rlike(closed)).withColumn("rung", F.element_at(F.filter(rungs, lambda r: r <= F.col("n")), -1))
+    wanted = materialize(cuts.select(_prefix_key("cut", F.col("rung")).alias("h"), F.col("n").alias("m")).distinct())
+    probes = texts.select("doc_id", "n", F.explode(F.transform(F.filter(rungs, lambda r: r < F.col("n")), lambda r: _prefix_key("cut", r))).alias("h"))
+    met = materialize(semi_join(probes, wanted, ["h"], "inner").where("m < n").select("doc_id", "m").distinct())
+    longer = semi_join(texts, met, ["doc_id"], "inner").where("m < n")
+    after, last = F.expr("substring(cut, m + 1, 64)"), F.expr("substring(cut, m, 1)")
+    word = last.rlike(r"[\p{L}\p{M}\p{N}]") & after.rlike(rf"^[{JOINING}]?[\p{{L}}\p{{M}}\p{{N}}]")
+    loose = last.rlike(rf"[{''.join(sorted(COMMAS))}{JOINING}(（\[]")
+    sentence = ~word & (loose | after.rlike(rf"^[^\S\r\n]*[{''.join(sorted(COMMAS))}]?[^\S\r\n]+[\p{{L}}\p{{M}}]"))
+    keyed = longer.select("doc_id", "m", F.xxhash64(F.expr("left(cut, m)")).alias("h1"), F.crc32(F.expr("left(cut, m)")).alias("h2"), word.alias("word"), sentence.alias("sentence"))
+    goes_on = F.col("word") | F.col("sentence")
+    counted = keyed.groupBy("m", "h1", "h2").agg(
+        F.count_if("word").alias("n_word"), F.count_if("sentence").alias("n_sentence"), F.count_if(~goes_on).alias("n_end"),
+        F.coalesce(F.min(F.when(goes_on, F.col("doc_id"))), F.min("doc_id")).alias("longer_doc_id"),
+    )
+    own = cuts.select("doc_id", F.col("n").alias("m"), F.xxhash64("cut").alias("h1"), F.crc32("cut").alias("h2"))
+    return own.join(counted, ["m", "h1", "h2"]).select("doc_id", "n_word", "n_sentence", "n_end", "longer_doc_id")
 
 
 def tail_evidence(docs: DataFrame) -> DataFrame:
-    """Documents with an open end and what the corpus says of it, see ``truncated``."""
+    """Documents with an open end and what the corpus says of it, see ``judged``."""
     texts = docs.select("doc_id", "source", "text").where("text IS NOT NULL")
-    tails = materialize(texts.mapInPandas(_tails, "doc_id long, source string, n long, own_line boolean, omitted boolean, broken boolean, pair string, pairs array<string>"))
-    counted = texts.select("text").mapInPandas(_grams, "pair string, kind int, n long").groupBy("pair", "kind").agg(F.sum("n").alias("n"))
-    grams = counted.groupBy("pair").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((INSIDE, "inside"), (LINE_END, "line_end"), (SENTENCE, "sentence"), (IN_OPEN_LINE, "in_open_line"))])
-    grams = materialize(grams.withColumn("first", F.split("pair", "\t")[0]))
-    wanted = tails.select("pair").distinct()
-    exact = wanted.join(grams.drop("first"), "pair", "left").na.fill(0)
-    # pairs of which the tail is a strict prefix: the prefix join of tails and pairs
-    longer = strict_prefixes(wanted.unionByName(grams.select("pair")), "pair").select("pair", F.lit(True).alias("goes_on"))
-    firsts = grams.groupBy("first").agg(*[F.sum(c).alias(f"first_{c}") for c in ("inside", "line_end", "sentence")])
-    exact = exact.join(longer, "pair", "left").withColumn("first", F.split("pair", "\t")[0]).join(firsts, "first", "left").drop("first").na.fill(0).na.fill(False)
+    kind = "doc_id long, source string, n long, own_line boolean, omitted boolean, broken boolean, first string, second string, pairs array<string>"
+    tails = materialize(texts.mapInPandas(_tails, kind))
+    lines = tails.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", F.split("p", "\t")[0].alias("first"), F.split("p", "\t")[1].alias("second"))
+    firsts = materialize(tails.select("first").unionByName(lines.select("first")).distinct())
+    # only pairs whose first word some tail has are shuffled
+    counted = texts.select("text").mapInPandas(_grams, f"first string, second string, {', '.join(f'{c} long' for c in COUNTED)}")
+    grams = materialize(semi_join(counted, firsts, ["first"]).groupBy("first", "second").agg(*[F.sum(c).alias(c) for c in COUNTED]))
+    pair = ["first", "second"]
+    exact = tails.select(*pair).distinct().join(grams, pair, "left").na.fill(0, list(COUNTED))
+    # tails too seldom seen to be judged by themselves: pairs of which they are strict prefixes, and their first word
+    seldom = materialize(exact.where(F.col("inside") + F.col("line_end") + F.col("sentence") < LEAST_TOTAL).select(*pair))
+    starts = F.transform(F.sequence(F.lit(0), F.length("second") - 1), lambda i: F.left("second", i))
+    longer = grams.where("length(second) > 0").select("first", F.explode(starts).alias("second"))
+    longer = semi_join(longer, seldom, pair).distinct().withColumn("goes_on", F.lit(True))
+    by_first = grams.join(seldom.select("first").distinct(), "first", "left_semi").groupBy("first").agg(*[F.sum(c).alias(f"first_{c}") for c in COUNTED[:3]])
+    exact = exact.join(longer, pair, "left").join(by_first, "first", "left").na.fill(0).na.fill(False).drop("in_open_line")
     # an open line with a pair that only sentences have is the beginning of a sentence
-    lines = tails.where("size(pairs) > 0").select("doc_id", F.explode("pairs").alias("pair")).distinct()
-    seldom = grams.where((F.col("in_open_line") == 0) & (F.col("inside") + F.col("sentence") >= LEAST_SEEN)).select("pair")
-    begun = lines.join(seldom, "pair", "left_semi").select("doc_id", F.lit(True).alias("begun")).distinct()
+    seen = F.col("inside") + F.col("sentence")
+    closed_only = grams.where((F.col("in_open_line") <= STRAY * seen) & (_upper(F.col("in_open_line"), seen, Z_OPEN) <= MOST_OPEN)).select(*pair)
+    begun = lines.join(closed_only, pair, "left_semi").select("doc_id", F.lit(True).alias("begun")).distinct()
     # lengths at which a source's texts pile up are limits of its field
     sizes = texts.groupBy("source", F.length("text").alias("n")).agg(F.count("*").alias("here"))
-    near = Window.partitionBy("source").orderBy("n").rangeBetween(-10, 10)
-    limits = sizes.withColumn("around", F.sum("here").over(near) - F.col("here")).where("here >= 8 AND here > around").select("source", "n", F.lit(True).alias("at_limit"))
-    tails = tails.drop("pairs").join(begun, "doc_id", "left").join(exact.drop("in_open_line"), "pair", "left")
+    near = F.sum("here").over(Window.partitionBy("source").orderBy("n").rangeBetween(-10, 10))  # one row per length of a source
+    limits = sizes.withColumn("around", near).where(_lower(F.col("here"), F.col("around"), Z_LIMIT) >= LIMIT_SHARE).select("source", "n", F.lit(True).alias("at_limit"))
+    tails = tails.drop("pairs").join(begun, "doc_id", "left").join(exact, pair, "left")
     return tails.join(limits, ["source", "n"], "left").na.fill(False, ["at_limit", "begun"])
 
 
-def truncated(docs: DataFrame) -> DataFrame:
-    """Documents whose text breaks off inside a word or sentence: (doc_id, source).
+def _wilson(x: Column, n: Column, z: float, side: int) -> Column:
+    rate = x / n
+    return (rate + z * z / (2 * n) + side * z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _upper(x: Column, n: Column, z: float) -> Column:
+    """Upper bound of a rate of ``x`` in ``n``; null where n is 0."""
+    return F.when(n > 0, _wilson(F.least(x, n), n, z, 1))
+
+
+def _lower(x: Column, n: Column, z: float) -> Column:
+    return F.when(n > 0, _wilson(x, n, z, -1))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Documents whose text breaks off inside a word or sentence: (doc_id, source, route).
+
+    ``route`` is the first of these that holds:
 
-    - An open sentence that follows another on its line is cut; headings and captions stand on lines of their own.
-    - An open line of its own is cut if its last word pair never ends a line elsewhere, or a pair goes on from it much
-      more often than it ends; where the pair is unknown, its first word decides.
-    - An open line with a pair that occurs often, but never in a line left open elsewhere, is the beginning of a sentence.
-    - With a sign of omission, the sentence is complete if its last pair otherwise nearly always ends a sentence.
-    - An open text at a length at which the texts of its source pile up is cut.
-    - A text that is a strict prefix of a longer text and has an open end is cut.
+    - ``copy``: longer texts go on where the text ends, and none ends there.
+    - ``follows_sentence``: an open sentence follows another on its line; headings and captions stand on lines of their own.
+    - ``broken_sign``: an open line ends in a comma, colon, hyphen or opening bracket.
+    - ``begun_sentence``: an open line has a pair that hardly ever stands in lines left open elsewhere.
+    - ``tail``: an open line's last word pair never ends a line elsewhere, or a pair goes on from it much more often than it
+      ends; where the pair is too seldom seen, whether longer pairs begin with it and what its first word does decide.
+    - ``length_limit``: an open text has a length at which the texts of its source pile up.
 
-    Null and empty texts are no cases; a doc_id that occurs twice has a row for each.
+    With a sign of omission, the sentence is complete if its last pair otherwise nearly always ends a sentence; a sign
+    alone does not make a line broken. Null and empty texts are no cases; a doc_id that occurs twice has a row for each.
     """
-    e = tail_evidence(docs).join(copies(docs).select("doc_id", F.lit(True).alias("copied")).distinct(), "doc_id", "left").na.fill(False, ["copied"])
+    copied = prefix_links(docs).where("n_word + n_sentence > 0 AND n_end = 0").select("doc_id", F.lit(True).alias("copied")).distinct()
+    e = tail_evidence(docs).join(copied, "doc_id", "left").na.fill(False, ["copied"])
     total = F.col("inside") + F.col("line_end") + F.col("sentence")
     first_total = F.col("first_inside") + F.col("first_line_end") + F.col("first_sentence")
-    ends = F.when(total >= 3, F.col("line_end") > LEAST_ENDS * total).otherwise(~F.col("goes_on") & (F.col("first_line_end") > LEAST_ENDS * first_total))
-    ended = F.when(total >= 3, F.col("sentence") >= SENTENCE_ENDS * total).otherwise(F.lit(False))
-    open_end = F.when(F.col("omitted"), ~ended & (~F.col("own_line") | F.col("begun") | ~ends)).otherwise(~F.col("own_line") | F.col("broken") | F.col("begun") | ~ends)
-    return e.where(open_end | ((F.col("at_limit") | F.col("copied")) & ~(F.col("omitted") & ended))).select("doc_id", "source")
+    ends = F.when(total >= LEAST_TOTAL, F.col("line_end") > LEAST_ENDS * total).otherwise(~F.col("goes_on") & (F.col("first_line_end") > LEAST_ENDS * first_total))
+    ended = F.col("omitted") & (total >= LEAST_TOTAL) & (F.col("sentence") >= SENTENCE_ENDS * total)
+    route = (
+        F.when(ended, None).when(F.col("copied"), "copy").when(~F.col("own_line"), "follows_sentence").when(F.col("broken") & ~F.col("omitted"), "broken_sign")
+        .when(F.col("begun"), "begun_sentence").when(~ends, "tail").when(F.col("at_limit"), "length_limit")
+    )
+    return e.select("doc_id", "source", route.alias("route")).where("route IS NOT NULL")
 
 
 def truncation_rates(docs: DataFrame, found: DataFrame) -> DataFrame:

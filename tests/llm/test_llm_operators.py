@@ -332,45 +332,79 @@ WHOLE = [
 def test_truncation(spark):
     cut = ["Nobody had expected it. The old librarian sold the woo", "The bus driver cleaned the", "Nobody had expected it. The bus driver sold the red…", "长长的报告很快公布。很快公", "The bus driver cleaned the red sail [...]"]
     good = WHOLE * 3 + ["The bus driver in the town hall", "Did it rain? Nobody had expected it...", "", None, "***"]
-    got = {r[0] for r in rows(truncation.truncated(documents(spark, good + cut)), "doc_id")}
+    got = {r[0] for r in rows(truncation.judged(documents(spark, good + cut)), "doc_id")}
     assert got == set(range(len(good), len(good) + len(cut)))
-    rates = truncation.truncation_rates(documents(spark, good + cut), truncation.truncated(documents(spark, good + cut))).collect()
+    rates = truncation.truncation_rates(documents(spark, good + cut), truncation.judged(documents(spark, good + cut))).collect()
     assert [(r["n_docs"], r["n_truncated"]) for r in rates] == [(len(good) + len(cut), len(cut))]
-    assert truncation.truncated(documents(spark, good).where("false")).count() == 0
-
-
-def test_prefixes_against_brute_force(spark):
+    assert truncation.judged(documents(spark, good).where("false")).count() == 0
+
+
+def brute_links(texts):
+    """Every text against every longer one, character by character: what goes on, in a word, with a word, or not."""
+    cut = {i: truncation.OMISSION.sub("", t).rstrip() for i, t in enumerate(texts) if t}
+    out = {}
+    for i, a in cut.items():
+        closed = a.rstrip(truncation.BRACKETS)[-1:] in set(truncation.CLOSERS)
+        if not any(c.isalpha() for c in a) or closed:
+            continue
+        for j, b in cut.items():
+            if len(b) > len(a) and b.startswith(a):
+                after = b[len(a) :]
+                word = a[-1].isalnum() and after[0].isalnum()
+                sentence = not word and bool(a[-1] in ",'-(" or after.lstrip(" ")[:1].isalpha() * (after[0] == " "))
+                n, least, ids = out.get(i, ((0, 0, 0), None, []))
+                out[i] = ((n[0] + word, n[1] + sentence, n[2] + (not word and not sentence)), None, [*ids, (not (word or sentence), j)])
+    return sorted(((i, *n, min(ids)[1]) for i, (n, _, ids) in out.items()), key=repr)
+
+
+def test_prefix_links_against_brute_force(spark):
     rng = random.Random(3)
-    values = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(90)})
-    df = spark.createDataFrame([(v,) for v in values + values[:5] + [None, ""]], "v string")
-    got = {r["v"] for r in truncation.strict_prefixes(df, "v").collect()}
-    assert got == {v for v in values if any(w != v and w.startswith(v) for w in values)}
+    parts = ["ab", "b", " a", "\n", "1", " ", "c c", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))).strip() for _ in range(150)]
+    texts = [t for t in texts if not t.endswith("..")] + [None, "", "..."]
+    assert rows(truncation.prefix_links(documents(spark, texts))) == brute_links(texts)
 
 
-def test_prefix_copies(spark):
+def test_prefix_links(spark):
     long = "One sentence after the other, and each of them ends. " * 8
-    df = documents(spark, [long, long[:250], long[:250] + "…", long[:100], "x" * 70_000, "x" * 300, None, long])
-    assert rows(truncation.prefix_copies(df)) == [(1, 0), (2, 0), (5, 4)]
+    df = documents(spark, [long, long[:250], long[:250] + "…", long[:100], "x" * 70_000, "x" * 300, None, long, long[:52]])
+    assert [(r[0], r[4]) for r in rows(truncation.prefix_links(df))] == [(1, 0), (2, 0), (3, 0), (5, 4)]
+    assert truncation.prefix_links(df.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("sign", ["", "…", "...", " ...", " [...]", " […]", " "])
-def test_prefix_copies_look_past_omission_signs(spark, sign):
+def test_prefix_links_look_past_omission_signs(spark, sign):
     whole = "One sentence after the other, and each of them ends. " * 4 + "Then he walked home"
-    df = documents(spark, [whole + " and slept.", whole[:-8] + sign, whole + sign, "Another text. " * 20, "Another text. " * 20 + "..."])
-    assert rows(truncation.prefix_copies(df)) == [(1, 2), (2, 0)]
+    df = documents(spark, [whole + " and slept.", whole[:-8] + sign, whole + sign, "The libra" + sign, "The librarian went home.", "Another text. " * 20, "Another text. " * 20 + "..."])
+    assert [(r[0], r[4]) for r in rows(truncation.prefix_links(df))] == [(1, 0), (2, 0), (3, 4)]
 
 
-def test_copies_of_short_texts(spark):
+def test_links_of_short_texts(spark):
     whole = ["He walked home and slept.", "The old librarian, who sold it, left.", "A well-known tourist came.", "The red sail\nIt was cleaned.", "The red sail (1970)", "Town hall, 1990", "Did it rain? Nobody knew.", "The bus driver", "The bus driver sold it.", "The bus driver\nHe sold it."]
     cut = ["He wal", "He walked...", "The old librarian", "The old librarian,", "A well-"]
     complete = ["The red sail", "Town hall", "Did it rain?", "***", "", None]
     df = documents(spark, whole + cut + complete)
-    assert rows(truncation.copies(df), "doc_id") == [(i,) for i in range(len(whole), len(whole) + len(cut))]
-    assert rows(truncation.copies(df).where("doc_id = 11")) == [(11, 0)]
-    assert rows(truncation.prefix_copies(df)) == []
+    out = truncation.prefix_links(df)
+    assert rows(out.where("n_word + n_sentence > 0 AND n_end = 0"), "doc_id") == [(i,) for i in range(len(whole), len(whole) + len(cut))]
+    assert rows(out.where("doc_id = 11"), "doc_id", "n_sentence", "longer_doc_id") == [(11, 1, 0)]
+    assert rows(out.where("n_end > 0"), "doc_id") == [(7,), (15,), (16,)]
+
 
+def test_copies_of_a_cut_text_do_not_meet_one_by_one(spark):
+    df = documents(spark, ["The old libra"] * 300 + ["The old librarian went home."] * 200)
+    out = rows(truncation.prefix_links(df))
+    assert len(out) == 300 and set(r[1:] for r in out) == {(200, 0, 0, 300)}
 
-def test_short_cut_text_with_a_copy_is_found(spark):
+
+def test_routes(spark):
     lines = ["The old librarian\nAlways there", "Seen by the old librarian\nAlways there"] * 3
-    df = documents(spark, [*lines, "Yesterday came the old librarian", "Yesterday came the old librarian with keys and left."])
-    assert 6 in {r[0] for r in rows(truncation.truncated(df), "doc_id")}
+    texts = [*lines, "Yesterday came the old librarian", "Yesterday came the old librarian with keys and left.", "It rained. He went to the", "They brought bread,"]
+    out = {r["doc_id"]: r["route"] for r in truncation.judged(documents(spark, texts)).collect()}
+    assert (out[6], out[8], out[9]) == ("copy", "follows_sentence", "broken_sign")
+
+
+def test_rates_are_bounded(spark):
+    x, n = F.col("x").cast("double"), F.col("n").cast("double")
+    df = spark.createDataFrame([(0, 60), (0, 61), (5, 0), (8, 8), (7, 7)], "x int, n int")
+    out = df.select(truncation._upper(x, n, truncation.Z_OPEN), truncation._lower(x, n, truncation.Z_LIMIT)).collect()
+    assert out[0][0] > truncation.MOST_OPEN > out[1][0] and out[2][0] is None and out[3][1] > truncation.LIMIT_SHARE > out[4][1]
