@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-CAPACITY = 4096
+#: Counters of the first summary and of the largest that is tried.
+CAPACITY, MOST_CAPACITY = 4096, 65_536
 MERGERS = 32
 
 
@@ -69,25 +70,31 @@ def misra_gries(df: DataFrame, item: str, weight: str | None = None, capacity: i
     )
 
 
-def top_items(df: DataFrame, item: str, weight: str, record: str, n: int, capacity: int = CAPACITY) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
+    """(item, weight): exact totals, the rows of one item and record counted once, those without a record each."""
+    key = F.when(F.col("record").isNull(), F.monotonically_increasing_id())
+    once = rows.withColumn("alone", key).groupBy("item", "record", "alone").agg(F.min("weight").alias("weight"))
+    return once.groupBy("item").agg(F.sum("weight").alias("weight")).where("weight > 0")
+
+
+def top_items(df: DataFrame, item: str, weight: str, record: str, n: int, capacity: int = CAPACITY, most: int = MOST_CAPACITY) -> DataFrame:
     """The ``n`` items of greatest total weight: (item, lower, upper, weight), ties by the smaller item.
 
-    A ``record`` that occurs again counts once (rows of one record that differ: the smallest (item, weight) counts).
-    The summary is made over all rows, repeats included: a repeat can only raise a total, so whatever exceeds the
-    summary's error without repeats is in it. Its items are then counted exactly, without repeats. If the n-th of these
-    does not exceed the error, an item might be missing; the summary is then made again with four times the capacity,
-    and with as many counters as items it is exact.
+    A ``record`` that occurs again with the same item counts once, with its least weight; rows without a record stand
+    alone; null items and weights, and totals that are not positive, do not count. The summary is made over all rows,
+    repeats included: a repeat can only raise a total, so whatever exceeds the summary's error without repeats is in it.
+    Its items are then counted exactly, without repeats. If the n-th of these does not exceed the error, an item might be
+    missing; the summary is then made again with four times the capacity, up to ``most`` counters, which bounds what the
+    last merge and the broadcast hold. Beyond that the weights are too even for any summary of this size, and all items
+    are counted by a group-by, whose ``lower`` and ``upper`` are the weight.
     """
     rows = df.select(F.col(item).alias("item"), F.col(weight).cast("long").alias("weight"), F.col(record).alias("record"))
     rows = rows.where("item IS NOT NULL AND weight IS NOT NULL")
     while True:
-        summary = materialize(misra_gries(rows, "item", "weight", capacity))
-        candidates = F.broadcast(summary)  # at most ``capacity`` rows
-        once = rows.join(F.broadcast(summary.select("item")), "item", "left_semi")
-        key = F.when(F.col("record").isNull(), F.monotonically_increasing_id())  # rows without a record id stand alone
-        once = once.withColumn("alone", key).groupBy("record", "alone").agg(F.min(F.struct("item", "weight")).alias("r")).select("r.item", "r.weight")
-        exact = once.groupBy("item").agg(F.sum("weight").alias("weight"))
-        top = materialize(exact.join(candidates, "item").select("item", "lower", "upper", "weight").orderBy(F.desc("weight"), "item").limit(n))
+        capacity = min(capacity, most)
+        summary = materialize(misra_gries(rows, "item", "weight", capacity))  # at most ``capacity`` rows
+        exact = _counted(rows.join(F.broadcast(summary.select("item")), "item", "left_semi"))
+        top = materialize(exact.join(F.broadcast(summary), "item").select("item", "lower", "upper", "weight").orderBy(F.desc("weight"), "item").limit(n))
         got = top.agg(F.count("*").alias("n"), F.min("weight").alias("least")).head()
         error = summary.agg(F.max(F.col("upper") - F.col("lower"))).head()[0]
         if error is None:  # no counter is left: either there is no weight, or all is spread too evenly
@@ -96,4 +103,6 @@ def top_items(df: DataFrame, item: str, weight: str, record: str, n: int, capaci
             sure = error == 0 or (got["n"] == n and got["least"] > error)
         if sure:
             return top
+        if capacity >= most:
+            return _counted(rows).orderBy(F.desc("weight"), "item").limit(n).select("item", F.col("weight").alias("lower"), F.col("weight").alias("upper"), "weight")
         capacity *= 4

@@ -19,9 +19,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_top_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same keys with their support, exact and as bounded by the summary."""
+    """The same keys with their support; ``bounded`` tells whether the summary's bounds hold it."""
     top = heavy_hitters.top_items(read(spark, sf_dir, "window_records"), "pair_key", "support", "record_id", 60)
-    return top.select(F.col("item").alias("pair_key"), F.col("weight").alias("support"), ((F.col("lower") <= F.col("upper")) & (F.col("upper") >= F.col("weight"))).alias("bounded"))
+    return top.select(F.col("item").alias("pair_key"), F.col("weight").alias("support"), ((F.col("upper") >= F.col("weight")) & (F.col("lower") <= F.col("upper"))).alias("bounded"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,25 @@ def p2_leaks_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks_by_source(found, pairs)
 
 
+def _anchor_label():
+    return F.when(F.coalesce("anchor_language_id", F.lit("")) == "", F.col("language_id")).otherwise(F.col("anchor_language_id"))
+
+
 def p3_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cubes of documents and of anchors in one table; ``corpus`` tells which."""
-    vocab = read(spark, sf_dir, "vocab")
+    """Cubes of documents and of anchors in one table; ``corpus`` tells which. Labels are read, however they are spelled.
+
+    ``n_first_texts`` and ``n_first_tokens`` leave out rows of pairs that were delivered again; documents have no such rows.
+    """
+    vocab, languages = read(spark, sf_dir, "vocab"), read(spark, sf_dir, "languages")
     docs = token_budget.count_tokens(read(spark, sf_dir, "documents").select("source", "lang", "web_domain", "text"), "text", vocab)
-    docs = token_budget.token_cube(docs, "source", "lang", "web_domain").select(F.lit("documents").alias("corpus"), "*")
-    label = F.when(F.coalesce("anchor_language_id", F.lit("")) == "", F.col("language_id")).otherwise(F.col("anchor_language_id")).alias("lang")
-    pairs = token_budget.count_tokens(read(spark, sf_dir, "pairs").select("source", label, "anchor"), "anchor", vocab)
-    pairs = token_budget.token_cube(pairs, "source", "lang").select(F.lit("pairs").alias("corpus"), "source", "lang", F.lit(None).cast("string").alias("web_domain"), "slice", "n_texts", "n_tokens")
-    return docs.unionByName(pairs)
+    docs = token_budget.with_language(docs, "lang", languages).withColumn("n_first", F.col("n_tokens"))
+    docs = token_budget.token_cube(docs, "source", "lang", "web_domain", first="n_first").select(F.lit("documents").alias("corpus"), "*")
+    delivery = ["shard_id", "row_group", "row_index"]
+    pairs = token_budget.count_tokens(read(spark, sf_dir, "pairs").select("pair_id", "source", _anchor_label().alias("lang"), *delivery, "anchor"), "anchor", vocab)
+    pairs = materialize(token_budget.with_language(pairs, "lang", languages))
+    pairs = token_budget.first_tokens(pairs, delivery, "pair_id")
+    pairs = token_budget.token_cube(pairs, "source", "lang", first="n_first").withColumn("web_domain", F.lit(None).cast("string"))
+    return docs.unionByName(pairs.select(F.lit("pairs").alias("corpus"), "*"))
 
 
 def p3_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +68,6 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical_forms(lookalikes.sides_of(read(spark, sf_dir, "pairs")))
 
 
-def _anchor_label():
-    return F.when(F.coalesce("anchor_language_id", F.lit("")) == "", F.col("language_id")).otherwise(F.col("anchor_language_id"))
-
-
 def _profiles(spark: SparkSession, sf_dir: str) -> langid.Profiles:
     return langid.fit(read(spark, sf_dir, "lang_samples"), read(spark, sf_dir, "documents"))
 
@@ -130,7 +136,8 @@ QUERIES: dict[str, Query] = {
 }
 
 _TOP = """
-    SELECT pair_key, sum(support)::BIGINT AS support FROM (SELECT DISTINCT record_id, pair_key, support FROM window_records WHERE pair_key IS NOT NULL AND support IS NOT NULL)
+    SELECT pair_key, sum(support)::BIGINT AS support
+    FROM (SELECT record_id, pair_key, min(support) AS support FROM window_records WHERE pair_key IS NOT NULL AND support IS NOT NULL GROUP BY 1, 2)
     GROUP BY pair_key ORDER BY support DESC, pair_key LIMIT 60"""
 
 ORACLES: dict[str, str] = {
@@ -141,7 +148,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT doc_id, cut FROM k WHERE regexp_matches(cut, '\p{L}') AND NOT regexp_matches(cut, '[.!?。！？؟।॥;；…]+["''»”’)\]）」』】》]*$')),
         l AS (SELECT c.doc_id, k.doc_id AS longer, right(c.cut, 1) AS last, substr(k.cut, length(c.cut) + 1, 64) AS after FROM c JOIN k ON starts_with(k.cut, c.cut) AND length(k.cut) > length(c.cut)),
         w AS (SELECT *, regexp_matches(last, '[\p{L}\p{M}\p{N}]') AND regexp_matches(after, '^[''’\-‐‑]?[\p{L}\p{M}\p{N}]') AS word FROM l),
-        s AS (SELECT *, NOT word AND (regexp_matches(last, '[,،、，''’\-‐‑(（\[]') OR regexp_matches(after, '^[^\S\r\n]*[,،、，]?[^\S\r\n]+[\p{L}\p{M}]')) AS sentence FROM w)
+        s AS (SELECT *, NOT word AND (regexp_matches(last, '[,،、，''’\-‐‑(（\[]') OR regexp_matches(after, '^([^\S\r\n]*[,،、，]?[^\S\r\n]+[\p{L}\p{M}]|[,،、，]$)')) AS sentence FROM w)
         SELECT doc_id, count(*) FILTER (word) AS n_word, count(*) FILTER (sentence) AS n_sentence, count(*) FILTER (NOT word AND NOT sentence) AS n_end,
         coalesce(min(longer) FILTER (word OR sentence), min(longer)) AS longer_doc_id FROM s GROUP BY doc_id""",
 }

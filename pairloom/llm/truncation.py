@@ -208,7 +208,7 @@ def prefix_links(docs: DataFrame) -> DataFrame:
 
     Signs of omission and white space at the end are left off every text before comparing. The text is compared with all
     texts longer than it, its own copies excluded; counted are those that go on inside its last word, with another word on
-    the same line (or whatever follows a comma, hyphen or opening bracket), and those in which the line, clause or sentence
+    the same line (or whatever follows a comma, hyphen or opening bracket, or a comma that is the last), and those in which the line, clause or sentence
     ends there. ``longer_doc_id`` is the smallest id among those that go on, else among all.
 
     Each text is hashed at all rungs of ``RUNGS`` below its length and meets the texts whose own highest rung that is; only
@@ -228,7 +228,7 @@ def prefix_links(docs: DataFrame) -> DataFrame:
     after, last = F.expr("substring(cut, m + 1, 64)"), F.expr("substring(cut, m, 1)")
     word = last.rlike(r"[\p{L}\p{M}\p{N}]") & after.rlike(rf"^[{JOINING}]?[\p{{L}}\p{{M}}\p{{N}}]")
     loose = last.rlike(rf"[{''.join(sorted(COMMAS))}{JOINING}(（\[]")
-    sentence = ~word & (loose | after.rlike(rf"^[^\S\r\n]*[{''.join(sorted(COMMAS))}]?[^\S\r\n]+[\p{{L}}\p{{M}}]"))
+    sentence = ~word & (loose | after.rlike(rf"^(?:[^\S\r\n]*[{''.join(sorted(COMMAS))}]?[^\S\r\n]+[\p{{L}}\p{{M}}]|[{''.join(sorted(COMMAS))}]\z)"))
     keyed = longer.select("doc_id", "m", F.xxhash64(F.expr("left(cut, m)")).alias("h1"), F.crc32(F.expr("left(cut, m)")).alias("h2"), word.alias("word"), sentence.alias("sentence"))
     goes_on = F.col("word") | F.col("sentence")
     counted = keyed.groupBy("m", "h1", "h2").agg(

@@ -39,12 +39,25 @@ def test_summary_keeps_its_bounds(spark):
 
 
 def test_top_items(spark):
-    data = [(1, 10, 5), (1, 10, 5), (2, 20, 5), (3, 30, 1), (4, None, 9), (5, 40, None), (6, 50, 0), (None, 60, 2), (None, 60, 2)]
-    out = heavy_hitters.top_items(records(spark, data), "pair_key", "support", "record_id", 3)
-    assert rows(out, "item", "weight") == [(10, 5), (20, 5), (60, 4)]
+    data = [(1, 10, 5), (1, 10, 5), (2, 20, 5), (3, 30, 1), (4, None, 9), (5, 40, None), (6, 50, 0), (None, 60, 2), (None, 60, 2), (7, 70, 3), (7, 70, 2), (7, 80, 1)]
+    out = heavy_hitters.top_items(records(spark, data), "pair_key", "support", "record_id", 5)
+    assert rows(out, "item", "weight") == [(10, 5), (20, 5), (30, 1), (60, 4), (70, 2)]
     assert heavy_hitters.top_items(records(spark, data).where("false"), "pair_key", "support", "record_id", 3).count() == 0
-    flat = records(spark, [(i, i, 1) for i in range(300)])  # all alike: the summary must grow until it holds every item
-    assert rows(heavy_hitters.top_items(flat, "pair_key", "support", "record_id", 4, capacity=16), "item") == [(0,), (1,), (2,), (3,)]
+    assert heavy_hitters.top_items(records(spark, [(1, 5, 0)]), "pair_key", "support", "record_id", 3).count() == 0
+
+
+def test_flat_keys_never_pass_the_ceiling(spark, monkeypatch):
+    """All items alike: no summary can prove an order, so beyond the ceiling items are counted by a group-by."""
+    tried = []
+    made = heavy_hitters.misra_gries
+    monkeypatch.setattr(heavy_hitters, "misra_gries", lambda df, item, weight, capacity: tried.append(capacity) or made(df, item, weight, capacity))
+    flat = records(spark, [(i, i, 1) for i in range(300)])
+    out = heavy_hitters.top_items(flat, "pair_key", "support", "record_id", 4, capacity=16, most=64)
+    assert rows(out, "item", "weight", "lower", "upper") == [(i, 1, 1, 1) for i in range(4)]
+    assert tried == [16, 64]
+    tried.clear()
+    assert rows(heavy_hitters.top_items(flat, "pair_key", "support", "record_id", 4, capacity=16, most=1024), "item") == [(0,), (1,), (2,), (3,)]
+    assert tried == [16, 64, 256, 1024]
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------------
@@ -120,6 +133,14 @@ def test_token_counts_are_greedy(text):
     assert token_budget.PieceTokenizer([]).count(text) == sum(not c.isspace() for c in text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.text(alphabet="abc \n", min_size=1, max_size=5), max_size=8), st.text(alphabet="abcx \n", max_size=30))
+def test_token_counts_are_greedy_for_any_pieces(pieces, text):
+    """Also where a long piece fails late and no shorter one began where it did."""
+    assert token_budget.PieceTokenizer(sorted(pieces)).count(text) == greedy(text, pieces, 5)
+    assert token_budget.PieceTokenizer(["b", "caaac", "aa"]).count("abaacbaacbbbaabaacaa") == greedy("abaacbaacbbbaabaacaa", {"b", "caaac", "aa"}, 5)
+
+
 def test_token_cube(spark):
     vocab = spark.createDataFrame([(i, p, False) for i, p in enumerate(PIECES)] + [(99, "__eng_Latn__", True), (100, None, False)], "token_id int, piece string, is_marker boolean")
     docs = spark.createDataFrame([("s", "x", "abc ab"), ("s", None, ""), (None, "", "d" * 50_000), ("s", "x", None)], "source string, lang string, text string").withColumn("piece", F.lit(1)).withColumn("slice", F.lit(1))
@@ -130,6 +151,16 @@ def test_token_cube(spark):
     assert token_budget.token_cube(token_budget.count_tokens(docs.where("false"), "text", vocab), "source").count() == 0
 
 
+def test_labels_and_repeated_deliveries(spark):
+    known = spark.createDataFrame([("eng_Latn", "en", "English"), ("cmn_Hani", "zh", "Chinese"), (None, None, None)], "lang_code string, iso639_1 string, english_name string")
+    data = [(1, "EN", 3, 1), (2, "eng-Latn", 3, 2), (3, " English ", 3, 3), (4, "eng_Cyrl", 3, 4), (5, "xyz_Latn", 3, 5), (6, None, 3, 6), (7, "", 3, 7), (8, "N/A", 3, 8), (9, "eng_Latn", 4, 1), (10, "eng_Latn", None, 1), (11, "zh", 2, None)]
+    df = spark.createDataFrame(data, "pair_id long, lang string, n_tokens long, row_index long").withColumns({"code": F.lit("q"), "head": F.lit("q")})
+    coded = token_budget.with_language(df, "lang", known)
+    assert [r["lang"] for r in coded.orderBy("pair_id").collect()] == ["eng_Latn"] * 4 + ["xyz_Latn", None, None, None, "eng_Latn", "eng_Latn", "cmn_Hani"]
+    once = token_budget.first_tokens(coded, ["row_index"], "pair_id", "n_tokens")
+    assert {r["pair_id"]: r["n_first"] for r in once.collect()} == {1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: None, 10: None, 11: 2}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -387,7 +418,7 @@ def test_links_of_short_texts(spark):
     out = truncation.prefix_links(df)
     assert rows(out.where("n_word + n_sentence > 0 AND n_end = 0"), "doc_id") == [(i,) for i in range(len(whole), len(whole) + len(cut))]
     assert rows(out.where("doc_id = 11"), "doc_id", "n_sentence", "longer_doc_id") == [(11, 1, 0)]
-    assert rows(out.where("n_end > 0"), "doc_id") == [(7,), (15,), (16,)]
+    assert rows(out.where("n_end > 0"), "doc_id") == [(15,), (16,), (7,)]
 
 
 def test_copies_of_a_cut_text_do_not_meet_one_by_one(spark):
