@@ -1,12 +1,14 @@
 """Pair keys and hashes as column expressions.
 
-Hashes wrap at 64 bits. Spark's ANSI arithmetic raises on overflow, so products that can overflow are taken in
-decimal(38,0) and brought back into the signed 64-bit range; where they cannot (token ids below 2^31), long arithmetic is
-used. Null inputs give null.
+Hashes wrap at 64 bits. Spark's ANSI arithmetic raises on overflow, so products that can overflow are added up from 16-bit
+parts, none of whose sums does; where they cannot (token ids below 2^31), long arithmetic is used directly. Both stay in
+generated code. Null inputs give null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,22 +19,37 @@ SKETCH_B = (1442695040888963407, 2691343689449507681, 4768777513237032717)
 SKETCH_SIGN = (2862933555777941757, 7046029254386353131, 3935559000370003845)
 MOST_CANTOR_SUM = 3_037_000_498
 
-_WORD, _HALF = "18446744073709551616", "9223372036854775808"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _wide(x: Column | int) -> Column:
-    return F.lit(str(x)).cast("decimal(38,0)") if isinstance(x, int) else x.cast("decimal(38,0)")
+def wrapping_sum(products: list[tuple[Column, int]], plus: int = 0) -> Column:
+    """Sum of ``column * constant`` and of ``plus``, as 64-bit two's complement arithmetic wraps it.
 
-
-def wrap64(x: Column) -> Column:
-    """A decimal brought into the signed 64-bit range, as two's complement arithmetic does."""
-    word, half = F.lit(_WORD).cast("decimal(38,0)"), F.lit(_HALF).cast("decimal(38,0)")
-    r = F.pmod(x.cast("decimal(38,0)"), word)
-    return F.when(r >= half, r - word).otherwise(r).cast("long")
+    Each factor is cut into four parts of 16 bits; the parts of the sum of equal weight stay below 2^40, and what they
+    carry is handed to the next.
+    """
+    low = 0xFFFF
+    parts: list[Column] = [F.lit(plus >> 16 * k & low).cast("long") for k in range(4)]
+    for column, constant in products:
+        x = column.cast("long")
+        own = [F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(low)) for k in range(4)]
+        by = [constant >> 16 * k & low for k in range(4)]
+        for i in range(4):
+            for j in range(4 - i):
+                if by[j]:
+                    parts[i + j] = parts[i + j] + own[i] * F.lit(by[j]).cast("long")
+    out, carry = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(4):
+        total = parts[k] + carry
+        out = out.bitwiseOR(F.shiftleft(total.bitwiseAND(F.lit(low)), 16 * k))
+        carry = F.shiftright(total, 16)
+    return out
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is evaluated once however often ``f`` uses it: code does not grow with nesting."""
+    return F.transform(F.array(x), lambda v: f(v))[0]
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -46,6 +63,16 @@ def _half(s: Column) -> Column:
     return F.when(even, F.shiftright(s, 1) * (s + 1)).otherwise(s * F.shiftright(s + 1, 1))
 
 
+def spread(seed: int, *columns) -> Column:
+    """32 hexadecimal digits that order rows at random, always the same for a seed: a digest that SQL has as well."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(c).cast("string") for c in columns]))
+
+
+def fraction(digest) -> Column:
+    """The first 48 bits of a digest as a number from 0 to 1."""
+    return F.conv(F.left(_c(digest), F.lit(12)), 16, 10).cast("double") / float(1 << 48)
+
+
 def pair_key(left, right, base: int) -> Column:
     """``left * base + right``; ``base`` is the size of the vocabulary, markers included."""
     return _c(left).cast("long") * F.lit(base).cast("long") + _c(right).cast("long")
@@ -68,13 +95,14 @@ def ngram_hash(ids: list, buckets: int) -> Column:
     """Bucket of an n-gram: ``v = v * A + id * B + place`` over the ids, wrapping at 64 bits."""
     v = F.lit(0).cast("long")
     for place, x in enumerate(ids):
-        v = wrap64(_wide(v) * _wide(MIX_A) + _wide(_c(x)) * _wide(MIX_B) + _wide(place))
+        step = lambda before, x=_c(x), place=place: wrapping_sum([(before, MIX_A), (x, MIX_B)], place)
+        v = _once(v, step) if place else wrapping_sum([(_c(x), MIX_B)])
     return F.abs(v) % F.lit(buckets).cast("long")
 
 
 def sketch_bucket(key, depth: int, width: int) -> Column:
     """Floor-modulus of the wrapped hash of ``key`` at ``depth``."""
-    return F.pmod(wrap64(_wide(_c(key)) * _wide(SKETCH_A[depth]) + _wide(SKETCH_B[depth])), F.lit(width).cast("long"))
+    return F.pmod(wrapping_sum([(_c(key), SKETCH_A[depth])], SKETCH_B[depth]), F.lit(width).cast("long"))
 
 
 def sketch_sign(key, depth: int) -> Column:

@@ -1,13 +1,16 @@
 """Sentence vectors from token vectors: a registry of pooling modes.
 
-Token rows are (sent_id, pos, lang_idx, token_id). Vectors are arrays of numbers. Sums are taken per dimension by Spark's
-own aggregation, so that they are combined before the shuffle; lookups are joins that Spark plans by the tables' sizes.
-Tokens without a vector have no part in a mean.
+Tokens come as rows (sent_id, pos, lang_idx, token_id) or, best, as one row per sentence (sent_id, lang_idx, token_ids).
+Vectors are arrays of numbers. Tokens are counted per sentence before any vector is joined to them. A table of vectors of
+checked size goes to every worker and is multiplied in Arrow batches, so that no vector is ever shuffled; a larger one is
+joined, and sums are taken per dimension by Spark's own aggregation, which combines them before the shuffle. Tokens
+without a vector have no part in a mean.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,20 @@ SENT = ["sent_id", "lang_idx"]
 LEAST_COLLAPSE, LEAST_WEIGHT = 1e-3, 1e-6
 
 
+#: Bytes of a table of vectors that goes to every worker whole.
+MOST_TABLE_BYTES = 128 << 20
+
+
+def long_form(tokens: DataFrame) -> DataFrame:
+    """Rows (sent_id, lang_idx, pos, token_id) of either form of tokens."""
+    return tokens.select(*SENT, F.posexplode("token_ids").alias("pos", "token_id")) if "token_ids" in tokens.columns else tokens
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(sent_id, lang_idx, token_id, _c): how often a token stands in a sentence."""
+    return long_form(tokens).groupBy(*SENT, "token_id").agg(F.count("*").alias("_c"))
+
+
 def lookup(tokens: DataFrame, table: DataFrame, on: str | list[str] = "token_id") -> DataFrame:
     return tokens.join(table, on)
 
@@ -31,8 +48,67 @@ def _pool(rows: DataFrame, vector: str, dims: int, weight: Column | None = None,
     return out.select(*SENT, divide("_sum", "_den", least).alias("h"))
 
 
+def _shared_table(table: DataFrame, dims: int):
+    """(keys, matrix) of (_key, _vec), one row per key, as a broadcast, if the table is small enough to be one; else None."""
+    spark = table.sparkSession
+    most = MOST_TABLE_BYTES // (8 * dims)
+    if table.count() > most:
+        return None
+    rows = table.select("_key", F.col("_vec").cast("array<double>").alias("_vec")).toPandas().sort_values("_key")
+    matrix = np.array(rows["_vec"].tolist(), float).reshape(len(rows), dims)
+    return spark.sparkContext.broadcast((rows["_key"].to_numpy("int64"), matrix))
+
+
+def _products(shared):
+    """UDF of (keys, weights, shares): the weighted sum of a row's vectors, how many keys have one, and the sum of their shares."""
+
+    def run(keys: pd.Series, weights: pd.Series, shares: pd.Series) -> pd.Series:
+        known, matrix = shared.value
+        out = np.zeros((len(keys), matrix.shape[1] + 2))
+        for row, (k, w, d) in enumerate(zip(keys, weights, shares)):
+            if k is None or not len(k) or not len(known):
+                continue
+            k = np.asarray(k, "int64")
+            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            found = known[at] == k
+            out[row, :-2] = np.asarray(w, float)[found] @ matrix[at[found]]
+            out[row, -2] = found.sum()
+            out[row, -1] = np.asarray(d, float)[found].sum()
+        return pd.Series(list(out))
+
+    return F.pandas_udf(run, "array<double>")
+
+
+def _ratio(summed: DataFrame, dims: int, least: float) -> DataFrame:
+    return summed.where(F.element_at("_s", -2) > 0).select(*SENT, divide(F.slice("_s", 1, dims), F.element_at("_s", -1), least).alias("h"))
+
+
+def weighted(rows: DataFrame, table: DataFrame, dims: int, least: float) -> DataFrame:
+    """(sent_id, lang_idx, h): sum of ``_w`` times the vector of ``_key`` over the sum of ``_d``, of rows (sent_id, lang_idx, _key, _w, _d).
+
+    ``table`` has (_key, _vec), one row per key. Rows whose key it lacks do not count; a sentence with no other has no row.
+    """
+    shared = _shared_table(table, dims)
+    if shared is not None:
+        lists = rows.groupBy(*SENT).agg(F.collect_list(F.struct("_key", "_w", "_d")).alias("_l"))
+        parts = [F.col(f"_l.{c}") for c in ("_key", "_w", "_d")]
+        summed = lists.select(*SENT, _products(shared)(*parts).alias("_s"))
+        return _ratio(summed, dims, least)
+    few = rows.groupBy(*SENT, "_key").agg(F.sum("_w").alias("_w"), F.sum("_d").alias("_d"))
+    out = few.join(table, "_key").groupBy(*SENT).agg(sum_vectors("_vec", dims, "_w").alias("_sum"), F.sum("_d").alias("_den"))
+    return out.select(*SENT, divide("_sum", "_den", least).alias("h"))
+
+
 def mean(tokens, emb, dims, **_) -> DataFrame:
-    return _pool(lookup(tokens, emb), "vec", dims)
+    table = emb.select(F.col("token_id").cast("long").alias("_key"), F.col("vec").alias("_vec"))
+    if "token_ids" in tokens.columns:
+        shared = _shared_table(table, dims)
+        if shared is not None:  # a sentence is one row already: nothing is shuffled
+            ones = F.transform("token_ids", lambda x: F.lit(1.0))
+            summed = tokens.select(*SENT, _products(shared)(F.col("token_ids").cast("array<long>"), ones, ones).alias("_s"))
+            return _ratio(summed, dims, 1.0)
+    rows = _counted(tokens).select(*SENT, F.col("token_id").cast("long").alias("_key"), F.col("_c").cast("double").alias("_w"), F.col("_c").cast("double").alias("_d"))
+    return weighted(rows, table, dims, 1.0)
 
 
 def centroid(tokens, emb, dims, centroids, **_) -> DataFrame:
@@ -53,19 +129,19 @@ def lowrank(tokens, emb, dims, factors, **_) -> DataFrame:
 
 def bilinear(tokens, emb, dims, codes, code_dims, readout, **_) -> DataFrame:
     """``h + mean code * readout``: (token_id, code) and (lang_idx, readout: code_dims rows of vectors)."""
-    base, code = mean(tokens, emb, dims), _pool(lookup(tokens, codes), "code", code_dims).withColumnRenamed("h", "_code")
+    base, code = mean(tokens, emb, dims), mean(tokens, codes.select("token_id", F.col("code").alias("vec")), code_dims).withColumnRenamed("h", "_code")
     out = base.join(code, SENT).join(readout, "lang_idx")
     delta = F.aggregate(F.zip_with("_code", "readout", lambda c, row: F.transform(row, lambda x: x * c)), F.transform("h", lambda x: F.lit(0.0)), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     return out.select(*SENT, F.zip_with("h", delta, lambda a, b: a + b).alias("h"))
 
 
 def _gate(codes: DataFrame, lang_codes: DataFrame, tokens: DataFrame) -> DataFrame:
-    joined = tokens.join(codes, "token_id").join(lang_codes, "lang_idx")
+    joined = _counted(tokens).join(codes, "token_id").join(lang_codes, "lang_idx")
     return joined.withColumn("_g", 2.0 * sigmoid(dot("code", "lang_code")))
 
 
 def gate(tokens, emb, dims, codes, lang_codes, **_) -> DataFrame:
-    return _pool(lookup(_gate(codes, lang_codes, tokens), emb), "vec", dims, F.col("_g"), LEAST_WEIGHT)
+    return _pool(lookup(_gate(codes, lang_codes, tokens), emb), "vec", dims, F.col("_g") * F.col("_c"), LEAST_WEIGHT)
 
 
 def senses(tokens, emb, dims, codes, lang_codes, probes, sense_vectors, code_dims, hard: bool = False, base: Callable | None = None, **more) -> DataFrame:
@@ -76,7 +152,7 @@ def senses(tokens, emb, dims, codes, lang_codes, probes, sense_vectors, code_dim
     bound = bound.withColumn("_l", logits)
     best = F.array_position("_l", F.array_max("_l"))
     weights = F.transform("_l", lambda x, i: F.when(i + 1 == best, 1.0).otherwise(0.0)) if hard else softmax("_l")
-    mixed = _pool(bound.withColumn("_w8", weights), "_w8", len(probes)).withColumnRenamed("h", "_m")
+    mixed = _pool(bound.withColumn("_w8", weights), "_w8", len(probes), F.col("_c").cast("double")).withColumnRenamed("h", "_m")
     delta = F.array(*[sum((F.col("_m")[k] * float(v[i]) for k, v in enumerate(sense_vectors)), F.lit(0.0)) for i in range(dims)])
     return start.join(mixed, SENT).select(*SENT, F.zip_with("h", delta, lambda a, b: a + b).alias("h"))
 
@@ -87,9 +163,9 @@ def gate_senses(tokens, emb, dims, **more) -> DataFrame:
 
 def split(tokens, emb, dims, rows, gate_value: float = 0.5, **_) -> DataFrame:
     """``(1 - g) E + g row`` where (lang_idx, token_id, row) has one, else ``E``."""
-    joined = lookup(tokens, emb).join(rows, ["lang_idx", "token_id"], "left")
+    joined = lookup(_counted(tokens), emb).join(rows, ["lang_idx", "token_id"], "left")
     mixed = F.when(F.col("row").isNull(), F.col("vec").cast("array<double>")).otherwise(F.zip_with("vec", "row", lambda e, r: e * (1 - gate_value) + r * gate_value))
-    return _pool(joined.withColumn("vec", mixed), "vec", dims)
+    return _pool(joined.withColumn("vec", mixed), "vec", dims, F.col("_c").cast("double"))
 
 
 def fuse(tokens, emb, dims, rows, **_) -> DataFrame:
@@ -100,17 +176,28 @@ def ngram(tokens, emb, dims, table, buckets: int, orders: tuple[int, ...] = (2,)
     """Tokens and hashed n-grams together; with ``gates`` (lang_idx, gate) an n-gram counts by its sigmoid. ``table``: (bucket, row)."""
     from ..functions.keys import ngram_hash
 
-    one = lookup(tokens, emb).select(*SENT, F.col("vec").cast("array<double>").alias("vec"), F.lit(1.0).alias("_g"))
-    w = Window.partitionBy("sent_id").orderBy("pos")
+    one = lookup(_counted(tokens), emb).select(*SENT, F.col("vec").cast("array<double>").alias("vec"), F.col("_c").cast("double").alias("_g"))
     for n in orders:
-        ids = [F.col("token_id"), *[F.lead("token_id", k).over(w) for k in range(1, n)]]
-        grams = tokens.select(*SENT, *[c.alias(f"_{k}") for k, c in enumerate(ids)]).where(F.col(f"_{n - 1}").isNotNull())
-        found = grams.withColumn("bucket", ngram_hash([f"_{k}" for k in range(n)], buckets)).join(table, "bucket")
-        found = found.join(gates, "lang_idx").withColumn("_g", sigmoid("gate")) if gates is not None else found.withColumn("_g", F.lit(1.0))
+        names = [f"_{k}" for k in range(n)]
+        grams = token_grams(tokens, n).groupBy(*SENT, *names).agg(F.count("*").alias("_c"))
+        found = grams.withColumn("bucket", ngram_hash(names, buckets)).join(table, "bucket")
+        found = found.join(gates, "lang_idx").withColumn("_g", sigmoid("gate") * F.col("_c")) if gates is not None else found.withColumn("_g", F.col("_c").cast("double"))
         one = one.unionByName(found.select(*SENT, F.col("row").cast("array<double>").alias("vec"), "_g"))
     return _pool(one, "vec", dims, F.col("_g"), LEAST_WEIGHT)
 
 
+def token_grams(tokens: DataFrame, n: int) -> DataFrame:
+    """(sent_id, lang_idx, _0, ..., _n-1): every run of ``n`` tokens; from arrays without a shuffle, else by a window."""
+    if "token_ids" in tokens.columns:
+        t = F.col("token_ids")
+        runs = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n)))
+        grams = tokens.select(*SENT, F.explode(runs).alias("_gram"))
+        return grams.select(*SENT, *[F.col("_gram")[k].alias(f"_{k}") for k in range(n)])
+    w = Window.partitionBy("sent_id").orderBy("pos")
+    ids = [F.col("token_id"), *[F.lead("token_id", k).over(w) for k in range(1, n)]]
+    return tokens.select(*SENT, *[c.alias(f"_{k}") for k, c in enumerate(ids)]).where(F.col(f"_{n - 1}").isNotNull())
+
+
 def wordpool(tokens, emb, dims, **_) -> DataFrame:
     """Mean over words of the mean over their pieces; ``tokens`` has ``word``."""
     words = lookup(tokens, emb).groupBy(*SENT, "word").agg(sum_vectors("vec", dims).alias("_s"), F.count("*").alias("_n"))
@@ -119,17 +206,18 @@ def wordpool(tokens, emb, dims, **_) -> DataFrame:
 
 def vocabmoe(tokens, emb, dims, slots, mixture, **_) -> DataFrame:
     """``E + sum of the language's shares times the token's deltas``: (token_id, deltas: vectors) and (lang_idx, pi)."""
-    joined = lookup(tokens, emb).join(slots, "token_id", "left").join(mixture, "lang_idx", "left")
+    joined = lookup(_counted(tokens), emb).join(slots, "token_id", "left").join(mixture, "lang_idx", "left")
     parts = F.zip_with("pi", "deltas", lambda p, d: F.transform(d, lambda x: x * p))
     delta = F.aggregate(parts, F.transform("vec", lambda x: F.lit(0.0)), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     mixed = F.when(F.col("deltas").isNull() | F.col("pi").isNull(), F.col("vec").cast("array<double>")).otherwise(F.zip_with("vec", delta, lambda a, b: a + b))
-    return _pool(joined.withColumn("vec", mixed), "vec", dims)
+    return _pool(joined.withColumn("vec", mixed), "vec", dims, F.col("_c").cast("double"))
 
 
 def idfpool(tokens, emb, dims, weights, **_) -> DataFrame:
     """Weighted by (lang_idx, token_id, weight); tokens without a weight count 0."""
-    joined = lookup(tokens, emb).join(weights, ["lang_idx", "token_id"], "left")
-    return _pool(joined, "vec", dims, F.coalesce(F.col("weight"), F.lit(0.0)), LEAST_WEIGHT)
+    w = (F.coalesce(F.col("weight"), F.lit(0.0)) * F.col("_c")).alias("_w")
+    joined = _counted(tokens).join(weights, ["lang_idx", "token_id"], "left").select(*SENT, F.col("token_id").cast("long").alias("_key"), w, w.alias("_d"))
+    return weighted(joined, emb.select(F.col("token_id").cast("long").alias("_key"), F.col("vec").alias("_vec")), dims, LEAST_WEIGHT)
 
 
 def adjacent(tokens: DataFrame) -> DataFrame:
@@ -151,45 +239,63 @@ def edge_codes(emb: DataFrame, left, right, weight) -> DataFrame:
 
 
 def route(pairs: DataFrame, base: int, exact: DataFrame | None = None, hashed: DataFrame | None = None, buckets: int = 0, codes: DataFrame | None = None) -> DataFrame:
-    """Pairs with the ``score`` and ``m`` (vector) of their row: the exact table (pair_key, score, m) first, the hashed one
-    (bucket, score, m) for those it lacks. A pair with neither is dropped: it is a boundary. With ``codes``, see
-    ``edge_codes``, the product of the two tokens' codes is added to the score; a token without a vector has none."""
-    keyed = pairs.withColumn("pair_key", pair_key("left", "right", base)).withColumn("_edge", F.lit(0.0))
-    if codes is not None:  # before the rows' vectors are joined, which are wide
-        side = lambda name: codes.select(F.col("token_id").alias(name), F.col(f"{name}_code").alias(f"_{name}"))
-        keyed = keyed.join(side("left"), "left").join(side("right"), "right").withColumn("_edge", dot("_left", "_right")).drop("_left", "_right")
+    """Pairs with their ``score`` and the key of their row, ``_row``: the exact table (pair_key, score, ...) first (four times the
+    pair's key and 1), the hashed one (bucket, score, ...) for those it lacks (four times the bucket and 2). A pair with
+    neither is dropped: it is a boundary. With ``codes``, see ``edge_codes``, the product of the two tokens' codes is added
+    to the score; a token without a vector has none."""
+    keyed = pairs.withColumn("pair_key", pair_key("left", "right", base)).withColumns({"_xs": F.lit(None).cast("double"), "_row": F.lit(None).cast("long")})
     if exact is not None:
-        keyed = keyed.join(exact.select("pair_key", F.col("score").alias("_xs"), F.col("m").alias("_xm")), "pair_key", "left")
-    else:
-        keyed = keyed.withColumn("_xs", F.lit(None).cast("double")).withColumn("_xm", F.lit(None).cast("array<double>"))
+        keyed = keyed.drop("_xs", "_row").join(exact.select("pair_key", F.col("score").cast("double").alias("_xs")), "pair_key", "left")
+        keyed = keyed.withColumn("_row", F.when(F.col("_xs").isNotNull(), F.col("pair_key") * 4 + 1))
     if hashed is not None:
-        miss = F.when(F.col("_xs").isNull(), pair_hash("left", "right", buckets))
-        keyed = keyed.withColumn("bucket", miss).join(hashed.select("bucket", F.col("score").alias("_hs"), F.col("m").alias("_hm")), "bucket", "left")
-        keyed = keyed.withColumn("_xs", F.coalesce("_xs", "_hs")).withColumn("_xm", F.coalesce(F.col("_xm").cast("array<double>"), F.col("_hm").cast("array<double>")))
-    return keyed.where("_xs IS NOT NULL").select(*SENT, "pos", "pair_key", (F.col("_xs") + F.col("_edge")).alias("score"), F.col("_xm").alias("m"))
+        keyed = keyed.withColumn("bucket", F.when(F.col("_xs").isNull(), pair_hash("left", "right", buckets))).join(hashed.select("bucket", F.col("score").cast("double").alias("_hs")), "bucket", "left")
+        keyed = keyed.withColumn("_row", F.coalesce("_row", F.when(F.col("_hs").isNotNull(), F.col("bucket").cast("long") * 4 + 2))).withColumn("_xs", F.coalesce("_xs", "_hs")).drop("bucket", "_hs")
+    keyed = keyed.where("_xs IS NOT NULL")
+    if codes is not None:  # once per pair that occurs, however often it does
+        side = lambda name: codes.select(F.col("token_id").alias(name), F.col(f"{name}_code").alias(f"_{name}"))
+        edges = keyed.select("left", "right").distinct().join(side("left"), "left").join(side("right"), "right").select("left", "right", dot("_left", "_right").alias("_edge"))
+        keyed = keyed.join(edges, ["left", "right"]).withColumn("_xs", F.col("_xs") + F.col("_edge")).drop("_edge")
+    return keyed.withColumnRenamed("_xs", "score")
+
+
+def _biased(routed: DataFrame, bias: DataFrame | None, shared_bias: float | None) -> DataFrame:
+    if bias is not None and shared_bias is None:
+        return routed.join(bias, "lang_idx", "left").withColumn("score", F.col("score") + F.coalesce("bias", F.lit(0.0)))
+    return routed.withColumn("score", F.col("score") + shared_bias) if shared_bias is not None else routed
 
 
 def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int = 0, bias: DataFrame | None = None, shared_bias: float | None = None, hard: Callable | None = None, codes: DataFrame | None = None, **_) -> DataFrame:
     """``N / D``: tokens count 1 less half of what the pairs they are in take, pairs count their gate; ``D`` is tokens less gates.
 
-    The gate is the sigmoid of the pair's score and the language's bias, or ``shared_bias``. One pass adds token and pair
-    rows of a sentence: a pair's gate p takes p/2 of both its tokens' vectors and gives p of its own. With ``hard``, which
-    sets gates of 0 and 1 that share no token, a pair replaces its tokens.
+    The gate is the sigmoid of the pair's score and the language's bias, or ``shared_bias``: it depends on pair and
+    language only. So pairs are counted per sentence, routed by their scores alone, and take half their gate from each of
+    their two tokens; vectors come in last, once per token or pair of a sentence. With ``hard``, which sets gates of 0 and
+    1 that share no token, a pair replaces its tokens, and places are kept.
     """
-    routed = route(adjacent(tokens), base, exact, hashed, buckets, codes)
-    if bias is not None and shared_bias is None:
-        routed = routed.join(bias, "lang_idx", "left").withColumn("score", F.col("score") + F.coalesce("bias", F.lit(0.0)))
-    elif shared_bias is not None:
-        routed = routed.withColumn("score", F.col("score") + shared_bias)
-    routed = routed.withColumn("p", sigmoid("score"))
+    tables = [emb.select((F.col("token_id").cast("long") * 4).alias("_key"), F.col("vec").cast("array<double>").alias("_vec"))]
+    if exact is not None:
+        tables.append(exact.select((F.col("pair_key") * 4 + 1).alias("_key"), F.col("m").cast("array<double>").alias("_vec")))
+    if hashed is not None:
+        tables.append(hashed.select((F.col("bucket").cast("long") * 4 + 2).alias("_key"), F.col("m").cast("array<double>").alias("_vec")))
+    table = reduce(DataFrame.unionByName, tables)
+    taken = 0.5 if hard is None else 1.0
+    if hard is None:
+        pairs = token_grams(tokens, 2).groupBy(*SENT, F.col("_0").alias("left"), F.col("_1").alias("right")).agg(F.count("*").alias("_c"))
+    else:
+        pairs = adjacent(long_form(tokens)).withColumn("_c", F.lit(1))
+    routed = _biased(route(pairs, base, exact, hashed, buckets, codes), bias, shared_bias).withColumn("p", sigmoid("score"))
     if hard is not None:
         routed = hard(routed)
-    taken = routed.select("sent_id", F.explode(F.array("pos", F.col("pos") + 1)).alias("pos"), (F.col("p") * (0.5 if hard is None else 1.0)).alias("_t"))
-    taken = taken.groupBy("sent_id", "pos").agg(F.sum("_t").alias("_t"))
-    own = lookup(tokens, emb).join(taken, ["sent_id", "pos"], "left").select(*SENT, F.col("vec").cast("array<double>").alias("v"), (1.0 - F.coalesce("_t", F.lit(0.0))).alias("w"), F.lit(1.0).alias("d"))
-    pairs = routed.select(*SENT, F.col("m").cast("array<double>").alias("v"), F.col("p").alias("w"), (-F.col("p")).alias("d"))
-    out = own.unionByName(pairs).groupBy(*SENT).agg(sum_vectors("v", dims, "w").alias("_n"), F.sum("d").alias("_d"))
-    return out.select(*SENT, divide("_n", "_d", LEAST_COLLAPSE).alias("h"))
+    p = F.col("p") * F.col("_c")
+    zero = F.lit(0.0)
+    parts = F.array(
+        F.struct(F.col("_row").alias("_key"), p.alias("_w"), (-p).alias("_d")),
+        F.struct((F.col("left").cast("long") * 4).alias("_key"), (-taken * p).alias("_w"), zero.alias("_d")),
+        F.struct((F.col("right").cast("long") * 4).alias("_key"), (-taken * p).alias("_w"), zero.alias("_d")),
+    )
+    routed = routed.where("p > 0").select(*SENT, F.explode(parts).alias("_x")).select(*SENT, "_x.*")
+    own = long_form(tokens).select(*SENT, (F.col("token_id").cast("long") * 4).alias("_key"), F.lit(1.0).alias("_w"), F.lit(1.0).alias("_d"))
+    return weighted(own.unionByName(routed), table, dims, LEAST_COLLAPSE)
 
 
 def _map_pairs(routed: DataFrame) -> DataFrame:
@@ -220,7 +326,7 @@ def collapse_online_compiled(tokens, emb, dims, exact, **more) -> DataFrame:
 
 def collapse_reclaimed(tokens, emb, dims, rules, **more) -> DataFrame:
     """Reclaimed tokens (token_id, left, right) are taken apart first, and places closed up."""
-    parts = tokens.join(rules.select("token_id", F.col("left").alias("_l"), F.col("right").alias("_r")), "token_id", "left")
+    parts = long_form(tokens).join(rules.select("token_id", F.col("left").alias("_l"), F.col("right").alias("_r")), "token_id", "left")
     ids = F.when(F.col("_l").isNull(), F.array("token_id")).otherwise(F.array("_l", "_r"))
     wide = parts.select(*SENT, "pos", F.posexplode(ids).alias("_k", "token_id"))
     at = F.row_number().over(Window.partitionBy("sent_id").orderBy("pos", "_k")) - 1
@@ -231,8 +337,12 @@ def collapse_recursive(tokens, emb, dims, rules: list[dict], **more) -> DataFram
     """Tokens merged by the rules first; ``emb`` has the merged tokens' vectors too."""
     from .matching import retokenize
 
-    lists = tokens.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
-    merged = lists.select(*SENT, F.posexplode(retokenize(F.transform("_t", lambda t: t["token_id"].cast("int")), rules)).alias("pos", "token_id"))
+    if "token_ids" in tokens.columns:
+        lists = tokens.select(*SENT, F.col("token_ids").cast("array<int>").alias("_t"))
+    else:
+        placed = tokens.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
+        lists = placed.select(*SENT, F.transform("_t", lambda t: t["token_id"].cast("int")).alias("_t"))
+    merged = lists.select(*SENT, retokenize("_t", rules).alias("token_ids"))
     return collapse(merged, emb, dims, **more) if "base" in more else mean(merged, emb, dims)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import lower_positive_rate, open_probability
+from ..storage import materialize
 from .discovery import roll_up
 
+# Outcomes in the order in which they are tested.
 REASONS = ("already_exact", "not_consecutive", "nonpositive_utility", "insufficient_support", "no_supported_positive_language")
 
 
@@ -27,11 +29,21 @@ def promote(records: DataFrame, budget: int, min_support: int = 32, per_language
     the best others of ``min_support``. Top-k limits come before ranks over all, so no rank is taken of more than
     ``budget`` rows in one task.
     """
-    pairs = roll_up(records).where((F.col("utility") > 0) & (F.col("utility") >= min_utility)).select("pair_key", "utility", "support")
+    records = materialize(records)
+    return _promote(records, materialize(_eligible(records, min_utility)), budget, min_support, per_language_quota, per_language_min_support)
+
+
+def _eligible(records: DataFrame, min_utility: float) -> DataFrame:
+    return roll_up(records).where((F.col("utility") > 0) & (F.col("utility") >= min_utility)).select("pair_key", "utility", "support")
+
+
+def _promote(records: DataFrame, pairs: DataFrame, budget: int, min_support: int, quota: int, per_language_min_support: int) -> DataFrame:
+    if quota <= 0:
+        return pairs.where(F.col("support") >= min_support).orderBy(*_order()).limit(budget).withColumn("reserved", F.lit(False))
     own = records.select("pair_key", "lang_idx", F.col("utility").alias("_u"), F.col("support").alias("_n")).where(f"_u > 0 AND _n >= {per_language_min_support}")
     at = F.row_number().over(Window.partitionBy("lang_idx").orderBy(F.desc("_u"), F.desc("_n"), "pair_key"))
-    wanted = own.join(pairs.select("pair_key"), "pair_key", "left_semi").withColumn("_at", at).where(F.col("_at") <= per_language_quota).select("pair_key").distinct()
-    reserved = pairs.join(wanted, "pair_key", "left_semi").orderBy(*_order()).limit(budget).withColumn("reserved", F.lit(True))
+    wanted = own.join(pairs.select("pair_key"), "pair_key", "left_semi").withColumn("_at", at).where(F.col("_at") <= quota).select("pair_key").distinct()
+    reserved = materialize(pairs.join(wanted, "pair_key", "left_semi").orderBy(*_order()).limit(budget).withColumn("reserved", F.lit(True)))
     rest = pairs.where(F.col("support") >= min_support).join(reserved.select("pair_key"), "pair_key", "left_anti")
     rest = rest.orderBy(*_order()).limit(budget).withColumn("reserved", F.lit(False))
     # reserved pairs first, then by rank: the first ``budget`` of at most twice as many rows
@@ -46,20 +58,32 @@ def memberships(records: DataFrame, selected: DataFrame, per_language_quota: int
     return ranked.where(F.col("_at") <= per_language_quota).select("pair_key", "lang_idx")
 
 
-def audit(records: DataFrame, budget: int, min_support: int, quota: int, per_language_min_support: int, min_utility: float = 0.0) -> DataFrame:
-    """One row: utility of the selection with the quota and without, what the quota displaced, and how full it is.
+def audit(records: DataFrame, budget: int, min_support: int, quota: int, per_language_min_support: int, min_utility: float = 0.0, capacity: int | None = None, languages: int | None = None) -> DataFrame:
+    """One row: utility of the selection with the quota and without, what the quota displaced, and how full tables are.
 
-    ``saturation`` is the utility displaced over that without the quota, at most 1; ``occupancy`` the reserved share of
-    the budget.
+    ``saturation`` is the number of pair-language records over the candidate table's ``capacity``, null without one.
+    ``memberships`` counts the (pair, language) reservations, ``occupancy`` their share of ``quota`` places for each of
+    ``languages`` (those that have a record, unless given), 0 without places.
     """
-    free = promote(records, budget, min_support, 0, per_language_min_support, min_utility)
-    held = promote(records, budget, min_support, quota, per_language_min_support, min_utility)
+    records = materialize(records)
+    pairs = materialize(_eligible(records, min_utility))
+    free = materialize(_promote(records, pairs, budget, min_support, 0, per_language_min_support))
+    held = materialize(_promote(records, pairs, budget, min_support, quota, per_language_min_support))
     a = free.agg(F.coalesce(F.sum("utility"), F.lit(0.0)).alias("global_utility"), F.count("*").alias("global_pairs"))
     b = held.agg(F.coalesce(F.sum("utility"), F.lit(0.0)).alias("reserved_utility"), F.count("*").alias("selected_pairs"), F.count_if("reserved").alias("reserved_pairs"))
     c = held.join(free.select("pair_key"), "pair_key", "left_anti").agg(F.count("*").alias("reservation_only"))
     d = free.join(held.select("pair_key"), "pair_key", "left_anti").agg(F.count("*").alias("global_only"))
-    one = a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(d))  # a row each
-    return one.withColumn("displaced_utility", F.col("global_utility") - F.col("reserved_utility")).withColumn("occupancy", F.col("reserved_pairs") / F.lit(budget))
+    e = records.agg(F.count("*").alias("records"), F.count_distinct("lang_idx").alias("languages"))
+    f = memberships(records, held, quota, per_language_min_support).agg(F.count("*").alias("memberships"), F.count_distinct("lang_idx").alias("languages_reserved"))
+    one = a
+    for other in (b, c, d, e, f):
+        one = one.join(F.broadcast(other))  # a row each
+    places = quota * (F.lit(languages) if languages is not None else F.col("languages"))
+    return one.withColumns({
+        "displaced_utility": F.col("global_utility") - F.col("reserved_utility"),
+        "saturation": F.col("records") / F.lit(capacity).cast("double"),
+        "occupancy": F.when(places > 0, F.col("memberships") / places).otherwise(0.0),
+    })
 
 
 def select_external(records: DataFrame, keys: DataFrame, minimum_support: int) -> DataFrame:
@@ -140,33 +164,32 @@ def balanced_growth(prev: DataFrame, cur: DataFrame, existing: DataFrame, limit:
 
     A pair counts for a language that has positive utility and support in both windows; its share there is the lesser of
     its shares of the language's utility. Languages take their quota in the order of their indices, skipping pairs taken
-    before; what is left is filled by share. Only the best ``limit`` rows of each language and of all can be taken, so only
-    these, at most ``limit * (languages + 1)``, reach the driver, where the turns are taken.
+    before; what is left is filled by share. The turns are found in rounds: each language takes its best pairs except
+    those that an earlier one took in the round before, until no round changes anything. After k rounds the first k
+    languages are final, and the only state that does not change is that of taking turns one by one; mostly a few rounds do.
     """
     fine = stable_growth(prev, cur, existing, min_support, per_language_min_support).where("outcome = 'selected'").select("pair_key")
     good = lambda df, name: df.where((F.col("utility") > 0) & (F.col("support") >= per_language_min_support)).select("pair_key", "lang_idx", F.col("utility").alias(name))
-    both = good(prev, "a").join(good(cur, "b"), ["pair_key", "lang_idx"]).join(fine, "pair_key", "left_semi")
-    per = Window.partitionBy("lang_idx")
-    both = both.withColumn("share", F.least(F.col("a") / F.sum("a").over(per), F.col("b") / F.sum("b").over(per)))
-    at = F.row_number().over(per.orderBy(F.desc("share"), "pair_key"))
-    ranked = both.withColumn("at", at).where(F.col("at") <= limit).select("pair_key", "lang_idx", "share").collect()
-    best = both.groupBy("pair_key").agg(F.max_by("lang_idx", F.struct("share", -F.col("lang_idx"))).alias("lang_idx"), F.max("share").alias("share"))
-    fill = best.orderBy(F.desc("share"), "pair_key").limit(limit).collect()
-    by_language: dict[int, list] = {}
-    for r in ranked:
-        by_language.setdefault(r["lang_idx"], []).append(r)
-    taken: dict[int, tuple] = {}
-    quota, more = divmod(limit, max(1, len(by_language)))
-    for turn, lang in enumerate(sorted(by_language)):
-        room = quota + (turn < more)
-        for r in sorted(by_language[lang], key=lambda r: (-r["share"], r["pair_key"])):
-            if room == 0:
-                break
-            if r["pair_key"] not in taken:
-                taken[r["pair_key"]] = (r["pair_key"], lang, r["share"], "language")
-                room -= 1
-    for r in sorted(fill, key=lambda r: (-r["share"], r["pair_key"])):
-        if len(taken) >= limit:
+    both = materialize(good(prev, "a").join(good(cur, "b"), ["pair_key", "lang_idx"]).join(fine, "pair_key", "left_semi"))
+    sums = both.groupBy("lang_idx").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))  # one row per language
+    both = materialize(both.join(sums, "lang_idx").select("pair_key", "lang_idx", F.least(F.col("a") / F.col("_a"), F.col("b") / F.col("_b")).alias("share")))
+    spark = cur.sparkSession
+    present = sorted(r["lang_idx"] for r in both.select("lang_idx").distinct().collect())  # languages of a model
+    each, more = divmod(limit, max(1, len(present)))
+    quotas = spark.createDataFrame([(lang, each + (turn < more)) for turn, lang in enumerate(present)], "lang_idx int, quota int")
+    at = F.row_number().over(Window.partitionBy("lang_idx").orderBy(F.desc("share"), "pair_key"))
+    taken, before = spark.createDataFrame([], "pair_key long, owner int"), None
+    for _ in range(len(present) + 1):
+        open_ = both.join(taken, "pair_key", "left").where(F.col("owner").isNull() | (F.col("owner") >= F.col("lang_idx")))
+        # a constant bound of the rank lets Spark cut each task's rows before they are shuffled
+        chosen = open_.withColumn("at", at).where(F.col("at") <= each + 1).join(quotas, "lang_idx").where("at <= quota").select("pair_key", "lang_idx", "share")
+        chosen = materialize(chosen)
+        taken = materialize(chosen.groupBy("pair_key").agg(F.min("lang_idx").alias("owner")))
+        now = chosen.agg(F.count("*"), F.sum(F.xxhash64("pair_key", "lang_idx").cast("decimal(38,0)"))).head()
+        if before == now:
             break
-        taken.setdefault(r["pair_key"], (r["pair_key"], r["lang_idx"], r["share"], "backfill"))
-    return cur.sparkSession.createDataFrame(list(taken.values()), "pair_key long, lang_idx int, share double, via string")
+        before = now
+    turns = chosen.withColumn("via", F.lit("language"))
+    best = both.join(turns.select("pair_key"), "pair_key", "left_anti").groupBy("pair_key").agg(F.max_by("lang_idx", F.struct("share", -F.col("lang_idx"))).alias("lang_idx"), F.max("share").alias("share"))
+    left = limit - turns.count()
+    return turns.unionByName(best.orderBy(F.desc("share"), "pair_key").limit(max(0, left)).withColumn("via", F.lit("backfill")))

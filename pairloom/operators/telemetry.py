@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import BETA, GAMMA, ZETA, sigmoid
+from .ranking import quantiles
+
 
 def ratio(a, b) -> Column:
     """0 where the divisor is 0 or null."""
@@ -21,21 +26,28 @@ def window_metrics(steps: DataFrame, interval: int = 100, step: str = "step") ->
     return w.withColumn("compression", ratio("effective_tokens", "base_tokens")).withColumn("hit_rate", ratio("hits", "candidate_pairs")).withColumn("merge_rate", ratio("merged", "candidate_pairs"))
 
 
-def statistics(values: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, population deviation, least, median, greatest and share of positive values; groups without values have none."""
+def _with_quantiles(values: DataFrame, value: str, by: str, aggregates: list[Column], shares: dict[str, float]) -> DataFrame:
+    simple = values.where(F.col(value).isNotNull()).groupBy(by).agg(*aggregates).alias("a")
+    exact = quantiles(values, value, by, shares).alias("q")
+    joined = simple.join(exact, F.col(f"a.{by}").eqNullSafe(F.col(f"q.{by}")))
+    return joined.select("a.*", *[f"q.{name}" for name in shares])
+
+
+def statistics(values: DataFrame, value: str, by: str) -> DataFrame:
+    """Mean, population deviation, least, median, greatest and share of positive values; groups without values have none.
+
+    The median is exact and found by places in a sorted order, so a group of any size is spread over tasks.
+    """
     x = F.col(value)
-    return values.where(x.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.percentile(x, 0.5).alias("median"), F.max(x).alias("greatest"),
-        F.avg((x > 0).cast("double")).alias("positive"),
-    )
+    plain = [F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("greatest"), F.avg((x > 0).cast("double")).alias("positive")]
+    return _with_quantiles(values, value, by, plain, {"median": 0.5})
 
 
-def latency(values: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, sample deviation (0 for one value), median and deciles, interpolated."""
+def latency(values: DataFrame, value: str, by: str) -> DataFrame:
+    """Mean, sample deviation (0 for one value), median and deciles, interpolated and exact."""
     x = F.col(value)
-    return values.where(x.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.1).alias("p10"), F.percentile(x, 0.9).alias("p90")
-    )
+    plain = [F.count("*").alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std")]
+    return _with_quantiles(values, value, by, plain, {"median": 0.5, "p10": 0.1, "p90": 0.9})
 
 
 def gradient_norms(values: DataFrame, value: str, tensor: str, group: str) -> DataFrame:
@@ -67,5 +79,39 @@ def fusion_penalty(rows: DataFrame, dims: int, token: str = "token_id", vector:
     return rows.join(centers, token).agg(F.avg(euclidean(vector, "_c")).alias("penalty"))
 
 
+def usage(routed: DataFrame, tokens: DataFrame, step: str = "step") -> DataFrame:
+    """Per step what ``window_metrics`` adds up: (step, base_tokens, candidate_pairs, hits, merged).
+
+    ``tokens`` has a row per token (step, sent_id), ``routed`` a row per pair with a row of its own (step, p): a pair's gate,
+    0 or 1 under a matching. Candidate pairs are the places between tokens of a sentence.
+    """
+    counted = tokens.groupBy(step, "sent_id").agg(F.count("*").alias("_n")).groupBy(step).agg(F.sum("_n").alias("base_tokens"), F.sum(F.col("_n") - 1).alias("candidate_pairs"))
+    used = routed.groupBy(step).agg(F.count("*").alias("hits"), F.sum("p").alias("merged"))
+    return counted.join(used, step, "left").na.fill(0, ["hits", "merged"])
+
+
+def touched(routed: DataFrame, bucket: str, interval: int = 100, step: str = "step", least: float = 0.5) -> DataFrame:
+    """Per window the distinct buckets that pairs were routed to, and those selected with a gate of ``least`` or more."""
+    w = routed.groupBy(F.floor(F.col(step) / interval).alias("window_id"), bucket).agg(F.max("p").alias("_p"))
+    return w.groupBy("window_id").agg(F.count(bucket).alias("touched"), F.count_if((F.col("_p") >= least) & F.col(bucket).isNotNull()).alias("selected"))
+
+
+def expected_l0(scores: DataFrame, bias: DataFrame, beta: float = BETA, gamma: float = GAMMA, zeta: float = ZETA) -> DataFrame:
+    """One row: the mean probability that a hard-concrete gate is open, of pair scores (score) at the languages' mean bias (bias).
+
+    Constants out of bounds are an error; so are scores or biases that are none, or not finite.
+    """
+    if not (beta > 0 and gamma < 0 < 1 < zeta):
+        raise ValueError("hard-concrete constants out of bounds")
+    bad = lambda df, c: df.agg(F.count("*").alias("n"), F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias("bad")).head()
+    for df, c in ((scores, "score"), (bias, "bias")):
+        found = bad(df, c)
+        if not found["n"] or found["bad"]:
+            raise ValueError(f"{c} is empty or not finite")
+    mean = bias.agg(F.avg("bias").alias("_b"))
+    shift = beta * math.log(-gamma / zeta)
+    return scores.join(F.broadcast(mean)).agg(F.avg(sigmoid(F.col("score") + F.col("_b") - shift)).alias("expected_l0"))  # one row
+
+
 def mean_probability(pairs: DataFrame, p: str = "p") -> DataFrame:
     return pairs.agg(F.coalesce(F.avg(p), F.lit(0.0)).alias("mean_probability"))

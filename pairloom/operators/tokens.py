@@ -6,21 +6,19 @@ come in long form.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def words(text) -> Column:
-    """ASCII words of a text, in lower case; null text gives null."""
-    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit("[a-z]+"), F.lit(0))
+MOST_RULES = 5_000_000
 
 
 #: Scripts without spaces between words.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
-def all_words(text) -> Column:
-    """Words of every script, in lower case: letters with their marks, and single letters where words are not spaced."""
+def words(text) -> Column:
+    """Words of every script, in lower case: letters with their marks, and single letters where words are not spaced; null text gives null."""
     pattern = rf"[\p{{L}}&&[{UNSPACED}]]\p{{M}}*|(?:[\p{{L}}\p{{M}}&&[^{UNSPACED}]])+"
     return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(pattern), F.lit(0))
 
@@ -97,21 +95,30 @@ def drop_tokens(df: DataFrame, tokens: str, ignored: list) -> DataFrame:
 def split_markers(df: DataFrame, tokens: str, markers: DataFrame, keep_marker: bool = False) -> DataFrame:
     """``lang_idx`` of the marker that opens each array (-1 if none is known) and the array without it.
 
-    ``markers`` has (marker, lang_idx), one row per language.
+    ``markers`` has (marker, lang_idx), one row per language; Spark plans the join by its size.
     """
     first = F.try_element_at(tokens, F.lit(1))
-    out = df.withColumn("marker", first).join(F.broadcast(markers), "marker", "left")
+    out = df.withColumn("marker", first).join(markers, "marker", "left")
     known = F.col("lang_idx").isNotNull()
     body = F.col(tokens) if keep_marker else F.when(known, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(F.col(tokens))
     return out.withColumn(tokens, body).withColumn("lang_idx", F.coalesce("lang_idx", F.lit(-1))).drop("marker")
 
 
-def expand_reclaimed(df: DataFrame, tokens: str, rules: DataFrame) -> DataFrame:
-    """Arrays in which each token with a row in ``rules`` (token_id, left, right) is replaced by its two parts.
+def expand_reclaimed(df: DataFrame, tokens: str, rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """Arrays in which each token with a row in ``rules`` (token_id, left, right) is replaced by its two parts; places close up.
 
-    The rules, one row per reclaimed token, are collected into one map column; places close up by themselves.
+    Rules, one per reclaimed token, are checked to be at most ``most`` and looked up in a hash table per worker; more are an
+    error, and then ``pooling.collapse_reclaimed`` joins them to the long form. A token with two rules is an error.
     """
-    table = rules.agg(F.map_from_entries(F.collect_list(F.struct("token_id", F.struct("left", "right")))).alias("_rules"))
-    parts = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_rules", t), F.struct(t.alias("left"), F.lit(None).cast("int").alias("right"))))
-    flat = F.flatten(F.transform(parts, lambda p: F.when(p["right"].isNull(), F.array(p["left"])).otherwise(F.array(p["left"], p["right"]))))
-    return df.join(F.broadcast(table)).withColumn(tokens, flat).drop("_rules")
+    rows = rules.select("token_id", "left", "right").limit(most + 1).collect()
+    table = {r["token_id"]: (r["left"], r["right"]) for r in rows}
+    if len(rows) > most or len(table) < len(rows):
+        raise ValueError("too many rules for one worker, or two for one token")
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    kind = df.schema[tokens].dataType
+
+    def run(batch: pd.Series) -> pd.Series:
+        parts = shared.value
+        return batch.map(lambda x: None if x is None else [y for t in x for y in parts.get(t, (t,))])
+
+    return df.withColumn(tokens, F.pandas_udf(run, kind)(tokens))

@@ -7,34 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import cantor_key, key_left, key_right, pair_hash
 from ..storage import materialize
+from .ranking import running
 
 
 def assign_slots(keys: DataFrame, base: int, buckets: int) -> DataFrame:
     """(pair_key, bucket, slot, moved): the smallest key of each bucket keeps it, the others move to the smallest free ones in key order.
 
-    Free buckets are paired with movers by rank; there are at most ``buckets`` of either. A mover without a free bucket
-    has a null slot.
+    Free buckets are paired with movers by their places in the two orders, which are found by ranges. More keys than
+    buckets are an error, since some mover would have no slot.
     """
-    hashed = keys.select("pair_key").distinct().withColumn("bucket", pair_hash(key_left("pair_key", base), key_right("pair_key", base), buckets))
+    hashed = keys.select("pair_key").where("pair_key IS NOT NULL").distinct().withColumn("bucket", pair_hash(key_left("pair_key", base), key_right("pair_key", base), buckets))
     at = F.row_number().over(Window.partitionBy("bucket").orderBy("pair_key"))
-    ranked = hashed.withColumn("_at", at)
+    ranked = materialize(hashed.withColumn("_at", at))
+    if ranked.count() > buckets:
+        raise ValueError(f"more keys than the {buckets} buckets")
     free = keys.sparkSession.range(buckets).withColumnRenamed("id", "slot").join(ranked.select("bucket").distinct(), F.col("slot") == F.col("bucket"), "left_anti")
-    one = Window.partitionBy(F.lit(0))  # over buckets, whose number is fixed
-    movers = ranked.where("_at > 1").withColumn("_m", F.row_number().over(one.orderBy("pair_key")))
-    free = free.withColumn("_m", F.row_number().over(one.orderBy("slot")))
+    movers = running(ranked.where("_at > 1").select("pair_key", "bucket"), ["pair_key"], place="_m")
+    free = running(free, ["slot"], place="_m")
     kept = ranked.where("_at = 1").select("pair_key", "bucket", F.col("bucket").alias("slot"), F.lit(False).alias("moved"))
-    return kept.unionByName(movers.join(free, "_m", "left").select("pair_key", "bucket", "slot", F.lit(True).alias("moved")))
+    return kept.unionByName(movers.join(free, "_m").select("pair_key", "bucket", "slot", F.lit(True).alias("moved")))
 
 
 def compact(slots: DataFrame) -> DataFrame:
-    """(pair_key, old_slot, slot): slots renumbered from 0 in key order, in blocks of keys so that no task sorts them all."""
-    parts = max(1, int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = slots.select("pair_key", F.col("slot").alias("old_slot")).repartitionByRange(parts, "pair_key").withColumn("_b", F.spark_partition_id())
-    ranged = materialize(ranged)  # ranges are drawn from a sample: made again, they might differ
-    counts = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy("pair_key"))
-    return ranged.withColumn("_at", at).join(F.broadcast(before), "_b").select("pair_key", "old_slot", (F.col("_before") + F.col("_at") - 1).alias("slot"))
+    """(pair_key, old_slot, slot): slots renumbered from 0 in key order, by ranges of keys so that no task sorts them all."""
+    return running(slots.select("pair_key", F.col("slot").alias("old_slot")), ["pair_key"], place="slot").select("pair_key", "old_slot", "slot")
 
 
 def fold_rows(table: DataFrame, row: str, vector: str, rows: int, dims: int) -> DataFrame:
@@ -83,7 +79,7 @@ def next_rules(rules: DataFrame, base_tokens: int, pairs: DataFrame, generation:
 
     (left, right, key, span, outcome, token_id, generation). Refused are pairs that are a rule already, whose parts are
     unknown, whose span is too long, or whose span is that of a rule or of an earlier key of this call. Ids continue in
-    key order; they are as many as the accepted pairs, which a vocabulary bounds.
+    key order, which is found by ranges.
     """
     known = rules.select(F.col("token_id").alias("_t"), F.col("span").alias("_s"), "active")
     span_of = lambda side: F.when(F.col(side) < base_tokens, F.array(F.col(side).cast("int"))).otherwise(F.col(f"_{side}"))
@@ -102,9 +98,11 @@ def next_rules(rules: DataFrame, base_tokens: int, pairs: DataFrame, generation:
     )
     out = asked.withColumn("outcome", outcome).select("left", "right", "key", "span", "outcome")
     start = rules.agg(F.coalesce(F.max("token_id") + 1, F.lit(base_tokens)).alias("_start"))
-    at = F.row_number().over(Window.partitionBy("outcome").orderBy("key"))
-    out = out.join(F.broadcast(start)).withColumn("_at", at)  # one row
-    return out.withColumn("token_id", F.when(F.col("outcome") == "accepted", F.col("_start") + F.col("_at") - 1)).withColumn("generation", F.lit(generation)).drop("_start", "_at")
+    out = materialize(out)
+    placed = running(out.where("outcome = 'accepted'"), ["key"], place="_at").join(F.broadcast(start))  # one row
+    accepted = placed.withColumn("token_id", (F.col("_start") + F.col("_at")).cast("long")).drop("_start", "_at")
+    refused = out.where("outcome <> 'accepted'").withColumn("token_id", F.lit(None).cast("long"))
+    return accepted.unionByName(refused).withColumn("generation", F.lit(generation))
 
 
 def needed_rules(rules: DataFrame, observed: DataFrame, generations: int) -> DataFrame:
@@ -153,6 +151,37 @@ def rule_problems(rules: DataFrame, base_tokens: int) -> DataFrame:
     return out.withColumn("problem", problem).where("problem IS NOT NULL").select("token_id", "problem")
 
 
+def migrate_state(state: DataFrame, moved: DataFrame, row: str = "row_id") -> DataFrame:
+    """Per-row training state (``row``, moments...) carried along with rows: (``row``, moments...) of the new table.
+
+    ``moved`` has (new_row, old_row): a new row takes the state of its old one, several may take the same. A row of
+    ``moved`` whose old row has no state is an error, as growth needs state that has begun.
+    """
+    others = [c for c in state.columns if c != row]
+    if moved.join(state.select(F.col(row).alias("old_row")), "old_row", "left_anti").head():
+        raise ValueError("growth needs state for every row")
+    return moved.join(state.withColumnRenamed(row, "old_row"), "old_row").select(F.col("new_row").alias(row), *others)
+
+
+def parent_state(state: DataFrame, rules: DataFrame, vectors: list[str], row: str = "token_id") -> DataFrame:
+    """State of new rules (token_id, left, right): the mean of their parents' vectors in each column of ``vectors``."""
+    side = lambda name: state.select(F.col(row).alias(name), *[F.col(v).alias(f"_{name}_{v}") for v in vectors])
+    both = rules.select(row, "left", "right").join(side("left"), "left").join(side("right"), "right")
+    means = [F.zip_with(f"_left_{v}", f"_right_{v}", lambda a, b: (a.cast("double") + b) / 2).alias(v) for v in vectors]
+    return both.select(row, *means)
+
+
+def seed_rows(target: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``target`` with the columns of ``source`` where it has the key; a source key that the target lacks is an error."""
+    if source.join(target, key, "left_anti").head():
+        raise ValueError("the source has rows that the target lacks")
+    new = source.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    out = target.join(new, key, "left")
+    for c in columns:
+        out = out.withColumn(c, F.coalesce(f"_new_{c}", c))
+    return out.select(*target.columns)
+
+
 def bytes_needed(rows: Column, dim: int, element: int = 4, recursive: bool = False) -> Column:
     """Bytes of a grown table with its optimizer's state."""
     return rows * (dim * 12 + 40) if recursive else rows * (dim + 1) * max(4, element) * 3

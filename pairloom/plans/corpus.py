@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import text as T
-from ..operators import discovery, filters, sampling, tokens
+from ..config import StreamSpec
+from ..operators import filters, sampling, tokens
+from ..sources import catalog
+from ..storage import materialize
 from .registry import query, read
 
-WORDS = "t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)"
+#: Words of every script: letters with their marks, single letters where words are not spaced.
+WORD_LIST = r"regexp_extract_all(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)', ' \1 ', 'g'), '[\p{L}\p{M}]+')"
+WORDS = f"t AS (SELECT doc_id, lang, {WORD_LIST} AS w FROM documents)"
 LONG = f"{WORDS}, p AS (SELECT doc_id, lang, unnest(range(len(w))) AS pos, unnest(w) AS token FROM t)"
 PAIRS = f"{LONG}, a AS (SELECT doc_id, lang, pos, token AS l, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM p), ab AS (SELECT * FROM a WHERE r IS NOT NULL)"
 KEYS = "k AS (SELECT DISTINCT pair_key, pair_key // 16384 AS l, pair_key % 16384 AS r FROM window_records WHERE pair_key IS NOT NULL)"
 STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')"
 ASCII = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
-TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda x: length(x) > 1))"
+TERMS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}]+'), lambda x: length(x) > 1))"
 
 
 def docs(spark, d):
@@ -49,9 +54,10 @@ def pair_filter_basic(spark, d):
     return kept.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.char_length("anchor") + F.char_length("positive")).alias("n_chars"))
 
 
-@query(f"SELECT pair_id FROM pairs WHERE {ASCII.format('anchor')} = {ASCII.format('positive')}")
-def canonical_equal(spark, d):
-    return read(spark, d, "pairs").where(T.canonical_ascii("anchor") == T.canonical_ascii("positive")).select("pair_id")
+@query(f"SELECT pair_id, {ASCII.format('anchor')} AS form FROM pairs WHERE {ASCII.format('anchor')} IS DISTINCT FROM {ASCII.format('positive')}")
+def canonical_forms(spark, d):
+    forms = read(spark, d, "pairs").select("pair_id", T.canonical_ascii("anchor").alias("form"), T.canonical_ascii("positive").alias("_p"))
+    return forms.where(~F.col("form").eqNullSafe(F.col("_p"))).select("pair_id", "form")
 
 
 @query()
@@ -65,7 +71,7 @@ def canonical_filter(spark, d):
     x AS (SELECT pair_id, CASE WHEN len(a) + len(p) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a, p)) / (len(a) + len(p)) END AS dice FROM s)
     SELECT pair_id, round(dice, 9) AS dice FROM x WHERE dice > 0.3""")
 def dice_overlap(spark, d):
-    s = read(spark, d, "pairs").where("anchor IS NOT NULL AND positive IS NOT NULL").select("pair_id", T.ascii_terms("anchor").alias("a"), T.ascii_terms("positive").alias("p"))
+    s = read(spark, d, "pairs").where("anchor IS NOT NULL AND positive IS NOT NULL").select("pair_id", T.word_terms("anchor").alias("a"), T.word_terms("positive").alias("p"))
     return filters.overlapping(s, "a", "p", 0.3).select("pair_id", F.round(T.dice("a", "p"), 9).alias("dice"))
 
 
@@ -97,10 +103,9 @@ def lang_include_exclude(spark, d):
 
 @query()
 def in_batch_dedup(spark, d):
-    """Batches of 64 in blocks of about 2,000 rows."""
-    pairs = read(spark, d, "pairs")
-    blocks = F.pmod(F.xxhash64("pair_id"), F.lit(max(1, pairs.count() // 2000))).alias("block")
-    return filters.batch_dedup(pairs.select("pair_id", "anchor", "positive", blocks), 64, "block", "pair_id").select("block", "batch", "slot", "pair_id")
+    """Batches of 64 within each row group, in the order of its rows."""
+    pairs = read(spark, d, "pairs").withColumn("block", F.concat_ws("-", "shard_id", "row_group"))
+    return filters.batch_dedup(pairs.select("pair_id", "anchor", "positive", "block"), 64, "block", "pair_id").select("block", "batch", "slot", "pair_id")
 
 
 @query("""
@@ -129,33 +134,83 @@ def group_weights(spark, d):
     return sampling.group_weights(_groups(spark, d), 0.5, 0.5).select("source", "language", F.round("weight", 9).alias("weight"))
 
 
-@query()
+def _schedule_sql(batches: str) -> str:
+    """Due times of the turns of sources, and of the languages of each; ``batches``: how many turns, of one row ``n``."""
+    return f"""{_GROUPS}, b AS ({batches}), gs AS (SELECT source, language, rows, source_weight FROM g JOIN s USING (source) WHERE source_weight > 0),
+    so AS (SELECT source, max(source_weight) * pow(sum(rows), 0.5) AS w FROM gs GROUP BY 1), ss AS (SELECT source, w / sum(w) OVER () AS share FROM so),
+    ot AS (SELECT source, share, unnest(range((ceil((n + 2) * share) + 2)::BIGINT)) AS turn FROM ss, b), oo AS (SELECT source, turn, row_number() OVER (ORDER BY round((turn + 0.5) / share, 6), md5('0|' || source)) - 1 AS batch FROM ot),
+    o AS (SELECT oo.* FROM oo, b WHERE batch < n), ln AS (SELECT source, max(turn) + 1 AS m FROM o GROUP BY 1),
+    li AS (SELECT source, language, pow(rows, 0.5) / sum(pow(rows, 0.5)) OVER (PARTITION BY source) AS share FROM gs), lt AS (SELECT source, language, share, unnest(range((ceil((m + 2) * share) + 2)::BIGINT)) AS turn FROM li JOIN ln USING (source)),
+    lo AS (SELECT source, language, turn, row_number() OVER (PARTITION BY source ORDER BY round((turn + 0.5) / share, 6), md5('0|' || language)) - 1 AS place FROM lt),
+    plan AS (SELECT batch, o.source, language, lo.turn AS occurrence FROM o JOIN lo ON lo.source = o.source AND lo.place = o.turn)"""
+
+
+@query(f"WITH {_schedule_sql('SELECT 5000 AS n')} SELECT * FROM plan")
 def smooth_schedule(spark, d):
-    """A plan of 5,000 batches; the groups are a catalog, a row per source and language."""
-    groups = [(r["source"], r["language"], r["rows"], r["source_weight"]) for r in _groups(spark, d).orderBy("source", "language").collect()]
-    return sampling.plan_table(spark, sampling.batch_plan(groups, 5_000, 0, 0.5, 0.5))
+    """A plan of 5,000 batches."""
+    return sampling.batch_plan(_groups(spark, d), 5_000, 0, 0.5, 0.5)
 
 
-@query()
+@query(f"WITH {_schedule_sql('SELECT 5000 AS n')} SELECT * FROM plan WHERE batch >= 4000")
+def resumed_schedule(spark, d):
+    """The last fifth of the same plan, made without what comes before."""
+    return sampling.batch_plan(_groups(spark, d), 1_000, 4_000, 0.5, 0.5)
+
+
+_WHOLE_PLAN = _schedule_sql("SELECT count(*) // 32 AS n FROM pairs")
+
+
+def _full_plan(spark, d):
+    """As many batches of 32 as the pairs fill."""
+    return materialize(sampling.batch_plan(_groups(spark, d), read(spark, d, "pairs").count() // 32, 0, 0.5, 0.5))
+
+
+def _grouped_pairs(spark, d):
+    return read(spark, d, "pairs").select("pair_id", "source", F.col("language_id").alias("language"), "anchor", "positive")
+
+
+@query(f"""
+    WITH {_WHOLE_PLAN}, w AS (SELECT source, language, max(occurrence) AS last FROM plan GROUP BY 1, 2),
+    r AS (SELECT pair_id, source, language_id AS language, rows AS n, unnest(range(((last + 1) * 32 - 1) // rows + 1)) AS pass FROM pairs p JOIN g USING (source) JOIN w USING (source, language) WHERE p.language_id = g.language),
+    q AS (SELECT *, pass * n + row_number() OVER (PARTITION BY source, language, pass ORDER BY md5('0|' || pass || '|' || pair_id), pair_id) - 1 AS place FROM r)
+    SELECT batch, (place % 32)::INT AS slot, source, language, pair_id FROM q JOIN plan USING (source, language) WHERE plan.occurrence = place // 32""")
 def homogeneous_batches(spark, d):
-    """The first 200 batches of 32 with their rows."""
-    groups = [(r["source"], r["language"], r["rows"], r["source_weight"]) for r in _groups(spark, d).orderBy("source", "language").collect()]
-    plan = sampling.plan_table(spark, sampling.batch_plan(groups, 200, 0, 0.5, 0.5))
-    rows = read(spark, d, "pairs").select("pair_id", "source", F.col("language_id").alias("language"))
-    return sampling.homogeneous_batches(rows, plan, 32, "pair_id").select("batch", "slot", "source", "language", "pair_id")
+    out = sampling.homogeneous_batches(_grouped_pairs(spark, d).drop("anchor", "positive"), _full_plan(spark, d), 32, "pair_id")
+    return out.select("batch", "slot", "source", "language", "pair_id")
 
 
 @query()
+def unique_batches(spark, d):
+    """The same batches without a text that comes twice in one."""
+    return sampling.unique_batches(_grouped_pairs(spark, d), _full_plan(spark, d), 32, "pair_id").select("batch", "slot", "source", "language", "pair_id")
+
+
+@query("""
+    WITH c AS (SELECT source, count(*) AS n FROM pairs WHERE source IS NOT NULL GROUP BY 1), k AS (SELECT sum(n)::BIGINT AS total FROM c), w AS (SELECT source, n, sqrt(n) / sum(sqrt(n)) OVER () AS share FROM c),
+    t AS (SELECT source, n, share, unnest(range((ceil((total + 2) * share) + 2)::BIGINT)) AS turn FROM w, k), o AS (SELECT source, n, turn, row_number() OVER (ORDER BY round((turn + 0.5) / share, 6), md5('0|' || source)) - 1 AS place FROM t),
+    l AS (SELECT source, max(turn) // max(n) AS last FROM o, k WHERE place < total GROUP BY 1), r AS (SELECT pair_id, source, unnest(range(last + 1)) AS pass FROM pairs JOIN l USING (source)),
+    q AS (SELECT source, pair_id, pass, row_number() OVER (PARTITION BY source, pass ORDER BY md5('0|' || pass || '|' || pair_id), pair_id) - 1 AS at FROM r)
+    SELECT place, o.source, pair_id FROM o JOIN q ON q.source = o.source AND q.pass = turn // n AND q.at = turn % n, k WHERE place < total""")
+def mixed_stream(spark, d):
+    """As many places of the mixture as there are pairs, sources by the root of their rows."""
+    rows = read(spark, d, "pairs").where("source IS NOT NULL").select("pair_id", "source")
+    weights = rows.groupBy("source").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
+    return sampling.mixed_order(rows, weights, "pair_id", rows.count()).select("place", "source", "pair_id")
+
+
+@query("SELECT pair_id, shard_id, row_group FROM (SELECT *, row_number() OVER (PARTITION BY shard_id, row_group ORDER BY md5('7|' || pair_id), pair_id) AS rk FROM pairs) WHERE rk <= 20")
 def hash_sample(spark, d):
     return sampling.sample_rows(read(spark, d, "pairs").select("pair_id", "shard_id", "row_group"), 20, ["shard_id", "row_group"], "pair_id", 7)
 
 
-@query()
+@query("SELECT shard_id, source, (row_number() OVER (ORDER BY md5('7|3|' || shard_id), shard_id) - 1)::INT AS place FROM shards")
 def shard_deck(spark, d):
     return sampling.deck(read(spark, d, "shards").select("shard_id", "source"), "shard_id", 3, 7)
 
 
-@query()
+@query("""
+    SELECT shard_id, sampling_weight FROM shards WHERE sampling_weight > 0
+    ORDER BY -ln(('0x' || left(md5('7|' || shard_id), 12))::BIGINT / 281474976710656.0::DOUBLE + 0.5 / 281474976710656.0::DOUBLE) / sampling_weight, shard_id LIMIT 50""")
 def weighted_shards(spark, d):
     return sampling.weighted_draws(read(spark, d, "shards").select("shard_id", "sampling_weight"), "shard_id", "sampling_weight", 50, 7)
 
@@ -228,7 +283,7 @@ def leftmost_nonoverlap(spark, d):
     return c.groupBy("doc_id").agg(F.count_if("keep").alias("n_kept"))
 
 
-@query("WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda x: x NOT IN ('the', 'a', 'de', 'la')))::BIGINT AS n FROM p")
+@query(f"WITH {WORDS.replace('t AS', 'p AS', 1)} SELECT doc_id, len(list_filter(w, lambda x: x NOT IN ('the', 'a', 'de', 'la')))::BIGINT AS n FROM p")
 def ignored_tokens(spark, d):
     return tokens.drop_tokens(docs(spark, d), "tokens", ["the", "a", "de", "la"]).select("doc_id", F.size("tokens").cast("long").alias("n"))
 
@@ -280,9 +335,38 @@ def sketch_cells(spark, d):
     return pair_keys(spark, d).select("pair_key", K.sketch_bucket("pair_key", 0, 524288).alias("bucket0"), K.sketch_bucket("pair_key", 2, 524288).alias("bucket2"), K.sketch_sign("pair_key", 0).alias("sign0"))
 
 
-@query("""
-    SELECT s.shard_id, CASE replace(coalesce(s.language_id, ''), '-', '_') WHEN 'zho_Hans' THEN 'cmn_Hani' WHEN 'ara_Arab' THEN 'arb_Arab' WHEN 'fas_Arab' THEN 'pes_Arab' ELSE replace(coalesce(s.language_id, ''), '-', '_') END AS language,
-    regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') AS slug, lower(split_part(coalesce(s.language_id, ''), '_', 1)) AS code FROM shards s""")
+#: Labels that no shard may have: each that is renamed, some that are not.
+_SUITE = ("ara-Arab", "aze_Latn", "cmn_Hans", "cmn_Hant", "est_Latn", "fas_Arab", "jpn_Hira", "kor_Kore", "kur_Arab", "kur_Latn", "lav_Latn", "mon_Cyrl", "msa_Latn", "nep_Deva", "nor_Latn", "pes_Arab", "rom_Latn", "sqi_Latn", "swa_Latn", "tgl_Latn", "uzb-Latn", "zho-Hans", "zho_Hant")
+# What the suites' labels stand for, written out a second time so that the query is not checked against itself.
+_RENAMED = "('ara_Arab', 'arb_Arab'), ('aze_Latn', 'azj_Latn'), ('cmn_Hans', 'cmn_Hani'), ('cmn_Hant', 'cmn_Hani'), ('est_Latn', 'ekk_Latn'), ('jpn_Hira', 'jpn_Jpan'), ('kor_Kore', 'kor_Hang'), ('kur_Arab', 'ckb_Arab'), ('kur_Latn', 'kmr_Latn'), ('lav_Latn', 'lvs_Latn'), ('mon_Cyrl', 'khk_Cyrl'), ('msa_Latn', 'zsm_Latn'), ('nep_Deva', 'npi_Deva'), ('nor_Latn', 'nob_Latn'), ('pes_Arab', 'fas_Arab'), ('rom_Latn', 'rmy_Latn'), ('sqi_Latn', 'als_Latn'), ('swa_Latn', 'swh_Latn'), ('tgl_Latn', 'fil_Latn'), ('zho_Hans', 'cmn_Hani'), ('zho_Hant', 'cmn_Hani')"
+
+
+@query(f"""
+    WITH a(label, renamed) AS (VALUES {_RENAMED}), n AS (SELECT shard_id::BIGINT AS id, path, coalesce(language_id, '') AS lang FROM shards UNION ALL SELECT -1, x, x FROM (SELECT unnest({list(_SUITE)}) AS x))
+    SELECT id, coalesce(renamed, replace(lang, '-', '_')) AS language, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') AS slug, lower(split_part(lang, '_', 1)) AS code FROM n LEFT JOIN a ON label = replace(lang, '-', '_')""")
 def language_alias(spark, d):
-    lang = F.coalesce("language_id", F.lit(""))
-    return read(spark, d, "shards").select("shard_id", T.eval_language(lang).alias("language"), T.safe_slug("path").alias("slug"), T.language_code(lang).alias("code"))
+    labels = read(spark, d, "shards").select(F.col("shard_id").cast("long").alias("id"), "path", F.coalesce("language_id", F.lit("")).alias("lang"))
+    suite = spark.createDataFrame([(-1, x, x) for x in _SUITE], "id long, path string, lang string")
+    return labels.unionByName(suite).select("id", T.eval_language("lang").alias("language"), T.safe_slug("path").alias("slug"), T.language_code("lang").alias("code"))
+
+
+@query("SELECT item_id, coalesce(lower(lang) IN ('jpn-jpan', 'jpn', 'ja', 'jp', 'fra_latn') OR len(list_intersect(string_split(replace(lower(lang), '_', '-'), '-'), ['jpn', 'ja', 'jp', 'fra'])) > 0, false) AS named FROM eval_items")
+def subset_language_match(spark, d):
+    return read(spark, d, "eval_items").select("item_id", T.names_language(F.array("lang"), ["jpn", "FRA"]).alias("named"))
+
+
+def _spec():
+    return StreamSpec(name="pairs", root="tables", parquet="pairs.parquet", anchor_column="anchor", positive_column="positive", language_id="", weight=2.0)
+
+
+@query("SELECT 'pairs' AS source, count(*) AS usable_rows, 2.0::DOUBLE AS sampling_weight, '' AS language_id FROM pairs")
+def discovered_shards(spark, d):
+    """The files of one stream as ``catalog.discover`` lists them, with rows from their footers."""
+    return catalog.discover(spark, [_spec()], {"tables": d}).select("source", "usable_rows", "sampling_weight", "language_id")
+
+
+@query("SELECT 'pairs.parquet' AS file, count(*) AS n, count(anchor) AS anchors, sum(length(positive))::BIGINT AS n_chars, max(row_index_)::BIGINT AS last FROM (SELECT *, row_number() OVER () - 1 AS row_index_ FROM pairs)")
+def scanned_pairs(spark, d):
+    paths = [r["path"] for r in catalog.discover(spark, [_spec()], {"tables": d}).collect()]  # a catalog
+    rows = catalog.scan(spark, paths, "anchor", "positive")
+    return rows.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(F.count("*").alias("n"), F.count("anchor").alias("anchors"), F.sum(F.char_length("positive")).alias("n_chars"), F.max("row_index").alias("last"))

@@ -33,7 +33,7 @@ def corpus_pairs(texts: DataFrame, vocab: DataFrame, base: int, text: str = "tex
 
     Words are counted in pairs before the vocabulary is joined, so the join is over distinct pairs and not over places.
     """
-    pairs = tokens.adjacent_pairs(texts.select(F.col(language).alias("lang"), tokens.all_words(text).alias("t")), "t", "lang").groupBy("left", "right", "lang").agg(F.count("*").alias("n"))
+    pairs = tokens.adjacent_pairs(texts.select(F.col(language).alias("lang"), tokens.words(text).alias("t")), "t", "lang").groupBy("left", "right", "lang").agg(F.count("*").alias("n"))
     side = lambda name, to: vocab.select(F.col("piece").alias(name), F.col("token_id").alias(to))
     return pairs.join(side("left", "a"), "left").join(side("right", "b"), "right").select((F.col("a").cast("long") * base + F.col("b")).alias("pair_key"), "lang", "n")
 
@@ -49,7 +49,7 @@ def discover_and_promote(records: DataFrame, settings: DiscoverySettings, base:
     out = {
         "selected": selected,
         "memberships": selection.memberships(merged, selected, settings.per_language_quota, settings.per_language_min_support),
-        "audit": selection.audit(merged, settings.budget, settings.min_support, settings.per_language_quota, settings.per_language_min_support, settings.min_utility),
+        "audit": selection.audit(merged, settings.budget, settings.min_support, settings.per_language_quota, settings.per_language_min_support, settings.min_utility, settings.candidate_capacity),
         "slots": transitions.compact(transitions.assign_slots(selected, base, buckets)),
     }
     if folder is not None:

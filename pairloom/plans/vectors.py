@@ -12,75 +12,113 @@ from ..operators import evaluate, init_table, matching, objective, pooling, tele
 from ..sources import sinks
 from ..storage import scratch
 from ..streaming import windows
+from .corpus import WORD_LIST
 from .registry import query, read
 
-DIMS, BASE, BUCKETS = 64, 500, 128
+DIMS, BASE, BUCKETS = 64, 1 << 20, 128
 
-#: Token ids from letters and length, so that both engines can make them; every id has a vector.
-_ID = "((ascii({0}) * 7919 + length({0}) * 104729 + ascii(right({0}, 1)) * 31) % 500)::BIGINT"
-TOK = f"""d AS (SELECT doc_id, coalesce(lang_idx, -1) AS lang_idx, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents LEFT JOIN languages ON lang = lang_code),
-    p0 AS (SELECT doc_id AS sent_id, lang_idx, unnest(range(len(w))) AS pos, unnest(w) AS token FROM d), tok AS (SELECT sent_id, lang_idx, pos, token, {_ID.format('token')} AS token_id FROM p0),
-    emb AS (SELECT vec_id AS token_id, embedding::DOUBLE[] AS vec, embedding[1]::DOUBLE AS v0, embedding[64]::DOUBLE AS v63, list_sum(embedding::DOUBLE[]) AS vs FROM embeddings WHERE vec_id < 500)"""
-_OUT = "round(sum(w * v0) / greatest(sum(w), {0}), 5) AS h0, round(sum(w * v63) / greatest(sum(w), {0}), 5) AS h63, round(sum(w * vs) / greatest(sum(w), {0}), 4) AS hsum"
+#: Token ids are digests of the words, modulo the number of vectors, so that both engines can make them.
+TOK = f"""nv AS (SELECT count(*) AS nv FROM embeddings), d AS (SELECT doc_id, coalesce(lang_idx, -1) AS lang_idx, {WORD_LIST} AS w FROM documents LEFT JOIN languages ON lang = lang_code),
+    p0 AS (SELECT doc_id AS sent_id, lang_idx, unnest(range(len(w))) AS pos, unnest(w) AS token FROM d),
+    ids AS (SELECT token, ('0x' || left(md5(token), 7))::BIGINT % nv AS token_id FROM (SELECT DISTINCT token FROM p0), nv), tok AS (SELECT sent_id, lang_idx, pos, token, token_id FROM p0 JOIN ids USING (token)),
+    emb AS (SELECT vec_id AS token_id, embedding::DOUBLE[] AS vec, embedding[1]::DOUBLE AS v0, embedding[64]::DOUBLE AS v63, list_sum(embedding::DOUBLE[]) AS vs, list_sum(list_transform(embedding::DOUBLE[], lambda x, i: x * i)) AS vw FROM embeddings)"""
+#: First and last element, the sum of all, and the sum weighted by place, of which no other vector has all.
+_V = ("v0", "v63", "vs", "vw")
+_H = {"v0": ("h0", 5), "v63": ("h63", 5), "vs": ("hsum", 4), "vw": ("hwt", 3)}
+
+
+def _out(expr: str = "sum(w * {v}) / greatest(sum(w), {least})", least: str = "1") -> str:
+    return ", ".join(f"round({expr.format(v=v, least=least)}, {n}) + 0.0 AS {h}" for v, (h, n) in _H.items())
 
 
 def tok(spark, d):
+    """(sent_id, lang_idx, token_ids): a row per document."""
     langs = read(spark, d, "languages").select(F.col("lang_code").alias("lang"), "lang_idx")
-    t = read(spark, d, "documents").select("doc_id", "lang", tokens.words("text").alias("w")).join(langs, "lang", "left")
-    t = t.select(F.col("doc_id").alias("sent_id"), F.coalesce("lang_idx", F.lit(-1)).alias("lang_idx"), F.posexplode("w").alias("pos", "token"))
-    code = F.ascii("token") * 7919 + F.length("token") * 104729 + F.ascii(F.right("token", F.lit(1))) * 31
-    return t.withColumn("token_id", (code % BASE).cast("long"))
+    n = read(spark, d, "embeddings").count()
+    ids = F.transform(tokens.words("text"), lambda w: F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long") % n)
+    t = read(spark, d, "documents").select("doc_id", "lang", ids.alias("token_ids")).join(langs, "lang", "left")
+    return t.select(F.col("doc_id").alias("sent_id"), F.coalesce("lang_idx", F.lit(-1)).alias("lang_idx"), "token_ids")
 
 
 def emb(spark, d):
-    return read(spark, d, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
 
 
 def _few(pooled):
-    return pooled.select("sent_id", "lang_idx", F.round(F.col("h")[0], 5).alias("h0"), F.round(F.col("h")[63], 5).alias("h63"), F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 4).alias("hsum"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    weighted = F.transform("h", lambda x, i: x * (i + 1))
+    out = {"h0": (F.col("h")[0], 5), "h63": (F.col("h")[63], 5), "hsum": (total("h"), 4), "hwt": (total(weighted), 3)}
+    return pooled.select("sent_id", "lang_idx", *[(F.round(x, n) + 0.0).alias(name) for name, (x, n) in out.items()])
+
+
+_MEAN = f"{TOK}, m AS (SELECT sent_id, lang_idx, avg(v0) AS v0, avg(v63) AS v63, avg(vs) AS vs, avg(vw) AS vw FROM tok JOIN emb USING (token_id) GROUP BY 1, 2)"
 
 
-@query(f"WITH {TOK} SELECT sent_id, lang_idx, {_OUT.format('1')} FROM (SELECT *, 1.0::DOUBLE AS w FROM tok JOIN emb USING (token_id)) GROUP BY 1, 2")
+@query(f"WITH {TOK} SELECT sent_id, lang_idx, {_out()} FROM (SELECT *, 1.0::DOUBLE AS w FROM tok JOIN emb USING (token_id)) GROUP BY 1, 2")
 def mean_pool(spark, d):
     return _few(pooling.pool("none", tok(spark, d), emb(spark, d), DIMS))
 
 
-@query(f"""
-    WITH {TOK}, m AS (SELECT sent_id, lang_idx, avg(v0) AS a, avg(v63) AS b, avg(vs) AS c FROM tok JOIN emb USING (token_id) GROUP BY 1, 2)
-    SELECT sent_id, m.lang_idx, round(a - v0, 5) AS h0, round(b - v63, 5) AS h63, round(c - vs, 4) AS hsum FROM m JOIN emb ON emb.token_id = m.lang_idx""")
+@query(f"WITH {_MEAN} SELECT sent_id, m.lang_idx, {_out('m.{v} - e.{v}')} FROM m JOIN emb e ON e.token_id = m.lang_idx")
 def centroid_shift(spark, d):
     c = emb(spark, d).select(F.col("token_id").cast("int").alias("lang_idx"), F.col("vec").alias("c"))
     return _few(pooling.pool("centroid", tok(spark, d), emb(spark, d), DIMS, centroids=c))
 
 
-@query(f"""
-    WITH {TOK}, m AS (SELECT sent_id, lang_idx, avg(v0) AS a, avg(v63) AS b FROM tok JOIN emb USING (token_id) GROUP BY 1, 2)
-    SELECT sent_id, m.lang_idx, round(a * v0, 5) AS h0, round(b * v63, 5) AS h63 FROM m JOIN emb ON emb.token_id = m.lang_idx""")
+@query(f"WITH {_MEAN} SELECT sent_id, m.lang_idx, round(m.v0 * e.v0, 5) + 0.0 AS h0, round(m.v63 * e.v63, 5) + 0.0 AS h63 FROM m JOIN emb e ON e.token_id = m.lang_idx")
 def diagonal_scale(spark, d):
     s = emb(spark, d).select(F.col("token_id").cast("int").alias("lang_idx"), F.col("vec").alias("s"))
-    return _few(pooling.pool("diag", tok(spark, d), emb(spark, d), DIMS, scales=s)).drop("hsum")
+    return _few(pooling.pool("diag", tok(spark, d), emb(spark, d), DIMS, scales=s)).select("sent_id", "lang_idx", "h0", "h63")
+
+
+#: Whole mean vectors, an element a row first.
+_WHOLE = f"""{TOK}, few AS (SELECT sent_id, lang_idx, token_id, count(*) AS c FROM tok GROUP BY ALL), long AS (SELECT sent_id, lang_idx, c, unnest(range(64)) AS i, unnest(vec) AS x FROM few JOIN emb USING (token_id)),
+    av AS (SELECT sent_id, lang_idx, i, sum(x * c) / sum(c) AS x FROM long GROUP BY ALL), mv AS (SELECT sent_id, lang_idx, list(x ORDER BY i) AS h FROM av GROUP BY 1, 2)"""
+
+
+@query(f"""
+    WITH {_WHOLE}, p AS (SELECT sent_id, lang_idx, h, list_inner_product(h, l.vec) AS p FROM mv JOIN emb l ON l.token_id = mv.lang_idx),
+    o AS (SELECT sent_id, lang_idx, h[1] + p * r.v0 AS v0, h[64] + p * r.v63 AS v63, list_sum(h) + p * r.vs AS vs, list_sum(list_transform(h, lambda x, i: x * i)) + p * r.vw AS vw FROM p JOIN emb r ON r.token_id = p.lang_idx + 1)
+    SELECT sent_id, lang_idx, {_out('{v}')} FROM o""")
+def lowrank_shift(spark, d):
+    e = emb(spark, d)
+    l, r = (e.select((F.col("token_id") - k).cast("int").alias("lang_idx"), F.array("vec").alias(name)) for k, name in ((0, "l"), (1, "r")))  # noqa: E741
+    return _few(pooling.pool("lowrank", tok(spark, d), e, DIMS, factors=l.join(r, "lang_idx")))
+
+
+@query(f"""
+    WITH {_MEAN} SELECT sent_id, m.lang_idx, {_out('m.{v} + m.v0 * a.{v} + m.v63 * b.{v}')} FROM m JOIN emb a ON a.token_id = m.lang_idx JOIN emb b ON b.token_id = m.lang_idx + 1""")
+def bilinear_shift(spark, d):
+    e = emb(spark, d)
+    a, b = (e.select((F.col("token_id") - k).cast("int").alias("lang_idx"), F.col("vec").alias(name)) for k, name in ((0, "a"), (1, "b")))
+    readout = a.join(b, "lang_idx").select("lang_idx", F.array("a", "b").alias("readout"))
+    return _few(pooling.pool("bilinear", tok(spark, d), e, DIMS, codes=_codes(spark, d), code_dims=2, readout=readout))
+
+
+def _seen(spark, d):
+    """(lang_idx, token_id) that occur at least twice: where languages have rows of their own."""
+    return pooling.long_form(tok(spark, d)).groupBy("lang_idx", "token_id").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
 
 
-def _pairs_seen(spark, d):
-    """(lang_idx, token_id) that occur, every third: where languages have rows of their own."""
-    t = tok(spark, d).select("lang_idx", "token_id").distinct()
-    return t.where((F.col("token_id") + F.col("lang_idx") + 1) % 3 == 0)
+_SEEN = "seen AS (SELECT lang_idx, token_id FROM tok GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
-@query(f"WITH {TOK} SELECT sent_id, lang_idx, {_OUT.format('0.000001')} FROM (SELECT *, CASE WHEN (token_id + lang_idx + 1) % 3 = 0 THEN 1.0 / (1 + token_id % 10) ELSE 0 END AS w FROM tok JOIN emb USING (token_id)) GROUP BY 1, 2")
+@query(f"WITH {TOK}, {_SEEN} SELECT sent_id, lang_idx, {_out(least='0.000001')} FROM (SELECT tok.*, {', '.join(_V)}, CASE WHEN s.token_id IS NULL THEN 0 ELSE 1.0 / (1 + tok.token_id % 10) END AS w FROM tok JOIN emb USING (token_id) LEFT JOIN seen s ON s.lang_idx = tok.lang_idx AND s.token_id = tok.token_id) GROUP BY 1, 2")
 def weighted_pool_idf(spark, d):
-    w = _pairs_seen(spark, d).withColumn("weight", 1.0 / (1 + F.col("token_id") % 10))
+    w = _seen(spark, d).withColumn("weight", 1.0 / (1 + F.col("token_id") % 10))
     return _few(pooling.pool("idfpool", tok(spark, d), emb(spark, d), DIMS, weights=w))
 
 
 def _own_rows(spark, d):
-    own = _pairs_seen(spark, d).withColumn("_at", (F.col("token_id") + 7) % 500)
-    return own.join(emb(spark, d).select(F.col("token_id").alias("_at"), F.col("vec").alias("row")), "_at").drop("_at")
+    e = emb(spark, d)
+    own = _seen(spark, d).withColumn("_at", (F.col("token_id") + 7) % e.count())
+    return own.join(e.select(F.col("token_id").alias("_at"), F.col("vec").alias("row")), "_at").drop("_at")
 
 
 def _split_sql(g: float) -> str:
-    mix = lambda c: f"CASE WHEN (t.token_id + lang_idx + 1) % 3 = 0 THEN {1 - g} * e.{c} + {g} * r.{c} ELSE e.{c} END AS {c}"
-    return f"WITH {TOK} SELECT sent_id, lang_idx, {_OUT.format('1')} FROM (SELECT sent_id, lang_idx, {mix('v0')}, {mix('v63')}, {mix('vs')}, 1.0::DOUBLE AS w FROM tok t JOIN emb e ON t.token_id = e.token_id JOIN emb r ON r.token_id = (t.token_id + 7) % 500) GROUP BY 1, 2"
+    mix = lambda c: f"CASE WHEN s.token_id IS NULL THEN e.{c} ELSE {1 - g} * e.{c} + {g} * r.{c} END AS {c}"
+    joined = "FROM tok t JOIN emb e ON t.token_id = e.token_id LEFT JOIN seen s ON s.lang_idx = t.lang_idx AND s.token_id = t.token_id, nv JOIN emb r ON r.token_id = (t.token_id + 7) % nv"
+    return f"WITH {TOK}, {_SEEN} SELECT sent_id, lang_idx, {_out()} FROM (SELECT t.sent_id, t.lang_idx, {', '.join(map(mix, _V))}, 1.0::DOUBLE AS w {joined}) GROUP BY 1, 2"
 
 
 @query(_split_sql(0.25))
@@ -94,36 +132,102 @@ def fuse_pool(spark, d):
 
 
 @query(f"""
+    WITH {TOK}, mx AS (SELECT t.sent_id, t.lang_idx, {', '.join(f'e.{v} + CASE WHEN s.token_id IS NULL THEN 0 ELSE 0.25 * a.{v} + 0.75 * b.{v} END AS {v}' for v in _V)}, 1.0::DOUBLE AS w
+        FROM tok t JOIN emb e ON t.token_id = e.token_id LEFT JOIN (SELECT DISTINCT token_id FROM tok WHERE token_id < {BUCKETS}) s ON s.token_id = t.token_id, nv JOIN emb a ON a.token_id = (t.token_id + 1) % nv JOIN emb b ON b.token_id = (t.token_id + 2) % nv)
+    SELECT sent_id, lang_idx, {_out()} FROM mx GROUP BY 1, 2""")
+def vocabmoe_pool(spark, d):
+    """Tokens with a slot (those of the ``BUCKETS`` smallest ids) add two deltas by their language's shares."""
+    e = emb(spark, d)
+    n = e.count()
+    at = lambda k: e.select(F.pmod(F.col("token_id") - k, F.lit(n)).alias("token_id"), F.col("vec").alias(f"_{k}"))
+    slots = at(1).join(at(2), "token_id").where(F.col("token_id") < BUCKETS).select("token_id", F.array("_1", "_2").alias("deltas"))
+    mixture = spark.range(-1, 30).select(F.col("id").cast("int").alias("lang_idx"), F.array(F.lit(0.25), F.lit(0.75)).alias("pi"))
+    return _few(pooling.pool("vocabmoe", tok(spark, d), e, DIMS, slots=slots, mixture=mixture))
+
+
+def _ngram_sql(weight: str = "1.0") -> str:
+    return f"""
     WITH {TOK}, g AS (SELECT sent_id, lang_idx, token_id AS a, lead(token_id) OVER (PARTITION BY sent_id ORDER BY pos) AS b FROM tok),
-    x AS (SELECT sent_id, lang_idx, v0, v63, vs, 1.0::DOUBLE AS w FROM tok JOIN emb USING (token_id) UNION ALL
-          SELECT sent_id, lang_idx, v0, v63, vs, 1.0 FROM g JOIN emb ON emb.token_id = ((a * 40503 * 2654435761 + b * 40503 + 1) % 128) WHERE b IS NOT NULL)
-    SELECT sent_id, lang_idx, {_OUT.format('0.000001')} FROM x GROUP BY 1, 2""")
+    x AS (SELECT sent_id, lang_idx, {', '.join(_V)}, 1.0::DOUBLE AS w FROM tok JOIN emb USING (token_id) UNION ALL
+          SELECT sent_id, lang_idx, {', '.join(_V)}, {weight} FROM g JOIN emb ON emb.token_id = ((a * 40503 * 2654435761 + b * 40503 + 1) % {BUCKETS}) WHERE b IS NOT NULL)
+    SELECT sent_id, lang_idx, {_out(least='0.000001')} FROM x GROUP BY 1, 2"""
+
+
+def _bucket_rows(spark, d):
+    return emb(spark, d).where(F.col("token_id") < BUCKETS).select(F.col("token_id").alias("bucket"), F.col("vec").alias("row"))
+
+
+@query(_ngram_sql())
 def ngram_pool(spark, d):
-    table = emb(spark, d).where(F.col("token_id") < BUCKETS).select(F.col("token_id").alias("bucket"), F.col("vec").alias("row"))
-    return _few(pooling.pool("ngram", tok(spark, d), emb(spark, d), DIMS, table=table, buckets=BUCKETS))
+    return _few(pooling.pool("ngram", tok(spark, d), emb(spark, d), DIMS, table=_bucket_rows(spark, d), buckets=BUCKETS))
+
+
+@query(_ngram_sql("1 / (1 + exp(-(lang_idx % 5 - 2) * 0.3))"))
+def ngram_gate_pool(spark, d):
+    gates = _bias(spark).withColumnRenamed("bias", "gate")
+    return _few(pooling.pool("ngram_gate", tok(spark, d), emb(spark, d), DIMS, table=_bucket_rows(spark, d), buckets=BUCKETS, gates=gates))
 
 
 @query(f"""
     WITH {TOK}, o AS (SELECT *, sum((length(token) >= 4)::INT) OVER (PARTITION BY sent_id ORDER BY pos) AS word FROM tok),
-    i AS (SELECT sent_id, lang_idx, word, avg(v0) AS v0, avg(v63) AS v63, avg(vs) AS vs, 1.0::DOUBLE AS w FROM o JOIN emb USING (token_id) GROUP BY 1, 2, 3) SELECT sent_id, lang_idx, {_OUT.format('1')} FROM i GROUP BY 1, 2""")
+    i AS (SELECT sent_id, lang_idx, word, {', '.join(f'avg({v}) AS {v}' for v in _V)}, 1.0::DOUBLE AS w FROM o JOIN emb USING (token_id) GROUP BY 1, 2, 3) SELECT sent_id, lang_idx, {_out()} FROM i GROUP BY 1, 2""")
 def wordpool(spark, d):
-    t = tokens.word_ids(tok(spark, d), "sent_id", F.length("token") >= 4)
-    return _few(pooling.pool("wordpool", t, emb(spark, d), DIMS))
+    words = read(spark, d, "documents").select(F.col("doc_id").alias("sent_id"), F.posexplode(tokens.words("text")).alias("pos", "token"))
+    t = pooling.long_form(tok(spark, d)).join(words, ["sent_id", "pos"])
+    return _few(pooling.pool("wordpool", tokens.word_ids(t, "sent_id", F.length("token") >= 4), emb(spark, d), DIMS))
 
 
-@query(f"""
-    WITH {TOK}, x AS (SELECT sent_id, lang_idx, v0, v63, vs, 2.0 / (1 + exp(-(v0 * (lang_idx + 1) * 0.1 + v63))) AS w FROM tok JOIN emb USING (token_id)) SELECT sent_id, lang_idx, {_OUT.format('0.000001')} FROM x GROUP BY 1, 2""")
+def _codes(spark, d):
+    return emb(spark, d).select("token_id", F.array(F.col("vec")[0].cast("double"), F.col("vec")[63].cast("double")).alias("code"))
+
+
+def _lang_codes(spark):
+    return spark.range(-1, 30).select(F.col("id").cast("int").alias("lang_idx"), F.array((F.col("id") + 1) * 0.1, F.lit(1.0)).alias("lang_code"))
+
+
+_GATED = f"{TOK}, gt AS (SELECT sent_id, lang_idx, {', '.join(_V)}, 2.0 / (1 + exp(-(v0 * (lang_idx + 1) * 0.1 + v63))) AS w FROM tok JOIN emb USING (token_id))"
+
+
+@query(f"WITH {_GATED} SELECT sent_id, lang_idx, {_out(least='0.000001')} FROM gt GROUP BY 1, 2")
 def gate_pool(spark, d):
-    codes = emb(spark, d).select("token_id", F.array(F.col("vec")[0].cast("double"), F.col("vec")[63].cast("double")).alias("code"))
-    langs = spark.range(-1, 30).select(F.col("id").cast("int").alias("lang_idx"), F.array((F.col("id") + 1) * 0.1, F.lit(1.0)).alias("lang_code"))
-    return _few(pooling.pool("gate", tok(spark, d), emb(spark, d), DIMS, codes=codes, lang_codes=langs))
+    return _few(pooling.pool("gate", tok(spark, d), emb(spark, d), DIMS, codes=_codes(spark, d), lang_codes=_lang_codes(spark)))
+
+
+#: Two senses: all ones, and a ramp. A token's shares follow from its code, bound to the language's.
+_SENSES = {"v0": "s0 + s1 / 64", "v63": "s0 + s1", "vs": "64 * s0 + 32.5 * s1", "vw": f"2080 * s0 + {sum(i * i for i in range(1, 65)) / 64} * s1"}
 
 
-def _exact(spark, d):
-    """Pair rows of every third pair that occurs: score and merged vector."""
-    seen = pooling.adjacent(tok(spark, d)).select("left", "right").distinct().where((F.col("left") * 31 + F.col("right")) % 3 == 0)
-    seen = seen.withColumn("score", ((F.col("left") + F.col("right")) % 7 - 3) * 0.5).withColumn("_at", (F.col("left") + F.col("right")) % 500)
-    seen = seen.join(emb(spark, d).select(F.col("token_id").alias("_at"), F.col("vec").alias("m")), "_at")
+def _senses_sql(share: str, base: str) -> str:
+    out = ", ".join(f"round({base.format(v=v)} + {_SENSES[v].replace('s0', 'avg(s)').replace('s1', 'avg(1 - s)')}, {n}) + 0.0 AS {h}" for v, (h, n) in _H.items())
+    return f"WITH {_GATED}, sn AS (SELECT *, (v0 * (lang_idx + 1) * 0.1) AS l0, -v63 AS l1 FROM gt), sh AS (SELECT *, {share} AS s FROM sn) SELECT sent_id, lang_idx, {out} FROM sh GROUP BY 1, 2"
+
+
+def _with_senses(spark, d, mode):
+    more = {"probes": [[1.0, 0.0], [0.0, -1.0]], "sense_vectors": [[1.0] * DIMS, [(i + 1) / DIMS for i in range(DIMS)]], "code_dims": 2}
+    return _few(pooling.pool(mode, tok(spark, d), emb(spark, d), DIMS, codes=_codes(spark, d), lang_codes=_lang_codes(spark), **more))
+
+
+@query(_senses_sql("1 / (1 + exp(l1 - l0))", "avg({v})"))
+def senses_pool(spark, d):
+    return _with_senses(spark, d, "senses")
+
+
+@query(_senses_sql("(l0 >= l1)::INT", "avg({v})"))
+def hard_senses_pool(spark, d):
+    return _with_senses(spark, d, "hard")
+
+
+@query(_senses_sql("1 / (1 + exp(l1 - l0))", "sum(w * {v}) / greatest(sum(w), 0.000001)"))
+def gate_senses_pool(spark, d):
+    return _with_senses(spark, d, "gate_senses")
+
+
+def _exact(spark, d, least: int = 1):
+    """Pair rows of the pairs that occur at least so often: score and merged vector."""
+    e = emb(spark, d)
+    seen = pooling.token_grams(tok(spark, d), 2).groupBy(F.col("_0").alias("left"), F.col("_1").alias("right")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    seen = seen.withColumn("score", ((F.col("left") + F.col("right")) % 7 - 3) * 0.5).withColumn("_at", (F.col("left") + F.col("right")) % e.count())
+    seen = seen.join(e.select(F.col("token_id").alias("_at"), F.col("vec").alias("m")), "_at")
     return seen.select(pair_key("left", "right", BASE).alias("pair_key"), "score", "m")
 
 
@@ -131,42 +235,88 @@ def _bias(spark):
     return spark.range(-1, 30).select(F.col("id").cast("int").alias("lang_idx"), ((F.col("id") % 5 - 2) * 0.3).alias("bias"))
 
 
-_ROUTED = f"{TOK}, g AS (SELECT sent_id, lang_idx, pos, token_id AS a, lead(token_id) OVER (PARTITION BY sent_id ORDER BY pos) AS b FROM tok)"
+_ROUTED = f"{TOK}, g AS (SELECT sent_id, lang_idx, pos, token_id AS a, lead(token_id) OVER (PARTITION BY sent_id ORDER BY pos) AS b, nv FROM tok, nv)"
 
 
-def _collapse_sql(routed: str) -> str:
+def _collapse_sql(routed: str, bias: str = "(lang_idx % 5 - 2) * 0.3", routes: str = _ROUTED) -> str:
+    columns = ", ".join(_V)
     return f"""
-    WITH {_ROUTED}, rt AS ({routed}), pr AS (SELECT *, 1 / (1 + exp(-(score + (lang_idx % 5 - 2) * 0.3))) AS p FROM rt),
+    WITH {routes}, rt AS ({routed}), pr AS (SELECT *, 1 / (1 + exp(-(score + {bias}))) AS p FROM rt),
     tk AS (SELECT sent_id, pos, sum(p) / 2 AS taken FROM (SELECT sent_id, pos, p FROM pr UNION ALL SELECT sent_id, pos + 1, p FROM pr) GROUP BY 1, 2),
-    x AS (SELECT t.sent_id, t.lang_idx, v0, v63, vs, 1 - coalesce(taken, 0) AS w, 1.0::DOUBLE AS c FROM tok t JOIN emb USING (token_id) LEFT JOIN tk ON tk.sent_id = t.sent_id AND tk.pos = t.pos
-          UNION ALL SELECT sent_id, lang_idx, v0, v63, vs, p, -p FROM pr JOIN emb ON emb.token_id = pr.m)
-    SELECT sent_id, lang_idx, round(sum(w * v0) / greatest(sum(c), 0.001), 5) AS h0, round(sum(w * v63) / greatest(sum(c), 0.001), 5) AS h63, round(sum(w * vs) / greatest(sum(c), 0.001), 4) AS hsum FROM x GROUP BY 1, 2"""
+    x AS (SELECT t.sent_id, t.lang_idx, {columns}, 1 - coalesce(taken, 0) AS w, 1.0::DOUBLE AS c FROM tok t JOIN emb USING (token_id) LEFT JOIN tk ON tk.sent_id = t.sent_id AND tk.pos = t.pos
+          UNION ALL SELECT sent_id, lang_idx, {columns}, p, -p FROM pr JOIN emb ON emb.token_id = pr.m)
+    SELECT sent_id, lang_idx, {_out('sum(w * {v}) / greatest(sum(c), 0.001)')} FROM x GROUP BY 1, 2"""
 
 
-_HIT = "SELECT sent_id, lang_idx, pos, ((a + b) % 7 - 3) * 0.5 AS score, (a + b) % 500 AS m FROM g WHERE b IS NOT NULL AND (a * 31 + b) % 3 = 0"
+_ALL = "SELECT sent_id, lang_idx, pos, ((a + b) % 7 - 3) * 0.5 AS score, (a + b) % nv AS m FROM g WHERE b IS NOT NULL"
 
 
-@query(_collapse_sql(_HIT))
+@query(_collapse_sql(_ALL))
 def collapse_pool(spark, d):
     return _few(pooling.pool("collapse", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), bias=_bias(spark)))
 
 
+@query(_collapse_sql(_ALL, "0.2"))
+def collapse_shared(spark, d):
+    return _few(pooling.pool("collapse_shared", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), shared_bias=0.2))
+
+
 def _hashed(spark, d):
     return emb(spark, d).where(F.col("token_id") < BUCKETS).select(F.col("token_id").alias("bucket"), ((F.col("token_id") % 5 - 2) * 0.4).alias("score"), F.col("vec").alias("m"))
 
 
-@query(_collapse_sql(_HIT + " UNION ALL SELECT sent_id, lang_idx, pos, (k % 5 - 2) * 0.4, k FROM (SELECT *, abs(a * 2654435761 + b * 40503) % 128 AS k FROM g WHERE b IS NOT NULL AND (a * 31 + b) % 3 <> 0)"))
+_TIERS = f"{_ROUTED}, often AS (SELECT a, b FROM g WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+@query(_collapse_sql(f"""{_ALL} AND EXISTS (SELECT 1 FROM often o WHERE o.a = g.a AND o.b = g.b) UNION ALL SELECT sent_id, lang_idx, pos, (k % 5 - 2) * 0.4, k
+    FROM (SELECT *, abs(a * 2654435761 + b * 40503) % {BUCKETS} AS k FROM g WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM often o WHERE o.a = g.a AND o.b = g.b))""", routes=_TIERS))
 def collapse_two_tier(spark, d):
-    return _few(pooling.pool("collapse_dynamic", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
+    """Pairs that occur once are not in the exact table and share hashed rows."""
+    return _few(pooling.pool("collapse_dynamic", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, 2), hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
+
+
+def _reclaimed(spark, d):
+    """Of the smallest ids every eighth is reclaimed for the two after it."""
+    return spark.range(0, BUCKETS, 8).select(F.col("id").alias("token_id"), (F.col("id") + 1).alias("left"), (F.col("id") + 2).alias("right"))
+
+
+_TAKEN_APART = f"token_id < {BUCKETS} AND token_id % 8 = 0"
+_WIDE = f"""{TOK.replace('tok AS (', 'tok0 AS (')}, wide AS (SELECT sent_id, lang_idx, pos, 0 AS k, CASE WHEN {_TAKEN_APART} THEN token_id + 1 ELSE token_id END AS token_id FROM tok0 UNION ALL SELECT sent_id, lang_idx, pos, 1, token_id + 2 FROM tok0 WHERE {_TAKEN_APART}),
+    tok AS (SELECT sent_id, lang_idx, row_number() OVER (PARTITION BY sent_id ORDER BY pos, k) - 1 AS pos, token_id FROM wide), g AS (SELECT sent_id, lang_idx, pos, token_id AS a, lead(token_id) OVER (PARTITION BY sent_id ORDER BY pos) AS b, nv FROM tok, nv)"""
+
+
+@query(_collapse_sql(f"SELECT sent_id, lang_idx, pos, (k % 5 - 2) * 0.4 AS score, k AS m FROM (SELECT *, abs(a * 2654435761 + b * 40503) % {BUCKETS} AS k FROM g WHERE b IS NOT NULL)", routes=_WIDE))
+def collapse_reclaimed(spark, d):
+    return _few(pooling.pool("collapse_reclaimed", tok(spark, d), emb(spark, d), DIMS, base=BASE, rules=_reclaimed(spark, d), hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
 
 
 @query()
-def collapse_online(spark, d):
-    """Every pair has a score; projections and weights of rank 32 are drawn with a fixed seed, in the bounds of their first values."""
+def collapse_recursive(spark, d):
+    """Merges of one generation first: the pairs that occur most, with vectors of the ids after the last."""
+    e, t = emb(spark, d), tok(spark, d)
+    n = e.count()
+    often = pooling.token_grams(t, 2).groupBy(F.col("_0").alias("l"), F.col("_1").alias("r")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l", "r").limit(200).collect()
+    rules = [{"token_id": n + k, "left": x["l"], "right": x["r"], "generation": 1, "active": True, "span": [x["l"], x["r"]]} for k, x in enumerate(often)]
+    merged = e.where(F.col("token_id") < len(rules)).select((F.col("token_id") + n).alias("token_id"), "vec")
+    return _few(pooling.pool("collapse_recursive", t, e.unionByName(merged), DIMS, rules=rules, base=BASE, hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
+
+
+def _projections(spark, d):
     rng, rank = np.random.default_rng(7), 32
     left, right = rng.uniform(-1, 1, (2, rank, DIMS)) * np.sqrt(6 / (rank + DIMS))
-    codes = pooling.edge_codes(emb(spark, d), left, right, rng.normal(size=rank))
-    return _few(pooling.pool("collapse_online", tok(spark, d), emb(spark, d), DIMS, base=BASE, hashed=_hashed(spark, d), buckets=BUCKETS, codes=codes, bias=_bias(spark)))
+    return pooling.edge_codes(emb(spark, d), left, right, rng.normal(size=rank))
+
+
+@query()
+def collapse_online(spark, d):
+    """Every pair has a score; projections and weights of rank 32 are drawn with a fixed seed, in the bounds of their first values."""
+    return _few(pooling.pool("collapse_online", tok(spark, d), emb(spark, d), DIMS, base=BASE, hashed=_hashed(spark, d), buckets=BUCKETS, codes=_projections(spark, d), bias=_bias(spark)))
+
+
+@query()
+def collapse_online_compiled(spark, d):
+    """Only pairs that occur at least twice were compiled; the others are boundaries."""
+    return _few(pooling.pool("collapse_online_compiled", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, 2), bias=_bias(spark)))
 
 
 def _edges(spark, d):
@@ -322,11 +472,10 @@ def fold_rows(spark, d):
     return out.select("row_id", F.round(F.col("embedding")[0], 6).alias("v0"), F.round(F.col("embedding")[63], 6).alias("v63"))
 
 
-@query(f"WITH {TOK} SELECT sent_id, (count(*) + count(*) FILTER (token_id % 10 = 3))::BIGINT AS n FROM tok GROUP BY 1")
+@query(f"WITH {TOK} SELECT sent_id, (count(*) + count(*) FILTER ({_TAKEN_APART}))::BIGINT AS n, sum(CASE WHEN {_TAKEN_APART} THEN 2 * token_id + 3 ELSE token_id END)::BIGINT AS total FROM tok GROUP BY 1")
 def reclaim_expand(spark, d):
-    rules = spark.range(0, 500).where("id % 10 = 3").select(F.col("id").alias("token_id"), F.pmod(F.col("id") + 1, F.lit(500)).alias("left"), F.pmod(F.col("id") + 2, F.lit(500)).alias("right"))
-    lists = tok(spark, d).groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"]).alias("t"))
-    return tokens.expand_reclaimed(lists, "t", rules).select("sent_id", F.size("t").cast("long").alias("n"))
+    lists = tokens.expand_reclaimed(tok(spark, d).where("size(token_ids) > 0"), "token_ids", _reclaimed(spark, d))
+    return lists.select("sent_id", F.size("token_ids").cast("long").alias("n"), F.aggregate("token_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query("WITH b AS (SELECT token_id // 8 AS byte, sum(CASE WHEN is_marker THEN 1 << (token_id % 8) ELSE 0 END)::INT AS bits FROM vocab GROUP BY 1) SELECT byte::BIGINT AS byte, bits FROM b")
@@ -362,9 +511,7 @@ def stream_event_windows(spark, d):
     out = scratch(spark, "stream")
     stream = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = windows.event_windows(stream)
-    run = counted.writeStream.outputMode("complete").foreachBatch(windows.exactly_once(f"{out}/data")).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    run = counted.writeStream.outputMode("update").foreachBatch(windows.exactly_once(f"{out}/data")).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    done = spark.read.parquet(f"{out}/data")
-    last = done.agg(F.max("batch").alias("batch"))
-    done = done.join(F.broadcast(last), "batch").drop("batch")  # one row
+    done = windows.latest(spark.read.parquet(f"{out}/data"), "window_start", "event_type").select("window_start", "event_type", "n", "total")
     return done.withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

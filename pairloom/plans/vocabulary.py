@@ -143,12 +143,14 @@ def promote_quota(spark, d):
 
 
 @query(f"""
-    WITH {_ELIGIBLE}, {_FREE}, {_HELD}
+    WITH {_ELIGIBLE}, {_FREE}, {_HELD}, mem AS (SELECT pair_key, lang_idx FROM (SELECT m.pair_key, lang_idx, row_number() OVER (PARTITION BY lang_idx ORDER BY round(m.utility, 6) DESC, m.support DESC, m.pair_key) AS rk
+        FROM m JOIN q USING (pair_key) WHERE round(m.utility, 6) > 0 AND m.support >= 4) WHERE rk <= 100)
     SELECT (SELECT round(sum(utility), 4) FROM f) AS global_utility, (SELECT round(sum(utility), 4) FROM q) AS reserved_utility, (SELECT count(*) FROM q) AS selected_pairs, (SELECT count(*) FROM q WHERE reserved) AS reserved_pairs,
+    (SELECT count(*) / 524288.0 FROM m) AS saturation, (SELECT round(count(*) / (100.0 * (SELECT count(DISTINCT lang_idx) FROM m)), 9) FROM mem) AS occupancy, (SELECT count(*) FROM mem) AS memberships,
     (SELECT count(*) FROM q WHERE pair_key NOT IN (SELECT pair_key FROM f)) AS reservation_only, (SELECT count(*) FROM f WHERE pair_key NOT IN (SELECT pair_key FROM q)) AS global_only""")
 def promotion_audit(spark, d):
-    a = selection.audit(merged(spark, d), 3000, 2, 100, 4, 0.0002)
-    return a.select(F.round("global_utility", 4).alias("global_utility"), F.round("reserved_utility", 4).alias("reserved_utility"), "selected_pairs", "reserved_pairs", "reservation_only", "global_only")
+    a = selection.audit(merged(spark, d), 3000, 2, 100, 4, 0.0002, capacity=524_288)
+    return a.select("saturation", F.round("occupancy", 9).alias("occupancy"), "memberships", F.round("global_utility", 4).alias("global_utility"), F.round("reserved_utility", 4).alias("reserved_utility"), "selected_pairs", "reserved_pairs", "reservation_only", "global_only")
 
 
 @query(f"""
@@ -273,9 +275,11 @@ def grow_merge(spark, d):
     return transitions.grow(existing, s)
 
 
-@query()
+@query(f"""
+    WITH {_SELECTED}, k AS (SELECT l, r, (l + r) * (l + r + 1) // 2 + r AS key FROM sel)
+    SELECT l::INT AS "left", r::INT AS "right", key::BIGINT AS key, l || ' ' || r AS span, 'accepted' AS outcome, (16384 + row_number() OVER (ORDER BY key) - 1)::BIGINT AS token_id FROM k""")
 def rule_generation(spark, d):
-    """Two generations of merge rules from the selected pairs."""
+    """The first generation of merge rules, from the selected pairs."""
     s = _selected(spark, d).select((F.col("pair_key") - F.pmod("pair_key", F.lit(16384))).alias("_l"), F.pmod("pair_key", F.lit(16384)).cast("int").alias("right"))
     pairs = s.select((F.col("_l") / 16384).cast("int").alias("left"), "right")
     none = spark.createDataFrame([], "token_id int, left int, right int, generation int, active boolean, span array<int>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,13 @@ from ..operators.filters import languages_kept
 from ..operators.sampling import language_weights
 
 FOOTERS = "path string, row_group int, start long, rows long"
+#: Footers that the driver reads at a time.
+READERS = 16
+
+
+def _plain(path: str):
+    """A path without the scheme of local files, which Spark spells in more than one way."""
+    return F.regexp_replace(path, "^file:/*", "/")
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
@@ -20,23 +28,30 @@ def files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFra
     return found.select("path", F.col("length").alias("bytes"))
 
 
-def footers(paths: DataFrame) -> DataFrame:
-    """(path, row_group, start, rows) read from the files' footers, in the tasks that hold the paths."""
+def row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, usable_rows): no column is read, so Spark takes the rows from the footers, in its tasks."""
+    return spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("usable_rows"))
+
 
-    def run(batches):
-        import pandas as pd
-        import pyarrow.parquet as pq
+def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, row_group, start, rows) from the files' footers, read through Spark's own file systems.
+
+    One small read per listed file, ``READERS`` at a time, from the driver: a catalog's files, not its rows.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
-        for b in batches:
-            rows = []
-            for p in b["path"]:
-                meta, at = pq.ParquetFile(p.removeprefix("file:")).metadata, 0
-                for g in range(meta.num_row_groups):
-                    rows.append((p, g, at, meta.row_group(g).num_rows))
-                    at += meta.row_group(g).num_rows
-            yield pd.DataFrame(rows, columns=["path", "row_group", "start", "rows"])
+    def read(path: str) -> list[tuple]:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            sizes = [b.getRowCount() for b in reader.getFooter().getBlocks()]
+        finally:
+            reader.close()
+        return [(path, g, sum(sizes[:g]), n) for g, n in enumerate(sizes)]
 
-    return paths.select("path").mapInPandas(run, FOOTERS)
+    with ThreadPoolExecutor(READERS) as pool:
+        rows = [r for found in pool.map(read, paths) for r in found]
+    return spark.createDataFrame(rows, FOOTERS)
 
 
 def languages_of(listed: DataFrame, spec: StreamSpec, root: str) -> DataFrame:
@@ -45,7 +60,7 @@ def languages_of(listed: DataFrame, spec: StreamSpec, root: str) -> DataFrame:
         return listed.withColumn("language_id", F.lit(spec.language_id))
     if spec.path_component is None:
         return listed.withColumn("language_id", F.lit(""))
-    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{root.rstrip('/')}/", "")
+    below = F.regexp_replace(_plain("path"), f"^{root.rstrip('/')}/", "")
     part = F.try_element_at(F.split(below, "/"), F.lit(spec.path_component + 1))
     if spec.language_map:
         renamed = F.create_map(*[F.lit(x) for kv in spec.language_map.items() for x in kv])
@@ -75,8 +90,8 @@ def discover(spark: SparkSession, specs: list[StreamSpec], roots: dict[str, str]
         lacking = {spec.anchor_column, spec.positive_column} - set(spark.read.parquet(first["path"]).columns)
         if lacking:
             raise ValueError(f"{first['path']}: missing columns {sorted(lacking)}")
-        rows = footers(listed).groupBy("path").agg(F.sum("rows").alias("usable_rows"))
-        parts.append(listed.join(rows, "path").select(
+        rows = row_counts(spark, [r["path"] for r in listed.select("path").distinct().collect()]).withColumn("_p", _plain("path")).drop("path")
+        parts.append(listed.withColumn("_p", _plain("path")).join(rows, "_p", "left").na.fill(0, ["usable_rows"]).select(
             F.lit(spec.name).alias("source"), "path", F.lit(spec.anchor_column).alias("anchor_column"), F.lit(spec.positive_column).alias("positive_column"),
             (F.col("weight") * spec.weight).alias("sampling_weight"), "language_id", F.lit(spec.anchor_language or "").alias("anchor_language_id"), "bytes", "usable_rows",
         ))
@@ -91,8 +106,7 @@ def scan(spark: SparkSession, paths: list[str], anchor: str, positive: str, hold
     rows = spark.read.parquet(*paths).select(F.col(anchor).alias("anchor"), F.col(positive).alias("positive"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
     if holdout_groups <= 0:
         return rows
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    bounds = footers(listed).groupBy(F.regexp_replace("path", "^file:/*", "/").alias("_p")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("row_group", "start"))).alias("_g"))
+    bounds = footers(spark, paths).groupBy(_plain("path").alias("_p")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("row_group", "start"))).alias("_g"))
     cut = bounds.where(F.col("_n") > holdout_groups).select("_p", F.element_at("_g", F.col("_n").cast("int") - holdout_groups + 1)["start"].alias("_cut"))
-    joined = rows.join(F.broadcast(cut), F.regexp_replace("path", "^file:/*", "/") == F.col("_p"), "left")  # one row per listed file
+    joined = rows.withColumn("_p", _plain("path")).join(cut, "_p", "left")
     return joined.where(F.col("_cut").isNull() | (F.col("row_index") < F.col("_cut"))).drop("_p", "_cut")

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session gets a temporary folder, as in tests; on a cluster that would be a folder of one
+    machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,13 +32,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str = "table") -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by ``clear_scratch`` or when the driver ends."""
     path = f"{shared_dir(spark)}/pairloom-{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables that this driver wrote to the shared folder; the number of paths.
+
+    For a driver that runs one query after another: call it once a result has been written or collected. Plans that still
+    read such a table fail afterwards, so nothing calls it of its own accord.
+    """
+    gone = [p for p in _scratch if "-code-" not in p]
+    for path in gone:
+        _remove(spark, path)
+        _scratch.remove(path)
+    return len(gone)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the plan is cut and a lost executor loses nothing."""
     path = scratch(df.sparkSession)

@@ -6,17 +6,22 @@ what it wrote before.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import canonical
 
 
+#: Languages that a composite key has room for: odd, as a power of two would put all pairs into the same cells of a sketch.
+LANGUAGES = 4093
+
+
 def step_windows(records: DataFrame, interval: int, step: str = "step") -> DataFrame:
     """``window_id`` and ``half_id`` of each row: windows of ``interval`` steps in two halves."""
     half = max(1, interval // 2)
@@ -30,7 +35,11 @@ def step_discovery(obs: DataFrame, interval: int) -> DataFrame:
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str = "event_type", value: str = "value") -> DataFrame:
-    """Counts and sums per event-time window; rows later than ``late`` behind the watermark are dropped by a stream."""
+    """Counts and sums per event-time window.
+
+    A stream drops rows later than ``late`` behind the watermark and forgets windows older than that; written in update
+    mode, a micro-batch has only the windows that it changed. ``latest`` puts these together again.
+    """
     frame = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = events.withWatermark("ts", late).groupBy(frame.alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), by, "n", "total")
@@ -79,6 +88,46 @@ def exactly_once(path: str, change: Callable[[DataFrame], DataFrame] = lambda df
     return write
 
 
+def latest(written: DataFrame, *key: str, batch: str = "batch") -> DataFrame:
+    """Of rows that micro-batches wrote in update mode, the last of each ``key``."""
+    others = [c for c in written.columns if c not in (*key, batch)]
+    return written.groupBy(*key).agg(F.max_by(F.struct(*others), batch).alias("_r")).select(*key, "_r.*")
+
+
+def batch_stream(spark: SparkSession, batches: DataFrame, per_trigger: int = 16, start: int = 0) -> DataFrame:
+    """Planned batches (batch, slot, ...) as an endless stream: their numbers come from a counting source, in order.
+
+    ``batches`` is a table (``sampling.homogeneous_batches`` and the like, written once) in which a batch is found by its
+    number, so a stream that resumes from its checkpoint goes on with the next, and one that begins at ``start`` equals the
+    rest of one that began at 0. It ends up empty where the table does.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_trigger).load()
+    return ticks.select((F.col("value") + start).alias("batch")).join(batches, "batch")
+
+
+def running_discovery(obs: DataFrame, capacity: int, top: int, by: str = "stream_id") -> DataFrame:
+    """Bounded discovery over a stream of (``by``, pair_key, lang_idx, p, grad): each micro-batch passes on the kept records.
+
+    (``by``, composite_key, pair_key, lang_idx, utility, probability_sum, support). A stream's state is one
+    ``BoundedObserver``, of at most ``capacity`` records and a sketch of three rows; a micro-batch's rows of one ``by`` are
+    one call. Composite keys have room for the languages that ``LANGUAGES`` bounds.
+    """
+    from ..operators.discovery import BoundedObserver
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        observer = BoundedObserver.load(json.loads(state.get[0])) if state.exists else BoundedObserver(capacity, top, LANGUAGES)
+        rows = pd.concat(list(frames))
+        rows = rows[rows["pair_key"].notna() & rows["lang_idx"].notna()]
+        if len(rows):
+            observer.observe(rows["pair_key"], rows["lang_idx"], rows["p"], rows["grad"])
+        state.update((json.dumps(observer.state()),))
+        yield pd.DataFrame([(key[0], *r.values()) for r in observer.snapshot()], columns=[by, "composite_key", "pair_key", "lang_idx", "utility", "probability_sum", "support"])
+
+    kind = dict(obs.dtypes)[by]
+    schema = f"`{by}` {kind}, composite_key long, pair_key long, lang_idx int, utility double, probability_sum double, support long"
+    return obs.groupBy(by).applyInPandasWithState(run, schema, "observer string", "update", GroupStateTimeout.NoTimeout)
+
+
 def resume_batch(global_step: int, accumulation: int, configured: int = 0) -> int:
     """The batch at which a resumed run goes on; a configured start must be 0 or the same."""
     at = global_step * accumulation
@@ -89,8 +138,6 @@ def resume_batch(global_step: int, accumulation: int, configured: int = 0) -> in
 
 def saved_state(folder: str | Path, settings: dict) -> dict | None:
     """State saved in ``folder`` under the same settings; None if there is none, an error under others."""
-    import json
-
     path = Path(folder) / "state.json"
     if not path.exists():
         return None

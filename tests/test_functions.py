@@ -78,4 +78,35 @@ def test_terms_and_dice(spark):
     assert T.terms_of("The running dogs", "eng_Latn", {"eng": frozenset(["the"])}, {"eng": {"dogs": "dog"}}) == ["dog", "running"]
     assert T.terms_of("слово", "rus_Cyrl", fallback="reject") == []
     df = spark.createDataFrame([("alpha beta", "alpha gamma"), ("alpha beta", "gamma delta"), ("", "")], "a string, b string")
-    assert [r[0] for r in df.select(T.dice(T.ascii_terms("a"), T.ascii_terms("b"))).collect()] == [0.5, 0.0, 0.0]
+    assert [r[0] for r in df.select(T.dice(T.word_terms("a"), T.word_terms("b"))).collect()] == [0.5, 0.0, 0.0]
+
+
+def test_suite_labels(spark):
+    names = ["ara-Arab", "pes_Arab", "fas_Arab", "tgl_Latn", "uzb_Latn", "jpn_Hira"]
+    assert list(one(spark, *[T.eval_language(F.lit(n)) for n in names])) == ["arb_Arab", "fas_Arab", "fas_Arab", "fil_Latn", "uzb_Latn", "jpn_Jpan"]
+    df = spark.createDataFrame([(["eng-fra"],), (["ja"],), (["FRA_Latn"],), ([None],), (None,), (["spa"],)], "m array<string>")
+    assert [r[0] for r in df.select(T.names_language("m", ["fra", "JPN"])).collect()] == [True, True, True, False, False, False]
+    assert df.where(T.names_language("m", [])).count() == 0
+
+
+def test_folder_of_a_cluster_is_never_local(monkeypatch):
+    from types import SimpleNamespace
+
+    from pairloom import storage
+
+    made = {}
+    fake = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder, set=made.__setitem__), sparkContext=SimpleNamespace(master=master))
+    assert storage.shared_dir(fake("spark://x:1", "hdfs:///tmp/c/")) == "hdfs:///tmp/c"
+    with pytest.raises(ValueError):
+        storage.shared_dir(fake("spark://x:1", None))
+    assert storage.shared_dir(fake("local[2]", None)) == made["spark.checkpoint.dir"]
+
+
+def test_scratch_is_removed(spark):
+    from pathlib import Path
+
+    from pairloom import storage
+
+    df = storage.materialize(spark.range(3))
+    path = Path(df.inputFiles()[0].removeprefix("file:").removeprefix("//")).parent
+    assert path.exists() and storage.clear_scratch(spark) >= 1 and not path.exists()

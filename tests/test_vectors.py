@@ -181,9 +181,9 @@ def test_telemetry(spark):
     out = telemetry.window_metrics(steps).orderBy("window_id").collect()
     assert (out[0]["compression"], out[0]["hit_rate"], out[0]["n_steps"]) == (17 / 20, 0.5, 2) and out[1]["compression"] == 0.0
     values = spark.createDataFrame([(1.0, "g", "a"), (-3.0, "g", "a"), (4.0, "g", "b"), (None, "g", "b")], "x double, grp string, t string")
-    s = telemetry.statistics(values, "x").head()
+    s = telemetry.statistics(values, "x", "grp").head()
     assert (s["least"], s["median"], s["greatest"], s["positive"]) == (-3.0, 1.0, 4.0, pytest.approx(2 / 3))
-    assert telemetry.latency(values.where("x = 4"), "x").head()["std"] == 0.0
+    assert telemetry.latency(values.where("x = 4"), "x", "grp").head()["std"] == 0.0
     assert telemetry.gradient_norms(values, "x", "t", "grp").head()["norm"] == pytest.approx(math.sqrt(26))
     assert rows(spark.createDataFrame([("emb.w",), ("x.bias",), ("y",)], "n string").select(telemetry.parameter_group("n", [("emb.", "table"), ("*.bias", "bias")]))) == [("bias",), ("other",), ("table",)]
     same = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 2.0])], "token_id long, vec array<double>")
@@ -204,7 +204,7 @@ def test_files(spark, tmp_path):
         catalog.discover(spark, [StreamSpec("s", "r", "s1", "nope")], {"r": str(tmp_path / "root")})
     paths = [r["path"] for r in found.collect()]
     assert catalog.scan(spark, paths, "s1", "s2").count() == 17
-    groups = catalog.footers(found).count()
+    groups = catalog.footers(spark, paths).count()
     held = catalog.scan(spark, paths, "s1", "s2", 1).count()
     assert held == 17 if groups == 2 else held < 17
 
@@ -272,3 +272,65 @@ def test_online_scores_every_pair(spark):
     exact = spark.createDataFrame([(23, -1.0, [9.0, 9.0])], "pair_key long, score double, m array<double>")
     mean = np.array([2.0, 2.0]) / math.sqrt(8)
     assert rows(pooling.pool("collapse_online_compiled", toks, emb, 2, exact=exact, **online))[0][2] == pytest.approx(list(mean))
+
+
+def test_expected_l0_and_usage(spark):
+    scores = spark.createDataFrame([(0.0,), (2.0,)], "score double")
+    bias = spark.createDataFrame([(1.0,), (-1.0,)], "bias double")
+    shift = 2 / 3 * math.log(0.1 / 1.1)
+    want = sum(1 / (1 + math.exp(-(x - shift))) for x in (0.0, 2.0)) / 2
+    assert telemetry.expected_l0(scores, bias).head()[0] == pytest.approx(want)
+    for bad in (scores.where("false"), scores.withColumn("score", F.lit(float("nan")))):
+        with pytest.raises(ValueError):
+            telemetry.expected_l0(bad, bias)
+    with pytest.raises(ValueError):
+        telemetry.expected_l0(scores, bias, gamma=0.1)
+    toks = spark.createDataFrame([(0, 1, 5), (0, 1, 6), (0, 1, 7), (0, 2, 5), (1, 3, 5)], "step int, sent_id int, token_id int")
+    routed = spark.createDataFrame([(0, 0.5, 9), (0, 0.25, 9), (0, 1.0, None)], "step int, p double, bucket int")
+    got = {r["step"]: (r["base_tokens"], r["candidate_pairs"], r["hits"], r["merged"]) for r in telemetry.usage(routed, toks).collect()}
+    assert got == {0: (4, 2, 3, 1.75), 1: (1, 0, 0, 0.0)}
+    assert rows(telemetry.touched(routed, "bucket")) == [(0, 1, 1)]
+
+
+def test_arrays_and_rows_of_tokens_are_pooled_alike(spark, monkeypatch):
+    """A row per token, an array per sentence, and tables too large to go to every worker give the same vectors."""
+    sentences = [[1, 2, 1, 3], [2], [9, 9], []]
+    long, emb = token_rows(spark, sentences), table(spark, {1: [2.0, 0.0], 2: [4.0, 1.0], 3: [0.5, -1.0]})
+    short = spark.createDataFrame([(i, 0, t) for i, t in enumerate(sentences)], "sent_id long, lang_idx int, token_ids array<long>")
+    exact = spark.createDataFrame([(12, 0.5, [9.0, 1.0]), (21, -0.25, [3.0, 3.0])], "pair_key long, score double, m array<double>")
+    hashed = spark.createDataFrame([(0, 0.1, [1.0, 1.0])], "bucket long, score double, m array<double>")
+    bound = pooling.MOST_TABLE_BYTES
+    for mode, more in (("none", {}), ("collapse", {"base": 10, "exact": exact}), ("collapse_dynamic", {"base": 10, "exact": exact, "hashed": hashed, "buckets": 1, "shared_bias": 0.3}), ("collapse_online", {"base": 10, "exact": exact})):
+        seen = []
+        for most in (bound, 0):
+            monkeypatch.setattr(pooling, "MOST_TABLE_BYTES", most)
+            seen += [rows(pooling.pool(mode, t, emb, 2, **more)) for t in (long, short)]
+        for other in seen[1:]:
+            assert [r[:2] for r in other] == [r[:2] for r in seen[0]] and np.allclose([r[2] for r in other], [r[2] for r in seen[0]]), mode
+
+
+def test_state_follows_rows(spark):
+    from pairloom.operators import transitions
+
+    state = spark.createDataFrame([(0, [1.0, 2.0], 3), (1, [3.0, 6.0], 4)], "row_id long, moment array<double>, step int")
+    moved = spark.createDataFrame([(10, 1), (11, 1), (12, 0)], "new_row long, old_row long")
+    assert rows(transitions.migrate_state(state, moved)) == [(10, [3.0, 6.0], 4), (11, [3.0, 6.0], 4), (12, [1.0, 2.0], 3)]
+    with pytest.raises(ValueError):
+        transitions.migrate_state(state, spark.createDataFrame([(10, 7)], "new_row long, old_row long"))
+    rules = spark.createDataFrame([(5, 0, 1)], "token_id long, left long, right long")
+    assert rows(transitions.parent_state(state.withColumnRenamed("row_id", "token_id"), rules, ["moment"])) == [(5, [2.0, 4.0])]
+    assert rows(transitions.seed_rows(state, state.where("row_id = 1").withColumn("step", F.lit(9)), "row_id", ["step"]), "row_id", "step") == [(0, 3), (1, 9)]
+    with pytest.raises(ValueError):
+        transitions.seed_rows(state.where("row_id = 0"), state, "row_id", ["step"])
+
+
+def test_reclaimed_tokens_in_arrays(spark):
+    from pairloom.operators import tokens
+
+    rules = spark.createDataFrame([(2, 0, 1)], "token_id long, left long, right long")
+    df = spark.createDataFrame([([2, 3, 2],), ([],), (None,)], "t array<long>")
+    assert [r[0] for r in tokens.expand_reclaimed(df, "t", rules).collect()] == [[0, 1, 3, 0, 1], [], None]
+    with pytest.raises(ValueError):
+        tokens.expand_reclaimed(df, "t", rules.unionByName(rules))
+    with pytest.raises(ValueError):
+        tokens.expand_reclaimed(df, "t", rules, 0)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -85,7 +87,8 @@ def test_promotion(spark):
 
 
 def test_audit(spark):
-    a = selection.audit(records(spark, (10, 0, 12, 3, 3), (20, 1, 4, 3, 3), (30, 0, 10, 3, 3)), 2, 1, 1, 1).head()
+    a = selection.audit(records(spark, (10, 0, 12, 3, 3), (20, 1, 4, 3, 3), (30, 0, 10, 3, 3)), 2, 1, 1, 1, capacity=8).head()
+    assert (a["records"], a["saturation"], a["memberships"]) == (3, 0.375, 2)
     assert (a["global_utility"], a["reserved_utility"], a["displaced_utility"], a["occupancy"]) == (22.0, 16.0, 6.0, 1.0)
     assert (a["reservation_only"], a["global_only"]) == (1, 1)
 
@@ -109,6 +112,45 @@ def test_growth_selectors(spark):
     assert balanced == [(1, "language"), (4, "language")]
 
 
+def test_balanced_growth_takes_turns(spark):
+    """Against taking turns one by one, with pairs that several languages want."""
+    rng = random.Random(4)
+    data = {(k, lang): rng.randint(1, 9) for k in range(60) for lang in range(5) if rng.random() < 0.5}
+    df = records(spark, *[(k, lang, float(u), 5, 5) for (k, lang), u in data.items()])
+    none = spark.createDataFrame([], "pair_key long")
+    total = {lang: sum(u for (_, x), u in data.items() if x == lang) for lang in range(5)}
+    for limit in (3, 17, 40):
+        taken: dict[int, str] = {}
+        for turn in range(5):
+            room = limit // 5 + (turn < limit % 5)
+            for k in sorted((k for k, x in data if x == turn), key=lambda k: (-data[k, turn] / total[turn], k)):
+                if room and k not in taken:
+                    taken[k], room = "language", room - 1
+        best = {k: max(data[k, x] / total[x] for y, x in data if y == k) for k, _ in data if k not in taken}
+        for k in sorted(best, key=lambda k: (-best[k], k))[: limit - len(taken)]:
+            taken[k] = "backfill"
+        assert dict(rows(selection.balanced_growth(df, df, none, limit), "pair_key", "via")) == taken
+    assert selection.balanced_growth(df.where("false"), df, none, 5).count() == 0
+
+
+def test_slots_need_room(spark):
+    keys = spark.range(9).withColumnRenamed("id", "pair_key")
+    with pytest.raises(ValueError):
+        transitions.assign_slots(keys, 100, 8)
+    out = transitions.assign_slots(keys, 100, 16).toPandas()
+    assert out.slot.is_unique and out.slot.between(0, 15).all() and len(out) == 9
+
+
+def test_wide_sketches_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(k, k % 7 + 1) for k in range(200)], "k long, v long")
+    for signed in (False, True):
+        cells = sketches.sketch(df, "k", "v", 64, signed)
+        monkeypatch.setattr(sketches, "MOST_CELLS", 10**6)
+        one = rows(sketches.estimate(df.select("k"), "k", cells, 64, signed))
+        monkeypatch.setattr(sketches, "MOST_CELLS", 0)
+        assert one == rows(sketches.estimate(df.select("k"), "k", cells, 64, signed)) and len(one) == 200
+
+
 def test_token_arrays(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"]), (3, []), (4, None)], "id long, t array<string>")
     assert rows(tokens.adjacent_pairs(df, "t", "id"), "id", "left", "right") == [(1, "a", "b"), (1, "b", "c")]
