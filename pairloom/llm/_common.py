@@ -21,7 +21,7 @@ def collect_bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 200_000
 
 
 def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", most: int = MOST_BROADCAST) -> DataFrame:

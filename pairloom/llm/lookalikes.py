@@ -1,6 +1,7 @@
 """Visually identical text with different characters (problem 4): one consistent form of each value.
 
-Characters are mapped first (widths, ligatures, look-alike letters, kinds of space; what is not displayed is removed).
+Characters are mapped first (widths, ligatures, look-alike letters and digits from Unicode's table of confusable characters,
+kinds of space; what is not displayed is removed).
 What is then equal, in SQL, under the accent- and case-sensitive Unicode collation, which also equates composed and
 decomposed accents, are one class. Its canonical member is chosen deterministically and joined back.
 """
@@ -14,32 +15,31 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ._common import materialize, semi_join
 
-# Cyrillic and Greek letters that look like Latin ones.
-LOOK_ALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ι": "i", "α": "a", "ρ": "p", "υ": "u",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ɑ": "a", "ɡ": "g", "ı": "i", "’": "'", "‘": "'", "ʼ": "'", "ʹ": "'", "‐": "-", "‑": "-", "−": "-",
-}
 #: Not displayed: zero-width spaces and joiners, direction marks, soft hyphen, byte order mark, variation selectors.
 HIDDEN = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
 SPACES = "              　"
 
 
+#: Blocks with width, compatibility and font forms: Roman numerals, letter-like symbols, radicals, presentation forms, mathematical letters.
+FORMS = (
+    *range(0x0132, 0x0134), *range(0x01C4, 0x01CA), 0x2026, *range(0x2100, 0x2150), *range(0x2160, 0x2180), *range(0x2E80, 0x2FE0), *range(0x3130, 0x3190), *range(0xF900, 0xFE00), *range(0xFE10, 0xFFF0),
+    *range(0x1D400, 0x1D800),
+)
+KINDS = ("<wide>", "<narrow>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>", "<small>", "<font>")
+
+
 def width_forms() -> dict[str, str]:
-    """Characters that Unicode calls another width, a ligature or a compatibility form of others, and these."""
+    """Characters that Unicode calls another width, a ligature, a font or a compatibility form of others, and these."""
     out = {}
-    for code in (*range(0x2E80, 0x2FE0), *range(0x3130, 0x3190), *range(0xF900, 0xFB50), *range(0xFB50, 0xFE00), *range(0xFE10, 0xFFF0), *range(0x0132, 0x0134), 0x01C4, 0x01C5, 0x01C6, 0x01C7, 0x01C8, 0x01C9, 0x2026):
-        c = chr(code)
+    for c in map(chr, FORMS):
         kind = unicodedata.decomposition(c).split(" ")[0]
-        if kind in ("<wide>", "<narrow>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>", "<small>"):
+        if kind in KINDS:
             plain = unicodedata.normalize("NFKD" if kind == "<narrow>" else "NFKC", c)
             if plain.strip():
                 out[c] = plain
@@ -48,15 +48,56 @@ def width_forms() -> dict[str, str]:
     return out
 
 
-@cache
-def look_table() -> dict[int, str]:
+def _kind(c: str) -> str:
+    """What has to agree for two characters to look alike: case or being a digit, and whether a dot is shown."""
+    name = unicodedata.name(c, "")
+    dotless = " dotless" if c.islower() and ("DOTLESS" in name or "IOTA" in name) else ""
+    return ("upper" if c.isupper() else "lower" if c.islower() else "digit") + dotless
+
+
+# Look-alike letters that the table lacks.
+MORE = {"ӏ": "l", "Ԛ": "Q"}
+_letters: dict[str, str] = {}
+
+
+def confusable_letters(spark: SparkSession) -> dict[str, str]:
+    """Cased letters and digits of all scripts that look like another, and the one that stands for their class.
+
+    Classes come from the Unicode table of confusable characters, as ICU, which Spark brings along, has it: characters of
+    one skeleton and one ``_kind`` are a class. So letters of different case, letters and digits, dotted and dotless
+    letters stay apart, whatever the table says of them; signs and letters without case are not taken from it at all. An
+    ASCII member stands for its class, else that of the least code point. Skeletons with marks are left out, as accents
+    are compared by themselves.
+    """
+    if not _letters:
+        chars = [c for c in map(chr, range(0x30, 0x1FBFA)) if (c.isupper() or c.islower() or unicodedata.category(c) == "Nd") and unicodedata.normalize("NFD", c) == c]
+        checker = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        skeletons = checker.getSkeleton("\n".join(chars)).split("\n")
+        if len(skeletons) != len(chars):
+            raise ValueError("the skeletons do not fit the characters")
+        classes: dict[tuple[str, str], list[str]] = {}
+        for c, s in zip(chars, skeletons):
+            if not any(unicodedata.category(x)[0] == "M" for x in s):
+                classes.setdefault((s, _kind(c)), []).append(c)
+        for members in classes.values():
+            _letters.update({c: min(members) for c in members if c != min(members)})  # ASCII comes first
+        _letters.update(MORE)
+    return _letters
+
+
+def look_table(spark: SparkSession) -> dict[int, str]:
     """For ``str.translate``: each character to map and its one form; nothing for those not displayed."""
-    forms = {c: "".join(LOOK_ALIKES.get(x, x) for x in p) for c, p in width_forms().items()}
-    for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))):  # accented letters whose base is a look-alike
-        parts = unicodedata.normalize("NFD", c)
-        if parts != c and parts[0] in LOOK_ALIKES:
-            forms[c] = unicodedata.normalize("NFC", LOOK_ALIKES[parts[0]] + parts[1:])
-    return str.maketrans(forms | LOOK_ALIKES | {c: " " for c in SPACES} | {c: "" for c in HIDDEN})
+    letters = confusable_letters(spark)
+    forms = {c: "".join(letters.get(x, x) for x in p) for c, p in width_forms().items()}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x590), *range(0x1E00, 0x2000))):  # accented letters whose base is a look-alike
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks:
+            plain = letters.get(base, base)
+            if "dotless" in _kind(base) and unicodedata.combining(marks[0]) == 230:  # a mark above takes the place of the dot
+                plain = "j" if "J" in unicodedata.name(base) else "i"
+            if plain != base:
+                forms[c] = unicodedata.normalize("NFC", plain + "".join(marks))
+    return str.maketrans(letters | forms | {c: " " for c in SPACES} | {c: "" for c in HIDDEN})
 
 
 @cache
@@ -73,12 +114,12 @@ def base_table() -> dict[int, str]:
     return str.maketrans({c: "" if b in marks else b for c, b in out.items()} | dict.fromkeys(marks, ""))
 
 
-def look_of(value: str) -> str:
-    """``value`` with one form for each look; what differs in case, accents or punctuation stays different.
+def look_of(value: str, table: dict[int, str]) -> str:
+    """``value`` with one form for each look; what differs in case, accents, dots or punctuation stays different.
 
     Composed and decomposed accents are not made equal here, but by the collation under which looks are compared.
     """
-    return value if value.isascii() else value.translate(look_table())
+    return value if value.isascii() else value.translate(table)
 
 
 def coarse_of(look: str) -> str:
@@ -86,23 +127,18 @@ def coarse_of(look: str) -> str:
     return look if look.isascii() else look.translate(base_table())
 
 
-def _hashes(by: str):
+def _hashes(table, by: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh64_intdigest
+        digest, looks_of = xxhash.xxh64_intdigest, table.value
         for batch in batches:
             values = list(batch["value"])
             own = np.array([digest(v) for v in values], "uint64").view("int64")
-            looks = np.array([digest(coarse_of(look_of(v))) for v in values], "uint64").view("int64")
+            looks = np.array([digest(coarse_of(look_of(v, looks_of))) for v in values], "uint64").view("int64")
             yield pd.DataFrame({"pair_id": batch["pair_id"], by: batch[by], "c": looks, "v": own})
 
     return run
 
 
-@F.pandas_udf(StringType())
-def _look(values: pd.Series) -> pd.Series:
-    return values.map(look_of)
-
-
 def shared_looks(rows: DataFrame, by: str = "side") -> DataFrame:
     """Rows of (pair_id, ``by``, value) whose value may share its look with a different value of the same ``by``.
 
@@ -110,10 +146,12 @@ def shared_looks(rows: DataFrame, by: str = "side") -> DataFrame:
     compared as texts, under the collation. Null and empty values have no row.
     """
     rows = rows.select("pair_id", by, "value").where("value IS NOT NULL AND value <> ''")
-    hashed = materialize(rows.mapInPandas(_hashes(by), f"pair_id long, {by} string, c long, v long"))
+    table = rows.sparkSession.sparkContext.broadcast(look_table(rows.sparkSession))
+    look = F.pandas_udf(lambda values: values.map(lambda v: look_of(v, table.value)), StringType())
+    hashed = materialize(rows.mapInPandas(_hashes(table, by), f"pair_id long, {by} string, c long, v long"))
     several = hashed.groupBy(by, "c").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select(by, "c")
     near = materialize(hashed.join(several, [by, "c"], "left_semi").select("pair_id", by).distinct())
-    return materialize(semi_join(rows, near, ["pair_id", by]).withColumn("look", _look("value")))
+    return materialize(semi_join(rows, near, ["pair_id", by]).withColumn("look", look("value")))
 
 
 def classes(near: DataFrame, by: str = "side") -> DataFrame:
@@ -138,11 +176,25 @@ def canonical_forms(rows: DataFrame, by: str = "side") -> DataFrame:
     return joined.select("pair_id", by, "value", F.coalesce("canonical", "value").alias("canonical"))
 
 
+def look_classes(rows: DataFrame, by: str = "side") -> DataFrame:
+    """Every row whose value looks like a different one: (pair_id, ``by``, canonical, n_rows, n_links).
+
+    A class is named by its canonical value; ``n_rows`` are its rows, ``n_links`` those with another value than this row's.
+    One row per row, however large the class; the pairs of ``equal_looking`` follow from it.
+    """
+    near = shared_looks(rows, by)
+    found = materialize(classes(near, by))
+    sizes = found.groupBy(by, "canonical").agg(F.sum("n_rows").alias("_all"))
+    sized = found.join(sizes, [by, "canonical"]).select(by, "value", "canonical", F.col("_all").alias("n_rows"), (F.col("_all") - F.col("n_rows")).alias("n_links"))
+    return near.select("pair_id", by, "value").join(sized, [by, "value"]).select("pair_id", by, "canonical", "n_rows", "n_links")
+
+
 def equal_looking(rows: DataFrame, by: str = "side") -> DataFrame:
     """Pairs of rows whose values look the same but differ: (pair_id_1, pair_id_2, ``by``), pair_id_1 < pair_id_2.
 
     Values are paired within their class first and rows joined to them afterwards, so copies of one value meet only the
-    rows of other values. Rows of one pair_id that occurs twice are not paired with each other.
+    rows of other values. Rows of one pair_id that occurs twice are not paired with each other. This is the form that lists
+    of pairs ask for; ``look_classes`` says the same in one row per row.
     """
     near = shared_looks(rows, by)
     found = materialize(classes(near, by))

@@ -2,9 +2,9 @@
 
 Every source is a queue of its documents in a shuffled order, which is repeated, shuffled anew, up to the source's cap. A
 document's virtual finish time is the number of tokens of its source up to and including it, divided by the source's
-target weight. Sorting all by finish time interleaves the sources in proportion to their weights; the mixture is what
-comes before the time at which the budget is used up. The sums along each queue are made in two levels (hash-ordered
-blocks, then within a block), so a source that holds most of the rows is spread over many tasks.
+target weight. All are sorted by finish time, by ranges, which interleaves the sources in proportion to their weights; the
+mixture is what comes before the budget is used up. The sums along the queues come from a sort by ranges as well
+(``operators.ranking``), so a source that holds most of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import running
 from ._common import collect_bounded, materialize
 
 MOST_SOURCES = 100_000
-BLOCK_ROWS = 20_000
-BLOCK_TOKENS = 10_000_000
 
 
 def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None) -> dict:
@@ -62,38 +61,34 @@ def mix(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     sized = materialize(sized.select("doc_id", "source", "n_tokens").where("n_tokens > 0").join(named, "source", "left_semi"))  # tokenized once
     sums = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     plan = plan_mixture({s: t for s, (t, _) in sums.items()}, goal, budget)
-    chosen = [(s, float(goal[s][0]), k, sums[s][0], max(1, -(-sums[s][1] // BLOCK_ROWS))) for s, k in plan["passes"].items()]
-    queues = spark.createDataFrame(chosen, "source string, share double, passes int, all_tokens long, blocks long")
+    chosen = [(s, float(goal[s][0]), k) for s, k in plan["passes"].items()]
+    queues = spark.createDataFrame(chosen, "source string, share double, passes int")  # at most MOST_SOURCES rows
     runs = sized.join(F.broadcast(queues), "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    place = (F.xxhash64(F.lit(seed), "pass", "source", "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("place")
-    runs = runs.select("*", place).withColumn("block", (F.col("place") * F.col("blocks")).cast("long"))
-    key = ["source", "pass", "block"]
-    earlier = Window.partitionBy("source", "pass").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.groupBy(*key).agg(F.sum("n_tokens").alias("t")).select(*key, F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*key).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    done = F.col("pass") * F.col("all_tokens") + F.col("before") + F.col("along")
-    queued = runs.withColumn("along", F.sum("n_tokens").over(within)).join(offsets, key).withColumn("virtual_finish", done / F.col("share"))
+    runs = runs.withColumn("at", F.xxhash64(F.lit(seed), "pass", "source", "doc_id"))
+    queued = materialize(running(runs, ["source", "pass", "at", "doc_id", "n_tokens"], ["n_tokens"]))
+    first = queued.groupBy("source").agg(F.min(F.col("n_tokens_so_far") - F.col("n_tokens")).alias("before"))  # one row per source
+    queued = queued.join(F.broadcast(first), "source").withColumn("virtual_finish", (F.col("n_tokens_so_far") - F.col("before")) / F.col("share"))
     queued = queued.where(F.col("virtual_finish") <= plan["until"] * (1 + 1e-12)).select("doc_id", "source", "pass", "n_tokens", "virtual_finish")
-    # in one order: equal slices of virtual time hold about as many tokens each, so they are the ranges of the sort
-    slices = max(1, int(plan["budget"] // BLOCK_TOKENS))
-    queued = materialize(queued.withColumn("slice", F.floor(F.col("virtual_finish") * F.lit(slices / (plan["until"] or 1.0)))))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # over one row per slice
-    starts = queued.groupBy("slice").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    starts = starts.select("slice", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("slice").orderBy("virtual_finish", "source", "doc_id", "pass")
-    placed = queued.withColumn("n1", F.row_number().over(inside)).withColumn("t1", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(starts, "slice").withColumn("tokens_so_far", F.col("t0") + F.col("t1"))
-    return placed.where(F.col("tokens_so_far") <= plan["budget"] * (1 + 1e-9)).select(
-        (F.col("n0") + F.col("n1")).alias("position"), "doc_id", "source", F.col("pass").alias("repeat"), "n_tokens", "virtual_finish", "tokens_so_far"
+    placed = running(queued, ["virtual_finish", "source", "doc_id", "pass"], ["n_tokens"], place="position")
+    return placed.where(F.col("n_tokens_so_far") <= plan["budget"] * (1 + 1e-9)).select(
+        (F.col("position") + 1).alias("position"), "doc_id", "source", F.col("pass").alias("repeat"), "n_tokens", "virtual_finish", F.col("n_tokens_so_far").alias("tokens_so_far")
     )
 
 
-def shares_reached(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: its share, the share reached, and how often its most repeated document was used.
+def shares_reached(mixture: DataFrame, targets: DataFrame, sized: DataFrame) -> DataFrame:
+    """One row per target: its share, the share reached, how often its most repeated document was used, and the tokens it could give.
 
-    A source without rows has a reached share of 0; so have all where the mixture is empty.
+    ``binds`` marks the source (or sources) whose tokens, repeated as often as allowed, run out first at its share: the
+    default budget is the greatest at which it still reaches it. A source without rows has a reached share of 0 and does
+    not bind; where the mixture is empty, all shares are 0.
     """
     used = mixture.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), (F.max("repeat") + 1).alias("most_uses"))
-    out = targets.join(used, "source", "left").na.fill(0, ["n_texts", "n_tokens", "most_uses"])
-    total = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))  # one row per target
-    return out.select("source", "target_share", "max_repeats", "n_texts", "n_tokens", F.when(total > 0, F.col("n_tokens") / total).otherwise(0.0).alias("share_reached"), "most_uses")
+    have = sized.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("_have"))
+    out = targets.join(used, "source", "left").join(have, "source", "left").na.fill(0, ["n_texts", "n_tokens", "most_uses", "_have"])
+    out = out.withColumn("tokens_available", F.col("_have") * F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)))
+    every = Window.partitionBy(F.lit(0))  # one row per target
+    total, until = F.sum("n_tokens").over(every), F.when((F.col("tokens_available") > 0) & (F.col("target_share") > 0), F.col("tokens_available") / F.col("target_share"))
+    return out.withColumn("_until", until).select(
+        "source", "target_share", "max_repeats", "n_texts", "n_tokens", F.when(total > 0, F.col("n_tokens") / total).otherwise(0.0).alias("share_reached"), "most_uses", "tokens_available",
+        F.coalesce(F.col("_until") == F.min("_until").over(every), F.lit(False)).alias("binds"),
+    )

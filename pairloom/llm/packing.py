@@ -40,6 +40,15 @@ class Index:
         tf = tf[order]
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n = n
+        self.near: dict[int, np.ndarray] = {}
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Documents that share a term with ``seed``, best score first, itself included. Kept, as each capacity asks again."""
+        if seed not in self.near:
+            score = self.scores(seed)
+            found = np.flatnonzero(score > 0)
+            self.near[seed] = found[np.argsort(-score[found], kind="stable")].astype("int32")
+        return self.near[seed]
 
     def scores(self, seed: int) -> np.ndarray:
         at = np.searchsorted(self.ids, self.terms[seed])
@@ -71,9 +80,8 @@ def fill(index: Index, sizes: np.ndarray, capacity: int) -> list[list[tuple[int,
         chosen, room = [seed], capacity - int(left[seed])
         smallest = int(ranked[unused][-1]) if room and unused.any() else capacity + 1
         if room >= smallest:
-            score = index.scores(seed)
-            near = np.flatnonzero((score > 0) & (left <= room) & unused[place])
-            near = near[np.argsort(-score[near], kind="stable")]
+            near = index.neighbours(seed)
+            near = near[(left[near] <= room) & unused[place[near]]]
             while len(near):
                 pick = int(near[0])
                 chosen.append(pick)

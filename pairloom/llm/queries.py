@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import heavy_hitters, langid, leaks, lookalikes, mixing, packing, token_budget, truncation
+from . import heavy_hitters, langid, leaks, lookalikes, mixing, packing, scripts, token_budget, truncation
 from ._common import materialize, read
 from .sizes import with_sizes
 
@@ -28,6 +29,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(read(spark, sf_dir, "pairs"), read(spark, sf_dir, "eval_items"))
 
 
+def p2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: passages of which up to two words of ten differ or stand up to two places off."""
+    return leaks.near(materialize(leaks.index(read(spark, sf_dir, "pairs"))), read(spark, sf_dir, "eval_items"))
+
+
 def p2_leaks_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read(spark, sf_dir, "pairs")
     found = materialize(leaks.leaked(pairs, read(spark, sf_dir, "eval_items")))
@@ -68,6 +74,11 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical_forms(lookalikes.sides_of(read(spark, sf_dir, "pairs")))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p4_found`` in the form for any size: one row per row, with its class and its number of links."""
+    return lookalikes.look_classes(lookalikes.sides_of(read(spark, sf_dir, "pairs")))
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> langid.Profiles:
     return langid.fit(read(spark, sf_dir, "lang_samples"), read(spark, sf_dir, "documents"))
 
@@ -96,17 +107,18 @@ def p6_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_rates(p6_containers(spark, sf_dir))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = with_sizes(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
-    return mixing.mix(sized, read(spark, sf_dir, "mix_targets"))
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_sizes(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir)
+    return mixing.mix(_sized(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares_reached(_mixture(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+    """Shares reached, and which source binds the budget."""
+    sized, targets = materialize(_sized(spark, sf_dir)), read(spark, sf_dir, "mix_targets")
+    return mixing.shares_reached(mixing.mix(sized, targets), targets, sized)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +142,7 @@ def p8_prefix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_top_support, p2_found, p2_leaks_by_source, p3_token_totals, p3_document_tokens, p4_found, p4_canonical, p5_found, p5_languages, p5_segments,
+        p1_found, p1_top_support, p2_found, p2_near, p2_leaks_by_source, p3_token_totals, p3_document_tokens, p4_found, p4_canonical, p4_classes, p5_found, p5_languages, p5_segments,
         p6_containers, p6_fill_rates, p7_mixture, p7_shares, p8_found, p8_routes, p8_rates, p8_prefix_copies,
     )
 }
@@ -140,7 +152,29 @@ _TOP = """
     FROM (SELECT record_id, pair_key, min(support) AS support FROM window_records WHERE pair_key IS NOT NULL AND support IS NOT NULL GROUP BY 1, 2)
     GROUP BY pair_key ORDER BY support DESC, pair_key LIMIT 60"""
 
+
+
+def _look_sql() -> str:
+    """The look of ``value`` in SQL, from a fixed list of letters in place of the table of confusable characters."""
+    one = {c: p for c, p in lookalikes.width_forms().items() if len(p) == 1} | {c: p for c, p in scripts.LOOK_ALIKES.items() if c != "ı"} | dict.fromkeys(lookalikes.SPACES, " ")
+    accented = {c: unicodedata.normalize("NFC", scripts.LOOK_ALIKES[d[0]] + d[1:]) for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in scripts.LOOK_ALIKES}
+    one |= {c: p for c, p in accented.items() if len(p) == 1}
+    to = "".join(one.values()).replace("'", "''")
+    out = f"translate(value, '{''.join(one)}{lookalikes.HIDDEN}', '{to}')"
+    for c, p in lookalikes.width_forms().items():
+        if 0xFB00 <= ord(c) <= 0xFB06:
+            out = f"replace({out}, '{c}', '{p}')"
+    return f"nfc_normalize({out})"
+
+
+_LOOKS = f"""v AS (SELECT pair_id, 'anchor' AS side, anchor AS value FROM pairs UNION ALL SELECT pair_id, 'positive', positive FROM pairs),
+    l AS (SELECT pair_id, side, value, CASE WHEN value <> '' THEN {_look_sql()} END AS look FROM v), c AS (SELECT side, look, value, count(*) AS n FROM l WHERE look IS NOT NULL GROUP BY ALL),
+    k AS (SELECT *, first_value(value) OVER (PARTITION BY side, look ORDER BY n DESC, value) AS canonical, sum(n) OVER (PARTITION BY side, look)::BIGINT AS n_rows, count(*) OVER (PARTITION BY side, look) AS members FROM c)"""
+
 ORACLES: dict[str, str] = {
+    "p4_found": f"WITH {_LOOKS} SELECT a.pair_id AS pair_id_1, b.pair_id AS pair_id_2, a.side FROM l a JOIN l b ON a.side = b.side AND a.look = b.look AND a.value <> b.value AND a.pair_id < b.pair_id",
+    "p4_canonical": f"WITH {_LOOKS} SELECT l.pair_id, l.side, l.value, coalesce(k.canonical, l.value) AS canonical FROM l LEFT JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value",
+    "p4_classes": f"WITH {_LOOKS} SELECT pair_id, l.side, canonical, n_rows, n_rows - n AS n_links FROM l JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value WHERE members > 1",
     "p1_found": f"SELECT pair_key FROM ({_TOP})",
     "p1_top_support": f"SELECT pair_key, support, true AS bounded FROM ({_TOP})",
     "p8_prefix_copies": r"""

@@ -6,7 +6,16 @@ import re
 import unicodedata
 from functools import cache
 
-from .lookalikes import HIDDEN, LOOK_ALIKES
+from .lookalikes import HIDDEN
+
+# Cyrillic and Greek letters that look like Latin ones, by which the script of a word is told.
+LOOK_ALIKES = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ι": "i", "α": "a", "ρ": "p", "υ": "u",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ɑ": "a", "ɡ": "g", "ı": "i",
+}
 
 LATIN, CYRILLIC, GREEK = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]"), re.compile(r"[Ѐ-ԯ]"), re.compile(r"[Ͱ-Ͽἀ-῿]")
 _HIDDEN = dict.fromkeys(map(ord, HIDDEN))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ _loaded: dict[str, object] = {}
 
 
 def piece_model(path: str):
-    """The sentencepiece model of ``path``, one per worker process."""
+    """The sentencepiece model of ``path``, one per process."""
     if path not in _loaded:
         import sentencepiece
 
@@ -20,17 +21,30 @@ def piece_model(path: str):
     return _loaded[path]
 
 
+def _shipped(name: str):
+    """The model that the driver handed to the workers under ``name``, one per worker process."""
+    if name not in _loaded:
+        import sentencepiece
+        from pyspark import SparkFiles
+
+        _loaded[name] = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(name))
+    return _loaded[name]
+
+
 def with_sizes(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = TOKENIZER, terms: str | None = None) -> DataFrame:
     """``df`` without ``text``, with the number of tokens of the whole text in ``out``; null and empty texts have 0.
 
-    With ``terms``, also the distinct token ids and how often each occurs, in ``terms`` and ``terms``_tf.
+    With ``terms``, also the distinct token ids and how often each occurs, in ``terms`` and ``terms``_tf. ``tokenizer`` is a
+    file of the driver, which is handed to the workers, so these need none of their own.
     """
+    name = Path(tokenizer).name
+    df.sparkSession.sparkContext.addFile(tokenizer)
     keep = [c for c in df.columns if c not in (text, out)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        model = piece_model(tokenizer)
+        model = _shipped(name)
         for batch in batches:
             made = batch[keep].copy()
             sizes, ids, counts = [], [], []

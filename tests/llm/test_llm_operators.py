@@ -93,18 +93,78 @@ def test_positional_search_against_brute_force(seed):
     texts = [[rng.choice(vocab + "z") for _ in range(rng.randint(0, 40))] for _ in range(6)]
     run = rng.randint(2, 5)
     queries = leaks.Queries(items, run)
-    t, q = leaks.Postings(texts, queries.vocab).search(queries)
+    t, q = leaks.Postings.of(texts, queries.vocab).search(queries)
     got = {(int(a), int(queries.owner[b])) for a, b in zip(t, q)}
     grams = lambda x: {tuple(x[i : i + run]) for i in range(len(x) - run + 1)}
     assert got == {(a, i) for a, text in enumerate(texts) for i, item in items if grams(text) & grams(item)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_proximity_against_brute_force(seed):
+    """Every window laid upon every place: words met within the slack, and no place of another text."""
+    rng = random.Random(seed)
+    vocab, run, missing, slack = "abcdefgh"[: rng.randint(3, 8)], rng.randint(3, 5), rng.randint(0, 2), rng.randint(0, 2)
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randint(0, 9))]) for i in range(3)]
+    texts = [[rng.choice(vocab + "z") for _ in range(rng.randint(0, 12))] for _ in range(4)]
+    queries = leaks.Queries(items, run)
+    t, q, met = leaks.Postings.of(texts, queries.vocab).near(queries, missing, slack)
+    got: dict = {}
+    for a, b, n in zip(t, q, met):
+        got[int(a), int(queries.owner[b])] = max(int(n), got.get((int(a), int(queries.owner[b])), 0))
+    want: dict = {}
+    for a, text in enumerate(texts):
+        for i, item in items:
+            for w in range(len(item) - run + 1):
+                for begin in range(-run - slack, len(text) + slack):
+                    n = sum(any(0 <= begin + k + d < len(text) and text[begin + k + d] == item[w + k] for d in range(-slack, slack + 1)) for k in range(run))
+                    if n >= run - missing and n:
+                        want[a, i] = max(n, want.get((a, i), 0))
+    assert got == want
+
+
+def test_near_and_stored_index(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "eng_Latn", ITEM), (2, "cmn_Hani", "村里的面包师在上个星期二快到中午的时候描述了撕破的信和河边磨坊旁的银勺子。"), (None, "eng_Latn", ITEM)], "item_id long, lang string, text string")
+    words = ITEM.split()
+    swapped, changed, far = words[2:12], words[2:12], words[2:12]
+    swapped[3], swapped[4] = swapped[4], swapped[3]
+    changed[2], changed[5] = "x", "y"
+    far[1:1] = ["p", "q", "r", "s", "t"]
+    df = corpus(spark, [(" ".join(swapped), " ".join(changed)), (" ".join(far), ITEM), ("x " * 50, "。！"), (None, "")])
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 1)  # many blocks
+    stored = leaks.index(df.repartition(1), segment_terms=15)  # many segments
+    assert stored.count() == 3
+    assert rows(leaks.search(stored, items)) == [(1, "positive", 1)]
+    assert rows(leaks.near(stored, items)) == [(0, "anchor", 1, 10, 10), (0, "positive", 1, 8, 10), (1, "anchor", 1, 9, 10), (1, "positive", 1, 10, 10)]
+    assert leaks.near(stored, items.where("false")).count() == 0 and leaks.near(stored.where("false"), items).count() == 0
+
+
+def test_found_leaks_against_brute_force(spark):
+    """All pairs against all items, by sets of runs of words and of characters."""
+    from oracle import DATA
+
+    pairs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("pairs", "eval_items"))
+    grams = lambda x, n: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+    of: dict = {}
+    for r in items.collect():
+        unspaced = r["lang"] in leaks.UNSPACED_LANGUAGES
+        for g in grams(list(leaks.characters(r["text"])), leaks.CHARS) if unspaced else grams(leaks.words(r["text"]), leaks.WORDS):
+            of.setdefault(g, set()).add(r["item_id"])
+    want = set()
+    for r in pairs.collect():
+        for side in ("anchor", "positive"):
+            text = r[side] or ""
+            for g in grams(leaks.words(text), leaks.WORDS) | grams(list(leaks.characters(text)), leaks.CHARS):
+                want |= {(r["pair_id"], side, i) for i in of.get(g, ())}
+    assert set(rows(leaks.leaked(pairs, items))) == want
+
+
 def test_search_in_slices(monkeypatch):
     queries = leaks.Queries([(7, list("abab" * 4))], 4)
     texts = [list("ab" * 30), list("ba" * 3), list("zz")]
     want = {0, 1}
     monkeypatch.setattr(leaks, "CANDIDATES", 5)
-    t, _ = leaks.Postings(texts, queries.vocab).search(queries)
+    t, _ = leaks.Postings.of(texts, queries.vocab).search(queries)
     assert set(t.tolist()) == want
 
 
@@ -183,12 +243,31 @@ def test_copies_of_a_value_are_one(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="eéaо́oе́​ｅ  가각", max_size=12))
-def test_coarse_looks_ignore_composition(text):
-    look = lambda t: lookalikes.coarse_of(lookalikes.look_of(t))
+@given(st.text(alphabet="eéaо́oе́​ｅ  가각", max_size=12))
+def test_coarse_looks_ignore_composition(spark, text):
+    table = lookalikes.look_table(spark)
+    look = lambda t: lookalikes.coarse_of(lookalikes.look_of(t, table))
     assert look(unicodedata.normalize("NFC", text)) == look(unicodedata.normalize("NFD", text))
 
 
+def test_look_alikes(spark):
+    table = lookalikes.look_table(spark)
+    look = lambda t: unicodedata.normalize("NFC", lookalikes.look_of(t, table))
+    alike = ["а a", "ο o", "օ o", "ｎ n", "𝐚 a", "𝕏 X", "ℓ l", "ⅳ iv", "Ⅳ IV", "ᴏ o", "ﬁ fi", "𝟎 0", "𝟏 1", "І I", "Ι I", "ϲ c", "ѐ è", "ύ ú", "ί í", "ɡ g", "Ԛ Q", "⼤ 大", "ⅿ m", "𝐦 m", "ｶﾞ ガ", "а\u200bb ab"]
+    for pair in alike:
+        a, b = pair.split(" ")
+        assert look(a) == look(b), pair
+    apart = ["ı i", "ı l", "ι i", "’ '", "‘ '", "− -", "‐ -", "– -", "I l", "l 1", "O 0", "o O", "rn m", "é e", "š ŝ", "ă ǎ", "ø o", "ł l", "① 1", "² 2", "а А", "! ¡", ". ,"]
+    for pair in apart:
+        a, b = pair.split(" ")
+        assert look(a) != look(b), pair
+    assert all(look(a) == look(b) for a, b in scripts.LOOK_ALIKES.items() if a not in "ιı")
+    df = spark.createDataFrame([(i, "anchor", v) for i, v in enumerate(["kır", "kir", "it's", "it’s", "a-b", "a−b", "ready", "rеady", "ready"])], "pair_id long, side string, value string")
+    assert rows(lookalikes.equal_looking(df), "pair_id_1", "pair_id_2") == [(6, 7), (7, 8)]
+    assert rows(lookalikes.look_classes(df)) == [(6, "anchor", "ready", 3, 1), (7, "anchor", "ready", 3, 2), (8, "anchor", "ready", 3, 1)]
+    assert lookalikes.look_classes(df.where("false")).count() == 0
+
+
 def test_words_take_one_script():
     assert scripts.unify("Lе vоіѕіn dіѕсrеt") == "Le voisin discret"
     assert scripts.unify("вечеpом зa") == "вечером за" and scripts.unify("plain") == "plain" and scripts.unify("Ｎo​w") == "Now"
@@ -236,6 +315,35 @@ def test_wrong_labels(spark, profiles):
     assert langid.text_languages(df.where("false"), profiles, known, "pair_id", "anchor", F.col("language_id")).count() == 0
 
 
+def test_confidence_on_held_out_samples(spark):
+    """Fitted on two thirds of the labelled samples: nearly all others are right, and the surer the more so."""
+    from oracle import DATA
+
+    samples = sorted((r["sample_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{DATA}/lang_samples.parquet").collect())
+    model = langid.train([(lang, t) for i, lang, t in samples if i % 3])
+    held = [(lang, t) for i, lang, t in samples if i % 3 == 0]
+    best, sure = model.judge([t for _, t in held])
+    right = np.array([model.languages[b] == lang for b, (lang, _) in zip(best, held)])
+    assert right.mean() > 0.97 and ((sure > 0) & (sure <= 1)).all()
+    assert right[sure > 0.9].mean() > 0.99 and right[sure > 0.9].mean() >= right[sure <= 0.9].mean()
+
+
+def test_segments_of_joined_samples(spark):
+    """Two held-out samples of different languages, a sentence each, come out as segments of these languages."""
+    from oracle import DATA
+
+    samples = sorted((r["sample_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{DATA}/lang_samples.parquet").collect())
+    model = langid.train([(lang, t) for i, lang, t in samples if i % 3])
+    held = [(lang, langid.sentences(t)[0]) for i, lang, t in samples if i % 3 == 0]
+    held = [(lang, t) for lang, t in held if len(t) > 40]
+    joined = [(k, a[0], b[0], f"{a[1]}\n{b[1]}") for k, (a, b) in enumerate(zip(held, held[7:])) if a[0] != b[0]]
+    df = spark.createDataFrame([(k, t) for k, _, _, t in joined], "pair_id long, anchor string")
+    got: dict = {}
+    for r in langid.segment_languages(df, model).orderBy("pair_id", "part").collect():
+        got.setdefault(r["pair_id"], []).append(r["lang"])
+    assert np.mean([got[k][0] == a and got[k][-1] == b for k, a, b, _ in joined]) > 0.95
+
+
 def test_fit_is_bounded_and_checked(spark):
     samples = spark.createDataFrame([(lang, t) for lang, ts in SAMPLES.items() for t in ts] + [(None, "x"), ("eng_Latn", None)], "lang string, text string")
     more = spark.createDataFrame([(i, "eng_Latn" if i % 2 else "xyz_Latn", "some words") for i in range(50)] + [(99, None, None)], "doc_id long, lang string, text string")
@@ -274,6 +382,7 @@ def test_neighbours_come_first():
     terms = [np.array([1, 2, 3]), np.array([1, 2, 3]), np.array([7, 8]), np.array([1, 9])]
     index = packing.Index(terms, [np.ones(len(t)) for t in terms], np.array([6, 4, 4, 4]))
     assert index.scores(0)[1] > index.scores(0)[3] > index.scores(0)[2] == 0
+    assert index.neighbours(0).tolist() == [1, 0, 3] and index.neighbours(0) is index.neighbours(0)
     assert packing.fill(index, np.array([6, 4, 4, 4]), 10)[0] == [(0, 0, 6), (1, 0, 4)]
 
 
@@ -311,10 +420,8 @@ def mixture_inputs(spark):
     return sized_, spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 3), ("gone", 0.0, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
 
 
-def test_mixture(spark, monkeypatch):
+def test_mixture(spark):
     docs, targets = mixture_inputs(spark)
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
     out = mixing.mix(docs, targets).orderBy("position").toPandas()
     by = out.groupby("source").n_tokens.sum()
     assert by["b"] == 300 and abs(by["a"] - 1200) <= 10  # b gives all it may, a what fits to it
@@ -322,7 +429,9 @@ def test_mixture(spark, monkeypatch):
     assert (out.n_tokens.cumsum() == out.tokens_so_far).all() and out.virtual_finish.is_monotonic_increasing
     half = out.iloc[: len(out) // 2].groupby("source").n_tokens.sum()
     assert abs(half["b"] / half.sum() - 0.2) < 0.02
-    shares = {r["source"]: (r["share_reached"], r["most_uses"]) for r in mixing.shares_reached(mixing.mix(docs, targets), targets.where("source is not null")).collect()}
+    reached = mixing.shares_reached(mixing.mix(docs, targets), targets.where("source is not null"), docs).collect()
+    shares = {r["source"]: (r["share_reached"], r["most_uses"]) for r in reached}
+    assert {r["source"]: (r["binds"], r["tokens_available"]) for r in reached} == {"a": (False, 3000), "b": (True, 300), "gone": (False, 0)}
     assert abs(shares["b"][0] - 0.2) < 0.01 and shares["b"][1] == 3 and shares["gone"] == (0.0, 0)
     assert rows(mixing.mix(docs, targets)) == rows(mixing.mix(docs.repartition(3), targets))
     assert mixing.mix(docs.where("false"), targets).count() == 0 and mixing.mix(docs, targets.where("false")).count() == 0
