@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, semi_join
+from ._common import MOST_BROADCAST, materialize, semi_join
 
 # Signs that close a sentence, closing brackets and quotes after them, and signs of omission.
 CLOSERS = ".!?。！？؟।॥;；…"
@@ -163,23 +163,28 @@ class _Counts:
     def __len__(self):
         return len(self.kinds[0])
 
-    def frame(self) -> pd.DataFrame:
-        pairs = list(set().union(*self.kinds))
+    def frame(self, firsts: frozenset | None) -> pd.DataFrame:
+        """What was counted, of pairs with one of ``firsts`` if these are given; counting begins anew."""
+        pairs = [p for p in set().union(*self.kinds) if firsts is None or p[0] in firsts]
         made = {"first": [a for a, _ in pairs], "second": [b for _, b in pairs]}
         made |= {c: [k[p] for p in pairs] for c, k in zip(COUNTED, self.kinds)}
         self.kinds = [Counter() for _ in range(4)]
         return pd.DataFrame(made)
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts = _Counts()
-        for text in batch["text"]:
-            if text:
-                counts.add(text)
-                if len(counts) > MOST_COUNTED:
-                    yield counts.frame()
-        yield counts.frame()
+def _grams(firsts=None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = None if firsts is None else firsts.value
+        for batch in batches:
+            counts = _Counts()
+            for text in batch["text"]:
+                if text:
+                    counts.add(text)
+                    if len(counts) > MOST_COUNTED:
+                        yield counts.frame(known)
+            yield counts.frame(known)
+
+    return run
 
 
 def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +204,7 @@ def _cut(text: str) -> Column:
     return F.when(F.right(text, F.lit(2)).rlike(r"(?U)(?:\s|\.\.|…|。。|[.…][\])）])\z"), F.regexp_replace(bare, r"(?U)\s+\z", "")).otherwise(F.col(text))
 
 
-def _prefix_key(value: str, n: Column) -> Column:
+def _prefix_key(value: str | Column, n: Column) -> Column:
     return F.xxhash64(n, F.left(value, n))
 
 
@@ -220,9 +225,11 @@ def prefix_links(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", _cut("text").alias("cut")).where("cut <> ''").withColumn("n", F.length("cut"))
     rungs = F.array(*[F.lit(r) for r in RUNGS])
     closed = rf"[{re.escape(CLOSERS)}]+[{re.escape(BRACKETS)}]*\z"
-    cuts = texts.where(F.col("cut").rlike(r"\p{L}") & ~F.col("cut").rlike(closed)).withColumn("rung", F.element_at(F.filter(rungs, lambda r: r <= F.col("n")), -1))
+    cuts = texts.where(F.col("cut").rlike(r"\p{L}") & ~F.right("cut", F.lit(32)).rlike(closed)).withColumn("rung", F.element_at(F.filter(rungs, lambda r: r <= F.col("n")), -1))
     wanted = materialize(cuts.select(_prefix_key("cut", F.col("rung")).alias("h"), F.col("n").alias("m")).distinct())
-    probes = texts.select("doc_id", "n", F.explode(F.transform(F.filter(rungs, lambda r: r < F.col("n")), lambda r: _prefix_key("cut", r))).alias("h"))
+    keys = lambda cut: F.transform(F.filter(rungs, lambda r: r < F.length(cut)), lambda r: _prefix_key(cut, r))
+    each = F.transform(F.array("cut"), keys)[0]  # so that the text is cut once, not once per rung
+    probes = texts.select("doc_id", "n", F.explode(each).alias("h"))
     met = materialize(semi_join(probes, wanted, ["h"], "inner").where("m < n").select("doc_id", "m").distinct())
     longer = semi_join(texts, met, ["doc_id"], "inner").where("m < n")
     after, last = F.expr("substring(cut, m + 1, 64)"), F.expr("substring(cut, m, 1)")
@@ -246,9 +253,11 @@ def tail_evidence(docs: DataFrame) -> DataFrame:
     tails = materialize(texts.mapInPandas(_tails, kind))
     lines = tails.select("doc_id", F.explode("pairs").alias("p")).select("doc_id", F.split("p", "\t")[0].alias("first"), F.split("p", "\t")[1].alias("second"))
     firsts = materialize(tails.select("first").unionByName(lines.select("first")).distinct())
-    # only pairs whose first word some tail has are shuffled
-    counted = texts.select("text").mapInPandas(_grams, f"first string, second string, {', '.join(f'{c} long' for c in COUNTED)}")
-    grams = materialize(semi_join(counted, firsts, ["first"]).groupBy("first", "second").agg(*[F.sum(c).alias(c) for c in COUNTED]))
+    # only pairs whose first word some tail has leave their task; the words are known there if they are few, else joined
+    few = firsts.count() <= MOST_BROADCAST
+    known = texts.sparkSession.sparkContext.broadcast(frozenset(r["first"] for r in firsts.collect())) if few else None
+    counted = texts.select("text").mapInPandas(_grams(known), f"first string, second string, {', '.join(f'{c} long' for c in COUNTED)}")
+    grams = materialize((counted if few else semi_join(counted, firsts, ["first"])).groupBy("first", "second").agg(*[F.sum(c).alias(c) for c in COUNTED]))
     pair = ["first", "second"]
     exact = tails.select(*pair).distinct().join(grams, pair, "left").na.fill(0, list(COUNTED))
     # tails too seldom seen to be judged by themselves: pairs of which they are strict prefixes, and their first word
