@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import spread
 from ..functions.stats import cosine, euclidean, manhattan
+from ..functions.text import eval_language
+from ..storage import materialize
+from .ranking import running
 
 BLOCK = 4096
 
@@ -50,6 +54,56 @@ def similarities(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("cosine", cosine(a, b)).withColumn("neg_manhattan", -manhattan(a, b)).withColumn("neg_euclidean", -euclidean(a, b))
 
 
+def matching_scores(answers: DataFrame, gold: str, found: str) -> DataFrame:
+    """One row: n, accuracy, and precision, recall and F1 per gold label, averaged by the labels' number of rows.
+
+    A label that is never answered has a precision of 0, a null answer is wrong, a null gold does not count.
+    """
+    rows = answers.where(F.col(gold).isNotNull()).groupBy(F.col(gold).alias("_g"), F.col(found).alias("_f")).agg(F.count("*").alias("_c"))  # a row per pair of labels
+    rows = materialize(rows)
+    own = rows.groupBy("_g").agg(F.sum("_c").alias("_n"), F.coalesce(F.sum(F.when(F.col("_g") == F.col("_f"), F.col("_c"))), F.lit(0)).alias("_hit"))
+    named = rows.where("_f IS NOT NULL").groupBy(F.col("_f").alias("_g")).agg(F.sum("_c").alias("_m"))
+    per = own.join(named, "_g", "left").na.fill(0, ["_m"])
+    n, m, hit = F.col("_n"), F.col("_m"), F.col("_hit")
+    share = lambda x: F.sum(x) / F.sum(n)
+    return per.agg(F.sum(n).alias("n"), share(hit).alias("accuracy"), share(n * F.when(m > 0, hit / m).otherwise(0.0)).alias("precision"), share(hit).alias("recall"), share(n * 2 * hit / (n + m)).alias("f1"))
+
+
+def correlations(pairs: DataFrame, score: str, gold: str) -> DataFrame:
+    """One row: n, Pearson's and Spearman's correlation; equal values share the mean of their ranks. Rows with a null do not count."""
+    rows = materialize(pairs.where(F.col(score).isNotNull() & F.col(gold).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(gold).cast("double").alias("g")))
+
+    def ranked(df: DataFrame, c: str) -> DataFrame:
+        values = running(df.groupBy(c).agg(F.count("*").alias("_c")), [c], ["_c"])  # a row per distinct value
+        ranks = values.select(c, (F.col("_c_so_far") - (F.col("_c") - 1) / 2).alias(f"r_{c}"))
+        return df.join(ranks, c)
+
+    return ranked(ranked(rows, "s"), "g").agg(F.count("*").alias("n"), F.corr("s", "g").alias("pearson"), F.corr("r_s", "r_g").alias("spearman"))
+
+
+SIDES = {"sentence1": 0, "sentence2": 1, "query": 0, "document": 1}
+
+
+def side_language(languages: str | Column, kind: str, side: str) -> Column:
+    """Marker language of one side of a subset whose languages are an array: pairs have one or two, the side picks its own.
+
+    Tasks of one text take the subset's first language whatever the row is in: a row's true language may be what is asked
+    for. Null where pairs have none or more than two.
+    """
+    if kind in ("bitext", "sts", "retrieval") and side not in SIDES:
+        raise ValueError(f"unknown side {side}")
+    col = F.col(languages) if isinstance(languages, str) else languages
+    at = SIDES.get(side, 0)
+    n = F.size(col)
+    if kind in ("bitext", "sts"):
+        picked = F.when(n == 1, F.try_element_at(col, F.lit(1))).when(n == 2, F.try_element_at(col, F.lit(at + 1)))
+    elif kind == "retrieval":
+        picked = F.when(n == 2, F.try_element_at(col, F.lit(at + 1))).otherwise(F.try_element_at(col, F.lit(1)))
+    else:
+        picked = F.try_element_at(col, F.lit(1))
+    return eval_language(picked)
+
+
 def main_scores(items: DataFrame, preference: tuple[str, ...] = ("test", "dev", "validation")) -> DataFrame:
     """(task, hf_subset, main_score) of the first split that a task has, by preference, then by name; scores that are not finite do not count."""
     rank = F.lit(len(preference))
@@ -84,7 +138,7 @@ def bootstrap(diffs: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataF
     total = placed.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), F.avg((F.col("diff") > 0).cast("double")).alias("win_rate"))
     spark = diffs.sparkSession
     draws = spark.range(resamples).withColumnRenamed("id", "r").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
-    draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "r", "i"), F.lit(max(n, 1))))
+    draws = draws.withColumn("place", F.conv(F.left(spread(seed, "r", "i"), F.lit(12)), 16, 10).cast("long") % max(n, 1))
     means = draws.join(placed.select("place", "diff"), "place").groupBy("r").agg(F.avg("diff").alias("m"))
     means = means.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m", "r")) - 1)
     low, high = int(0.025 * resamples), int(0.975 * resamples) - 1

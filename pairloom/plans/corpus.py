@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import text as T
-from ..config import StreamSpec
+from ..config import StreamSettings, StreamSpec
 from ..operators import filters, sampling, tokens
 from ..sources import catalog
-from ..storage import materialize
+from ..storage import materialize, scratch
+from ..streaming import windows
+from . import stream
 from .registry import query, read
 
 #: Words of every script: letters with their marks, single letters where words are not spaced.
@@ -266,6 +268,11 @@ def ngrams3(spark, d):
     return tokens.ngrams(docs(spark, d), "tokens", 3).select(F.array_join("gram", " ").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {PAIRS} SELECT l || ' ' || r AS gram, lang, count(*) AS n FROM ab GROUP BY ALL")
+def ngrams2(spark, d):
+    return tokens.ngrams(docs(spark, d), "tokens", 2, "lang").select("lang", F.array_join("gram", " ").alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n"))
+
+
 @query(f"""
     WITH {LONG}, o AS (SELECT doc_id, pos, sum((length(token) >= 4)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM p)
     SELECT doc_id, (max(s) - min(s) + 1)::BIGINT AS n_words FROM o GROUP BY 1""")
@@ -370,3 +377,20 @@ def scanned_pairs(spark, d):
     paths = [r["path"] for r in catalog.discover(spark, [_spec()], {"tables": d}).collect()]  # a catalog
     rows = catalog.scan(spark, paths, "anchor", "positive")
     return rows.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(F.count("*").alias("n"), F.count("anchor").alias("anchors"), F.sum(F.char_length("positive")).alias("n_chars"), F.max("row_index").alias("last"))
+
+
+@query()
+def training_batches(spark, d):
+    """The whole way from files to batches of 64: catalog, scan, filters, schedule, batches without a text twice."""
+    n = read(spark, d, "pairs").count() // 64
+    return stream.training_batches(spark, [_spec()], {"tables": d}, StreamSettings(batch_size=64), n).select("batch", "slot", "source", "row_id")
+
+
+@query()
+def stream_dedup(spark, d):
+    """Pairs as a stream, by source, without repeated texts in batches of 64; read back when it has ended."""
+    out = scratch(spark, "stream")
+    pairs = spark.readStream.schema(read(spark, d, "pairs").schema).parquet(f"{d}/pairs.parquet*").where("source IS NOT NULL")
+    run = windows.stream_dedup(pairs.select("source", "anchor", "positive"), 64, "source").writeStream.foreachBatch(windows.exactly_once(f"{out}/data", lambda df: df.withColumnRenamed("batch", "number")))
+    run.option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/data").groupBy("source", F.col("number").alias("batch")).agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("anchors"))

@@ -320,19 +320,40 @@ def collapse_online_compiled(spark, d):
 
 
 def _edges(spark, d):
-    ids = F.transform(tokens.words("text"), lambda w: F.ascii(w) * 31 + F.length(w))
-    return read(spark, d, "documents").select("doc_id", ids.alias("ids")).withColumn("scores", F.zip_with(F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0))), F.slice("ids", 2, F.greatest(F.size("ids") - 1, F.lit(0))), lambda a, b: ((a + 3 * b) % 11 - 5) * 0.3))
+    """(doc_id, scores): scores of the edges between neighbouring words, from digests of the words."""
+    ids = F.transform(tokens.words("text"), lambda w: F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long"))
+    least = F.greatest(F.size("ids") - 1, F.lit(0))
+    scores = F.zip_with(F.slice("ids", F.lit(1), least), F.slice("ids", F.lit(2), least), lambda a, b: ((a + 3 * b) % 11 - 5) * 0.3)
+    return read(spark, d, "documents").select("doc_id", ids.alias("ids")).where("size(ids) > 0").select("doc_id", scores.alias("scores"))
 
 
-@query()
+_SCORED = f"""w AS (SELECT doc_id, list_transform({WORD_LIST}, lambda x: ('0x' || left(md5(x), 7))::BIGINT) AS ids FROM documents),
+    e AS (SELECT doc_id, list_transform(range(1, len(ids)), lambda i: ((ids[i] + 3 * ids[i + 1]) % 11 - 5) * 0.3::DOUBLE) AS s FROM w WHERE len(ids) > 0)"""
+
+
+@query(f"""
+    WITH {_SCORED}, r AS (SELECT doc_id, len(s) AS n_edges, list_reduce(list_prepend({{'b0': 0.0::DOUBLE, 'b1': 0.0::DOUBLE, 'n0': 0, 'n1': 0, 's': 0.0::DOUBLE}}, list_transform(s, lambda x: {{'b0': 0.0::DOUBLE, 'b1': 0.0::DOUBLE, 'n0': 0, 'n1': 0, 's': x::DOUBLE}})),
+        lambda a, x: {{'b0': a.b1, 'b1': CASE WHEN a.b0 + x.s > a.b1 THEN a.b0 + x.s ELSE a.b1 END, 'n0': a.n1, 'n1': CASE WHEN a.b0 + x.s > a.b1 THEN a.n0 + 1 ELSE a.n1 END, 's': 0.0::DOUBLE}}) AS m FROM e)
+    SELECT doc_id, n_edges::INT AS n_edges, m.n1 AS n_merged FROM r""")
 def map_matching(spark, d):
-    m = _edges(spark, d).where("size(ids) > 0").select("doc_id", matching.edge_matching("scores").alias("m"))
+    m = _edges(spark, d).select("doc_id", matching.edge_matching("scores").alias("m"))
     return m.select("doc_id", F.size("m").alias("n_edges"), F.size(F.filter("m", lambda x: x)).alias("n_merged"))
 
 
-@query()
+@query(f"""
+    WITH {_SCORED}, r AS (SELECT doc_id, list_reduce(list_prepend({{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 's': 0.0::DOUBLE}}, list_transform(s, lambda x: {{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 's': x::DOUBLE}})),
+        lambda a, x: {{'p': a.q, 'q': greatest(a.q, a.p + x.s) + ln(1 + exp(-abs(a.q - a.p - x.s))), 's': 0.0::DOUBLE}}) AS z FROM e) SELECT doc_id, round(z.q, 6) AS log_z FROM r""")
 def log_partition(spark, d):
-    return _edges(spark, d).where("size(ids) > 0").select("doc_id", F.round(matching.log_normalizer("scores"), 6).alias("log_z"))
+    return _edges(spark, d).select("doc_id", F.round(matching.log_normalizer("scores"), 6).alias("log_z"))
+
+
+@query(f"""
+    WITH {_SCORED}, r AS (SELECT doc_id, list_reduce(list_prepend({{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'n': 0.0::DOUBLE, 's': 0.0::DOUBLE}}, list_transform(s, lambda x: {{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'm': 0.0::DOUBLE, 'n': 0.0::DOUBLE, 's': x::DOUBLE}})),
+        lambda a, x: {{'p': a.q, 'q': greatest(a.q, a.p + x.s) + ln(1 + exp(-abs(a.q - a.p - x.s))), 'm': a.n, 'n': a.n + (a.m + 1 - a.n) / (1 + exp(a.q - a.p - x.s)), 's': 0.0::DOUBLE}}) AS z FROM e) SELECT doc_id, round(z.n, 6) AS expected FROM r""")
+def expected_merges(spark, d):
+    """The sum of the edges' marginals: how many merges a text has on average over its matchings."""
+    m = _edges(spark, d).select("doc_id", matching.edge_marginals("scores").alias("m"))
+    return m.select("doc_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("expected"))
 
 
 @query()
@@ -349,7 +370,13 @@ def _batches(spark, d):
     return both.select(F.floor(F.col("vec_id") / 256).alias("batch_id"), (F.col("vec_id") % 256).cast("int").alias("slot"), "anchor", "positive")
 
 
-@query()
+_PAIRED = "bt AS (SELECT a.vec_id // 256 AS batch_id, a.vec_id % 256 AS slot, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 2)"
+
+
+@query(f"""
+    WITH {_PAIRED}, sc AS (SELECT x.batch_id, x.slot AS i, y.slot AS j, 17 * list_cosine_similarity(x.a, y.p) AS s FROM bt x JOIN bt y USING (batch_id)),
+    rz AS (SELECT batch_id, i, ln(sum(exp(s))) AS z FROM sc GROUP BY 1, 2), cz AS (SELECT batch_id, j, ln(sum(exp(s))) AS z FROM sc GROUP BY 1, 2)
+    SELECT sc.batch_id, round(-0.5 * (avg(s - rz.z) + avg(s - cz.z)), 6) AS loss, count(*) AS n FROM sc JOIN rz ON rz.batch_id = sc.batch_id AND rz.i = sc.i JOIN cz ON cz.batch_id = sc.batch_id AND cz.j = sc.j WHERE sc.i = sc.j GROUP BY 1""")
 def contrastive_loss(spark, d):
     return objective.batch_losses(_batches(spark, d), 17.0).withColumn("loss", F.round("loss", 6))
 
@@ -383,6 +410,33 @@ def sts_metrics(spark, d):
     return p.select("vec_id", F.round("cosine", 6).alias("cosine"), F.round("neg_euclidean", 5).alias("neg_euclidean"), F.round("neg_manhattan", 5).alias("neg_manhattan"))
 
 
+@query(f"""
+    WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 <> 0),
+    s AS (SELECT q.vec_id, q.label AS gold, b.label AS found, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, b.v), 12) DESC, b.vec_id) AS rk FROM q, b), t AS (SELECT gold, found FROM s WHERE rk = 1),
+    l AS (SELECT gold AS label, count(*) AS n FROM t GROUP BY 1), f AS (SELECT found AS label, count(*) AS m FROM t GROUP BY 1), h AS (SELECT gold AS label, count(*) AS hit FROM t WHERE gold = found GROUP BY 1)
+    SELECT sum(n)::BIGINT AS n, round(sum(coalesce(hit, 0)) / sum(n), 9) AS accuracy, round(sum(n * coalesce(hit / m, 0)) / sum(n), 9) AS "precision", round(sum(n * coalesce(hit / n, 0)) / sum(n), 9) AS recall, round(sum(n * 2 * coalesce(hit, 0) / (n + coalesce(m, 0))) / sum(n), 9) AS f1
+    FROM l LEFT JOIN f USING (label) LEFT JOIN h USING (label)""")
+def bitext_f1(spark, d):
+    """Scores of the nearest neighbours' labels as answers to the queries' own."""
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    near = evaluate.nearest(e.where("vec_id % 50 = 0"), e.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "base_id"), "vec_id", "base_id")
+    answers = near.join(e.select("vec_id", F.col("label").alias("gold")), "vec_id").join(e.select(F.col("vec_id").alias("base_id"), F.col("label").alias("found")), "base_id")
+    out = evaluate.matching_scores(answers, "gold", "found")
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("""
+    WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT round(list_cosine_similarity(a.v, b.v), 9) AS s, -abs(a.label - b.label)::DOUBLE AS g FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    r AS (SELECT s, g, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rs, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg FROM p)
+    SELECT count(*) AS n, round(corr(s, g), 6) AS pearson, round(corr(rs, rg), 6) AS spearman FROM r""")
+def sts_correlation(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("x"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("other"), F.col("x").alias("y")), "vec_id")
+    p = p.select(F.round(cosine("x", "y"), 9).alias("score"), (-F.abs(F.col("label") - F.col("other"))).cast("double").alias("gold"))
+    out = evaluate.correlations(p, "score", "gold")
+    return out.select("n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
 def _scores(spark, d, column: str):
     return read(spark, d, "eval_items").select("task", F.col("split_name").alias("split"), F.col("lang").alias("hf_subset"), ((F.col(column) * 7919 % 1000) / 1000).alias("main_score"))
 
@@ -402,7 +456,12 @@ def paired_diff(spark, d):
     return evaluate.paired(a, b).withColumn("diff", F.round("diff", 6))
 
 
-@query()
+@query(f"""
+    WITH {_main_sql('item_id', 'a')}, {_main_sql('bitext_id', 'b')}, df AS (SELECT task, hf_subset, 100 * (a.main_score - b.main_score) AS diff FROM a JOIN b USING (task, hf_subset)),
+    pl AS (SELECT diff, row_number() OVER (ORDER BY task, hf_subset) - 1 AS place FROM df), k AS (SELECT count(*) AS n FROM df),
+    dr AS (SELECT r, ('0x' || left(md5('0|' || r || '|' || i), 12))::BIGINT % n AS place FROM (SELECT unnest(range(2000)) AS r), k, range(k.n) t(i)),
+    ms AS (SELECT r, avg(diff) AS m FROM dr JOIN pl USING (place) GROUP BY 1), o AS (SELECT m, row_number() OVER (ORDER BY m, r) - 1 AS pos FROM ms)
+    SELECT count(*) AS n, round(avg(diff), 6) AS mean, round(avg((diff > 0)::INT), 6) AS win_rate, (SELECT round(m, 6) FROM o WHERE pos = 50) AS low, (SELECT round(m, 6) FROM o WHERE pos = 1949) AS high FROM df""")
 def bootstrap_ci(spark, d):
     a, b = (evaluate.main_scores(_scores(spark, d, c)) for c in ("item_id", "bitext_id"))
     return evaluate.bootstrap(evaluate.paired(a, b), 2000).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "win_rate", "low", "high")])

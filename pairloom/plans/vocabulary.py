@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import discovery, selection, sketches, transitions
+from ..storage import materialize
 from ..streaming import windows
+from . import lifecycle
 from .registry import query, read
 
 _COLS = "window_id, pair_key, lang_idx, utility, probability_sum, support, positive_support"
@@ -245,6 +247,24 @@ def step_window_reset(spark, d):
     return out.withColumn("utility", F.round("utility", 6))
 
 
+@query(f"""
+    WITH {REC}, o AS (SELECT window_id, pair_key, lang_idx, sum(utility) AS u, sum(support)::BIGINT AS n FROM rec GROUP BY 1, 2, 3)
+    SELECT window_id, pair_key, lang_idx, round(u, 6) AS utility, n AS support, round(sum(u) OVER w, 6) AS total_utility, (sum(n) OVER w)::BIGINT AS total_support FROM o WINDOW w AS (PARTITION BY pair_key, lang_idx ORDER BY window_id)""")
+def diagnostic_windows(spark, d):
+    out = lifecycle.diagnostic_windows(rec(spark, d))
+    return out.select("window_id", "pair_key", "lang_idx", (F.round("utility", 6) + 0.0).alias("utility"), "support", (F.round("total_utility", 6) + 0.0).alias("total_utility"), "total_support")
+
+
+@query(f"WITH {MERGED} SELECT pair_key, round(sum(utility), 6) + 0.0 AS utility, sum(support)::BIGINT AS support, count(*) AS languages, 0 AS problems FROM m GROUP BY 1")
+def window_snapshot(spark, d):
+    """A snapshot of all records as a resumed run would read it, with what its checks say."""
+    snap = materialize(lifecycle.snapshot(rec(spark, d)))
+    bad = lifecycle.snapshot_problems(snap, 30).where("problem <> 'number'")  # support may be 0 in these records
+    bad = bad.groupBy("pair_key").agg(F.count("*").alias("problems"))
+    out = snap.join(bad, "pair_key", "left").na.fill(0, ["problems"])
+    return out.select("pair_key", (F.round("utility", 6) + 0.0).alias("utility"), "support", F.size("languages").cast("long").alias("languages"), F.col("problems").cast("int").alias("problems"))
+
+
 # transitions: the vocabulary is what the threshold selector promotes
 _SELECTED = f"{_ELIGIBLE}, {_FREE}, sel AS (SELECT pair_key, pair_key // 16384 AS l, pair_key % 16384 AS r FROM f)"
 _SLOTTED = f"""{_SELECTED}, b AS (SELECT pair_key, abs(l * 2654435761 + r * 40503) % 4096 AS bucket FROM sel), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY pair_key) AS rk FROM b),
