@@ -8,6 +8,7 @@ decomposed accents, are one class. Its canonical member is chosen deterministica
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -91,11 +92,11 @@ def look_table(spark: SparkSession) -> dict[int, str]:
     forms = {c: "".join(letters.get(x, x) for x in p) for c, p in width_forms().items()}
     for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x590), *range(0x1E00, 0x2000))):  # accented letters whose base is a look-alike
         base, *marks = unicodedata.normalize("NFD", c)
-        if marks:
+        if marks or base != c:
             plain = letters.get(base, base)
-            if "dotless" in _kind(base) and unicodedata.combining(marks[0]) == 230:  # a mark above takes the place of the dot
+            if marks and "dotless" in _kind(base) and unicodedata.combining(marks[0]) == 230:  # a mark above takes the place of the dot
                 plain = "j" if "J" in unicodedata.name(base) else "i"
-            if plain != base:
+            if plain != base or not marks:
                 forms[c] = unicodedata.normalize("NFC", plain + "".join(marks))
     return str.maketrans(letters | forms | {c: " " for c in SPACES} | {c: "" for c in HIDDEN})
 
@@ -114,12 +115,20 @@ def base_table() -> dict[int, str]:
     return str.maketrans({c: "" if b in marks else b for c, b in out.items()} | dict.fromkeys(marks, ""))
 
 
+_DOTLESS = re.compile("[ıȷ](?=[" + "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c) == 230) + "])")
+
+
 def look_of(value: str, table: dict[int, str]) -> str:
     """``value`` with one form for each look; what differs in case, accents, dots or punctuation stays different.
 
     Composed and decomposed accents are not made equal here, but by the collation under which looks are compared.
     """
-    return value if value.isascii() else value.translate(table)
+    if value.isascii():
+        return value
+    look = value.translate(table)
+    if "ı" in look or "ȷ" in look:  # a mark above takes the place of the dot
+        look = _DOTLESS.sub(lambda m: "i" if m.group() == "ı" else "j", look)
+    return look
 
 
 def coarse_of(look: str) -> str:

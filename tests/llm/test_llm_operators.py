@@ -247,13 +247,24 @@ def test_copies_of_a_value_are_one(spark):
 def test_coarse_looks_ignore_composition(spark, text):
     table = lookalikes.look_table(spark)
     look = lambda t: lookalikes.coarse_of(lookalikes.look_of(t, table))
-    assert look(unicodedata.normalize("NFC", text)) == look(unicodedata.normalize("NFD", text))
+    composed, apart = unicodedata.normalize("NFC", text), unicodedata.normalize("NFD", text)
+    assert look(composed) == look(apart)
+    assert unicodedata.normalize("NFC", lookalikes.look_of(composed, table)) == unicodedata.normalize("NFC", lookalikes.look_of(apart, table))
+
+
+def test_looks_of_letters_ignore_composition(spark):
+    """Every letter that has a decomposition, composed and not, has one look."""
+    table = lookalikes.look_table(spark)
+    look = lambda t: unicodedata.normalize("NFC", lookalikes.look_of(t, table))
+    letters = [c for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x590), *range(0x1E00, 0x2000))) if unicodedata.normalize("NFD", c) != c]
+    wrong = [c for c in letters if look(c) != look(unicodedata.normalize("NFD", c))]
+    assert len(letters) > 800 and not wrong
 
 
 def test_look_alikes(spark):
     table = lookalikes.look_table(spark)
     look = lambda t: unicodedata.normalize("NFC", lookalikes.look_of(t, table))
-    alike = ["а a", "ο o", "օ o", "ｎ n", "𝐚 a", "𝕏 X", "ℓ l", "ⅳ iv", "Ⅳ IV", "ᴏ o", "ﬁ fi", "𝟎 0", "𝟏 1", "І I", "Ι I", "ϲ c", "ѐ è", "ύ ú", "ί í", "ɡ g", "Ԛ Q", "⼤ 大", "ⅿ m", "𝐦 m", "ｶﾞ ガ", "а\u200bb ab"]
+    alike = ["а a", "ο o", "օ o", "ｎ n", "𝐚 a", "𝕏 X", "ℓ l", "ⅳ iv", "Ⅳ IV", "ᴏ o", "ﬁ fi", "𝟎 0", "𝟏 1", "І I", "Ι I", "ϲ c", "ѐ è", "ύ ú", "ί í", "ɡ g", "Ԛ Q", "⼤ 大", "ⅿ m", "𝐦 m", "ｶﾞ ガ", "а\u200bb ab", "ι\u0301 í", "ι\u0301 ί", "ι\u200b\u0301 ί"]
     for pair in alike:
         a, b = pair.split(" ")
         assert look(a) == look(b), pair
