@@ -25,7 +25,8 @@ DIMENSIONS = 8192
 ORDERS = (1, 2, 3)
 SCALE = 1e5
 MOST_SAMPLES = 50_000
-MORE_SAMPLES = 3_000
+#: Labelled texts beyond the samples that the fit draws, and the most characters of each: with these its memory is bounded.
+MORE_SAMPLES, MOST_CHARS = 3_000, 20_000
 MOST_KEPT = 2_000_000
 CHUNK, MOST_LETTERS = 512, 10_000
 LEAST_WORDS, LEAST_CHARS, LEAST_CLOSED = 3, 6, 3
@@ -263,12 +264,13 @@ def fit(samples: DataFrame, more: DataFrame | None = None, most: int = MORE_SAMP
     """Profiles from (lang, text): all ``samples``, checked to be at most ``MOST_SAMPLES``, and a bounded number of ``more``.
 
     ``more`` has (doc_id, lang, text); the ``most`` labelled rows with the least hash of doc_id are used, of languages in
-    ``samples`` only. This bounds what the classifier is fitted on, not what it is applied to.
+    ``samples`` only and of at most ``MOST_CHARS`` characters. This bounds what the classifier is fitted on, not what it is
+    applied to.
     """
     rows = [(r["lang"], r["text"]) for r in collect_bounded(samples.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL"), MOST_SAMPLES, "the samples")]
     if more is not None:
         known = {lang for lang, _ in rows}
-        drawn = more.where(F.col("lang").isin(*known) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+        drawn = more.where(F.col("lang").isin(*known) & (F.length("text") <= MOST_CHARS)).select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
         part = min(1.0, 4 * most / max(1, more.count()))  # so few rows reach the sort, however many there are
         drawn = drawn.where(F.col("h").bitwiseAND((1 << 52) - 1) < int(part * (1 << 52)))
         rows += [(r["lang"], r["text"]) for r in drawn.orderBy("h", "t").limit(most).collect()]
