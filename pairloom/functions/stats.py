@@ -55,16 +55,19 @@ def euclidean(a, b) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: F.pow(x.cast("double") - y, F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
 
 
+def _over(a: Column, by: Column) -> Column:
+    """Elements of ``a`` over a number that is computed once, not once per element as it would be inside a lambda."""
+    return F.zip_with(a, F.array_repeat(by, F.size(a)), lambda x, y: x.cast("double") / y)
+
+
 def l2_normalize(a) -> Column:
-    size = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(_c(a), lambda x: x.cast("double") / size)
+    return _over(_c(a), F.greatest(norm(a), F.lit(1e-12)))
 
 
 def softmax(a) -> Column:
-    most = F.array_max(_c(a))
-    powers = F.transform(_c(a), lambda x: F.exp(x - most))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    most = F.array_repeat(F.array_max(_c(a)), F.size(_c(a)))
+    powers = F.zip_with(_c(a), most, lambda x, m: F.exp(x - m))
+    return _over(powers, F.aggregate(powers, F.lit(0.0), lambda s, x: s + x))
 
 
 def entropy(p) -> Column:

@@ -5,6 +5,8 @@ Arrays of one sentence go through NumPy in Arrow batches; the rules and pieces t
 
 from __future__ import annotations
 
+from math import exp, log1p
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -16,7 +18,7 @@ MOST_RULES = 5_000_000
 
 def _scores(scores, mask) -> np.ndarray:
     """Scores of edges; a null, which Arrow hands over as NaN, and a masked edge are boundaries."""
-    s = np.array([np.nan if x is None else x for x in scores], float)
+    s = scores.astype(float) if isinstance(scores, np.ndarray) and scores.dtype.kind in "fi" else np.array([np.nan if x is None else x for x in scores], float)
     s[np.isnan(s)] = -np.inf
     if mask is not None:
         s[~np.array([bool(m) for m in mask], bool)] = -np.inf
@@ -27,32 +29,40 @@ def _scores(scores, mask) -> np.ndarray:
 
 def log_partition(scores, mask=None) -> tuple[np.ndarray, np.ndarray]:
     """Prefix and suffix log sums over all sets of edges without a shared token. Masked edges are boundaries."""
-    s = _scores(scores, mask)
+    s = _scores(scores, mask).tolist()
     n = len(s) + 1
-    prefix, suffix = np.zeros(n + 1), np.zeros(n + 1)
+    prefix, suffix = [0.0] * (n + 1), [0.0] * (n + 1)
     for k in range(2, n + 1):
-        prefix[k] = np.logaddexp(prefix[k - 1], prefix[k - 2] + s[k - 2])
+        prefix[k] = _log_sum(prefix[k - 1], prefix[k - 2] + s[k - 2])
     for k in range(n - 2, -1, -1):
-        suffix[k] = np.logaddexp(suffix[k + 1], suffix[k + 2] + s[k])
-    return prefix, suffix
+        suffix[k] = _log_sum(suffix[k + 1], suffix[k + 2] + s[k])
+    return np.array(prefix), np.array(suffix)
+
+
+def _log_sum(a: float, b: float) -> float:
+    """``log(exp a + exp b)`` of a finite and a perhaps infinitely small number."""
+    if b > a:
+        a, b = b, a
+    return a + log1p(exp(b - a))
 
 
 def marginals(scores, mask=None) -> np.ndarray:
     """Probability of each edge under the distribution of matchings."""
     s = _scores(scores, mask)
     prefix, suffix = log_partition(scores, mask)
-    return np.array([np.exp(prefix[e] + s[e] + suffix[e + 2] - prefix[-1]) for e in range(len(s))])
+    return np.exp(prefix[: len(s)] + s + suffix[2:] - prefix[-1]) if len(s) else np.zeros(0)
 
 
 def best_matching(scores, mask=None) -> np.ndarray:
     """The matching of greatest score; where merging is no better than not, it does not."""
-    s = _scores(scores, mask)
+    s = _scores(scores, mask).tolist()
     n = len(s) + 1
-    best, merged = np.zeros(n + 1), np.zeros(n + 1, bool)
+    merged = [False] * (n + 1)
+    before, last = 0.0, 0.0  # the best without the last token, and with it
     for k in range(2, n + 1):
-        joined = best[k - 2] + s[k - 2]
-        merged[k] = joined > best[k - 1]
-        best[k] = joined if merged[k] else best[k - 1]
+        joined = before + s[k - 2]
+        merged[k] = joined > last
+        before, last = last, max(joined, last)
     out, k = np.zeros(len(s), bool), n
     while k > 1:
         if merged[k]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import pair_hash, pair_key
+from ..functions.keys import MIX_A, MIX_B, pair_hash, pair_key
 from ..functions.stats import divide, dot, l2_normalize, sigmoid, softmax, sum_vectors
 
 SENT = ["sent_id", "lang_idx"]
@@ -48,15 +48,31 @@ def _pool(rows: DataFrame, vector: str, dims: int, weight: Column | None = None,
     return out.select(*SENT, divide("_sum", "_den", least).alias("h"))
 
 
+def _fits(dims: int, *tables: DataFrame | None) -> bool:
+    """Whether tables of vectors are small enough together to go to every worker."""
+    return sum(t.count() for t in tables if t is not None) <= MOST_TABLE_BYTES // (8 * dims)
+
+
+def _matrix(table: DataFrame, key: str, vector: str, dims: int, *more: str) -> tuple[np.ndarray, ...]:
+    """(keys in order, their vectors, columns ``more``) of a table that fits; rows without a vector are left out."""
+    rows = table.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c).cast("double").alias(c) for c in more]).toArrow()
+    keys = rows["k"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), dims)
+    return keys[order], flat[order], *[rows[c].to_numpy()[order] for c in more]
+
+
+def _at(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys among the known ones, and which are known."""
+    if not len(known):
+        return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
 def _shared_table(table: DataFrame, dims: int):
     """(keys, matrix) of (_key, _vec), one row per key, as a broadcast, if the table is small enough to be one; else None."""
-    spark = table.sparkSession
-    most = MOST_TABLE_BYTES // (8 * dims)
-    if table.count() > most:
-        return None
-    rows = table.select("_key", F.col("_vec").cast("array<double>").alias("_vec")).toPandas().sort_values("_key")
-    matrix = np.array(rows["_vec"].tolist(), float).reshape(len(rows), dims)
-    return spark.sparkContext.broadcast((rows["_key"].to_numpy("int64"), matrix))
+    return table.sparkSession.sparkContext.broadcast(_matrix(table, "_key", "_vec", dims)) if _fits(dims, table) else None
 
 
 def _products(shared):
@@ -66,17 +82,15 @@ def _products(shared):
         known, matrix = shared.value
         out = np.zeros((len(keys), matrix.shape[1] + 2))
         for row, (k, w, d) in enumerate(zip(keys, weights, shares)):
-            if k is None or not len(k) or not len(known):
+            if k is None or not len(k):
                 continue
-            k = np.asarray(k, "int64")
-            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            found = known[at] == k
+            at, found = _at(known, np.asarray(k, "int64"))
             out[row, :-2] = np.asarray(w, float)[found] @ matrix[at[found]]
             out[row, -2] = found.sum()
             out[row, -1] = np.asarray(d, float)[found].sum()
         return pd.Series(list(out))
 
-    return F.pandas_udf(run, "array<double>")
+    return F.pandas_udf(run, "array<double>").asNondeterministic()  # so that a filter of its result does not run it twice
 
 
 def _ratio(summed: DataFrame, dims: int, least: float) -> DataFrame:
@@ -271,7 +285,11 @@ def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int
     language only. So pairs are counted per sentence, routed by their scores alone, and take half their gate from each of
     their two tokens; vectors come in last, once per token or pair of a sentence. With ``hard``, which sets gates of 0 and
     1 that share no token, a pair replaces its tokens, and places are kept.
+
+    If tokens come as arrays and all tables fit on a worker, the same is done sentence by sentence and nothing is shuffled.
     """
+    if "token_ids" in tokens.columns and _fits(dims, emb, exact, hashed):
+        return _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, shared_bias, hard is not None, codes)
     tables = [emb.select((F.col("token_id").cast("long") * 4).alias("_key"), F.col("vec").cast("array<double>").alias("_vec"))]
     if exact is not None:
         tables.append(exact.select((F.col("pair_key") * 4 + 1).alias("_key"), F.col("m").cast("array<double>").alias("_vec")))
@@ -298,6 +316,55 @@ def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int
     return weighted(own.unionByName(routed), table, dims, LEAST_COLLAPSE)
 
 
+def _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, shared_bias, hard, codes) -> DataFrame:
+    from .matching import best_matching
+
+    none = (np.zeros(0, "int64"), np.zeros((0, dims)), np.zeros(0))
+    biases = {r["lang_idx"]: r["bias"] for r in bias.collect()} if bias is not None and shared_bias is None else {}  # one row per language
+    sides = None
+    if codes is not None:
+        rank = codes.select(F.size("left_code")).head()
+        rank = rank[0] if rank else 0
+        sides = (*_matrix(codes, "token_id", "left_code", rank), _matrix(codes, "token_id", "right_code", rank)[1])
+    shared = tokens.sparkSession.sparkContext.broadcast((_matrix(emb, "token_id", "vec", dims), none if exact is None else _matrix(exact, "pair_key", "m", dims, "score"), none if hashed is None else _matrix(hashed, "bucket", "m", dims, "score"), sides))
+
+    def run(ids: pd.Series, langs: pd.Series) -> pd.Series:
+        (known, vectors), (pair_keys, pair_rows, pair_scores), (rows, row_vectors, row_scores), edge = shared.value
+        out = np.zeros((len(ids), dims + 2))
+        for n, (x, lang) in enumerate(zip(ids, langs)):
+            if x is None or not len(x):
+                continue
+            x = np.asarray(x, "int64")
+            left, right = x[:-1], x[1:]
+            at, hit = _at(pair_keys, left * base + right)
+            if buckets:
+                bucket_at, bucket_hit = _at(rows, np.abs(left * MIX_A + right * MIX_B) % buckets)
+            else:
+                bucket_at, bucket_hit = at, np.zeros(len(at), bool)
+            bucket_hit &= ~hit
+            score = np.full(len(left), -np.inf)
+            score[hit], score[bucket_hit] = pair_scores[at[hit]], row_scores[bucket_at[bucket_hit]]
+            if edge is not None:
+                (a, has_a), (b, has_b) = _at(edge[0], left), _at(edge[0], right)
+                both = has_a & has_b
+                score[both] += np.einsum("ij,ij->i", edge[1][a[both]], edge[2][b[both]])
+                score[~both] = -np.inf
+            score += shared_bias if shared_bias is not None else biases.get(lang) or 0.0
+            p = best_matching(score).astype(float) if hard else 1.0 / (1.0 + np.exp(-score))
+            own, found = _at(known, x)
+            w = np.ones(len(x))
+            w[:-1] -= p * (1.0 if hard else 0.5)
+            w[1:] -= p * (1.0 if hard else 0.5)
+            used, in_bucket = hit & (p > 0), bucket_hit & (p > 0)
+            out[n, :-2] = w[found] @ vectors[own[found]] + p[used] @ pair_rows[at[used]] + p[in_bucket] @ row_vectors[bucket_at[in_bucket]]
+            out[n, -2] = found.sum() + used.sum() + in_bucket.sum()
+            out[n, -1] = found.sum() - p[used].sum() - p[in_bucket].sum()
+        return pd.Series(list(out))
+
+    summed = tokens.select(*SENT, F.pandas_udf(run, "array<double>").asNondeterministic()(F.col("token_ids").cast("array<long>"), F.col("lang_idx")).alias("_s"))
+    return _ratio(summed, dims, LEAST_COLLAPSE)
+
+
 def _map_pairs(routed: DataFrame) -> DataFrame:
     """Gates of 0 and 1: the best matching of each sentence's scores. Gaps between pairs are boundaries."""
     from .matching import edge_matching

@@ -10,7 +10,7 @@ from ..functions.keys import pair_key
 from ..functions.stats import cosine
 from ..operators import evaluate, init_table, matching, objective, pooling, telemetry, tokens, transitions
 from ..sources import sinks
-from ..storage import scratch
+from ..storage import materialize, scratch, spread
 from ..streaming import windows
 from .corpus import WORD_LIST
 from .registry import query, read
@@ -32,12 +32,12 @@ def _out(expr: str = "sum(w * {v}) / greatest(sum(w), {least})", least: str = "1
 
 
 def tok(spark, d):
-    """(sent_id, lang_idx, token_ids): a row per document."""
+    """(sent_id, lang_idx, token_ids): a row per document, cut into words once however often it is read."""
     langs = read(spark, d, "languages").select(F.col("lang_code").alias("lang"), "lang_idx")
     n = read(spark, d, "embeddings").count()
     ids = F.transform(tokens.words("text"), lambda w: F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long") % n)
-    t = read(spark, d, "documents").select("doc_id", "lang", ids.alias("token_ids")).join(langs, "lang", "left")
-    return t.select(F.col("doc_id").alias("sent_id"), F.coalesce("lang_idx", F.lit(-1)).alias("lang_idx"), "token_ids")
+    t = spread(read(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", ids.alias("token_ids")).join(langs, "lang", "left")
+    return materialize(t.select(F.col("doc_id").alias("sent_id"), F.coalesce("lang_idx", F.lit(-1)).alias("lang_idx"), "token_ids"))
 
 
 def emb(spark, d):
@@ -95,9 +95,9 @@ def bilinear_shift(spark, d):
     return _few(pooling.pool("bilinear", tok(spark, d), e, DIMS, codes=_codes(spark, d), code_dims=2, readout=readout))
 
 
-def _seen(spark, d):
+def _seen(t):
     """(lang_idx, token_id) that occur at least twice: where languages have rows of their own."""
-    return pooling.long_form(tok(spark, d)).groupBy("lang_idx", "token_id").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    return pooling.long_form(t).groupBy("lang_idx", "token_id").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
 
 
 _SEEN = "seen AS (SELECT lang_idx, token_id FROM tok GROUP BY 1, 2 HAVING count(*) >= 2)"
@@ -105,13 +105,14 @@ _SEEN = "seen AS (SELECT lang_idx, token_id FROM tok GROUP BY 1, 2 HAVING count(
 
 @query(f"WITH {TOK}, {_SEEN} SELECT sent_id, lang_idx, {_out(least='0.000001')} FROM (SELECT tok.*, {', '.join(_V)}, CASE WHEN s.token_id IS NULL THEN 0 ELSE 1.0 / (1 + tok.token_id % 10) END AS w FROM tok JOIN emb USING (token_id) LEFT JOIN seen s ON s.lang_idx = tok.lang_idx AND s.token_id = tok.token_id) GROUP BY 1, 2")
 def weighted_pool_idf(spark, d):
-    w = _seen(spark, d).withColumn("weight", 1.0 / (1 + F.col("token_id") % 10))
-    return _few(pooling.pool("idfpool", tok(spark, d), emb(spark, d), DIMS, weights=w))
+    t = tok(spark, d)
+    w = _seen(t).withColumn("weight", 1.0 / (1 + F.col("token_id") % 10))
+    return _few(pooling.pool("idfpool", t, emb(spark, d), DIMS, weights=w))
 
 
-def _own_rows(spark, d):
+def _own_rows(spark, d, t):
     e = emb(spark, d)
-    own = _seen(spark, d).withColumn("_at", (F.col("token_id") + 7) % e.count())
+    own = _seen(t).withColumn("_at", (F.col("token_id") + 7) % e.count())
     return own.join(e.select(F.col("token_id").alias("_at"), F.col("vec").alias("row")), "_at").drop("_at")
 
 
@@ -123,12 +124,14 @@ def _split_sql(g: float) -> str:
 
 @query(_split_sql(0.25))
 def split_gate_pool(spark, d):
-    return _few(pooling.pool("split", tok(spark, d), emb(spark, d), DIMS, rows=_own_rows(spark, d), gate_value=0.25))
+    t = tok(spark, d)
+    return _few(pooling.pool("split", t, emb(spark, d), DIMS, rows=_own_rows(spark, d, t), gate_value=0.25))
 
 
 @query(_split_sql(1.0))
 def fuse_pool(spark, d):
-    return _few(pooling.pool("fuse", tok(spark, d), emb(spark, d), DIMS, rows=_own_rows(spark, d)))
+    t = tok(spark, d)
+    return _few(pooling.pool("fuse", t, emb(spark, d), DIMS, rows=_own_rows(spark, d, t)))
 
 
 @query(f"""
@@ -222,10 +225,10 @@ def gate_senses_pool(spark, d):
     return _with_senses(spark, d, "gate_senses")
 
 
-def _exact(spark, d, least: int = 1):
+def _exact(spark, d, t, least: int = 1):
     """Pair rows of the pairs that occur at least so often: score and merged vector."""
     e = emb(spark, d)
-    seen = pooling.token_grams(tok(spark, d), 2).groupBy(F.col("_0").alias("left"), F.col("_1").alias("right")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    seen = pooling.token_grams(t, 2).groupBy(F.col("_0").alias("left"), F.col("_1").alias("right")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     seen = seen.withColumn("score", ((F.col("left") + F.col("right")) % 7 - 3) * 0.5).withColumn("_at", (F.col("left") + F.col("right")) % e.count())
     seen = seen.join(e.select(F.col("token_id").alias("_at"), F.col("vec").alias("m")), "_at")
     return seen.select(pair_key("left", "right", BASE).alias("pair_key"), "score", "m")
@@ -253,12 +256,14 @@ _ALL = "SELECT sent_id, lang_idx, pos, ((a + b) % 7 - 3) * 0.5 AS score, (a + b)
 
 @query(_collapse_sql(_ALL))
 def collapse_pool(spark, d):
-    return _few(pooling.pool("collapse", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), bias=_bias(spark)))
+    t = tok(spark, d)
+    return _few(pooling.pool("collapse", t, emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, t), bias=_bias(spark)))
 
 
 @query(_collapse_sql(_ALL, "0.2"))
 def collapse_shared(spark, d):
-    return _few(pooling.pool("collapse_shared", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d), shared_bias=0.2))
+    t = tok(spark, d)
+    return _few(pooling.pool("collapse_shared", t, emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, t), shared_bias=0.2))
 
 
 def _hashed(spark, d):
@@ -272,7 +277,8 @@ _TIERS = f"{_ROUTED}, often AS (SELECT a, b FROM g WHERE b IS NOT NULL GROUP BY
     FROM (SELECT *, abs(a * 2654435761 + b * 40503) % {BUCKETS} AS k FROM g WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM often o WHERE o.a = g.a AND o.b = g.b))""", routes=_TIERS))
 def collapse_two_tier(spark, d):
     """Pairs that occur once are not in the exact table and share hashed rows."""
-    return _few(pooling.pool("collapse_dynamic", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, 2), hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
+    t = tok(spark, d)
+    return _few(pooling.pool("collapse_dynamic", t, emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, t, 2), hashed=_hashed(spark, d), buckets=BUCKETS, bias=_bias(spark)))
 
 
 def _reclaimed(spark, d):
@@ -316,7 +322,8 @@ def collapse_online(spark, d):
 @query()
 def collapse_online_compiled(spark, d):
     """Only pairs that occur at least twice were compiled; the others are boundaries."""
-    return _few(pooling.pool("collapse_online_compiled", tok(spark, d), emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, 2), bias=_bias(spark)))
+    t = tok(spark, d)
+    return _few(pooling.pool("collapse_online_compiled", t, emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, t, 2), bias=_bias(spark)))
 
 
 def _edges(spark, d):
@@ -324,7 +331,7 @@ def _edges(spark, d):
     ids = F.transform(tokens.words("text"), lambda w: F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long"))
     least = F.greatest(F.size("ids") - 1, F.lit(0))
     scores = F.zip_with(F.slice("ids", F.lit(1), least), F.slice("ids", F.lit(2), least), lambda a, b: ((a + 3 * b) % 11 - 5) * 0.3)
-    return read(spark, d, "documents").select("doc_id", ids.alias("ids")).where("size(ids) > 0").select("doc_id", scores.alias("scores"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", ids.alias("ids")).where("size(ids) > 0").select("doc_id", scores.alias("scores"))
 
 
 _SCORED = f"""w AS (SELECT doc_id, list_transform({WORD_LIST}, lambda x: ('0x' || left(md5(x), 7))::BIGINT) AS ids FROM documents),

@@ -61,3 +61,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session has cores, if its files come in fewer pieces: for work on each row that costs
+    far more than moving it once. Tables of any size come in more pieces by themselves and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
