@@ -171,7 +171,56 @@ _LOOKS = f"""v AS (SELECT pair_id, 'anchor' AS side, anchor AS value FROM pairs
     l AS (SELECT pair_id, side, value, CASE WHEN value <> '' THEN {_look_sql()} END AS look FROM v), c AS (SELECT side, look, value, count(*) AS n FROM l WHERE look IS NOT NULL GROUP BY ALL),
     k AS (SELECT *, first_value(value) OVER (PARTITION BY side, look ORDER BY n DESC, value) AS canonical, sum(n) OVER (PARTITION BY side, look)::BIGINT AS n_rows, count(*) OVER (PARTITION BY side, look) AS members FROM c)"""
 
+_FORM = f"regexp_replace(replace(replace({_look_sql().replace('(value,', '(lower(value),')}, 'ς', 'σ'), 'ß', 'ss'), '[\\p{{P}}\\p{{S}}\\p{{C}}]', '', 'g')"
+#: Runs of ten words, and of 24 characters where words are not spaced, of every item and text; a text leaks what it shares.
+_LEAKS = rf"""it AS (SELECT item_id, lang IN ('cmn_Hani', 'jpn_Jpan') AS unspaced, {_FORM} AS form FROM (SELECT item_id, lang, text AS value FROM eval_items)),
+    tx AS (SELECT pair_id, side, {_FORM} AS form FROM (SELECT pair_id, 'anchor' AS side, anchor AS value FROM pairs UNION ALL SELECT pair_id, 'positive', positive FROM pairs) WHERE value <> ''),
+    iw AS (SELECT item_id, regexp_extract_all(form, '[^\s\p{{Z}}]+') AS w FROM it WHERE NOT unspaced), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM iw)),
+    xw AS (SELECT pair_id, side, regexp_extract_all(form, '[^\s\p{{Z}}]+') AS w FROM tx), xg AS (SELECT pair_id, side, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT pair_id, side, w, unnest(range(1, len(w) - 8)) AS i FROM xw)),
+    ic AS (SELECT item_id, regexp_replace(form, '[\s\p{{Z}}]+', '', 'g') AS c FROM it WHERE unspaced), jg AS (SELECT DISTINCT item_id, substr(c, i, 24) AS g FROM (SELECT item_id, c, unnest(range(1, length(c) - 22)) AS i FROM ic)),
+    xc AS (SELECT pair_id, side, regexp_replace(form, '[\s\p{{Z}}]+', '', 'g') AS c FROM tx WHERE regexp_matches(form, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]')), yg AS (SELECT pair_id, side, substr(c, i, 24) AS g FROM (SELECT pair_id, side, c, unnest(range(1, length(c) - 22)) AS i FROM xc)),
+    lk AS (SELECT DISTINCT pair_id, side, item_id FROM xg JOIN ig USING (g) UNION SELECT DISTINCT pair_id, side, item_id FROM yg JOIN jg USING (g))"""
+
+#: Characters of the longest piece of the vocabulary, which is a table of fixed size.
+_LONGEST = 24
+
+
+def _tokens_sql() -> str:
+    """(id, n): tokens of ``src`` (id, text): at each character the longest piece that begins there, then from left to right."""
+    after = ", ".join(f"lead(ch, {k}) OVER w AS c{k}" for k in range(1, _LONGEST))
+    pieces = ", ".join(f"CASE WHEN ch{''.join(f' || c{i}' for i in range(1, k))} IN (SELECT piece FROM vc) THEN {k} ELSE 0 END" for k in range(1, _LONGEST + 1))
+    return rf"""vc AS (SELECT DISTINCT piece FROM vocab WHERE NOT is_marker AND piece <> ''), ch AS (SELECT id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS pos FROM src WHERE text <> ''),
+    ld AS (SELECT id, pos, ch, {after} FROM ch WINDOW w AS (PARTITION BY id ORDER BY pos)), bs AS (SELECT id, pos, ch, greatest({pieces}) AS len FROM ld),
+    ls AS (SELECT id, list({{'skip': CASE WHEN len = 0 THEN 1 ELSE len END, 'n': CASE WHEN len = 0 AND regexp_matches(ch, '^[\s\p{{Z}}\x0B\x1C-\x1F\x85]$') THEN 0 ELSE 1 END}} ORDER BY pos) AS l FROM bs GROUP BY id),
+    ct AS (SELECT id, list_reduce(list_prepend({{'skip': 0, 'n': 0}}, l), lambda a, x: CASE WHEN a.skip > 0 THEN {{'skip': a.skip - 1, 'n': a.n}} ELSE {{'skip': x.skip - 1, 'n': a.n + x.n}} END).n::BIGINT AS n FROM ls),
+    counted AS (SELECT src.id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(n, 0) END AS n FROM src LEFT JOIN ct USING (id))"""
+
+
+def _cube_sql(corpus: str, columns: tuple[str, ...], rows: str) -> str:
+    """The cube of ``rows`` (columns, label, n, first), labels read as in ``token_budget.with_language``."""
+    none = ", ".join(f"'{x}'" for x in sorted(langid.NO_LANGUAGE))
+    und = ", ".join(f"CASE WHEN coalesce({c}, '') = '' THEN 'und' ELSE {c} END AS {c}" for c in columns)
+    parts = ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in columns)
+    missing = "" if "web_domain" in columns else "NULL::VARCHAR AS web_domain, "
+    return f"""SELECT '{corpus}' AS corpus, {', '.join(columns)}, {missing}coalesce(nullif(concat_ws('+', {parts}), ''), 'all') AS slice, count(*) AS n_texts, sum(n)::BIGINT AS n_tokens, count(first) AS n_first_texts, coalesce(sum(first), 0)::BIGINT AS n_first_tokens
+    FROM (SELECT {und}, n, first FROM (SELECT x.* EXCLUDE (lang), coalesce(a.code, CASE WHEN plain NOT IN ({none}) AND head NOT IN ({none}) THEN coalesce(b.code, x.lang) END) AS lang
+        FROM (SELECT *, replace(lower(trim(lang)), '-', '_') AS plain, split_part(replace(lower(trim(lang)), '-', '_'), '_', 1) AS head FROM ({rows})) x LEFT JOIN sp a ON a.s = plain LEFT JOIN sp b ON b.s = head) WHERE n IS NOT NULL) GROUP BY CUBE ({', '.join(columns)})"""
+
+
+_SPELLED = "sp AS (SELECT replace(lower(trim(s)), '-', '_') AS s, min(lang_code) AS code FROM (SELECT lang_code, unnest([lang_code, split_part(lang_code, '_', 1), iso639_1, english_name]) AS s FROM languages WHERE lang_code IS NOT NULL) WHERE s <> '' GROUP BY 1)"
+_LABEL = "CASE WHEN coalesce(anchor_language_id, '') = '' THEN language_id ELSE anchor_language_id END"
+_TOTALS = f"""
+    WITH src AS (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT pair_id * 2 + 1, anchor FROM pairs), {_tokens_sql()}, {_SPELLED},
+    fd AS (SELECT min(pair_id) AS pair_id FROM pairs WHERE shard_id IS NOT NULL AND row_group IS NOT NULL AND row_index IS NOT NULL GROUP BY shard_id, row_group, row_index)
+    {_cube_sql('documents', ('source', 'lang', 'web_domain'), 'SELECT source, lang, web_domain, n, n AS first FROM documents JOIN counted ON id = doc_id * 2')}
+    UNION ALL BY NAME
+    {_cube_sql('pairs', ('source', 'lang'), f"SELECT source, {_LABEL} AS lang, n, CASE WHEN fd.pair_id IS NOT NULL OR shard_id IS NULL OR row_group IS NULL OR row_index IS NULL THEN n END AS first FROM pairs p JOIN counted ON id = p.pair_id * 2 + 1 LEFT JOIN fd ON fd.pair_id = p.pair_id")}"""
+
 ORACLES: dict[str, str] = {
+    "p3_document_tokens": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_tokens_sql()} SELECT id AS doc_id, n AS n_tokens FROM counted",
+    "p3_token_totals": _TOTALS,
+    "p2_found": f"WITH {_LEAKS} SELECT * FROM lk",
+    "p2_leaks_by_source": f"WITH {_LEAKS} SELECT source, count(DISTINCT pair_id) AS n_rows, count(*) AS n_leaks, count(DISTINCT item_id) AS n_items FROM lk JOIN pairs USING (pair_id) GROUP BY 1",
     "p4_found": f"WITH {_LOOKS} SELECT a.pair_id AS pair_id_1, b.pair_id AS pair_id_2, a.side FROM l a JOIN l b ON a.side = b.side AND a.look = b.look AND a.value <> b.value AND a.pair_id < b.pair_id",
     "p4_canonical": f"WITH {_LOOKS} SELECT l.pair_id, l.side, l.value, coalesce(k.canonical, l.value) AS canonical FROM l LEFT JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value",
     "p4_classes": f"WITH {_LOOKS} SELECT pair_id, l.side, canonical, n_rows, n_rows - n AS n_links FROM l JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value WHERE members > 1",
