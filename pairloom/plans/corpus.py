@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -62,7 +64,21 @@ def canonical_forms(spark, d):
     return forms.where(~F.col("form").eqNullSafe(F.col("_p"))).select("pair_id", "form")
 
 
-@query()
+#: Compatibility forms that occur in the texts: full-width ASCII and the ideographic space.
+_WIDE_FROM, _WIDE_TO = "".join(map(chr, (*range(0xFF01, 0xFF5F), 0x3000))), "".join(map(chr, (*range(0x21, 0x7F), 0x20))).replace("'", "''")
+
+
+def _canonical_sql(x: str) -> str:
+    """NFKC, case folding and single spaces, as far as SQL has them."""
+    folded = f"replace(replace(lower(nfc_normalize(translate({x}, '{_WIDE_FROM}', '{_WIDE_TO}'))), 'ς', 'σ'), 'ß', 'ss')"
+    for c in map(chr, range(0xFB00, 0xFB05)):
+        folded = f"replace({folded}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    return rf"trim(regexp_replace({folded}, '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(f"""
+    WITH s AS (SELECT source, {STRIP.format('anchor')} AS a, {STRIP.format('positive')} AS p FROM pairs WHERE anchor IS NOT NULL AND positive IS NOT NULL)
+    SELECT source, count(*) AS n FROM s WHERE a <> '' AND p <> '' AND length(a) <= 512 AND length(p) <= 512 AND {_canonical_sql('a')} <> {_canonical_sql('p')} GROUP BY 1""")
 def canonical_filter(spark, d):
     """The same with the full canonical form, over pairs that pass the filters."""
     return filters.clean_pairs(read(spark, d, "pairs")).groupBy("source").agg(F.count("*").alias("n"))
@@ -77,7 +93,16 @@ def dice_overlap(spark, d):
     return filters.overlapping(s, "a", "p", 0.3).select("pair_id", F.round(T.dice("a", "p"), 9).alias("dice"))
 
 
-@query()
+def _terms_sql(x: str) -> str:
+    letters = f"regexp_replace({_canonical_sql(x)}, '[^\\p{{L}}]', '', 'g')"
+    pairs = f"list_distinct(CASE WHEN length({letters}) > 1 THEN list_transform(range(1, length({letters})), lambda i: substr({letters}, i::BIGINT, 2)) WHEN {letters} <> '' THEN [{letters}] ELSE [] END)"
+    words = f"list_distinct(list_filter(regexp_extract_all({_canonical_sql(x)}, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), lambda w: length(w) > 1))"
+    return f"CASE WHEN split_part(language_id, '_', 2) IN ('Hani', 'Hans', 'Hant', 'Jpan', 'Khmr', 'Laoo', 'Mymr', 'Thai') THEN {pairs} ELSE {words} END"
+
+
+@query(f"""
+    WITH s AS (SELECT pair_id, {_terms_sql('anchor')} AS a, {_terms_sql('positive')} AS p FROM pairs WHERE anchor IS NOT NULL AND positive IS NOT NULL)
+    SELECT pair_id, round(CASE WHEN len(a) + len(p) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a, p)) / (len(a) + len(p)) END, 9) AS dice FROM s""")
 def term_overlap(spark, d):
     """Overlap with terms by language: letter pairs where words are not spaced."""
     s = read(spark, d, "pairs").where("anchor IS NOT NULL AND positive IS NOT NULL")

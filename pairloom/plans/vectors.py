@@ -363,11 +363,16 @@ def expected_merges(spark, d):
     return m.select("doc_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("expected"))
 
 
-@query()
+@query(f"""
+    WITH w AS (SELECT doc_id, list_transform({WORD_LIST}, lambda x: ('0x' || left(md5(x), 7))::BIGINT % 1000) AS ids FROM documents),
+    r AS (SELECT doc_id, list_reduce(list_prepend({{'p': -1::BIGINT, 'n': 0, 'x': -1::BIGINT}}, list_transform(ids, lambda x: {{'p': -1::BIGINT, 'n': 0, 'x': x}})),
+        lambda a, x: CASE WHEN a.p >= 0 AND (a.p + x.x) % 5 = 0 THEN {{'p': -1::BIGINT, 'n': a.n + 1, 'x': 0::BIGINT}} ELSE {{'p': x.x, 'n': a.n + CASE WHEN a.p >= 0 THEN 1 ELSE 0 END, 'x': 0::BIGINT}} END) AS z FROM w)
+    SELECT doc_id, (z.n + CASE WHEN z.p >= 0 THEN 1 ELSE 0 END)::INT AS n_tokens FROM r""")
 def retokenize(spark, d):
-    rules = [{"token_id": 5000 + i, "left": a, "right": b, "generation": 1, "active": True, "span": [a, b]} for i, (a, b) in enumerate((x, y) for x in range(3010, 3120) for y in range(3040, 3060))]
-    ids = F.transform(tokens.words("text"), lambda w: (F.ascii(w) * 31 + F.length(w)).cast("int"))
-    return read(spark, d, "documents").select("doc_id", matching.retokenize(ids, rules).alias("t")).select("doc_id", F.size("t").alias("n_tokens"))
+    """Rules for every fifth sum of two ids; merges go from the left and do not overlap."""
+    rules = [{"token_id": 1000 + 1000 * a + b, "left": a, "right": b, "generation": 1, "active": True, "span": [a, b]} for a in range(1000) for b in range(-a % 5, 1000, 5)]
+    ids = F.transform(tokens.words("text"), lambda w: (F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long") % 1000).cast("int"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", matching.retokenize(ids, rules).alias("t")).select("doc_id", F.size("t").alias("n_tokens"))
 
 
 def _batches(spark, d):
