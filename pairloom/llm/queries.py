@@ -139,11 +139,16 @@ def p8_prefix_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.prefix_links(read(spark, sf_dir, "documents"))
 
 
+def p8_anchor_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join over anchors of pairs, where short texts begin longer ones more often."""
+    return truncation.prefix_links(read(spark, sf_dir, "pairs").select(F.col("pair_id").alias("doc_id"), F.col("anchor").alias("text")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_top_support, p2_found, p2_near, p2_leaks_by_source, p3_token_totals, p3_document_tokens, p4_found, p4_canonical, p4_classes, p5_found, p5_languages, p5_segments,
-        p6_containers, p6_fill_rates, p7_mixture, p7_shares, p8_found, p8_routes, p8_rates, p8_prefix_copies,
+        p6_containers, p6_fill_rates, p7_mixture, p7_shares, p8_found, p8_routes, p8_rates, p8_prefix_copies, p8_anchor_prefixes,
     )
 }
 
@@ -216,6 +221,20 @@ _TOTALS = f"""
     UNION ALL BY NAME
     {_cube_sql('pairs', ('source', 'lang'), f"SELECT source, {_LABEL} AS lang, n, CASE WHEN fd.pair_id IS NOT NULL OR shard_id IS NULL OR row_group IS NULL OR row_index IS NULL THEN n END AS first FROM pairs p JOIN counted ON id = p.pair_id * 2 + 1 LEFT JOIN fd ON fd.pair_id = p.pair_id")}"""
 
+def _prefix_sql(texts: str) -> str:
+    """Every text with an open end against every longer one."""
+    return (
+        r"""
+        WITH k AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\s\[(（]*(\.{2,}|…+|。{2,}|[\[(（](\.{2,}|…)[\])）])\s*$', ''), '\s+$', '') AS cut FROM (TEXTS)),
+        c AS (SELECT doc_id, cut FROM k WHERE regexp_matches(cut, '\p{L}') AND NOT regexp_matches(cut, '[.!?。！？؟।॥;；…]+["''»”’)\]）」』】》]*$')),
+        l AS (SELECT c.doc_id, k.doc_id AS longer, right(c.cut, 1) AS last, substr(k.cut, length(c.cut) + 1, 64) AS after FROM c JOIN k ON starts_with(k.cut, c.cut) AND length(k.cut) > length(c.cut)),
+        w AS (SELECT *, regexp_matches(last, '[\p{L}\p{M}\p{N}]') AND regexp_matches(after, '^[''’\-‐‑]?[\p{L}\p{M}\p{N}]') AS word FROM l),
+        s AS (SELECT *, NOT word AND (regexp_matches(last, '[,،、，''’\-‐‑(（\[]') OR regexp_matches(after, '^([^\S\r\n]*[,،、，]?[^\S\r\n]+[\p{L}\p{M}]|[,،、，]$)')) AS sentence FROM w)
+        SELECT doc_id, count(*) FILTER (word) AS n_word, count(*) FILTER (sentence) AS n_sentence, count(*) FILTER (NOT word AND NOT sentence) AS n_end,
+        coalesce(min(longer) FILTER (word OR sentence), min(longer)) AS longer_doc_id FROM s GROUP BY doc_id"""
+    ).replace("TEXTS", texts)
+
+
 ORACLES: dict[str, str] = {
     "p3_document_tokens": f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_tokens_sql()} SELECT id AS doc_id, n AS n_tokens FROM counted",
     "p3_token_totals": _TOTALS,
@@ -226,12 +245,7 @@ ORACLES: dict[str, str] = {
     "p4_classes": f"WITH {_LOOKS} SELECT pair_id, l.side, canonical, n_rows, n_rows - n AS n_links FROM l JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value WHERE members > 1",
     "p1_found": f"SELECT pair_key FROM ({_TOP})",
     "p1_top_support": f"SELECT pair_key, support, true AS bounded FROM ({_TOP})",
-    "p8_prefix_copies": r"""
-        WITH k AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\s\[(（]*(\.{2,}|…+|。{2,}|[\[(（](\.{2,}|…)[\])）])\s*$', ''), '\s+$', '') AS cut FROM documents),
-        c AS (SELECT doc_id, cut FROM k WHERE regexp_matches(cut, '\p{L}') AND NOT regexp_matches(cut, '[.!?。！？؟।॥;；…]+["''»”’)\]）」』】》]*$')),
-        l AS (SELECT c.doc_id, k.doc_id AS longer, right(c.cut, 1) AS last, substr(k.cut, length(c.cut) + 1, 64) AS after FROM c JOIN k ON starts_with(k.cut, c.cut) AND length(k.cut) > length(c.cut)),
-        w AS (SELECT *, regexp_matches(last, '[\p{L}\p{M}\p{N}]') AND regexp_matches(after, '^[''’\-‐‑]?[\p{L}\p{M}\p{N}]') AS word FROM l),
-        s AS (SELECT *, NOT word AND (regexp_matches(last, '[,،、，''’\-‐‑(（\[]') OR regexp_matches(after, '^([^\S\r\n]*[,،、，]?[^\S\r\n]+[\p{L}\p{M}]|[,،、，]$)')) AS sentence FROM w)
-        SELECT doc_id, count(*) FILTER (word) AS n_word, count(*) FILTER (sentence) AS n_sentence, count(*) FILTER (NOT word AND NOT sentence) AS n_end,
-        coalesce(min(longer) FILTER (word OR sentence), min(longer)) AS longer_doc_id FROM s GROUP BY doc_id""",
+    "p8_prefix_copies": _prefix_sql("SELECT doc_id, text FROM documents"),
+    "p8_anchor_prefixes": _prefix_sql("SELECT pair_id AS doc_id, anchor AS text FROM pairs"),
+
 }
