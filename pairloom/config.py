@@ -63,6 +63,23 @@ class DiscoverySettings:
             raise ValueError("thresholds must be positive")
 
 
+def language_indices(languages: list[str], trained: list[str] | None = None) -> list[int]:
+    """Indices of the ``trained`` among a model's languages, in the model's order; all without a list, an error for one it lacks."""
+    if len(set(languages)) < len(languages):
+        raise ValueError("a language comes twice")
+    unknown = set(trained or ()) - set(languages)
+    if unknown:
+        raise ValueError(f"unknown languages {sorted(unknown)}")
+    return [i for i, x in enumerate(languages) if trained is None or x in set(trained)]
+
+
+def promotion_step(settings: DiscoverySettings, max_steps: int) -> int | None:
+    """The step at which a run promotes: within the run, or None for one that only discovers, whose step is the one after its last."""
+    if not 0 < settings.promotion_step <= max_steps + 1:
+        raise ValueError(f"promotion at step {settings.promotion_step} of {max_steps}")
+    return settings.promotion_step if settings.promotion_step <= max_steps else None
+
+
 def parse_roots(assignments: list[str]) -> dict[str, str]:
     """``NAME=PATH`` arguments; a name that comes twice is an error."""
     out: dict[str, str] = {}

@@ -190,6 +190,8 @@ def ngram(tokens, emb, dims, table, buckets: int, orders: tuple[int, ...] = (2,)
     """Tokens and hashed n-grams together; with ``gates`` (lang_idx, gate) an n-gram counts by its sigmoid. ``table``: (bucket, row)."""
     from ..functions.keys import ngram_hash
 
+    if not orders or min(orders) < 2 or buckets < 1:
+        raise ValueError("orders are 2 or more, buckets 1 or more")
     one = lookup(_counted(tokens), emb).select(*SENT, F.col("vec").cast("array<double>").alias("vec"), F.col("_c").cast("double").alias("_g"))
     for n in orders:
         names = [f"_{k}" for k in range(n)]

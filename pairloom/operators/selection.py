@@ -100,6 +100,11 @@ def select_external(records: DataFrame, keys: DataFrame, minimum_support: int) -
     return joined.select("pair_key", "support", "language_count", problem.alias("problem"))
 
 
+def _positive(*thresholds: int) -> None:
+    if min(thresholds) < 1:
+        raise ValueError("support thresholds are 1 or more")
+
+
 def _window(records: DataFrame, name: str, per_language_min_support: int) -> DataFrame:
     good = F.max(((F.col("utility") > 0) & (F.col("support") >= per_language_min_support)).cast("int"))
     out = records.groupBy("pair_key").agg(F.sum("utility").alias("u"), F.sum("support").alias("n"), F.sum("positive_support").alias("pos"), F.sum("probability_sum").alias("ps"), good.alias("lang"))
@@ -125,6 +130,7 @@ def stable_growth(prev: DataFrame, cur: DataFrame, existing: DataFrame, min_supp
 
     A language with positive utility and support is needed in each window, not the same in both.
     """
+    _positive(min_support, per_language_min_support)
     judged = _judged(prev, cur, existing, per_language_min_support)
     return judged.select("pair_key", F.coalesce(_reason(min_support), F.lit("selected")).alias("outcome"))
 
@@ -143,6 +149,7 @@ def sign_growth(prev: DataFrame, cur: DataFrame, existing: DataFrame, alpha: flo
 
 def l0_growth(cur: DataFrame, existing: DataFrame, min_support: int = 32, per_language_min_support: int = 8, open_threshold: float = 0.5) -> DataFrame:
     """(pair_key, outcome): pairs of one window whose gate is open with at least ``open_threshold`` at their mean probability."""
+    _positive(min_support, per_language_min_support)
     known = existing.select("pair_key").distinct().withColumn("known", F.lit(True))
     judged = _window(cur, "cur", per_language_min_support).join(known, "pair_key", "left")
     opened = open_probability(F.greatest(F.least(F.col("cur_ps") / F.col("cur_n"), F.lit(1.0)), F.lit(0.0)))

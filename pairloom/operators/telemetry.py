@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from time import perf_counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import BETA, GAMMA, ZETA, sigmoid
+from ..functions.stats import BETA, GAMMA, ZETA, entropy, sigmoid
 from .ranking import quantiles
 
 
@@ -113,5 +115,35 @@ def expected_l0(scores: DataFrame, bias: DataFrame, beta: float = BETA, gamma: f
     return scores.join(F.broadcast(mean)).agg(F.avg(sigmoid(F.col("score") + F.col("_b") - shift)).alias("expected_l0"))  # one row
 
 
+def assignment_entropy(mixture: DataFrame, shares: str = "pi") -> DataFrame:
+    """One row: the mean entropy of languages' shares of vocabularies (an array each); null without any."""
+    return mixture.agg(F.avg(entropy(shares)).alias("entropy"))
+
+
+def gate_penalty(rows: DataFrame, gate: str = "gate") -> DataFrame:
+    """One row: the mean size of gates, 0 without any."""
+    return rows.agg(F.coalesce(F.avg(F.abs(F.col(gate))), F.lit(0.0)).alias("penalty"))
+
+
+def token_usage(tokens: DataFrame, token: str = "token_id", least: int | None = None) -> DataFrame:
+    """(``token``, n): how often each token was used; with ``least``, only ids from there on, as learned ones are."""
+    rows = tokens if least is None else tokens.where(F.col(token) >= least)
+    return rows.groupBy(token).agg(F.count("*").alias("n"))
+
+
+def timed(run: Callable[[], object], warm_ups: int = 3, repeats: int = 10) -> list[float]:
+    """Seconds of ``repeats`` runs after ``warm_ups`` that do not count; ``run`` writes to a sink, so that all of it is done."""
+    if warm_ups < 0 or repeats < 1:
+        raise ValueError("at least one run is measured")
+    for _ in range(warm_ups):
+        run()
+    out = []
+    for _ in range(repeats):
+        began = perf_counter()
+        run()
+        out.append(perf_counter() - began)
+    return out
+
+
 def mean_probability(pairs: DataFrame, p: str = "p") -> DataFrame:
     return pairs.agg(F.coalesce(F.avg(p), F.lit(0.0)).alias("mean_probability"))

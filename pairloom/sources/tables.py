@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDIDATES = "composite_key long, pair_key long, language_index int, utility double, probability_sum double, captured_support long, mean_probability double"
@@ -15,8 +15,31 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=CANDIDATES, enforceSchema=False).select("pair_key", "captured_support")
 
 
-def selection(spark: SparkSession, path: str, selector: str | None = None, size: int | None = None) -> DataFrame:
-    """A selection list; more than one selector, another than ``selector``, repeated keys or another size are errors."""
+def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, sha256) of the files under ``path``, read by the tasks through Spark's file systems."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return found.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def strict_keys(df: DataFrame, key: str, ascending: bool = False) -> DataFrame:
+    """``df`` itself, if no key is null or comes twice and, where asked for, each is greater than the one before in file order.
+
+    Lists with keys in order are bounded by a budget, so their order is checked in one task.
+    """
+    got = df.agg(F.count("*").alias("n"), F.count(key).alias("k"), F.count_distinct(key).alias("d")).head()
+    if not got["n"] == got["k"] == got["d"]:
+        raise ValueError(f"{key}: {got['n']} rows, {got['d']} keys")
+    if ascending:
+        before = F.lag(key).over(Window.orderBy(F.monotonically_increasing_id()))
+        if df.select(key, before.alias("_b")).where(F.col("_b") >= F.col(key)).head():
+            raise ValueError(f"{key} is not in order")
+    return df
+
+
+def selection(spark: SparkSession, path: str, selector: str | None = None, size: int | None = None, sha256: str | None = None) -> DataFrame:
+    """A selection list; more than one selector, another than ``selector``, repeated keys, another size or digest are errors."""
+    if sha256 is not None and [r["sha256"] for r in file_digests(spark, path).collect()] != [sha256]:
+        raise ValueError(f"{path}: another digest")
     df = spark.read.csv(path, header=True, schema=SELECTION, enforceSchema=False)
     got = df.agg(F.count("*").alias("n"), F.count_distinct("pair_key").alias("k"), F.collect_set("selector").alias("s")).head()
     if len(got["s"]) != 1 or (selector is not None and got["s"] != [selector]):

@@ -293,3 +293,39 @@ def test_scores_of_matches(spark):
     frame = pd.DataFrame({"s": [1, 2, 3, 4], "g": [2, 2, 5, 4]})
     got = evaluate.correlations(pairs, "s", "g").head()
     assert got["n"] == 4 and got["pearson"] == pytest.approx(frame.corr().iloc[0, 1]) and got["spearman"] == pytest.approx(frame.rank().corr().iloc[0, 1])
+
+
+def test_checks_of_settings_and_lists(spark, tmp_path):
+    from pairloom.config import DiscoverySettings, language_indices, promotion_step
+    from pairloom.operators import pooling, selection, telemetry
+    from pairloom.sources import sinks, tables
+
+    assert language_indices(["a", "b", "c"], ["c", "a"]) == [0, 2] and language_indices(["a", "b"]) == [0, 1]
+    for languages, trained in ((["a"], ["z"]), (["a", "a"], None)):
+        with pytest.raises(ValueError):
+            language_indices(languages, trained)
+    settings = DiscoverySettings(promotion_step=10)
+    assert promotion_step(settings, 10) == 10 and promotion_step(settings, 9) is None
+    with pytest.raises(ValueError):
+        promotion_step(settings, 5)
+    keys = spark.createDataFrame([(1, "frequency", 5), (3, "frequency", 4)], "pair_key long, selector string, support_estimate long")
+    sinks.write_list(keys, tmp_path / "s.csv")
+    digest = sinks.sha256_file(tmp_path / "s.csv")
+    assert tables.strict_keys(tables.selection(spark, str(tmp_path / "s.csv"), "frequency", 2, digest), "pair_key", True).count() == 2
+    with pytest.raises(ValueError, match="digest"):
+        tables.selection(spark, str(tmp_path / "s.csv"), sha256="0" * 64)
+    for bad in ([(3,), (1,)], [(1,), (1,)], [(1,), (None,)]):
+        with pytest.raises(ValueError):
+            tables.strict_keys(spark.createDataFrame(bad, "pair_key long").coalesce(1), "pair_key", True)
+    with pytest.raises(ValueError):
+        pooling.ngram(None, None, 2, None, 4, (1,))
+    with pytest.raises(ValueError):
+        selection.stable_growth(keys, keys, keys, 0)
+    mixture = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0])], "lang_idx int, pi array<double>")
+    assert telemetry.assignment_entropy(mixture).head()[0] == pytest.approx(0.5 * 0.6931471805599453)
+    assert telemetry.gate_penalty(spark.createDataFrame([(-1.0,), (0.5,)], "gate double")).head()[0] == 0.75
+    assert rows(telemetry.token_usage(spark.createDataFrame([(1,), (9,), (9,)], "token_id long"), least=5)) == [(9, 2)]
+    ran = []
+    assert len(telemetry.timed(lambda: ran.append(1), 2, 3)) == 3 and len(ran) == 5
+    with pytest.raises(ValueError):
+        telemetry.timed(lambda: None, 0, 0)
