@@ -554,6 +554,16 @@ def test_routes(spark):
     assert (out[6], out[8], out[9]) == ("copy", "follows_sentence", "broken_sign")
 
 
+def test_a_pile_of_one_length_is_a_limit(spark):
+    """Lines that look complete, twelve of them of one length in one source, and two of the same kind of other lengths."""
+    ends = ["The red sail in the town hall\nThe bus driver in the town hall\nNo more of it."] * 5
+    rng = random.Random(8)
+    name = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    piled, others = [f"Man {name(9)} in the town hall" for _ in range(12)], [f"Man {name(40)} in the town hall", f"Man {name(70)} in the town hall"]
+    out = {r["doc_id"]: r["route"] for r in truncation.judged(documents(spark, ends + piled + others)).collect()}
+    assert out == {i: "length_limit" for i in range(5, 17)}
+
+
 def test_rates_are_bounded(spark):
     x, n = F.col("x").cast("double"), F.col("n").cast("double")
     df = spark.createDataFrame([(0, 60), (0, 61), (5, 0), (8, 8), (7, 7)], "x int, n int")
