@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import heavy_hitters, langid, leaks, lookalikes, mixing, packing, scripts, token_budget, truncation
@@ -20,9 +20,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_top_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same keys with their support; ``bounded`` tells whether the summary's bounds hold it."""
+    """The same keys with their support and rank."""
     top = heavy_hitters.top_items(read(spark, sf_dir, "window_records"), "pair_key", "support", "record_id", 60)
-    return top.select(F.col("item").alias("pair_key"), F.col("weight").alias("support"), ((F.col("upper") >= F.col("weight")) & (F.col("lower") <= F.col("upper"))).alias("bounded"))
+    rank = F.row_number().over(Window.orderBy(F.desc("weight"), "item"))  # of 60 rows
+    return top.select(F.col("item").alias("pair_key"), F.col("weight").alias("support"), rank.cast("long").alias("rank"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +245,7 @@ ORACLES: dict[str, str] = {
     "p4_canonical": f"WITH {_LOOKS} SELECT l.pair_id, l.side, l.value, coalesce(k.canonical, l.value) AS canonical FROM l LEFT JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value",
     "p4_classes": f"WITH {_LOOKS} SELECT pair_id, l.side, canonical, n_rows, n_rows - n AS n_links FROM l JOIN k ON k.side = l.side AND k.look = l.look AND k.value = l.value WHERE members > 1",
     "p1_found": f"SELECT pair_key FROM ({_TOP})",
-    "p1_top_support": f"SELECT pair_key, support, true AS bounded FROM ({_TOP})",
+    "p1_top_support": f"SELECT pair_key, support, row_number() OVER (ORDER BY support DESC, pair_key) AS rank FROM ({_TOP})",
     "p8_prefix_copies": _prefix_sql("SELECT doc_id, text FROM documents"),
     "p8_anchor_prefixes": _prefix_sql("SELECT pair_id AS doc_id, anchor AS text FROM pairs"),
 
