@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import pair_key
 from ..functions.stats import cosine
 from ..operators import evaluate, init_table, matching, objective, pooling, telemetry, tokens, transitions
-from ..sources import sinks
+from ..sources import model, sinks
 from ..storage import materialize, scratch, spread
 from ..streaming import windows
 from .corpus import WORD_LIST
@@ -489,6 +489,24 @@ def subset_filter(spark, d):
     return s.where(subset_allowed("langs", ["eng_Latn", "fra_Latn", "deu_Latn", "rus_Cyrl"])).select("task", "bitext_id", F.array_join("langs", "-").alias("subset"))
 
 
+@query("""
+    WITH s AS (SELECT task, bitext_id, list_sort(list_distinct(list(lang))) AS langs FROM eval_items GROUP BY 1, 2)
+    SELECT task, bitext_id, CASE len(langs) WHEN 1 THEN langs[1] WHEN 2 THEN langs[1] END AS first_side, CASE len(langs) WHEN 1 THEN langs[1] WHEN 2 THEN langs[2] END AS second_side, langs[1] AS only_side FROM s""")
+def side_languages(spark, d):
+    s = read(spark, d, "eval_items").groupBy("task", "bitext_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    side = lambda kind, name: evaluate.side_language("langs", kind, name)
+    return s.select("task", "bitext_id", side("bitext", "sentence1").alias("first_side"), side("sts", "sentence2").alias("second_side"), side("classification", "text").alias("only_side"))
+
+
+@query("SELECT 'embeddings' AS name, count(*) AS rows, (count(vec_id) + count(label) + sum(len(embedding)))::BIGINT AS numbers FROM embeddings UNION ALL SELECT 'vocab', count(*), count(token_id) FROM vocab")
+def saved_model(spark, d):
+    """Two tables saved as a model, loaded again under its checks, and counted."""
+    folder = scratch(spark, "model")
+    model.save_model(folder, {"dims": DIMS}, {name: read(spark, d, name) for name in ("embeddings", "vocab")})
+    model.load_model(spark, folder)
+    return model.inventory(spark, folder).select("name", "rows", "numbers")
+
+
 @query("""
     SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.9), 4) AS p90
     FROM events WHERE value IS NOT NULL GROUP BY 1""")
