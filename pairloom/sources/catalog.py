@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import StreamSpec
@@ -22,15 +24,59 @@ def _plain(path: str):
     return F.regexp_replace(path, "^file:/*", "/")
 
 
+def _file() -> Column:
+    """The path of a row's file, as listings spell it; Spark's metadata has it as a URI."""
+    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, bytes) of all files under ``root``, listed by Spark; nothing but the listing is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern.rsplit("/", 1)[-1]).load(root)
-    return found.select("path", F.col("length").alias("bytes"))
+    """(path, bytes) of all tables under ``root``, listed by Spark; nothing but the listing is read.
+
+    A table is a file whose name matches, or a folder whose name matches and that holds files of other names, as Spark
+    writes them; of folders in each other it is the outermost.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = f"^(?:{jvm.org.apache.hadoop.fs.GlobPattern(pattern.rsplit('/', 1)[-1]).compiled().pattern()})$"
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    depth = len(top.getFileSystem(conf).makeQualified(top).toString().rstrip("/").split("/"))
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(depth + 1), F.greatest(F.size(parts) - depth - 1, F.lit(0)))
+    at = F.array_min(F.transform(folders, lambda x, i: F.when(x.rlike(name), i + depth + 1)))
+    table = F.when(F.element_at(parts, -1).rlike(name), F.col("path")).when(at.isNotNull(), F.array_join(F.slice(parts, F.lit(1), at), "/"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(table.alias("path"), "length")
+    return found.where("path IS NOT NULL").groupBy("path").agg(F.sum("length").alias("bytes"))
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).parquet(*paths)
+
+
+def _members(read: DataFrame, paths: list[str]) -> dict[str, list[str]]:
+    """The files of each of ``paths`` that is a folder, in order."""
+    plain = lambda p: re.sub("^file:/*", "/", p).rstrip("/")
+    tables, out = {plain(p): p for p in paths}, {}
+    for f in sorted(plain(unquote(f)) for f in read.inputFiles()):
+        at = f
+        while at and at not in tables:
+            at = at.rpartition("/")[0]
+        if at and at != f:
+            out.setdefault(tables[at], []).append(f)
+    return out
+
+
+def _file_rows(read: DataFrame) -> DataFrame:
+    return read.groupBy(_file().alias("path")).agg(F.count("*").alias("usable_rows"))
 
 
 def row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, usable_rows): no column is read, so Spark takes the rows from the footers, in its tasks."""
-    return spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("usable_rows"))
+    read = _read(spark, paths)
+    members = _members(read, paths)
+    if not members:
+        return _file_rows(read)
+    tables = spark.createDataFrame([(f, t) for t, own in members.items() for f in own], "_p string, _t string")
+    rows = _file_rows(read).withColumn("_p", _plain("path")).join(tables, "_p", "left")
+    return rows.groupBy(F.coalesce("_t", "path").alias("path")).agg(F.sum("usable_rows").alias("usable_rows"))
 
 
 def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -87,7 +133,7 @@ def discover(spark: SparkSession, specs: list[StreamSpec], roots: dict[str, str]
         first = listed.orderBy("path").select("path").head()
         if first is None:
             raise ValueError(f"{spec.name}: no files under {root}")
-        lacking = {spec.anchor_column, spec.positive_column} - set(spark.read.parquet(first["path"]).columns)
+        lacking = {spec.anchor_column, spec.positive_column} - set(_read(spark, [first["path"]]).columns)
         if lacking:
             raise ValueError(f"{first['path']}: missing columns {sorted(lacking)}")
         rows = row_counts(spark, [r["path"] for r in listed.select("path").distinct().collect()]).withColumn("_p", _plain("path")).drop("path")
