@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import accumulate
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,14 +146,31 @@ def discover(spark: SparkSession, specs: list[StreamSpec], roots: dict[str, str]
 
 
 def scan(spark: SparkSession, paths: list[str], anchor: str, positive: str, holdout_groups: int = 0) -> DataFrame:
-    """(anchor, positive, path, row_index): two columns of the files; with ``holdout_groups``, without each file's last groups.
+    """(anchor, positive, path, row_index): two columns of the tables; with ``holdout_groups``, without each table's last groups.
 
-    The groups' bounds come from the footers; a file with no more groups than are held out keeps all its rows.
+    Rows of a folder are numbered through, its files in order of their paths. The groups' bounds come from the footers; a
+    table with no more groups than are held out keeps all its rows.
     """
-    rows = spark.read.parquet(*paths).select(F.col(anchor).alias("anchor"), F.col(positive).alias("positive"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+    read = _read(spark, paths)
+    rows = read.select(F.col(anchor).alias("anchor"), F.col(positive).alias("positive"), _file().alias("path"), F.col("_metadata.row_index").alias("row_index"))
+    members = _members(read, paths)
+    begins = None
+    if members:
+        counts = {r["_p"]: r["usable_rows"] for r in _file_rows(read).select(_plain("path").alias("_p"), "usable_rows").collect()}  # a catalog
+        begins = spark.createDataFrame([(f, t, n) for t, own in members.items() for f, n in zip(own, accumulate((counts.get(g, 0) for g in own), initial=0))], "_p string, _t string, _start long")
+        rows = _numbered(rows, begins, "row_index")
     if holdout_groups <= 0:
         return rows
-    bounds = footers(spark, paths).groupBy(_plain("path").alias("_p")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("row_group", "start"))).alias("_g"))
+    groups = footers(spark, [f for p in paths for f in members.get(p, [p])])
+    if begins is not None:
+        groups = _numbered(groups, begins, "start")
+    bounds = groups.groupBy(_plain("path").alias("_p")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("start"))).alias("_g"))
     cut = bounds.where(F.col("_n") > holdout_groups).select("_p", F.element_at("_g", F.col("_n").cast("int") - holdout_groups + 1)["start"].alias("_cut"))
     joined = rows.withColumn("_p", _plain("path")).join(cut, "_p", "left")
     return joined.where(F.col("_cut").isNull() | (F.col("row_index") < F.col("_cut"))).drop("_p", "_cut")
+
+
+def _numbered(rows: DataFrame, begins: DataFrame, number: str) -> DataFrame:
+    """Rows with ``path`` and a number in their file, as of the table that the file is a part of: (_p, _t, _start)."""
+    joined = rows.withColumn("_p", _plain("path")).join(F.broadcast(begins), "_p", "left")
+    return joined.withColumns({"path": F.coalesce("_t", "path"), number: F.col(number) + F.coalesce("_start", F.lit(0))}).select(*rows.columns)

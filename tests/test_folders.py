@@ -27,3 +27,12 @@ def test_discovered_folder(spark, folder):
     assert [(r["path"].endswith("/a table+/pairs.parquet"), r["bytes"]) for r in catalog.files(spark, str(folder), "pairs.parquet").collect()] == [(True, size)]
     assert rows(QUERIES["discovered_shards"](spark, str(folder))) == [("pairs", 20, 2.0, "")]
     assert catalog.files(spark, str(folder), "part-*.parquet").where("path LIKE '%/pairs.parquet/%'").count() == 3  # files that match by themselves stay files
+
+
+def test_scanned_folder(spark, folder):
+    assert rows(QUERIES["scanned_pairs"](spark, str(folder))) == [("pairs.parquet", 20, 20, 20 * len("positive 0 0"), 19)]
+    path = str(folder / "pairs.parquet")
+    found = catalog.scan(spark, [path], "anchor", "positive")
+    assert {r["row_index"]: r["anchor"] for r in found.collect()} == {n: f"anchor {n // 8} {n % 8}" for n in range(20)}
+    groups = catalog.footers(spark, [str(f) for f in sorted((folder / "pairs.parquet").glob("*.parquet"))]).orderBy("path", "row_group").collect()
+    assert catalog.scan(spark, [path], "anchor", "positive", 1).count() == 20 - groups[-1]["rows"]  # the table's last group, not each file's
