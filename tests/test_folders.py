@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from conftest import rows
 
+from pairloom.config import StreamSettings, StreamSpec
+from pairloom.plans import stream
 from pairloom.plans.catalog import QUERIES
 from pairloom.sources import catalog
 
@@ -36,3 +38,10 @@ def test_scanned_folder(spark, folder):
     assert {r["row_index"]: r["anchor"] for r in found.collect()} == {n: f"anchor {n // 8} {n % 8}" for n in range(20)}
     groups = catalog.footers(spark, [str(f) for f in sorted((folder / "pairs.parquet").glob("*.parquet"))]).orderBy("path", "row_group").collect()
     assert catalog.scan(spark, [path], "anchor", "positive", 1).count() == 20 - groups[-1]["rows"]  # the table's last group, not each file's
+
+
+def test_batches_of_a_folder(spark, folder):
+    spec = StreamSpec("pairs", "tables", "anchor", "positive", parquet="pairs.parquet", language_id="")
+    out = stream.training_batches(spark, [spec], {"tables": str(folder)}, StreamSettings(batch_size=4), 5).toPandas()
+    assert sorted(int(r.rpartition("#")[2]) for r in out.row_id) == list(range(20))
+    assert {r.rpartition("#")[0] for r in out.row_id} == {str(folder / "pairs.parquet")}
