@@ -214,8 +214,42 @@ def token_grams(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.select(*SENT, *[c.alias(f"_{k}") for k, c in enumerate(ids)]).where(F.col(f"_{n - 1}").isNotNull())
 
 
+def _word_sums(shared, opens: bool):
+    """UDF of (keys, words): the sum over a row's words of the means of their vectors, and twice the number of words that have one.
+    ``words`` numbers each key's word, or, with ``opens``, tells the keys that open one."""
+
+    def run(keys: pd.Series, words: pd.Series) -> pd.Series:
+        known, matrix = shared.value
+        out = np.zeros((len(keys), matrix.shape[1] + 2))
+        for row, (k, w) in enumerate(zip(keys, words)):
+            if k is None or not len(k):
+                continue
+            at, found = _at(known, np.asarray(k, "int64"))
+            w = np.cumsum(np.asarray(w, bool)) if opens else np.asarray(w, "int64")
+            _, place, pieces = np.unique(w[found], return_inverse=True, return_counts=True)
+            out[row, :-2] = (1.0 / pieces[place]) @ matrix[at[found]]
+            out[row, -2:] = len(pieces)
+        return pd.Series(list(out))
+
+    return F.pandas_udf(run, "array<double>").asNondeterministic()
+
+
 def wordpool(tokens, emb, dims, **_) -> DataFrame:
-    """Mean over words of the mean over their pieces; ``tokens`` has ``word``."""
+    """Mean over words of the mean over their pieces; ``tokens`` has ``word``, or in arrays ``opens``: whether a token opens one."""
+    listed = "token_ids" in tokens.columns
+    shared = _shared_table(emb.select(F.col("token_id").cast("long").alias("_key"), F.col("vec").alias("_vec")), dims)
+    if shared is not None:
+        if listed:
+            lists, parts = tokens, (F.col("token_ids").cast("array<long>"), F.col("opens"))
+        else:
+            lists = tokens.groupBy(*SENT).agg(F.collect_list(F.struct(F.col("token_id").cast("long").alias("k"), F.col("word").cast("long").alias("w"))).alias("_l"))
+            parts = (F.col("_l.k"), F.col("_l.w"))
+        return _ratio(lists.select(*SENT, _word_sums(shared, listed)(*parts).alias("_s")), dims, 1.0)
+    if listed:
+        from .tokens import word_ids
+
+        long = tokens.select(*SENT, F.posexplode(F.arrays_zip("token_ids", "opens")).alias("pos", "_x")).select(*SENT, "pos", "_x.token_ids", "_x.opens")
+        tokens = word_ids(long.withColumnRenamed("token_ids", "token_id"), "sent_id", F.col("opens"))
     words = lookup(tokens, emb).groupBy(*SENT, "word").agg(sum_vectors("vec", dims).alias("_s"), F.count("*").alias("_n"))
     return _pool(words.select(*SENT, divide("_s", "_n", 1.0).alias("vec")), "vec", dims)
 

@@ -31,13 +31,15 @@ def _out(expr: str = "sum(w * {v}) / greatest(sum(w), {least})", least: str = "1
     return ", ".join(f"round({expr.format(v=v, least=least)}, {n}) + 0.0 AS {h}" for v, (h, n) in _H.items())
 
 
-def tok(spark, d):
-    """(sent_id, lang_idx, token_ids): a row per document, cut into words once however often it is read."""
+def tok(spark, d, **more):
+    """(sent_id, lang_idx, token_ids): a row per document, cut into words once however often it is read. ``more``: arrays of what functions say of each word."""
     langs = read(spark, d, "languages").select(F.col("lang_code").alias("lang"), "lang_idx")
     n = read(spark, d, "embeddings").count()
-    ids = F.transform(tokens.words("text"), lambda w: F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long") % n)
-    t = spread(read(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", ids.alias("token_ids")).join(langs, "lang", "left")
-    return materialize(t.select(F.col("doc_id").alias("sent_id"), F.coalesce("lang_idx", F.lit(-1)).alias("lang_idx"), "token_ids"))
+    ids = F.transform("_w", lambda w: F.conv(F.left(F.md5(w), F.lit(7)), 16, 10).cast("long") % n)
+    said = [F.transform("_w", f).alias(name) for name, f in more.items()]
+    cut = spread(read(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", tokens.words("text").alias("_w"))
+    t = cut.select("doc_id", "lang", ids.alias("token_ids"), *said).join(langs, "lang", "left")
+    return materialize(t.select(F.col("doc_id").alias("sent_id"), F.coalesce("lang_idx", F.lit(-1)).alias("lang_idx"), "token_ids", *more))
 
 
 def emb(spark, d):
@@ -175,9 +177,7 @@ def ngram_gate_pool(spark, d):
     WITH {TOK}, o AS (SELECT *, sum((length(token) >= 4)::INT) OVER (PARTITION BY sent_id ORDER BY pos) AS word FROM tok),
     i AS (SELECT sent_id, lang_idx, word, {', '.join(f'avg({v}) AS {v}' for v in _V)}, 1.0::DOUBLE AS w FROM o JOIN emb USING (token_id) GROUP BY 1, 2, 3) SELECT sent_id, lang_idx, {_out()} FROM i GROUP BY 1, 2""")
 def wordpool(spark, d):
-    words = read(spark, d, "documents").select(F.col("doc_id").alias("sent_id"), F.posexplode(tokens.words("text")).alias("pos", "token"))
-    t = pooling.long_form(tok(spark, d)).join(words, ["sent_id", "pos"])
-    return _few(pooling.pool("wordpool", tokens.word_ids(t, "sent_id", F.length("token") >= 4), emb(spark, d), DIMS))
+    return _few(pooling.pool("wordpool", tok(spark, d, opens=lambda w: F.length(w) >= 4), emb(spark, d), DIMS))
 
 
 def _codes(spark, d):
