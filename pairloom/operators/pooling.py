@@ -48,9 +48,14 @@ def _pool(rows: DataFrame, vector: str, dims: int, weight: Column | None = None,
     return out.select(*SENT, divide("_sum", "_den", least).alias("h"))
 
 
-def _fits(dims: int, *tables: DataFrame | None) -> bool:
-    """Whether tables of vectors are small enough together to go to every worker."""
-    return sum(t.count() for t in tables if t is not None) <= MOST_TABLE_BYTES // (8 * dims)
+#: Bytes of a pair that names its vector: key, score and place of the vector.
+PAIR_BYTES = 20
+
+
+def _fits(dims: int, *tables: DataFrame | None, pairs: DataFrame | None = None) -> bool:
+    """Whether tables of vectors, and ``pairs`` that name theirs, are small enough together to go to every worker."""
+    size = 8 * dims * sum(t.count() for t in tables if t is not None)
+    return size + (0 if pairs is None else PAIR_BYTES * pairs.count()) <= MOST_TABLE_BYTES
 
 
 def _matrix(table: DataFrame, key: str, vector: str, dims: int, *more: str) -> tuple[np.ndarray, ...]:
@@ -70,6 +75,20 @@ def _at(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == keys
 
 
+def _pair_table(exact: DataFrame, merged: DataFrame | None, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in order, scores, places of their vectors, vectors) of compiled pairs; those without a vector are left out."""
+    if merged is None:
+        keys, vectors, scores = _matrix(exact, "pair_key", "m", dims, "score")
+        return keys, scores, np.arange(len(keys), dtype="int32"), vectors
+    known, vectors = _matrix(merged, "row", "m", dims)
+    rows = exact.select(F.col("pair_key").cast("long"), F.col("score").cast("double"), F.col("row").cast("long")).where("row IS NOT NULL").toArrow()
+    keys, scores = rows["pair_key"].to_numpy(), rows["score"].to_numpy()
+    at, found = _at(known, rows["row"].to_numpy())
+    order = np.argsort(keys, kind="stable")
+    order = order[found[order]]
+    return keys[order], scores[order], at[order].astype("int32"), vectors
+
+
 def _shared_table(table: DataFrame, dims: int):
     """(keys, matrix) of (_key, _vec), one row per key, as a broadcast, if the table is small enough to be one; else None."""
     return table.sparkSession.sparkContext.broadcast(_matrix(table, "_key", "_vec", dims)) if _fits(dims, table) else None
@@ -314,7 +333,7 @@ def _biased(routed: DataFrame, bias: DataFrame | None, shared_bias: float | None
     return routed.withColumn("score", F.col("score") + shared_bias) if shared_bias is not None else routed
 
 
-def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int = 0, bias: DataFrame | None = None, shared_bias: float | None = None, hard: Callable | None = None, codes: DataFrame | None = None, **_) -> DataFrame:
+def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int = 0, bias: DataFrame | None = None, shared_bias: float | None = None, hard: Callable | None = None, codes: DataFrame | None = None, merged: DataFrame | None = None, **_) -> DataFrame:
     """``N / D``: tokens count 1 less half of what the pairs they are in take, pairs count their gate; ``D`` is tokens less gates.
 
     The gate is the sigmoid of the pair's score and the language's bias, or ``shared_bias``: it depends on pair and
@@ -322,10 +341,14 @@ def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int
     their two tokens; vectors come in last, once per token or pair of a sentence. With ``hard``, which sets gates of 0 and
     1 that share no token, a pair replaces its tokens, and places are kept.
 
+    ``exact`` has each pair's vector as ``m``, or, where pairs share vectors, names it by ``row`` of ``merged`` (row, m).
+
     If tokens come as arrays and all tables fit on a worker, the same is done sentence by sentence and nothing is shuffled.
     """
-    if "token_ids" in tokens.columns and _fits(dims, emb, exact, hashed):
-        return _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, shared_bias, hard is not None, codes)
+    if "token_ids" in tokens.columns and (_fits(dims, emb, exact, hashed) if merged is None else _fits(dims, emb, merged, hashed, pairs=exact)):
+        return _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, shared_bias, hard is not None, codes, merged)
+    if merged is not None:
+        exact = exact.join(merged.where("m IS NOT NULL"), "row").drop("row")
     tables = [emb.select((F.col("token_id").cast("long") * 4).alias("_key"), F.col("vec").cast("array<double>").alias("_vec"))]
     if exact is not None:
         tables.append(exact.select((F.col("pair_key") * 4 + 1).alias("_key"), F.col("m").cast("array<double>").alias("_vec")))
@@ -352,20 +375,21 @@ def collapse(tokens, emb, dims, base: int, exact=None, hashed=None, buckets: int
     return weighted(own.unionByName(routed), table, dims, LEAST_COLLAPSE)
 
 
-def _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, shared_bias, hard, codes) -> DataFrame:
+def _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, shared_bias, hard, codes, merged) -> DataFrame:
     from .matching import best_matching
 
     none = (np.zeros(0, "int64"), np.zeros((0, dims)), np.zeros(0))
+    no_pairs = (np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int32"), np.zeros((0, dims)))
     biases = {r["lang_idx"]: r["bias"] for r in bias.collect()} if bias is not None and shared_bias is None else {}  # one row per language
     sides = None
     if codes is not None:
         rank = codes.select(F.size("left_code")).head()
         rank = rank[0] if rank else 0
         sides = (*_matrix(codes, "token_id", "left_code", rank), _matrix(codes, "token_id", "right_code", rank)[1])
-    shared = tokens.sparkSession.sparkContext.broadcast((_matrix(emb, "token_id", "vec", dims), none if exact is None else _matrix(exact, "pair_key", "m", dims, "score"), none if hashed is None else _matrix(hashed, "bucket", "m", dims, "score"), sides))
+    shared = tokens.sparkSession.sparkContext.broadcast((_matrix(emb, "token_id", "vec", dims), no_pairs if exact is None else _pair_table(exact, merged, dims), none if hashed is None else _matrix(hashed, "bucket", "m", dims, "score"), sides))
 
     def run(ids: pd.Series, langs: pd.Series) -> pd.Series:
-        (known, vectors), (pair_keys, pair_rows, pair_scores), (rows, row_vectors, row_scores), edge = shared.value
+        (known, vectors), (pair_keys, pair_scores, pair_places, pair_rows), (rows, row_vectors, row_scores), edge = shared.value
         out = np.zeros((len(ids), dims + 2))
         for n, (x, lang) in enumerate(zip(ids, langs)):
             if x is None or not len(x):
@@ -392,7 +416,7 @@ def _collapse_locally(tokens, emb, dims, base, exact, hashed, buckets, bias, sha
             w[:-1] -= p * (1.0 if hard else 0.5)
             w[1:] -= p * (1.0 if hard else 0.5)
             used, in_bucket = hit & (p > 0), bucket_hit & (p > 0)
-            out[n, :-2] = w[found] @ vectors[own[found]] + p[used] @ pair_rows[at[used]] + p[in_bucket] @ row_vectors[bucket_at[in_bucket]]
+            out[n, :-2] = w[found] @ vectors[own[found]] + p[used] @ pair_rows[pair_places[at[used]]] + p[in_bucket] @ row_vectors[bucket_at[in_bucket]]
             out[n, -2] = found.sum() + used.sum() + in_bucket.sum()
             out[n, -1] = found.sum() - p[used].sum() - p[in_bucket].sum()
         return pd.Series(list(out))

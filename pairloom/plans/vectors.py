@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import pair_key
+from ..functions.keys import key_left, key_right, pair_key
 from ..functions.stats import cosine
 from ..operators import evaluate, init_table, matching, objective, pooling, telemetry, tokens, transitions
 from ..sources import model, sinks
@@ -234,6 +234,15 @@ def _exact(spark, d, t, least: int = 1):
     return seen.select(pair_key("left", "right", BASE).alias("pair_key"), "score", "m")
 
 
+def _named(t, n: int, least: int):
+    """The pairs that occur at least so often: key, score and the id of the vector, of ``n``, that they merge to. Pairs are numbers from the start."""
+    ids, rest = F.col("token_ids"), F.greatest(F.size("token_ids") - 1, F.lit(0))
+    keys = F.zip_with(F.slice(ids, F.lit(1), rest), F.slice(ids, F.lit(2), rest), lambda a, b: pair_key(a, b, BASE))
+    seen = t.select(F.explode(keys).alias("pair_key")).groupBy("pair_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    both = key_left("pair_key", BASE) + key_right("pair_key", BASE)
+    return seen.select("pair_key", ((both % 7 - 3) * 0.5).alias("score"), (both % n).alias("row"))
+
+
 def _bias(spark):
     return spark.range(-1, 30).select(F.col("id").cast("int").alias("lang_idx"), ((F.col("id") % 5 - 2) * 0.3).alias("bias"))
 
@@ -322,8 +331,10 @@ def collapse_online(spark, d):
 @query()
 def collapse_online_compiled(spark, d):
     """Only pairs that occur at least twice were compiled; the others are boundaries."""
-    t = tok(spark, d)
-    return _few(pooling.pool("collapse_online_compiled", t, emb(spark, d), DIMS, base=BASE, exact=_exact(spark, d, t, 2), bias=_bias(spark)))
+    t, e = tok(spark, d), emb(spark, d)
+    exact = materialize(_named(t, e.count(), 2))
+    merged = e.select(F.col("token_id").alias("row"), F.col("vec").alias("m"))
+    return _few(pooling.pool("collapse_online_compiled", t, e, DIMS, base=BASE, exact=exact, merged=merged, bias=_bias(spark)))
 
 
 def _edges(spark, d):

@@ -34,3 +34,21 @@ def test_wordpool_forms(spark, monkeypatch):
 
 def test_wordpool_moves_no_token(spark):
     assert "Exchange" not in stages(QUERIES["wordpool"](spark, "/root/testdata/sf0.001"))
+
+
+def test_pairs_that_share_vectors(spark, monkeypatch):
+    """Pairs that name their vector give what pairs with a vector of their own give, on the workers and by joins, and need far less room."""
+    emb = spark.createDataFrame([(k, [float(k), 1.0 / k]) for k in range(1, 6)], "token_id long, vec array<float>")
+    toks = spark.createDataFrame([(1, 0, [1, 2, 3, 4, 5]), (2, 1, [2, 3, 2, 3]), (3, 1, [5]), (4, 0, [9, 1, 2])], "sent_id long, lang_idx int, token_ids array<long>")
+    named = spark.createDataFrame([(100 * a + b, s, row) for a, b, s, row in ((1, 2, 0.5, 4), (2, 3, 0.8, 4), (3, 4, -1.0, 2), (4, 5, 0.1, 7), (3, 2, 0.2, None))], "pair_key long, score double, row long")
+    merged = emb.select(F.col("token_id").alias("row"), F.col("vec").alias("m"))
+    own = named.join(merged, "row").drop("row")
+    for mode in ("collapse", "collapse_online_compiled"):
+        want = vectors(pooling.pool(mode, toks, emb, 2, base=100, exact=own))
+        assert len(want) == 4
+        assert vectors(pooling.pool(mode, toks, emb, 2, base=100, exact=named, merged=merged)) == want
+        with monkeypatch.context() as m:
+            m.setattr(pooling, "MOST_TABLE_BYTES", 0)
+            assert vectors(pooling.pool(mode, toks, emb, 2, base=100, exact=named, merged=merged)) == want
+    many = spark.range(2_000_000)
+    assert pooling._fits(64, emb, pairs=many) and not pooling._fits(64, emb, many)
